@@ -12,7 +12,7 @@ TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 #: Code points: a document over HUGE is encoded in chunks of CHUNK that overlap by OVERLAP at first.
 HUGE, CHUNK, OVERLAP = 1 << 15, 1 << 13, 1 << 7
-#: Pieces whose counts a worker keeps; beyond, it forgets all and begins anew, so that its memory is bounded.
+#: Pieces whose counts a worker keeps, in each of two generations; the older is forgotten when the younger is full.
 KEPT = 1 << 18
 
 
@@ -95,6 +95,7 @@ class Counter:
 
     def __init__(self, path: str, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP):
         self.tokenizer, self.huge, self.chunk, self.overlap, self.kept = _tokenizer(path), huge, chunk, overlap, {}
+        self.old: dict[str, int] = {}
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def encode(self, text: str):
@@ -103,9 +104,11 @@ class Counter:
     def counts(self, texts: list[str]) -> list[int]:
         short = [t.replace("\n", " ").split(" ") if len(t) <= self.huge else None for t in texts]
         if len(self.kept) > KEPT:
-            self.kept.clear()
-        kept = self.kept
-        new = list({p for pieces in short if pieces for p in pieces if p not in kept})
+            self.kept, self.old = {}, self.kept
+        kept, old = self.kept, self.old
+        new = {p for pieces in short if pieces for p in pieces if p not in kept}
+        kept.update((p, old[p]) for p in new if p in old)
+        new = [p for p in new if p not in kept]
         for at in range(0, len(new), 8192):
             part = new[at : at + 8192]
             kept.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))

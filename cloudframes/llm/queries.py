@@ -4,6 +4,7 @@ from .byte_bpe import op6_byte_bpe
 from .gif_media import op1_gif_media
 from .language_id import op5_language_id
 from .mixing import op3_mixing
+from .near_dedup import op10_near_dedup
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .secret_scan import OP9_SQL, op9_secret_scan
@@ -12,7 +13,7 @@ from .token_counts import op4_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gif_media, op2_suffix_dedup, op3_mixing, op4_token_counts, op5_language_id, op6_byte_bpe, op7_quality_classifier, op8_quality_rules, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_gif_media, op2_suffix_dedup, op3_mixing, op4_token_counts, op5_language_id, op6_byte_bpe, op7_quality_classifier, op8_quality_rules, op9_secret_scan, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

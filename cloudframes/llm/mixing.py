@@ -82,27 +82,46 @@ def sized_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target and taken, a row for each row of docs (doc_id, source, text).
+def plan(sized: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
+    """of (a struct of the source, so that null joins null), source_size, target, copies and limit, a row for each source.
 
-    A target of r times its source's size takes every document floor(r) times, and once more those whose hash is under the
-    threshold at which the remaining words are reached as nearly as whole documents allow. The hash is of doc_id alone: reruns
-    agree, and rows with equal ids go together. Null text has size 0; a null source is one source, last in order; an empty
-    table gives no rows; other columns are ignored.
+    A target of r times its source's size takes every document floor(r) times, and once more those whose hash is under limit, at
+    which the remaining words are reached as nearly as whole documents allow.
     """
-    sized = written(sized_documents(docs), "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = written(targets(sizes, share, most, weights), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") + 1e-12), F.lit(int(most)))).otherwise(0).cast("long")
-    plan = goals.withColumn("copies", ratio)
-    budgets = plan.select("source", (F.col("target") - F.col("copies") * F.col("source_size")).alias("budget")).where("budget >= 0.5")
+    goals = written(targets(sizes, share, most, weights).withColumn("copies", ratio), "mix-targets")
+    budgets = goals.select("source", (F.col("target") - F.col("copies") * F.col("source_size")).alias("budget")).where("budget >= 0.5")
     limits = thresholds(sized, budgets).select(F.struct("source").alias("of"), "limit")
-    per_source = plan.withColumn("of", F.struct("source")).join(limits, "of", "left").select("of", "source_size", "target", "copies", "limit")
-    extra = F.when(_bucket(PASSES) < F.col("limit"), 1).otherwise(0)
-    return (
-        sized.withColumn("of", F.struct("source")).join(per_source, "of")
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + extra)).alias("taken"))
-    )
+    return goals.withColumn("of", F.struct("source")).join(limits, "of", "left").select("of", "source_size", "target", "copies", "limit")
+
+
+def _taken() -> Column:
+    """How many times the mix takes a document."""
+    return F.col("copies") + F.when(_bucket(PASSES) < F.col("limit"), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
+    """doc_id, size, source_size, target and taken, a row for each row of docs (doc_id, source, text).
+
+    The hash is of doc_id alone: reruns agree, and rows with equal ids go together. Null text has size 0; a null source is one
+    source, last in order; an empty table gives no rows; other columns are ignored.
+    """
+    sized = written(sized_documents(docs), "mix-sizes")
+    per_source = plan(sized, share, most, weights)
+    return sized.withColumn("of", F.struct("source")).join(per_source, "of").select("doc_id", "size", "source_size", "target", (F.col("size") * _taken()).alias("taken"))
+
+
+def mix_rows(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
+    """docs, all columns as they are, each row as many times as the mix takes it (up to `most` times, or not at all).
+
+    Documents without words stay once: they weigh nothing. The plan, a row for each source, is small beside the texts; Spark
+    broadcasts it where it is under its own size limit.
+    """
+    sized = written(sized_documents(docs), "mix-sizes")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(F.col("source").cast("string").alias("source")).alias("of"), F.xxhash64(F.col("doc_id").cast("long")).alias("hash"))
+    times = F.when(F.coalesce(F.col("row.text").rlike(WORD), F.lit(False)), _taken()).otherwise(1).cast("int")
+    return keyed.join(plan(sized, share, most, weights), "of").select(F.explode(F.array_repeat("row", times)).alias("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -1,0 +1,377 @@
+"""Each operator against brute force on nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from cloudframes.llm import byte_bpe, gif_media, language_id, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_counts
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def by_id(df):
+    return sorted((r.asDict() for r in df.collect()), key=lambda r: (r["doc_id"] is not None, r["doc_id"]))
+
+
+def texts(rows):
+    return sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0]))
+
+
+# --- 1
+def test_gif_round_trip(docs, rows, empty):
+    for got, (_, t) in zip(by_id(gif_media.gif_payloads(docs)), texts(rows), strict=True):
+        b = t.encode()
+        payload = b + bytes(-len(b) % 64 if b else 64)
+        assert (got["n_bytes"], got["payload_bytes"], got["payload_sha256"], got["tail_crc32"]) == (len(b), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert gif_media.gif_payloads(empty).count() == 0
+
+
+@pytest.mark.parametrize("data", [b"", b"a", b"ab" * 9000, bytes(70_000), np.random.default_rng(1).bytes(50_000)])
+def test_lzw_inverts(data):
+    if data:
+        assert gif_media.lzw_decode(gif_media.lzw_encode(data)).tobytes() == data
+
+
+def _animation():
+    """4 x 2 pixels, 4 colours: a full frame, a transparent one restored after, one cleared after, a last one."""
+    import struct
+
+    def frame(left, top, w, h, samples, disposal, clear=None):
+        codes = [4, *[c for s in samples for c in (s, 4)], 5]
+        bits = sum(c << 3 * k for k, c in enumerate(codes))
+        stream = bits.to_bytes((3 * len(codes) + 7) // 8, "little")
+        return struct.pack("<BBBBHBB", 0x21, 0xF9, 4, disposal << 2 | (clear is not None), 5, clear or 0, 0) + struct.pack("<BHHHHB", 0x2C, left, top, w, h, 0) + bytes([2, len(stream)]) + stream + b"\0"
+
+    head = b"GIF89a" + struct.pack("<HHBBB", 4, 2, 0x81, 0, 0) + bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
+    return head + frame(0, 0, 4, 2, [1] * 8, 1) + frame(1, 0, 2, 1, [2, 0], 3, 0) + frame(0, 0, 1, 2, [3, 3], 2) + frame(3, 1, 1, 1, [2], 1) + b";"
+
+
+def test_disposal_and_transparency(spark):
+    got = {r.frame: r for r in gif_media.gif_frames(spark.createDataFrame([(1, bytearray(_animation())), (2, bytearray(b"junk")), (3, None)], "doc_id long, media binary")).collect() if r.doc_id == 1}
+    red, green, blue, black = b"\xff\0\0", b"\0\xff\0", b"\0\0\xff", b"\0\0\0"
+    assert got[0].rgb == red * 8
+    assert got[1].rgb == red + green + red * 6
+    assert got[2].rgb == blue + red * 3 + blue + red * 3
+    assert got[3].rgb == black + red * 3 + black + red * 2 + green
+    assert [got[k].start_ms for k in range(4)] == [0, 50, 100, 150]
+    assert got[0].histogram[7] == 8 and got[0].histogram[8] == 8
+
+
+def test_broken_media_is_told(spark):
+    rows = gif_media.gif_frames(spark.createDataFrame([(2, bytearray(b"junk")), (3, None)], "doc_id long, media binary")).collect()
+    assert all(r.frame is None and r.error for r in rows) and len(rows) == 2
+
+
+# --- 2
+def brute_repeats(pairs):
+    first = {}
+    for i, b in sorted(pairs, key=lambda p: (p[0] is not None, p[0])):
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], i)
+    out = []
+    for i, b in pairs:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            f = first[b[k : k + 50]]
+            if f != i and (f is None or f < i):
+                gone[k : k + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((i, len(b), sum(gone), sum(1 for k, g in enumerate(gone) if g and (not k or not gone[k - 1])), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_repeats(docs, rows, empty, monkeypatch):
+    want = brute_repeats([(i, t.encode()) for i, t in texts(rows)])
+    got = by_id(suffix_dedup.remove_repeats(docs, with_bytes=True))
+    assert [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == want
+    assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_repeats_of_many_variants(spark):
+    """More reaches of one gram in a batch than VARIANTS, and windows that match only in part."""
+    rng = np.random.default_rng(5)
+    core = "".join(rng.choice(list("abcdef"), 70))
+    rows = [(int(i), "".join(rng.choice(list("ghij"), rng.integers(0, 30))) + core[a:b] + "".join(rng.choice(list("klmn"), rng.integers(0, 30)))) for i, a, b in zip(rng.permutation(60), rng.integers(0, 15, 60), rng.integers(50, 70, 60))]
+    got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == brute_repeats(sorted((i, t.encode()) for i, t in rows))
+
+
+def test_parts_cover_every_window(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART", 100)
+    data = np.frombuffer(bytes(range(256)) * 3, np.uint8)
+    seen = Counter()
+    for _, part, inside, place in suffix_dedup.parts(data, np.array([0, 700, 768])):
+        x = suffix_dedup.Anchors(part, inside)
+        at, which = x.strings(np.arange(len(x.gram)))
+        seen.update((at + place[0] + (0 if place[0] or len(inside) > 2 or inside[1] > 68 else 700)).tolist())
+    assert sum(seen.values()) == 651 + 19
+
+
+# --- 3
+def test_mix(docs, rows, empty):
+    got = by_id(mixing.mix(docs))
+    assert [r["size"] for r in got] == [len(WORD.findall(t)) for _, t in texts(rows)]
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) and r["taken"] <= 2 * r["size"] for r in got)
+    per = {}
+    for r in got:
+        per[r["source_size"]] = r["target"]
+    total = sum(r["size"] for r in got)
+    assert abs(sum(per.values()) - 1.5 * total) < 1e-6 * total
+    assert by_id(mixing.mix(docs)) == got
+    assert mixing.mix(empty).count() == 0 and mixing.mix_rows(empty).count() == 0
+
+
+def brute_targets(sizes, share=1.5):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    left, open_, out = share * sum(sizes.values()), set(names), {}
+    while open_:
+        w = sum(weight[s] for s in open_)
+        full = {s for s in open_ if left * weight[s] / w > 2 * sizes[s]}
+        if not full:
+            return out | {s: left * weight[s] / w for s in open_}
+        for s in full:
+            out[s] = 2.0 * sizes[s]
+        left -= sum(out[s] for s in full)
+        open_ -= full
+    return out
+
+
+def test_targets(spark):
+    for sizes in ({"a": 10, "b": 1000, "é": 5, "z": 300, None: 70}, {"x": 4}, {"a": 0, "b": 0}, {"a": 5, "b": 5, "c": 5, "d": 500}):
+        got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        want = brute_targets(sizes)
+        assert all(abs(got[s] - want[s]) < 1e-6 for s in sizes), (got, want)
+
+
+def test_mix_meets_targets_and_nests(spark):
+    rows = [(i, "w " * (1 + i % 9), f"s{i % 3}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a = mixing.mix(df).collect()
+    for s in {r.target for r in a}:
+        taken = sum(r.taken for r in a if r.target == s)
+        assert abs(taken - s) <= 9
+    small, large = ({r.doc_id for r in mixing.mix(df, share=x).collect() if r.taken} for x in (0.3, 0.5))
+    assert small < large
+    counts = Counter(r.doc_id for r in mixing.mix_rows(df).collect())
+    assert all(counts[r.doc_id] * r.size == r.taken for r in a)
+
+
+# --- 4
+def test_token_counts(docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_counts.tokenizer_path())
+    for got, (_, text) in zip(by_id(token_counts.token_counts(docs)), texts(rows), strict=True):
+        n = len(t.encode(text, add_special_tokens=False))
+        assert (got["n_bytes"], got["n_tokens"], got["over_limit"]) == (len(text.encode()), n, n > 2048)
+    assert token_counts.token_counts(empty).count() == 0
+
+
+def test_chunks_resynchronise():
+    rng = np.random.default_rng(3)
+    parts = ["a", "b", "É", "é", "́", "'", "s", "ll", " ", "\n", "\t", "\xa0", "\x1c", "1", "23", "-", "<|endoftext|>", "漢", "😀", "re", "̸", "=", "İ", "Σ"]
+    samples = ["".join(rng.choice(parts, rng.integers(0, 300))) for _ in range(300)] + ["a" * 3000, "漢" * 900, "'s" * 700, "<|endoftext|>" * 20]
+    counter = token_counts.Counter(token_counts.tokenizer_path(), huge=20, chunk=40, overlap=4)
+    assert counter.counts(samples) == [len(counter.encode(s)) for s in samples]
+
+
+# --- 5
+def test_language(docs, rows, empty):
+    model = language_id.train(["the cat sat on the mat and then the dog"] * 30 + ["le chat est sur la table et le chien aussi"] * 30, ["en"] * 30 + ["fr"] * 30)
+    got = by_id(language_id.identify(docs, model))
+    for r, (_, t) in zip(got, texts(rows), strict=True):
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in t)) and 0 <= r["score"] <= 1
+    names, score, rejected = model.predict(pa.array(["the dog and the cat", "le chien et la table", "123", None]))
+    assert names == ["en", "fr", "und", "und"] and list(rejected) == [False, False, True, True] and min(score[:2]) > 0.5
+    assert language_id.identify(empty, model).count() == 0
+    assert language_id.train([], []).predict(pa.array(["a"]))[0] == ["und"]
+
+
+def test_language_query(spark, sf_dir, rows):
+    got = by_id(language_id.op5_language_id(spark, sf_dir))
+    assert [r["held_out"] for r in got if r["doc_id"] is not None] == [zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in texts(rows) if i is not None]
+
+
+def test_language_held_out(spark):
+    """Accuracy on documents that were not trained on, on the given small tables."""
+    got = language_id.op5_language_id(spark, "/root/testdata/sf0.01").where("held_out").select("doc_id", "lang_pred", "rejected")
+    joined = got.join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in joined) >= 0.97 * len(joined)
+    assert sum(r.rejected for r in joined) <= 0.01 * len(joined)
+
+
+# --- 6
+@pytest.fixture(scope="module")
+def tiktoken_encoding():
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(byte_bpe.ranks_path(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe(docs, rows, empty, tiktoken_encoding):
+    for got, (_, t) in zip(by_id(byte_bpe.token_digests(docs)), texts(rows), strict=True):
+        ids = tiktoken_encoding.encode_ordinary(t)
+        assert (got["n_tokens"], got["ids_sha256"], got["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    assert byte_bpe.token_digests(empty).count() == 0
+    encoded = byte_bpe.encode_documents(docs)
+    back = {r["doc_id"]: bytes(r["decoded"]) for r in byte_bpe.decode_documents(encoded).collect()}
+    assert all(back[i] == t.encode() for i, t in texts(rows))
+
+
+def test_pre_tokens(tiktoken_encoding):
+    rng = np.random.default_rng(4)
+    parts = ["a", "É", "́", "'", "'s", "'ll", " ", "  ", "\n", "\t", "\xa0", "\x1c", "1", "-", "<|endoftext|>", "漢", "😀", "re", "v", "e", "d", "t", "'ve"]
+    samples = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(4000)] + ["a" * 3000, "漢" * 900, "'s" * 900, "xyzxxxyyy" * 100]
+    vocab = byte_bpe.Vocabulary(byte_bpe.ranks_path())
+    assert [ids for ids, _, _ in byte_bpe.encoded(pa.array(samples), vocab)] == [tiktoken_encoding.encode_ordinary(s) for s in samples]
+
+
+# --- 7
+def test_quality(spark, docs, empty, sf_dir, rows):
+    rng = np.random.default_rng(2)
+    good = [" ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(rng.integers(40, 90))) + "." for _ in range(80)]
+    bad = ["spam spam ### $$$ " * int(rng.integers(3, 20)) for _ in range(80)]
+    model = quality_classifier.train(good[:60] + bad[:60], np.array([1] * 60 + [0] * 60))
+    score = model.score(quality_classifier.features(quality_classifier.stats(pa.array(good[60:] + bad[60:]))))
+    assert ((score >= 0.7) == np.array([True] * 20 + [False] * 20)).mean() > 0.95
+    got = by_id(quality_classifier.quality_scores(docs, model))
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    assert quality_classifier.quality_scores(empty, model).count() == 0
+    held = {r["doc_id"]: r["held_out"] for r in quality_classifier.op7_quality_classifier(spark, sf_dir).collect()}
+    assert held[5] == (zlib.crc32(b"5") % 4 == 2)
+
+
+def test_quality_held_out(spark):
+    got = quality_classifier.op7_quality_classifier(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()
+    assert sum(r.predicted == r.quality for r in got) >= 0.96 * len(got)
+
+
+# --- 8
+def brute_measures(t):
+    w = WORD.findall(t)
+    windows = Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {k + j for k, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if windows[x] > 1 for j in range(3)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), len(lines)
+
+
+def test_ledger(docs, rows, empty):
+    got = by_id(quality_rules.ledger(docs))
+    assert [tuple(r[m] for m in quality_rules.MEASURES) for r in got] == [brute_measures(t) for _, t in texts(rows)]
+    for r in got:
+        failed = {k for k, rule in quality_rules.RULES.items() if eval(rule.replace(" = ", " == "), {}, r)}
+        assert r["failed_rules"] == sum(map(quality_rules.bit, failed))
+    mask = quality_rules.policy_mask("v1")
+    for a in quality_rules.ablations(quality_rules.ledger(docs)).collect():
+        assert a.n_failed == sum(bool(r["failed_rules"] & quality_rules.bit(a.rule)) for r in got)
+        assert a.n_alone == sum(r["failed_rules"] & mask == quality_rules.bit(a.rule) for r in got)
+    assert quality_rules.ledger(empty).count() == 0
+
+
+# --- 9
+def brute_base(t):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(secret_scan.ASSIGN, t, re.A) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    return sorted(found + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32])
+
+
+def brute_entropy(c):
+    import math
+
+    best = 0.0
+    for k in range(len(c) - 19):
+        n = Counter(c[k : k + 20])
+        best = max(best, -sum(v / 20 * math.log2(v / 20) for v in n.values()))
+    return best
+
+
+def test_secrets(docs, rows, empty):
+    for got, (_, t) in zip(by_id(secret_scan.scan(docs.select("doc_id", "text", "score"))), texts(rows), strict=True):
+        assert [tuple(s) for s in got["secrets"] if s[1] < 3] == brute_base(t)
+    assert secret_scan.scan(empty).count() == 0
+    clean = secret_scan.redacted(docs)
+    assert clean.columns == docs.columns
+    for got, (_, t) in zip(by_id(clean), texts(rows), strict=True):
+        if not brute_base(t):
+            assert (got["text"] or "") == t
+        else:
+            assert not brute_base(got["text"]) and got["n_chars"] == len(got["text"])
+
+
+def test_entropy_windows(spark):
+    from pyspark.sql import functions as F
+
+    samples = ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "dGhpcyBpcyBhIHNlY3JldA9xQz7+Kk2", "aaaaaaaaaaaaaaaaaaaaa1", "abcdefghij0123456789ABCDEFGHIJ", "a1" * 40]
+    got = spark.createDataFrame([(s,) for s in samples], "c string").select("c", secret_scan.highest_entropy(F.col("c")).alias("h")).collect()
+    assert all(abs(r.h - brute_entropy(r.c)) < 1e-9 for r in got)
+
+
+def test_many_matches_in_one_text(spark):
+    t = "é token=abcdefgh1 " * 1500
+    got = secret_scan.scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()["secrets"]
+    assert [tuple(s) for s in got] == brute_base(t)
+
+
+def test_allow_list(spark):
+    ok = ["https://example.org/some/path-with-words/and-more", "123e4567-e89b-12d3-a456-426614174000", "AAAAAAAAAAAAAAAAAAAAAAAA", "thisisaverylongwordwithoutanydigit"]
+    got = secret_scan.scan(spark.createDataFrame([(k, t) for k, t in enumerate(ok)], "doc_id long, text string")).collect()
+    assert all(not r.secrets for r in got)
+
+
+# --- 10
+def brute_near(pairs):
+    sets = {}
+    for i, t in pairs:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    label = {i: i for i in sets}
+    for _ in sets:
+        for i, x in sets.items():
+            for j, y in sets.items():
+                if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                    label[i] = label[j] = min(label[i], label[j])
+    return {i: (len(sets[i]), label[i]) for i in sets}
+
+
+def test_near(docs, rows, empty):
+    have = [(i, t) for i, t in texts(rows) if i is not None]
+    want = brute_near(have)
+    for r in by_id(near_dedup.near_duplicates(docs)):
+        if r["doc_id"] is not None:
+            assert (r["n_shingles"], r["component_id"], r["kept"]) == (*want[r["doc_id"]], want[r["doc_id"]][1] == r["doc_id"])
+    assert near_dedup.near_duplicates(empty).count() == 0
+
+
+def test_near_with_long_lists(spark, monkeypatch):
+    """A passage in all documents, groups of near copies and chains, with lists that count as long from three members on."""
+    monkeypatch.setattr(near_dedup, "SHORT", 3)
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    passage, rows, i = word(40), [], 0
+    for _ in range(25):
+        rows.append((i := i + 1, passage + word(int(rng.integers(0, 60)))))
+    base = word(120)
+    for _ in range(25):
+        w = list(base)
+        for k in rng.integers(0, 120, int(rng.integers(0, 6))):
+            w[k] = "edit"
+        rows.append((i := i + 1, w))
+    chain = word(100)
+    for k in range(8):
+        rows.append((i := i + 1, chain[k * 6 : 60 + k * 6]))
+    pairs = [(i, " ".join(w)) for i, w in rows]
+    want = brute_near(pairs)
+    got = near_dedup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want

@@ -80,8 +80,18 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
 
+#: Rows of an Arrow batch between Spark and Python, in place of Spark's 10,000, for rows are whole texts.
+BATCH_ROWS = 1000
+
+
 def doc_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns that the operators read; all others, whatever their names, stay out of the way."""
+    """The two columns that the operators read; all others, whatever their names, stay out of the way.
+
+    Batches to Python are made smaller for the session, unless it asks for less already, so that memory stays bounded.
+    """
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

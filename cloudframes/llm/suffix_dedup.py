@@ -26,7 +26,7 @@ from .common import Prefixes, doc_text, documents, mixed, text_bytes, written
 
 WINDOW, GRAM = 50, 20
 #: Bytes of text whose anchors are merged before they are sent, and bytes of text for each bucket of codes.
-BATCH, BUCKET = 8 << 20, 16 << 20
+BATCH, BUCKET = 6 << 20, 4 << 20
 #: Reaches of one gram in a batch beyond which all of them go to the third pass at once.
 VARIANTS = 4
 #: A part of a document that is worked on at once; longer documents come in parts that overlap by a window.
@@ -149,14 +149,11 @@ def _messages(n: int, bucket: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.
 
 def _received(table: pa.Table, a_type, b_type):
     """Entries (a, b, ids) and facts of all messages of a bucket."""
-    cols = {c: table.column(c).to_pylist() for c in table.column_names}
-    a = [np.frombuffer(x, a_type) for x in cols["a"]]
-    b = [np.frombuffer(x, b_type) for x in cols["b"]]
-    ids = []
-    for place, own in zip(cols["doc"], cols["ids"], strict=True):
-        own = np.frombuffer(own, np.int64)
-        ids.append(own[np.frombuffer(place, "<u2" if len(own) < 65536 else "<u4")])
-    facts = [np.concatenate([np.frombuffer(x, t) for x in cols[c]]) for c, t in (("fact_ids", np.int64), ("fact_tags", np.uint64), ("fact_kinds", np.uint8))]
+    views = lambda c, t: [np.frombuffer(x.as_buffer() or b"", t) for x in table.column(c)]
+    a, b, ids = views("a", a_type), views("b", b_type), []
+    for place, own in zip(table.column("doc"), views("ids", np.int64), strict=True):
+        ids.append(own[np.frombuffer(place.as_buffer(), "<u2" if len(own) < 65536 else "<u4")])
+    facts = [np.concatenate(views(c, t)) for c, t in (("fact_ids", np.int64), ("fact_tags", np.uint64), ("fact_kinds", np.uint8))]
     return np.concatenate(a), np.concatenate(b), np.concatenate(ids), facts
 
 
@@ -228,8 +225,10 @@ def first_pass(n: int):
 def settle(table: pa.Table) -> pa.Table:
     """A bucket of grams: settles equal reaches, opens those whose gram is shared."""
     gram, b, ids, facts = _received(table, "<u4", np.uint8)
-    b = b.reshape(-1, 5).astype(np.uint64)
-    reach = sum((b[:, k] << np.uint64(8 * k) for k in range(1, 5)), b[:, 0])
+    b = b.reshape(-1, 5)
+    reach = b[:, 0].astype(np.uint64)
+    for k in range(1, 5):
+        reach |= b[:, k].astype(np.uint64) << np.uint64(8 * k)
     order = np.lexsort((ids, reach, gram))
     gram, reach, ids = gram[order].astype(np.uint64), reach[order], ids[order]
     size = len(gram)

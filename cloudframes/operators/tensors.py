@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Gates: the greatest relative error, or none, and the least cosine (fixed values).
 GATES = {"tight": (1e-4, 1 - 1e-6), "deep": (0.5, 1 - 1e-4), "half": (None, 0.999)}
@@ -96,7 +97,7 @@ def mask_patterns(masks: DataFrame) -> DataFrame:
     return by.select(pattern.alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n_masks"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def half_round_trip(v: pd.Series) -> pd.Series:
     """Values as half floats hold them."""
     with np.errstate(over="ignore"):

@@ -1 +1,144 @@
+"""Session queries: plans, manifests, messages and streams over the given tables."""
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..fixtures import duck, view
+from ..plans import selection as plan
+from ..streaming import sessions as st
+from . import query
+from .capture import ASOF
+from .scalars import TH, TW
+
+_msg = lambda s, d: view(s, d, "messages")
+
+# --- plans
+query("plan_validate", duck("candidates") + ", v_s AS (SELECT video AS session, ci FROM v_candidates WHERE sharpness > 90), v_b AS (SELECT DISTINCT video AS session FROM v_candidates), v_n AS (SELECT session, count(v_s.ci) AS n, count(*) FILTER (ci % 5 = 0) AS refs FROM v_b LEFT JOIN v_s USING (session) GROUP BY session) SELECT session, n AS n_selected, array_to_string(list_filter([CASE WHEN n = 0 THEN 'nothing selected' END, CASE WHEN n > 0 AND refs = 0 THEN 'reference not selected' END], lambda x: x IS NOT NULL), ',') AS errors, array_to_string(list_filter([CASE WHEN n > 0 AND n < 2 THEN 'fewer than 2 frames' END, CASE WHEN n > 8 THEN 'over budget' END], lambda x: x IS NOT NULL), ',') AS warnings FROM v_n")(
+    lambda s, d: plan.validate(view(s, d, "candidates").where("sharpness > 90").selectExpr("video as session", "ci % 5 = 0 as is_reference"), view(s, d, "candidates").selectExpr("video as session", "8 as budget").distinct()).select("session", F.col("n_selected").cast("long").alias("n_selected"), F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
+)
+
+
+@query("session_validate", duck("messages") + """, v_s AS (SELECT DISTINCT session, CASE WHEN session % 5 = 0 THEN 630 ELSE 624 END AS w, 416 AS h, 6 AS n FROM v_messages), v_p AS (SELECT session, count(*) FILTER (NOT frame_idx BETWEEN 0 AND n - 1) AS r, count(*) FILTER (seq % 9 = 0) AS z, count(DISTINCT CASE WHEN frame_idx BETWEEN 0 AND n - 1 THEN frame_idx END) AS t FROM v_messages JOIN v_s USING (session) WHERE tag = 'frame' GROUP BY session)
+SELECT session, array_to_string(list_filter([CASE WHEN session % 5 = 0 THEN 'dimensions' END, CASE WHEN coalesce(r, 0) > 0 THEN 'frame index' END, CASE WHEN coalesce(z, 0) > 0 THEN 'frame size' END, CASE WHEN coalesce(t, 0) < n THEN 'missing frames' END], lambda x: x IS NOT NULL), ',') AS errors, greatest(n - coalesce(t, 0), 0)::BIGINT AS n_missing FROM v_s LEFT JOIN v_p USING (session)""")
+def session_validate(s, d):
+    m = _msg(s, d)
+    sessions = m.select("session").distinct().withColumns({"width": F.when(F.col("session") % 5 == 0, 630).otherwise(624), "height": F.lit(416), "n_frames": F.lit(6)})
+    good = F.when(F.col("session") % 5 == 0, 630).otherwise(624) * 416 * 3
+    frames = m.where("tag = 'frame'").select("session", "frame_idx", F.when(F.col("seq") % 9 == 0, 1).otherwise(good).alias("n_bytes"))
+    out = plan.session_checks(sessions, frames)
+    return out.select("session", F.array_join("errors", ",").alias("errors"), F.col("n_missing").cast("long").alias("n_missing"))
+
+
+@query("footage_warnings", """WITH v_v AS (SELECT s_nationkey AS session, s_suppkey AS video FROM supplier) SELECT session, video::VARCHAR AS source, 'hdr transfer' AS code FROM v_v WHERE video % 4 = 0 UNION ALL SELECT session, video::VARCHAR, 'log without tonemap' FROM v_v WHERE video % 3 = 0 AND video % 2 = 0
+UNION ALL SELECT DISTINCT session, NULL, 'photos fill the budget' FROM v_v WHERE session % 10 >= 5 UNION ALL SELECT session, video::VARCHAR, 'crop loss' FROM v_v WHERE video % 7 > 1 AND video % 2 = 1""")
+def footage_warnings(s, d):
+    v = s.read.parquet(f"{d}/supplier.parquet").selectExpr("s_nationkey as session", "s_suppkey as video")
+    videos = v.selectExpr("session", "video", "case when video % 4 = 0 then 'smpte2084' else 'bt709' end as color_transfer", "case when video % 3 = 0 then 'd_log' end as color_md", "case when video % 2 = 0 then 'none' else 'parametric' end as tonemap")
+    return plan.footage_warnings(videos, v.selectExpr("session", "5 as budget", "session % 10 as n_photos").distinct(), v.selectExpr("session", "cast(video as string) as source", "(video % 7) / 100.0 as loss", "case when video % 2 = 1 then 1.0 else 0.9 end as crop_scale"))
+
+
+SELECTED = ", v_sel AS (SELECT session, video::VARCHAR AS source, ci FROM v_candidates WHERE sharpness > 60)"
+query("selection_stats", duck("candidates") + SELECTED + """, v_c AS (SELECT session, video::VARCHAR AS source, count(*) AS n, max(ci * 15 / 30.0e0) AS l FROM v_candidates GROUP BY ALL), v_k AS (SELECT session, source, count(*) AS k FROM v_sel GROUP BY ALL)
+SELECT session, source, n AS n_candidates, round(n / nullif(l, 0), 6) AS per_s, coalesce(k, 0) AS n_selected, sum(coalesce(k, 0)) OVER w::BIGINT AS used, greatest(600 - sum(coalesce(k, 0)) OVER w, 0)::BIGINT AS remaining, round(least(sum(coalesce(k, 0)) OVER w / 600.0e0, 1.0), 6) AS fraction FROM v_c LEFT JOIN v_k USING (session, source) WINDOW w AS (PARTITION BY session)""")(
+    lambda s, d: plan.selection_stats(view(s, d, "candidates").selectExpr("session", "cast(video as string) source", "ci * 15 / 30 as time_s"), view(s, d, "candidates").where("sharpness > 60").selectExpr("session", "cast(video as string) source"), 600).withColumns({"per_s": F.round("per_s", 6), "fraction": F.round("fraction", 6)})
+)
+
+
+@query("dominant_source", duck("candidates") + " SELECT session, source, 1000 + source::BIGINT AS width, 700 AS height FROM (SELECT session, video::VARCHAR AS source, row_number() OVER (PARTITION BY session ORDER BY count(*) DESC, video::VARCHAR) AS rn FROM v_candidates WHERE sharpness > 60 GROUP BY session, video) WHERE rn = 1")
+def dominant_source(s, d):
+    c = view(s, d, "candidates").where("sharpness > 60").selectExpr("session", "'video' as kind", "cast(video as string) as source", "video")
+    return plan.dominant_source(c, c.select("session", "kind", "source", (F.col("video") + 1000).alias("width"), F.lit(700).cast("long").alias("height")).distinct())
+
+
+query("top_source", duck("candidates") + " SELECT video FROM v_candidates GROUP BY video ORDER BY count(*) DESC, video LIMIT 1")(lambda s, d: view(s, d, "candidates").groupBy("video").count().orderBy(F.desc("count"), "video").limit(1).select("video"))
+
+
+@query("aspect_options", duck("photos") + f""", v_a AS (SELECT session, path, CASE WHEN event_id % 2 = 0 THEN 'video' ELSE 'photo' END AS kind, width, height, {TW} AS tw, {TH} AS th FROM v_photos WHERE event_id % 20 < 2),
+v_f AS (SELECT session, kind AS other, width AS w, height AS h FROM (SELECT *, row_number() OVER (PARTITION BY session, kind ORDER BY path) AS rn FROM v_a) WHERE rn = 1)
+SELECT session, path AS source, tw::BIGINT AS tw, th::BIGINT AS th, round(1.0e0 - least(greatest(round(cw), 16), cw) * least(greatest(round(least(greatest(round(cw), 16), cw) * ch / cw::DOUBLE), 1), ch) / (w * h)::DOUBLE, 6) AS loss
+FROM (SELECT *, CASE WHEN h / w::DOUBLE > th / tw::DOUBLE THEN w ELSE round(h / (th / tw::DOUBLE)) END AS cw, CASE WHEN h / w::DOUBLE > th / tw::DOUBLE THEN round(w * (th / tw::DOUBLE)) ELSE h END AS ch FROM v_a JOIN v_f USING (session) WHERE kind <> other)""")
+def aspect_options(s, d):
+    rows = view(s, d, "photos").where("event_id % 20 < 2").selectExpr("session", "path as source", "case when event_id % 2 = 0 then 'video' else 'photo' end as kind", "width", "height")
+    return plan.aspect_options(rows).withColumn("loss", F.round("loss", 6))
+
+
+@query("apply_edits")
+def apply_edits(s, d):
+    """A fold with a path-dependent reference; unit tests replay it step by step."""
+    c = view(s, d, "candidates").where("video = session + 7 and ci < 12")
+    auto = c.where("ci % 2 = 0").selectExpr("session", "ci", "ci = 4 as is_reference")
+    return plan.apply_edits(auto, view(s, d, "edits"), c.select("session", "ci", "rel_alt"))
+
+
+def _manifest(s, d):
+    c = view(s, d, "candidates").where("video = session + 7").selectExpr("session", "ci as pos", "'video' as kind", "cast(video as string) as source", "ci", "ci * 15 as source_frame", "ci = 5 as is_reference")
+    details = view(s, d, "candidates").where("video = session + 7").selectExpr("session", "'video' as kind", "cast(video as string) as source", "ci", "ci * 15 / 30 as time_s", "sharpness", "cast(960 as bigint) as width", "cast(540 as bigint) as height")
+    return plan.build_manifest(c, details, 624, 416, 30)
+
+
+@query("build_manifest", duck("candidates") + " SELECT session, 1 AS version, 30 AS budget, max(CASE WHEN ci = 5 THEN ci END) AS reference_original_pos, count(*) AS n_frames, max(CASE WHEN ci = 5 THEN 0 END) AS ref_index, round(sum(sharpness), 4) AS sharpness, 75 AS crop_x FROM v_candidates WHERE video = session + 7 GROUP BY session")
+def build_manifest(s, d):
+    m = _manifest(s, d)
+    f = F.col("frames")
+    total = F.aggregate(F.transform(f, lambda x: x["sharpness"]), F.lit(0.0), lambda a, b: a + b)
+    ref = F.get(F.transform(F.filter(f, lambda x: x["source_frame"] == 75), lambda x: x["batch_index"]), F.lit(0))
+    return m.select("session", "version", "budget", "reference_original_pos", F.size(f).cast("long").alias("n_frames"), ref.alias("ref_index"), F.round(total, 4).alias("sharpness"), F.get(F.get(f, F.lit(0))["crop"], F.lit(0)).alias("crop_x"))
+
+
+query("manifest_source", duck("candidates") + " SELECT session, row_number() OVER (PARTITION BY session ORDER BY (ci = 5) DESC, ci) - 1 AS batch_index, ci * 15 AS source_frame, round(sharpness, 6) AS sharpness FROM v_candidates WHERE video = session + 7")(
+    lambda s, d: _manifest(s, d).select("session", F.explode("frames").alias("f")).select("session", F.col("f.batch_index").cast("long").alias("batch_index"), "f.source_frame", F.round("f.sharpness", 6).alias("sharpness"))
+)
+
+# --- messages, in batch
+query("upload_lastwins", duck("messages") + " SELECT session, frame_idx, max(seq) AS seq, count(*) AS acks FROM v_messages WHERE tag = 'frame' GROUP BY ALL")(lambda s, d: st.last_uploads(_msg(s, d).where("tag = 'frame'").select("session", "frame_idx", "seq")).select("session", "frame_idx", "seq", "acks"))
+query("progress", duck("messages") + " SELECT session, stage, arg_max(done, seq) AS done, arg_max(total, seq) AS total FROM v_messages WHERE tag = 'progress' GROUP BY ALL")(lambda s, d: st.stream_progress(_msg(s, d).where("tag = 'progress'")))
+query("peak_memory", duck("messages") + " SELECT session, max(n_bytes) AS peak_bytes FROM v_messages GROUP BY session")(lambda s, d: st.stream_peak(_msg(s, d)))
+query("stage_timings", duck("messages") + " SELECT session, stage, max(t_ms) - min(t_ms) AS ms, max(n_bytes) AS peak_bytes FROM v_messages GROUP BY ALL")(lambda s, d: st.stage_timings(_msg(s, d)))
+query("stream_timeline_check", duck("messages") + """, v_r AS (SELECT *, CASE WHEN tag = 'chunk' THEN coalesce(frame > lag(frame) OVER (PARTITION BY session, tag ORDER BY seq), true) END AS rises FROM v_messages)
+SELECT session, min(seq) FILTER (tag = 'cameras') < min(seq) FILTER (tag = 'chunk') AS cameras_first, min(seq) FILTER (tag = 'progress') < min(seq) FILTER (tag = 'cameras') AS progress_first, bool_and(rises) AS chunks_rise, max(seq) FILTER (tag = 'done') = max(seq) AS done_last FROM v_r GROUP BY session""")(lambda s, d: st.timeline_check(_msg(s, d)))
+
+
+# --- streams: what is there of the given tables, read as a stream
+def stream_of(s, d, name: str):
+    """A view's rows as a stream: the view is written to a scratch folder, for it orders rows, which a stream can't, and read from there."""
+    folder = f"{_scratch(s)}/{name}-{uuid.uuid4().hex}"
+    df = view(s, d, name)
+    df.write.parquet(folder)
+    return s.readStream.schema(df.schema).parquet(folder)
+
+
+def _scratch(s) -> str:
+    import tempfile
+
+    return (s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='cloudframes-')}").rstrip("/")
+
+
+def run(s, stream, mode: str = "append"):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(key, None)
+    s.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        name = f"out_{uuid.uuid4().hex}"
+        return st.run_available(stream, name, f"{_scratch(s)}/{name}", mode)
+    finally:
+        s.conf.unset(key) if before is None else s.conf.set(key, before)
+
+
+query("stream_peak", duck("messages") + " SELECT session, max(n_bytes) AS peak_bytes FROM v_messages GROUP BY session")(lambda s, d: run(s, st.stream_peak(stream_of(s, d, "messages")), "complete"))
+query("stream_progress", duck("messages") + " SELECT session, stage, arg_max(done, seq) AS done, arg_max(total, seq) AS total FROM v_messages WHERE tag = 'progress' GROUP BY ALL")(lambda s, d: run(s, st.stream_progress(stream_of(s, d, "messages").where("tag = 'progress'")), "complete"))
+query("stream_upload_lastwins", duck("messages") + " SELECT session, seq, frame_idx, row_number() OVER (PARTITION BY session, frame_idx ORDER BY seq) > 1 AS replaced FROM v_messages WHERE tag = 'frame'")(lambda s, d: run(s, st.stream_uploads(stream_of(s, d, "messages").where("tag = 'frame'").select("session", "seq", "frame_idx", F.md5(F.col("n_bytes").cast("string")).alias("digest")).withColumn("session", F.col("session").cast("string")))).withColumn("session", F.col("session").cast("long")))
+query("stream_session_fsm")(lambda s, d: run(s, st.stream_session_fsm(stream_of(s, d, "messages").select(F.col("session").cast("string").alias("session"), "seq", F.when(F.col("seq") == 1, "open").when(F.col("seq") < 6, "frame").otherwise(F.col("tag")).alias("tag"), "frame"))))
+query("stream_log_dedup", duck("messages") + " SELECT session, seq, line FROM (SELECT session, seq, tag AS line, lag(tag) OVER (PARTITION BY session ORDER BY seq) AS p FROM v_messages) WHERE p IS NULL OR p <> line")(lambda s, d: run(s, st.stream_log_dedup(stream_of(s, d, "messages").select(F.col("session").cast("string").alias("session"), "seq", F.col("tag").alias("line")))).withColumn("session", F.col("session").cast("long")))
+query("stream_cloud", duck("depth") + " SELECT frame, x AS px, y AS py FROM v_depth WHERE NOT isnan(depth)")(lambda s, d: run(s, st.stream_cloud(stream_of(s, d, "depth"), view(s, d, "pose")).select("frame", "px", "py")))
+query("stream_conf_hist", duck("depth") + " SELECT sum(1)::BIGINT AS n FROM v_depth WHERE NOT isnan(conf)")(lambda s, d: run(s, st.stream_conf_hist(stream_of(s, d, "depth").withColumn("session", F.lit("s"))), "complete").agg(F.sum("count").alias("n")))
+query("stream_keyframes")(lambda s, d: run(s, st.stream_keyframes(stream_of(s, d, "candidates").where("lat is not null").select("video", F.col("ci").cast("long").alias("ci"), "sharpness", "lat", "lon", "yaw"))))
+query("stream_bursts")(lambda s, d: run(s, st.stream_bursts(stream_of(s, d, "photos").where("capture_time is not null").select("session", F.to_timestamp("capture_time").alias("ts"), "path", "sharpness"), gap="599999999 microseconds")))
+
+
+@query("stream_telemetry_asof", duck("telemetry", "probes") + ASOF + " SELECT video, probe, seq::BIGINT AS seq FROM v_pick WHERE seq IS NOT NULL")
+def stream_telemetry_asof(s, d):
+    at = lambda c: F.timestamp_millis(c)
+    frames = stream_of(s, d, "probes").select("video", "probe", at("t_ms").alias("ts"))
+    entries = stream_of(s, d, "telemetry").select("video", "seq", at("start_ms").alias("start_ts"), at("end_ms").alias("end_ts"))
+    return st.nearest(run(s, st.stream_telemetry_asof(frames, entries, 900_000, 200_000, "400 days"))).withColumn("seq", F.col("seq").cast("long"))

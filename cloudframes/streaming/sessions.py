@@ -130,12 +130,15 @@ def stream_peak(samples: DataFrame) -> DataFrame:
     return samples.groupBy("session").agg(F.max("n_bytes").alias("peak_bytes"))
 
 
-def stream_telemetry_asof(frames: DataFrame, entries: DataFrame, slack_ms: int = 500, delay: str = "5 seconds") -> DataFrame:
-    """Pairs of frames (video, probe, ts) and entries (video, seq, start_ts, end_ts) within the slack, both with watermarks; `nearest` picks one for each probe."""
+def stream_telemetry_asof(frames: DataFrame, entries: DataFrame, slack_ms: int = 500, longest_ms: int = 10_000, delay: str = "5 seconds") -> DataFrame:
+    """Pairs of frames (video, probe, ts) and entries (video, seq, start_ts, end_ts) within the slack; `nearest` picks one for each probe.
+
+    Both sides have watermarks; entries last at most longest_ms, so that their state is bounded.
+    """
     f = frames.withWatermark("ts", delay)
     e = entries.withWatermark("start_ts", delay).withColumnRenamed("video", "of")
     slack = F.expr(f"interval {slack_ms} milliseconds")
-    near = (F.col("video") == F.col("of")) & (F.col("ts") >= F.col("start_ts") - slack) & (F.col("ts") <= F.col("start_ts") + F.expr("interval 10 seconds")) & (F.col("ts") <= F.col("end_ts") + slack)
+    near = (F.col("video") == F.col("of")) & (F.col("ts") >= F.col("start_ts") - slack) & (F.col("ts") <= F.col("start_ts") + F.expr(f"interval {longest_ms + slack_ms} milliseconds")) & (F.col("ts") <= F.col("end_ts") + slack)
     return f.join(e, near).drop("of")
 
 
@@ -168,7 +171,7 @@ class _Keyframes(StatefulProcessor):
                     if last is None or differs(last, best[2:]):
                         out.append((key[0], best[0]))
                         last = best[2:]
-        self.held.put(held)
+        self.held.put(held) if held else self.held.clear()
         if last is not None:
             self.last.update(last)
         yield pd.DataFrame(out, columns=["video", "ci"])

@@ -138,7 +138,7 @@ query("stream_bursts")(lambda s, d: run(s, st.stream_bursts(stream_of(s, d, "pho
 
 @query("stream_telemetry_asof", duck("telemetry", "probes") + ASOF + " SELECT video, probe, seq::BIGINT AS seq FROM v_pick WHERE seq IS NOT NULL")
 def stream_telemetry_asof(s, d):
-    at = lambda c: F.timestamp_millis(c)
+    at = lambda c: F.timestamp_millis(F.col(c) + 1_700_000_000_000)
     frames = stream_of(s, d, "probes").select("video", "probe", at("t_ms").alias("ts"))
     entries = stream_of(s, d, "telemetry").select("video", "seq", at("start_ms").alias("start_ts"), at("end_ms").alias("end_ts"))
     return st.nearest(run(s, st.stream_telemetry_asof(frames, entries, 900_000, 200_000, "400 days"))).withColumn("seq", F.col("seq").cast("long"))

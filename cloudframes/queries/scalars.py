@@ -55,6 +55,7 @@ CC_H = f"least(greatest(round(({CC_W}) * ({CR_H}) / ({CR_W})::DOUBLE), 1), {CR_H
 scalar("centered_crop", "photos", "path", lambda: sizing.centered_crop(c("width"), c("height"), lit(400), lit(300), lit(0.8)), {"crop_x": i(f"floor((width - {CC_W}) / 2)"), "crop_y": i(f"floor((height - {CC_H}) / 2)"), "crop_w": i(CC_W), "crop_h": i(CC_H)})
 scalar("crop_loss", "photos", "path", lambda: {"loss": sizing.crop_loss(c("width"), c("height"), *sizing.crop_to_aspect(c("width"), c("height"), lit(0.75)))}, {"loss": d(f"1.0e0 - ({CR_W}) * ({CR_H}) / (width * height)::DOUBLE")})
 scalar("patch_tokens", "photos", "path", lambda: {"patches": sizing.patch_tokens(c("width"), c("height")), "tokens": sizing.frame_tokens(c("width"), c("height"))}, {"patches": i("CASE WHEN width % 16 = 0 AND height % 16 = 0 THEN (width // 16) * (height // 16) END"), "tokens": i("CASE WHEN width % 16 = 0 AND height % 16 = 0 THEN (width // 16) * (height // 16) + 17 END")})
+scalar("frame_tokens", "photos", "path", lambda: {"tokens": sizing.frame_tokens(c("width") - c("width") % 16, c("height"))}, {"tokens": i("CASE WHEN height % 16 = 0 THEN (width // 16) * (height // 16) + 17 END")})
 scalar("even_height", "photos", "path", lambda: {"h": sizing.even_height(c("width"), c("height"), lit(480))}, {"h": i("greatest(round(height * 480 / width::DOUBLE / 2) * 2, 2)")})
 scalar("ratio_label", "photos", "path", lambda: {"label": sizing.ratio_label(c("width"), c("height"))}, {"label": "CASE " + " ".join(f"WHEN abs(width / height::DOUBLE - {a}::DOUBLE / {b}) < 0.02 THEN '{a}:{b}'" for a, b in sizing.RATIOS) + " ELSE width || '×' || height END"})
 scalar("est_cost_s", "events_k", "event_id", lambda: {"cost": sizing.est_cost_s(c("k"))}, {"cost": d("227.0e0 * (k / 120.0e0) * (k / 120.0e0) + 100.0e0 * (k / 120.0e0)")})
@@ -71,6 +72,7 @@ scalar("activations", "depth", "frame x y", lambda: color.activations(c("conf")
 scalar("exif_datetime", "events_k", "event_id", lambda: {"iso": text.exif_datetime(F.translate(F.translate("iso", "-", ":"), "T", " "))}, {"iso": "iso"})
 scalar("timestamp_secs", "events_k", "event_id", lambda: {"secs": text.timestamp_secs(F.when(c("k") % 10 == 0, F.regexp_replace("iso", "-01-", "-13-")).otherwise(c("iso")))}, {"secs": i("CASE WHEN k % 10 = 0 AND contains(iso, '-01-') THEN NULL ELSE epoch(CAST(iso AS TIMESTAMP)) END")})
 scalar("timecode", "events_k", "event_id", lambda: {"long": text.timecode(c("ms") % 100000000 / 1000 * 1.0), "short": text.mmss(c("ms") % 100000000 / 1000 * 1.0)}, {"long": "format('{:02d}:{:02d}:{:05.2f}', (ms % 100000000) // 3600000, (ms % 100000000) // 60000 % 60, (ms % 100000000) / 1000 % 60)", "short": "format('{:02d}:{:02d}', (ms % 100000000) // 60000, (ms % 100000000) // 1000 % 60)"}, "ms % 10 <> 5")
+scalar("mmss", "events_k", "event_id", lambda: {"short": text.mmss(c("k") * 7.0)}, {"short": "format('{:02d}:{:02d}', k * 7 // 60, k * 7 % 60)"})
 scalar("point_label", "events_k", "event_id", lambda: {"label": text.point_label(c("event_id") * 997)}, {"label": "CASE WHEN event_id * 997 >= 1000000 THEN format('{:.1f} M', event_id * 997 / 1e6) WHEN event_id * 997 >= 1000 THEN format('{:.1f} k', event_id * 997 / 1e3) ELSE CAST(event_id * 997 AS VARCHAR) END"}, "event_id * 997 % 100 <> 50 and event_id * 997 % 100000 <> 50000")
 scalar("path_parts", "listing", "path", lambda: {k: v for k, v in text.path_parts(c("path")).items() if k != "name"}, {"dir": "regexp_extract(path, '^(.*)/[^/]*$', 1)", "stem": "lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^(.+?)(\\.[^.]*)?$', 1))", "ext": "lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^.+\\.([^.]*)$', 1))"})
 scalar("sha256_hex", "listing", "path", lambda: {"sha": F.sha2("path", 256)}, {"sha": "sha256(path)"})

@@ -5,10 +5,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..fixtures import duck, view
+from ..operators import cloud
 from ..plans import selection as plan
+from ..sources import readers, sinks
 from ..streaming import sessions as st
 from . import query
 from .capture import ASOF
+from .clouds import BUILD
 from .scalars import TH, TW
 
 _msg = lambda s, d: view(s, d, "messages")
@@ -133,7 +136,9 @@ query("stream_log_dedup", duck("messages") + " SELECT session, seq, line FROM (S
 query("stream_cloud", duck("depth") + " SELECT frame, x AS px, y AS py FROM v_depth WHERE NOT isnan(depth)")(lambda s, d: run(s, st.stream_cloud(stream_of(s, d, "depth"), view(s, d, "pose")).select("frame", "px", "py")))
 query("stream_conf_hist", duck("depth") + " SELECT sum(1)::BIGINT AS n FROM v_depth WHERE NOT isnan(conf)")(lambda s, d: run(s, st.stream_conf_hist(stream_of(s, d, "depth").withColumn("session", F.lit("s"))), "complete").agg(F.sum("count").alias("n")))
 query("stream_keyframes")(lambda s, d: run(s, st.stream_keyframes(stream_of(s, d, "candidates").where("lat is not null").select("video", F.col("ci").cast("long").alias("ci"), "sharpness", "lat", "lon", "yaw"))))
-query("stream_bursts")(lambda s, d: run(s, st.stream_bursts(stream_of(s, d, "photos").where("capture_time is not null").select("session", F.to_timestamp("capture_time").alias("ts"), "path", "sharpness"), gap="599999999 microseconds")))
+BURSTS = """, v_t AS (SELECT *, CASE WHEN epoch(CAST(capture_time AS TIMESTAMP)) - lag(epoch(CAST(capture_time AS TIMESTAMP))) OVER o < 600 THEN 0 ELSE 1 END AS new FROM v_photos WHERE capture_time IS NOT NULL WINDOW o AS (PARTITION BY session ORDER BY capture_time, path)),
+v_b AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY capture_time, path) AS burst FROM v_t) SELECT session, count(*) AS n, round(max(sharpness), 6) AS sharpness FROM v_b GROUP BY session, burst"""
+query("stream_bursts", duck("photos") + BURSTS)(lambda s, d: run(s, st.stream_bursts(stream_of(s, d, "photos").where("capture_time is not null").select("session", F.to_timestamp("capture_time").alias("ts"), "path", "sharpness"), gap="599999999 microseconds"), "complete").select("session", "n", F.round("sharpness", 6).alias("sharpness")))
 
 
 @query("stream_telemetry_asof", duck("telemetry", "probes") + ASOF + " SELECT video, probe, seq::BIGINT AS seq FROM v_pick WHERE seq IS NOT NULL")
@@ -142,3 +147,50 @@ def stream_telemetry_asof(s, d):
     frames = stream_of(s, d, "probes").select("video", "probe", at("t_ms").alias("ts"))
     entries = stream_of(s, d, "telemetry").select("video", "seq", at("start_ms").alias("start_ts"), at("end_ms").alias("end_ts"))
     return st.nearest(run(s, st.stream_telemetry_asof(frames, entries, 900_000, 200_000, "400 days"))).withColumn("seq", F.col("seq").cast("long"))
+
+
+# --- sinks: written to the shared folder and read back
+def _folder(s, name: str) -> str:
+    return f"{_scratch(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def _cloud(s, d):
+    points = cloud.build_cloud(view(s, d, "depth"), view(s, d, "rgb"), view(s, d, "pose"))
+    return points.select(F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"), "r", "g", "b", "conf", "frame")
+
+
+def _read_points(s, path):
+    return sinks.read_ply_files(s, path).select(*[F.col(c).cast("long").alias(c) for c in ("frame", "r", "g", "b")])
+
+
+POINTS = BUILD + " SELECT frame, r, g, b FROM v_ok JOIN v_rgb USING (frame, x, y)"
+
+
+@query("ply_sink", POINTS)
+def ply_sink(s, d):
+    path = _folder(s, "ply")
+    sinks.write_ply(_cloud(s, d), path.removeprefix("file://"), 10_000)
+    return _read_points(s, path)
+
+
+@query("stream_ply", duck("depth") + " SELECT frame, x AS r, y AS g, 0::BIGINT AS b FROM v_depth WHERE NOT isnan(depth)")
+def stream_ply(s, d):
+    path = _folder(s, "stream-ply")
+    points = st.stream_cloud(stream_of(s, d, "depth"), view(s, d, "pose"))
+    sinks.stream_ply(points.select(F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"), F.col("px").alias("r"), F.col("py").alias("g"), F.lit(0).alias("b"), F.coalesce("conf", F.lit(0.0)).alias("conf"), "frame"), path.removeprefix("file://"), _folder(s, "check"))
+    return _read_points(s, path)
+
+
+@query("manifest_sink", duck("candidates") + " SELECT session, row_number() OVER (PARTITION BY session ORDER BY (ci = 5) DESC, ci) - 1 AS batch_index, ci * 15 AS source_frame, round(sharpness, 6) AS sharpness FROM v_candidates WHERE video = session + 7")
+def manifest_sink(s, d):
+    path = _folder(s, "manifests")
+    sinks.write_manifests(_manifest(s, d), path)
+    rows = readers.read_manifests(s, path).select(F.col("session").cast("long").alias("session"), F.explode("frames").alias("f"))
+    return rows.select("session", F.col("f.batch_index").cast("long").alias("batch_index"), "f.source_frame", F.round("f.sharpness", 6).alias("sharpness"))
+
+
+@query("session_bundle", duck("candidates") + " SELECT session, video, ci, round(sharpness, 6) AS sharpness, 64::BIGINT AS digest FROM v_candidates")
+def session_bundle(s, d):
+    path = _folder(s, "bundle")
+    sinks.write_bundle({"candidates": view(s, d, "candidates").select("session", "video", "ci", "sharpness")}, path)
+    return s.read.parquet(f"{path}/candidates").select(F.col("session").cast("long").alias("session"), "video", "ci", F.round("sharpness", 6).alias("sharpness"), F.length("row_sha256").cast("long").alias("digest"))

@@ -85,6 +85,28 @@ def read_ply(data: bytes) -> np.ndarray:
     return np.frombuffer(body, RECORD, n)
 
 
+def read_ply_files(spark, path: str) -> DataFrame:
+    """x, y, z, r, g, b, conf and frame of all point files of a folder; a file is one task's."""
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column("content"):
+                rows = read_ply(data.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(rows[c].astype(np.int32) if c in ("r", "g", "b", "frame") else rows[c]) for c in RECORD.names], names=list(RECORD.names))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").option("recursiveFileLookup", "true").load(path)
+    return files.select("content").mapInArrow(run, "x float, y float, z float, r int, g int, b int, conf float, frame int")
+
+
+def stream_ply(points: DataFrame, path: str, checkpoint: str) -> None:
+    """Whatever points have arrived as point files, a folder for each batch; a batch that is run again replaces its own."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        write_ply(batch, f"{path}/{number}")
+
+    points.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def camera_documents(cams: DataFrame) -> DataFrame:
     """frame and a JSON document with rotation, translation, intrinsics and centre of each camera."""
     from ..functions.pose import camera_center

@@ -197,7 +197,7 @@ def stream_keyframes(candidates: DataFrame) -> DataFrame:
 def stream_bursts(photos: DataFrame, delay: str = "10 seconds", gap: str = "1999999 microseconds") -> DataFrame:
     """The sharpest photo of each burst of photos (session, ts, path, sharpness); a gap of two seconds begins a burst."""
     best = F.max(F.struct("sharpness", (-F.unix_micros("ts")).alias("early"), "path"))["path"]
-    return photos.withWatermark("ts", delay).groupBy("session", F.session_window("ts", gap).alias("w")).agg(best.alias("path"), F.count(F.lit(1)).alias("n"))
+    return photos.withWatermark("ts", delay).groupBy("session", F.session_window("ts", gap).alias("w")).agg(best.alias("path"), F.count(F.lit(1)).alias("n"), F.max("sharpness").alias("sharpness")).drop("w")
 
 
 class _Log(StatefulProcessor):

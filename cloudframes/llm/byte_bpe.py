@@ -16,7 +16,7 @@ import pyarrow as pa
 import unicodedata
 from pyspark.sql import DataFrame
 
-from .common import doc_text, documents, text_tiles
+from .common import doc_text, documents, frugal, text_tiles
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -185,7 +185,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                 rows = list(encoded(part.column(1), vocab))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "ids", "piece_at", "piece_ids"])
 
-    return doc_text(docs).mapInArrow(run, "doc_id long, ids array<int>, piece_at array<long>, piece_ids array<int>")
+    return doc_text(docs).mapInArrow(frugal(run), "doc_id long, ids array<int>, piece_at array<long>, piece_ids array<int>")
 
 
 def decode_documents(encoded_docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -197,7 +197,7 @@ def decode_documents(encoded_docs: DataFrame, path: str | None = None) -> DataFr
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([vocab.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "decoded"])
 
-    return encoded_docs.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
+    return encoded_docs.select("doc_id", "ids").mapInArrow(frugal(run), "doc_id long, decoded binary")
 
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_pieces long"
@@ -222,7 +222,7 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 n, ids_sha, decoded_sha, pieces = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha), pa.array(pieces, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_pieces"])
 
-    return doc_text(docs).mapInArrow(run, OUT)
+    return doc_text(docs).mapInArrow(frugal(run), OUT)
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """What the operators share: reading, shared scratch tables, and text columns as flat byte arrays."""
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -81,7 +83,58 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 
 #: Rows of an Arrow batch between Spark and Python, in place of Spark's 10,000, for rows are whole texts.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt, libc.malloc_trim  # noqa: B018
+    except (OSError, AttributeError):  # another C library: its allocator is left alone
+        return None
+    return libc
+
+
+def frugal(f):
+    """f for a task, with large arrays given back to the system at once, and the rest at the task's end, for Spark keeps its workers."""
+
+    def begin():
+        libc = _libc()
+        if libc is not None:
+            libc.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
+        return libc
+
+    def end(libc):
+        pa.default_memory_pool().release_unused()
+        if libc is not None:
+            libc.malloc_trim(0)
+
+    @functools.wraps(f)
+    def over(batches):
+        libc = begin()
+        if isinstance(batches, pa.Table):
+            out = f(batches)
+            end(libc)
+            return out
+        return stream(batches, libc)
+
+    def stream(batches, libc):
+        try:
+            yield from f(batches)
+        finally:
+            end(libc)
+
+    return over
+
+
+def small(rows: DataFrame, most: int) -> DataFrame:
+    """A written table, to be broadcast if its counted rows are within a bound; else Spark shuffles both sides."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def doc_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,9 +142,7 @@ def doc_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Batches to Python are made smaller for the session, unless it asks for less already, so that memory stays bounded.
     """
-    conf = docs.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import code_points
-from .common import doc_text, documents, text_tiles
+from .common import doc_text, documents, frugal, small_batches, text_tiles
 
 #: Hash buckets of subwords, width of their embeddings, and lengths of subwords in letters.
 BUCKETS, DIM, ORDERS = 1 << 15, 12, (1, 2, 3)
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 names, score, rejected = model.predict(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return doc_text(docs).mapInArrow(run, OUT)
+    return doc_text(docs).mapInArrow(frugal(run), OUT)
 
 
 def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -179,7 +179,8 @@ def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
             _, _, rejected = model.predict(batch.column("text"))
             yield batch.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

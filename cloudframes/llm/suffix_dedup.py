@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefixes, doc_text, documents, mixed, text_bytes, written
+from .common import Prefixes, doc_text, documents, frugal, mixed, text_bytes, written
 
 WINDOW, GRAM = 50, 20
 #: Bytes of text whose anchors are merged before they are sent, and bytes of text for each bucket of codes.
@@ -381,12 +381,12 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     docs = doc_text(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(64, -(-total // BUCKET))
-    found = written(docs.mapInArrow(first_pass(n), MESSAGE_DDL).groupBy("bucket").applyInArrow(settle, ANSWER_DDL), "repeats-anchors")
-    texts = docs.mapInArrow(packed, "doc_id long, packed binary")
+    found = written(docs.mapInArrow(frugal(first_pass(n)), MESSAGE_DDL).groupBy("bucket").applyInArrow(frugal(settle), ANSWER_DDL), "repeats-anchors")
+    texts = docs.mapInArrow(frugal(packed), "doc_id long, packed binary")
     is_open = found.where(F.octet_length("open") > 0).groupBy("doc_id").agg(F.collect_list("open").alias("open"))
-    strings = texts.join(is_open, "doc_id").mapInArrow(third_pass(n), MESSAGE_DDL).groupBy("bucket").applyInArrow(repeats, ANSWER_DDL)
+    strings = texts.join(is_open, "doc_id").mapInArrow(frugal(third_pass(n)), MESSAGE_DDL).groupBy("bucket").applyInArrow(frugal(repeats), ANSWER_DDL)
     known = found.unionByName(strings).groupBy("doc_id").agg(*[F.collect_list(F.when(F.octet_length(c) > 0, F.col(c))).alias(c) for c in ("settled", "open", "strings")])
-    result = texts.join(known, "doc_id", "left").mapInArrow(kept_bytes(with_bytes), KEPT_DDL)
+    result = texts.join(known, "doc_id", "left").mapInArrow(frugal(kept_bytes(with_bytes)), KEPT_DDL)
     result = result.withColumn("doc_id", F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")))
     return result if with_bytes else result.drop("kept")
 

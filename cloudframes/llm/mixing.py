@@ -8,7 +8,7 @@ buckets, and so on. A smaller budget gives a lower threshold, so mixes of growin
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, small, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by the source's place in code point order, null last, repeating.
@@ -16,6 +16,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 #: Bits of the hash that one pass tells apart, and the passes: 2 ** 40 thresholds are fine enough for any one source.
 BITS, PASSES = 10, 4
+#: Sources up to which their plan is broadcast to the texts.
+SOURCES = 100_000
 
 
 def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
@@ -115,13 +117,14 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
 def mix_rows(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
     """docs, all columns as they are, each row as many times as the mix takes it (up to `most` times, or not at all).
 
-    Documents without words stay once: they weigh nothing. The plan, a row for each source, is small beside the texts; Spark
-    broadcasts it where it is under its own size limit.
+    Documents without words stay once: they weigh nothing. The plan, a row for each source, is broadcast where its counted rows are
+    within SOURCES; else texts are shuffled by source, and Spark splits the hot ones.
     """
     sized = written(sized_documents(docs), "mix-sizes")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(F.col("source").cast("string").alias("source")).alias("of"), F.xxhash64(F.col("doc_id").cast("long")).alias("hash"))
     times = F.when(F.coalesce(F.col("row.text").rlike(WORD), F.lit(False)), _taken()).otherwise(1).cast("int")
-    return keyed.join(plan(sized, share, most, weights), "of").select(F.explode(F.array_repeat("row", times)).alias("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    per_source = written(plan(sized, share, most, weights), "mix-plan")
+    return keyed.join(small(per_source, SOURCES), "of").select(F.explode(F.array_repeat("row", times)).alias("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ smallest doc_id stands for. Then
    with a few representatives of each long list: the smallest doc_id, the smallest set, and some by hash.
 2. estimates: candidates whose sketches' union doesn't rule out the similarity are left.
 3. verification on full sets, of each class's most similar candidates first; of the rest, only pairs in different components.
+4. exact lists: of the classes with a large part in long lists, the codes of full sets by ascending frequency, so many that any two
+   similar sets share one. Members that still are in different components are candidates; long lists are dealt out in pairs of blocks.
 
 Components come from min-label propagation with pointer jumping over written tables.
 """
@@ -32,6 +34,8 @@ KEEP, FIRST, RARE, LONG = 64, 32, 24, 6
 SHORT, DRAWN, SHARE = 64, 8, 0.35
 #: Four standard deviations of the estimate at the similarity that is sought.
 SLACK = 4 * (0.75 * 0.25 / KEEP) ** 0.5
+#: Buckets of each of the two counts of codes in full sets (a power of two); members in a block of an exact list.
+COUNTS, BLOCK = 1 << 19, 400
 #: Candidates of each class that are verified first; rows for a task of list members; pairs that are
 #: estimated at once; the most ids that are broadcast.
 BEST, ROWS, CHUNK, BROADCAST_IDS = 2, 10_000, 4_000, 1_000_000
@@ -252,22 +256,122 @@ def candidates(lists: DataFrame) -> DataFrame:
     return near.union(star).groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, a row for each row of docs (doc_id, text).
+def _buckets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of codes in the two counts, which lie one after the other."""
+    low = np.uint64(COUNTS - 1)
+    return (codes & low).astype(np.int64), ((codes >> np.uint64(32)) & low).astype(np.int64) + COUNTS
 
-    Sets of five-word shingles of lower-cased texts; fewer words are one shingle; texts without a word, null ones too, have none
-    and are linked with nothing. Sets with a similarity of 0.75 or more are linked. Rows with equal doc_id are one document; a null
-    doc_id is less than all others; an empty table gives no rows; other columns are ignored.
+
+def code_counts(batches):
+    """(bucket, count) of all codes of texts in a task."""
+    total = np.zeros(2 * COUNTS, np.int64)
+    for batch in batches:
+        for _, _, data, offsets in text_tiles(batch.column(1)):
+            for at in _buckets(shingles(data, offsets)[0]):
+                total += np.bincount(at, minlength=2 * COUNTS)
+    some = np.flatnonzero(total)
+    for k in range(0, len(some), 100_000):
+        at = some[k : k + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "count"])
+
+
+def prefixes(counts: np.ndarray):
+    """A function of batches (doc_id, text) to (code, doc, n, place): the first codes of each full set by ascending count.
+
+    Two sets of n >= m codes with a similarity of 3/4 share at least 3n/4 and 6m/7, so the first code that they share is among the
+    first n/4 + 1 of the larger and m/7 + 1 of the smaller set, in any order of codes. The counts are never too low, so a code that is
+    counted once is in one set alone.
     """
-    docs = doc_text(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text")
-    sketched = written(docs.mapInArrow(frugal(sketches), SKETCH_DDL), "near-sketches")
-    classes = written(sketched.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", "first", "sketch")]), "near-classes")
-    likely = written(candidates(written(lists_of(classes), "near-lists")), "near-candidates")
+
+    def of(batches):
+        for batch in batches:
+            for i, j, data, offsets in text_tiles(batch.column(1)):
+                codes, cuts = shingles(data, offsets)
+                size = np.diff(cuts)
+                owner = np.repeat(np.arange(j - i), size)
+                first, second = _buckets(codes)
+                often = np.minimum(counts[first], counts[second])
+                order = np.lexsort((codes, often, owner))
+                place = np.arange(len(codes)) - cuts[:-1][owner]
+                keep = (place <= size[owner] // 4) & (often[order] > 1)
+                doc = np.asarray(batch.column(0).slice(i, j - i))[owner[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(codes[order][keep].view(np.int64)), pa.array(doc), pa.array(size[owner[keep]]), pa.array(place[keep])], names=["code", "doc", "n", "place"])
+
+    return of
+
+
+def block_pairs(table: pa.Table) -> pa.Table:
+    """Pairs (a, b) of members of exact lists that can be similar and have different labels; a table holds whole pairs of blocks."""
+    names = ("code", "i", "j", "doc", "n", "place", "label", "block")
+    order = np.lexsort([np.asarray(table.column(c)) for c in ("n", "j", "i", "code")])
+    code, i, j, doc, n, place, label, block = (np.asarray(table.column(c))[order] for c in names)
+    new = (code[1:] != code[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    cuts = np.flatnonzero(np.concatenate([[True], new, [True]]))
+    found: list = [np.zeros((2, 0), np.int64)]
+    held, size = [], 0
+
+    def flush():
+        x, y = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        # x is the smaller set; what they share after this code, if it is the first one, must be enough
+        good = (label[x] != label[y]) & ((block[x] != block[y]) | (i[x] == j[x])) & (place[x] <= n[x] // 7) & (100 * n[x] >= SIMILAR * n[y])
+        good &= 7 * np.minimum(n[x] - place[x], n[y] - place[y]) >= 3 * (n[x] + n[y])
+        # sets of one size can have either role, and then both places are small enough
+        a, b = doc[x[good]], doc[y[good]]
+        found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+
+    for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if q - p > 1 and (label[p:q] != label[p]).any():
+            x, y = np.triu_indices(q - p, 1)
+            held.append((x + p, y + p))
+            size += len(x)
+            if size > 100 * CHUNK:
+                flush()
+                held, size = [], 0
+    if held:
+        flush()
+    a, b = np.unique(np.concatenate(found, 1), axis=1)
+    return pa.table({"a": a, "b": b})
+
+
+def likely_pairs(batches):
+    """Pairs (a, b, na, nb, sketch_a, sketch_b) that their sketches don't rule out."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(k, CHUNK)
+            a, b, na, nb = (np.asarray(part.column(c)) for c in ("a", "b", "na", "nb"))
+            value, good = _likely(_matrix(part.column("sketch_a").to_pylist()), _matrix(part.column("sketch_b").to_pylist()), na, nb)
+            yield from _pairs(a[good], b[good], value[good]).to_batches()
+
+
+def exact_candidates(common: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, estimate) of classes common (doc, n, sketch) in different components that share a code which similar sets must share."""
+    mine = docs.join(small(common.select(F.col("doc").alias("doc_id")), BROADCAST_IDS), "doc_id").select("doc_id", "text")
+    counted = mine.mapInArrow(frugal(code_counts), "bucket int, count long").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()
+    counts = np.zeros(2 * COUNTS, np.int64)
+    counts[np.asarray(counted.column("bucket"))] = np.asarray(counted.column("count"))
+    label_of = common.select("doc").join(labels.toDF("doc", "label"), "doc", "left").select("doc", F.coalesce("label", "doc").alias("label"))
+    firsts = mine.mapInArrow(frugal(prefixes(counts)), "code long, doc long, n long, place long")
+    rows = written(firsts.join(small(written(label_of, "near-label-of"), BROADCAST_IDS), "doc"), "near-prefixes")
+    lists = rows.groupBy("code").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("code", F.ceil(F.col("members") / BLOCK).alias("blocks"))
+    lists = written(lists, "near-exact-lists")
+    block = rows.join(lists, "code").withColumn("block", F.pmod(F.xxhash64("doc", "code"), "blocks"))
+    dealt = block.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "n", "place", "label", "block")
+    members = lists.join(rows, "code").agg(F.sum("blocks")).first()[0] or 0
+    buckets = max(16, -(-members // (4 * ROWS)))
+    pairs = dealt.withColumn("bucket", F.pmod(F.xxhash64("code", "i", "j"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(frugal(block_pairs), "a long, b long")
+    pairs = written(pairs.distinct(), "near-exact-pairs")
+    of = lambda s: common.select(F.col("doc").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").mapInArrow(frugal(likely_pairs), PAIR_DDL)
+
+
+def linked(likely: DataFrame, docs: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, labels) after verifying candidates likely (a, b, estimate), beside links that are there already."""
     needed = written(likely.select("a").union(likely.select("b")).toDF("doc_id").distinct(), "near-needed")
     texts = written(docs.join(small(needed, BROADCAST_IDS), "doc_id").select("doc_id", "text").mapInArrow(frugal(packed), "doc_id long, packed binary"), "near-texts")
     by_estimate = Window.partitionBy("b").orderBy(F.desc("estimate"), "a")
     best = likely.withColumn("place", F.row_number().over(by_estimate)).where(F.col("place") <= BEST)
-    links = verify(best, texts)
+    found = verify(best, texts)
+    links = found if links is None else links.union(found)
     labels = components(links)
     tried = best.select("a", "b")
     label_of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
@@ -275,7 +379,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
     more = verify(rest, texts)
     if not more.isEmpty():
-        labels = components(links.union(more))
+        links = links.union(more)
+        labels = components(links)
+    return links, labels
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, a row for each row of docs (doc_id, text).
+
+    Sets of five-word shingles of lower-cased texts; fewer words are one shingle; texts without a word, null ones too, have none
+    and are linked with nothing. Sets with a similarity of 0.75 or more are linked. Rows with equal doc_id are one document; a null
+    doc_id is less than all others; an empty table gives no rows; other columns are ignored.
+    """
+    docs = doc_text(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text")
+    sketched = written(docs.mapInArrow(frugal(sketches), SKETCH_DDL), "near-sketches")
+    classes = written(sketched.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", "first", "sketch")]), "near-classes")
+    lists = written(lists_of(classes), "near-lists")
+    likely = written(candidates(lists), "near-candidates")
+    links, labels = linked(likely, docs)
+    common = lists.where(F.col("long").isNotNull()).select("doc", "n", "sketch")
+    if not common.isEmpty():
+        # of the candidates before, all pairs in different components were verified and aren't similar
+        beyond = written(exact_candidates(common, docs, labels).join(likely.select("a", "b"), ["a", "b"], "left_anti"), "near-exact")
+        if not beyond.isEmpty():
+            links, labels = linked(beyond, docs, links)
     of_class = classes.select("digest", "doc").join(labels.toDF("doc", "label"), "doc", "left").select("digest", F.coalesce("label", "doc").alias("component"))
     result = sketched.select("doc_id", "n", "digest").join(of_class, "digest", "left")
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))

@@ -375,3 +375,31 @@ def test_near_with_long_lists(spark, monkeypatch):
     want = brute_near(pairs)
     got = near_dedup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_near_in_long_lists_alone(spark):
+    """Pairs whose shared codes all lie in lists of over SHORT classes, far from any list's representatives."""
+    rng = np.random.default_rng(11)
+    pool = [[[f"v{s}x{c}y{k}" for k in range(12)] for c in range(3)] for s in range(8)]
+    rows, sets = [], []
+    for p in range(600):
+        w = [x for s, c in enumerate(rng.integers(0, 3, 8)) for x in pool[s][c]]
+        for i in (2 * p, 2 * p + 1):
+            e = list(w)
+            e[int(rng.integers(0, 96))] = f"edit{i}"
+            rows.append((i, " ".join(e)))
+            sets.append({tuple(e[k : k + 5]) for k in range(92)})
+    every = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(sets), len(every)), np.float32)
+    for i, x in enumerate(sets):
+        has[i, [every[g] for g in x]] = 1
+    common, n = has @ has.T, has.sum(1)
+    near = 100 * common >= 75 * (n[:, None] + n - common)
+    label = np.arange(len(sets))
+    while True:
+        lower = np.where(near, label[None, :], len(sets)).min(1)
+        if (lower == label).all():
+            break
+        label = lower
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label.tolist()))

@@ -226,7 +226,16 @@ def stream_log_dedup(log: DataFrame) -> DataFrame:
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is there now of a stream, through a table in memory; for checks and small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """All that is there now of a stream, through a Parquet table beside the checkpoint; no row passes the driver.
+
+    In complete mode each batch replaces the table.
+    """
+    spark, path = stream.sparkSession, f"{checkpoint}-rows"
+    out = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        out = out.format("parquet").option("path", path)
+    else:
+        spark.createDataFrame([], stream.schema).write.parquet(path)
+        out = out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
+    out.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)

@@ -305,3 +305,14 @@ def test_timeline(spark):
     bad = [("b", i, t, -i) for i, t in enumerate(["chunk", "cameras", "chunk", "done", "progress"])]
     got = {r.session: tuple(r)[1:] for r in st.timeline_check(spark.createDataFrame(good + bad, "session string, seq long, tag string, frame long")).collect()}
     assert got["a"] == (True, True, True, True) and got["b"] == (False, False, False, False)
+
+
+@pytest.mark.parametrize("mode", ["append", "complete"])
+@pytest.mark.parametrize("n", [0, 500])
+def test_streams_end_in_files(spark, tmp_path, mode, n):
+    spark.range(n).selectExpr("id", "id % 7 as k").repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long, k long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stream, want = (stream, {(i, i % 7) for i in range(n)}) if mode == "append" else (stream.groupBy("k").count(), {(k, len(range(k, n, 7))) for k in range(7) if n})
+    got = st.run_available(stream, f"rows_{mode}_{n}", f"file://{tmp_path}/check", mode)
+    assert len(rows := got.collect()) == len(want) and {tuple(r) for r in rows} == want
+    assert not spark.catalog.tableExists(f"rows_{mode}_{n}") and bool(got.inputFiles()) >= (n > 0)

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..fixtures import duck, view
-from ..operators import cloud
+from ..operators import cloud, keyframes
 from ..plans import selection as plan
 from ..sources import readers, sinks
 from ..streaming import sessions as st
@@ -66,12 +66,21 @@ def aspect_options(s, d):
     return plan.aspect_options(rows).withColumn("loss", F.round("loss", 6))
 
 
+def _edits(s, d):
+    """All view, click and purchase events as edits of frames of their own video."""
+    n = view(s, d, "candidates").groupBy("video").agg(F.count(F.lit(1)).alias("n"))
+    events = view(s, d, "events_k").where("event_type in ('view', 'click', 'purchase')").withColumnRenamed("user_id", "video")
+    return events.join(n, "video").selectExpr("video as session", "event_id as seq", "case event_type when 'view' then 'include' when 'click' then 'exclude' else 'crop' end as op", "cast(k % n as int) as ci", "value / 50 as value")
+
+
 @query("apply_edits")
 def apply_edits(s, d):
-    """A fold with a path-dependent reference; unit tests replay it step by step."""
-    c = view(s, d, "candidates").where("video = session + 7 and ci < 12")
-    auto = c.where("ci % 2 = 0").selectExpr("session", "ci", "ci = 4 as is_reference")
-    return plan.apply_edits(auto, view(s, d, "edits"), c.select("session", "ci", "rel_alt"))
+    """A fold with a path-dependent reference over all videos, each a session with its keyframes; a test replays it step by step."""
+    c = view(s, d, "candidates")
+    rows = keyframes.select_keyframes(c, 6).select("video", "ci").join(c.select("video", "ci", "rel_alt"), ["video", "ci"]).selectExpr("video as session", "ci as pos", "'video' as kind", "rel_alt")
+    auto = rows.join(keyframes.pick_reference(rows).withColumn("is_reference", F.lit(True)), ["session", "pos"], "left")
+    auto = auto.select("session", F.col("pos").alias("ci"), F.coalesce("is_reference", F.lit(False)).alias("is_reference"))
+    return plan.apply_edits(auto, _edits(s, d), c.selectExpr("video as session", "ci", "rel_alt"))
 
 
 def _manifest(s, d):

@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cloudframes.fixtures import view
 from cloudframes.functions import color, geo, pose, sizing, text
 from cloudframes.operators import align, catalog, cloud, frames, keyframes, telemetry, tensors
 from cloudframes.plans import selection as plan
+from cloudframes.queries import QUERIES
 from cloudframes.sources import readers, sinks
 from cloudframes.streaming import sessions as st
 
@@ -316,3 +318,36 @@ def test_streams_end_in_files(spark, tmp_path, mode, n):
     got = st.run_available(stream, f"rows_{mode}_{n}", f"file://{tmp_path}/check", mode)
     assert len(rows := got.collect()) == len(want) and {tuple(r) for r in rows} == want
     assert not spark.catalog.tableExists(f"rows_{mode}_{n}") and bool(got.inputFiles()) >= (n > 0)
+
+
+def test_edits_of_all_videos(spark):
+    """The registered query against a replay of every video's edits in Python."""
+    data = "/root/testdata/sf0.001"
+    alts, autos, edits = {}, {}, {}
+    for r in view(spark, data, "candidates").collect():
+        alts.setdefault(r.video, {})[r.ci] = r.rel_alt
+    for r in QUERIES["select_keyframes"](spark, data).collect():
+        autos.setdefault(r.video, []).append(r.ci)
+    for r in view(spark, data, "events_k").orderBy("event_id").collect():
+        edits.setdefault(r.user_id, []).append((r.event_type, r.k % len(alts[r.user_id]), r.value / 50))
+
+    def pick(sel, alt):
+        mid = sel[len(sel) // 4 : max(3 * len(sel) // 4, len(sel) // 4 + 1)]
+        high = [(-alt[c], c) for c in mid if alt[c] is not None]
+        return min(high)[1] if high else mid[len(mid) // 2]
+
+    want = set()
+    for video, auto in autos.items():
+        sel, ref = {c: 1.0 for c in auto}, pick(sorted(auto), alts[video])
+        for kind, c, value in edits[video]:
+            if kind == "view":
+                sel.setdefault(c, 1.0)
+            elif kind == "click" and c in sel:
+                del sel[c]
+                if c == ref and sel:
+                    ref = pick(sorted(sel), alts[video])
+            elif kind == "purchase" and c in sel:
+                sel[c] = min(max(value, 0.3), 1.0)
+        want |= {(video, c, round(x, 6), c == ref) for c, x in sel.items()}
+    rows = QUERIES["apply_edits"](spark, data).collect()
+    assert len(rows) == len(want) and {(r.session, r.ci, round(r.crop_scale, 6), r.is_reference) for r in rows} == want

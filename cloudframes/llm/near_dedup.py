@@ -16,6 +16,7 @@ Components come from min-label propagation with pointer jumping over written tab
 """
 
 import hashlib
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ KEEP, FIRST, RARE, LONG = 64, 32, 24, 6
 #: each list so that lists of the same members don't repeat them; the share of
 #: long lists from which on a class is compared with them.
 SHORT, DRAWN, SHARE = 64, 8, 0.35
-#: Four standard deviations of the estimate at the similarity that is sought.
-SLACK = 4 * (0.75 * 0.25 / KEEP) ** 0.5
+#: What an estimate may be too low by: at the similarity that is sought, the chance of a lower one is below 1e-6.
+SLACK = 0.75 - next(k for k in range(KEEP) if sum(comb(KEEP, i) * 3**i for i in range(k + 1)) > 1e-6 * 4**KEEP) / KEEP
 #: Buckets of each of the two counts of codes in full sets (a power of two); members in a block of an exact list.
 COUNTS, BLOCK = 1 << 19, 400
 #: Candidates of each class that are verified first; rows for a task of list members; pairs that are

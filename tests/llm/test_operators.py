@@ -1,6 +1,7 @@
 """Each operator against brute force on nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -403,3 +404,14 @@ def test_near_in_long_lists_alone(spark):
         label = lower
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label.tolist()))
+
+
+def test_near_estimates_rarely_drop_similar_pairs():
+    """Sketches of which 31 of the union's 64 least codes are common still are candidates, and the chance of less than allowed is small."""
+    x, y = np.arange(64)[None, :] * 2, np.arange(64)[None, :] * 2
+    x[0, 31:47], y[0, 31:48] = np.arange(62, 78), np.arange(78, 95)
+    x[0, 47:], y[0, 48:] = np.arange(200, 217), np.arange(300, 316)
+    value, good = near_dedup._likely(x, y, np.array([500]), np.array([500]))
+    assert value[0] == 31 / 64 and good[0]
+    least = round((0.75 - near_dedup.SLACK) * near_dedup.KEEP)
+    assert sum(math.comb(64, k) * 0.75**k * 0.25 ** (64 - k) for k in range(least)) < 1e-6

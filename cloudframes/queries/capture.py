@@ -173,7 +173,7 @@ def auto_select(s, d):
     """Kept photos first, the rest of the budget over the videos' survivors, and the reference."""
     c = _cands(s, d)
     survivors = _kept(s, d).join(c, ["video", "ci"]).select("session", "video", "ci", (F.col("ci") * 15).alias("source_frame"), "rel_alt")
-    return plan.auto_select(survivors, _bursts(s, d).where("event_id % 40 = 7"), 120)
+    return plan.auto_select(survivors, _bursts(s, d), 120)
 
 
 @query("reference_pick", duck("candidates") + """, v_p AS (SELECT video AS session, ci AS pos, rel_alt, count(*) OVER (PARTITION BY video) AS n FROM v_candidates), v_m AS (SELECT * FROM v_p WHERE pos >= n // 4 AND pos < greatest(3 * n // 4, n // 4 + 1)),

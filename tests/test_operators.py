@@ -351,3 +351,16 @@ def test_edits_of_all_videos(spark):
         want |= {(video, c, round(x, 6), c == ref) for c, x in sel.items()}
     rows = QUERIES["apply_edits"](spark, data).collect()
     assert len(rows) == len(want) and {(r.session, r.ci, round(r.crop_scale, 6), r.is_reference) for r in rows} == want
+
+
+def test_auto_select_of_all_photos(spark):
+    """The registered query takes all kept photos of each session, as far as the budget goes, and fills the rest from the videos."""
+    data = "/root/testdata/sf0.001"
+    kept, taken, videos = {}, {}, {}
+    for r in keyframes.burst_dedup(view(spark, data, "photos"), gap_s=600).collect():
+        kept[r.session] = kept.get(r.session, 0) + 1
+    for r in QUERIES["auto_select"](spark, data).collect():
+        of = taken if r.kind == "photo" else videos
+        of[r.session] = of.get(r.session, 0) + 1
+    assert taken == {k: min(n, 120) for k, n in kept.items()}
+    assert all(videos.get(k, 0) <= 120 - n for k, n in taken.items())

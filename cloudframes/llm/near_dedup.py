@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Prefixes, doc_text, documents, frugal, mixed, per_doc, small, text_tiles, words, written
-from .suffix_dedup import _unpacked, packed
+from .suffix_dedup import packed, unpacked
 
 SHINGLE, SIMILAR = 5, 75
 #: Codes of a sketch, codes that are looked up in lists, rare ones of these that are enough, and long lists of the least members.
@@ -177,7 +177,7 @@ def verified(batches):
         for name in ("packed_a", "packed_b"):
             sets = []
             view = pa.RecordBatch.from_arrays([batch.column(name)], names=["packed"])
-            for _, texts in _unpacked(view):
+            for _, texts in unpacked(view):
                 data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
                 codes, cuts = shingles(data, offsets)
                 sets += [codes[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]

@@ -1,17 +1,16 @@
-"""Repeated 50-byte strings across documents, by depth-limited most-significant-digit passes over suffixes.
+"""Repeated 50-byte strings across documents, by a depth-limited most-significant-digit radix sort of suffixes.
 
-Suffixes are told apart only as deep as the threshold. Three digits, each a code of a fixed range of bytes, make up the passes:
+Suffixes are ordered no deeper than the threshold, and never all of them. Documents are kept in blocks, the unit of all exchanges.
 
-1. Gram: of the suffixes that begin in a 50-byte string, the one with the least code of its first GRAM bytes stands for the string
-   (its anchor; equal strings have equal anchors at equal places). Only anchors, about one in sixteen suffixes, are distributed.
-   Anchors whose gram is in one document alone are dropped.
-2. Reach: all strings with the same anchor, as one range of bytes. Anchors with equal reaches in two documents settle all of their
-   strings at once: those of the larger doc_id go. What is left are reaches that differ but share the gram.
-3. String: of those, the first document of each reach sends every 50-byte string. Equal groups are exactly the repeated windows.
+1. Pruning. Of the suffixes that begin in a 50-byte string, the one whose first GRAM bytes have the least code stands for the string
+   (its anchor; equal strings have equal anchors at equal places). Blocks send the codes of their anchors' grams; a gram that lies in
+   one document alone can't be part of a repeated string. Codes only prune: a chance collision costs time, never a byte.
+2. Digits. Around the other anchors, the bytes of all strings that have this anchor (its reach) are dealt out by gram, and merged
+   within a block first. A bucket orders the strings' suffixes by digits of eight bytes, the most significant first; after each pass
+   only groups that still span two documents go on. The groups left after the last digit have equal bytes, and are exactly the
+   repeated strings. Of a gram with very many different reaches, each string is dealt out by its own bytes, so that no bucket is hot.
 
-Digits are 64-bit codes of polynomial hashes; groups hold codes, never pairs. Each pass merges within a batch of documents first,
-so that a string in a third of all documents costs a group one entry for each batch. Texts stay where they are in the first pass;
-later ones join what was found to the (compressed) texts by doc_id.
+Answers are arrays in the order of what a block sent, so messages carry no places, and work and rows grow with the text.
 """
 
 import hashlib
@@ -22,87 +21,96 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefixes, doc_text, documents, frugal, mixed, text_bytes, written
+from .common import doc_text, documents, frugal, mixed, text_bytes, written
 
-WINDOW, GRAM = 50, 20
-#: Bytes of text whose anchors are merged before they are sent, and bytes of text for each bucket of codes.
-BATCH, BUCKET = 6 << 20, 4 << 20
-#: Reaches of one gram in a batch beyond which all of them go to the third pass at once.
-VARIANTS = 4
-#: A part of a document that is worked on at once; longer documents come in parts that overlap by a window.
+#: A gram's size leaves 23 anchors to choose from, so that the strings of a reach fit a mask of 32 bits.
+WINDOW, GRAM = 50, 28
+#: Bytes of text of a block (a longer document is a block alone), and for each bucket of grams and of reaches.
+BLOCK, BUCKET, STRINGS = 6 << 20, 32 << 20, 16 << 20
+#: A gram's strings travel one by one if it has so many reaches in all blocks, and so many different ones of 128 codes.
+MANY, DIFFERENT = 512, 64
+#: A part of a document that is worked on at once; longer documents come in parts that overlap by a string.
 PART = 1 << 20
-_LOW = np.uint64(0xFFFFFFFF)
-#: Reach codes have 40 bits, the last one 0; with all bits set they mark a gram with too many reaches.
-_REACH, _MANY = np.uint64((1 << 40) - 2), np.uint64((1 << 40) - 1)
+#: Strings that a bucket orders at once; more are ordered by ranges of the first digit.
+RANGE = 2 << 20
+#: The bits of codes that are used; results are the same with any, only slower.
+CODE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
+CLOSED, OPEN, HOT = 0, 1, 2
 
 
-def parts(data: np.ndarray, offsets: np.ndarray):
-    """(rows, bytes, offsets, places): runs of documents, or parts of one, of about PART bytes. Windows are in one part each."""
+def parts(offsets: np.ndarray):
+    """(first row, end row, begin, end): runs of documents, or parts of one, of about PART bytes. Every string is in one part."""
     i, n = 0, len(offsets) - 1
     while i < n:
         size = offsets[i + 1] - offsets[i]
         if size > 2 * PART:
             for at in range(0, size - WINDOW + 1, PART):
-                a, b = offsets[i] + at, offsets[i] + min(size, at + PART + WINDOW - 1)
-                yield np.array([i]), data[a:b], np.array([0, b - a]), np.array([at])
+                yield i, i + 1, offsets[i] + at, offsets[i] + min(size, at + PART + WINDOW - 1)
             i += 1
             continue
         j = i + 1
         while j < n and offsets[j + 1] - offsets[i] <= PART:
             j += 1
-        yield np.arange(i, j), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], np.zeros(j - i, np.int64)
+        yield i, j, offsets[i], offsets[j]
         i = j
 
 
+def eights(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
+    """The eight bytes from every place on as one number, as a view; past the end are zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data), kind, buffer=padded.data, strides=(1,))
+
+
+def _coded(eight: np.ndarray, at: np.ndarray | None, length, n: int = 0) -> np.ndarray:
+    """Codes of strings of 50 to 72 bytes from `at` on, or of the grams at the first n places."""
+    if at is None:
+        h = eight[:n] * _ODD[0]
+        for k, step in enumerate((8, 16, GRAM - 8)):
+            h += eight[step : step + n] * _ODD[k + 1]
+        return mixed(h)
+    h = length.astype(np.uint64)
+    for k in range(6):
+        h += eight[at + 8 * k] * _ODD[k]
+    for k in range(3):
+        h += eight[at + length - 8 * (k + 1)] * _ODD[k + 6]
+    return mixed(h)
+
+
 class Anchors:
-    """Of one part: for each anchor the gram and reach codes, the first string's start, the number of strings and the row."""
+    """Of a block: for each anchor the gram's code, the first string's start, the number of strings and the document's row."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        n, size = len(data), np.diff(offsets)
-        self.codes = Prefixes(data)
-        empty = np.zeros(0, np.int64)
-        self.gram = self.reach = np.zeros(0, np.uint64)
-        self.start = self.count = self.row = empty
-        if n < WINDOW:
-            return
-        g = self.codes.all(GRAM)
+        found = [self._part(data[a:b], np.clip(offsets[i : j + 1], a, b) - a, i, a) for i, j, a, b in parts(offsets) if b - a >= WINDOW]
+        self.data = data
+        self.gram, self.start, self.count, self.row = (np.concatenate(x) if found else np.zeros(0, t) for x, t in zip(zip(*found, strict=True) if found else [()] * 4, (np.uint64, np.int64, np.int64, np.int64), strict=True))
+        self._eight = None
+
+    @staticmethod
+    def _part(data: np.ndarray, offsets: np.ndarray, first_row: int, begin: int):
+        n, m = len(data), len(data) - WINDOW + 1
+        g = _coded(eights(data).astype(np.uint64), None, None, n - GRAM + 1)
         low = np.uint64((1 << 22) - 1)
         least = (g & ~low) | np.arange(len(g), dtype=np.uint64)
         wide, span = 1, WINDOW - GRAM + 1
         while wide * 2 <= span:
             least = np.minimum(least[:-wide], least[wide:])
             wide *= 2
-        least = np.minimum(least[: n - WINDOW + 1], least[span - wide :])
-        ends = np.repeat(offsets[1:], size)[: n - WINDOW + 1]
-        at = np.flatnonzero(np.arange(n - WINDOW + 1) + WINDOW <= ends)
-        if not len(at):
-            return
+        least = np.minimum(least[:m], least[span - wide : span - wide + m])
+        inside = np.repeat(offsets[1:], np.diff(offsets))[:m] >= np.arange(WINDOW, n + 1)
+        at = np.flatnonzero(inside)
         anchor = (least[at] & low).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        last = np.append(first[1:], len(at)) - 1
-        self.start, self.count = at[first], last - first + 1
-        place = anchor[first]
-        self.gram = g[place]
-        self.reach = mixed(self.codes.of(self.start, self.start + self.count + WINDOW - 1) + (place - self.start).astype(np.uint64)) & _REACH
-        self.row = np.searchsorted(offsets, self.start, side="right") - 1
+        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(at) else at
+        start = at[first]
+        return g[anchor[first]] & CODE, start + begin, np.diff(np.append(first, len(at))), np.searchsorted(offsets, start, side="right") - 1 + first_row
 
-    def tags(self) -> np.ndarray:
-        return tag(self.gram & _LOW, self.reach)
+    def eight(self) -> np.ndarray:
+        if self._eight is None:
+            self._eight = eights(self.data).astype(np.uint64)
+        return self._eight
 
-    def strings(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, index of the anchor) of all strings of some anchors."""
-        count = self.count[chosen]
-        which = np.repeat(chosen, count)
-        return np.repeat(self.start[chosen] - np.cumsum(count) + count, count) + np.arange(count.sum()), which
-
-
-def tag(gram: np.ndarray, reach: np.ndarray) -> np.ndarray:
-    """What names an anchor within its document: the parts of both codes that travel."""
-    return mixed((gram << np.uint64(32)) ^ reach * np.uint64(0x9E3779B97F4A7C15))
-
-
-def _bucket(code: np.ndarray, n: int) -> np.ndarray:
-    return ((code >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    def reach(self) -> np.ndarray:
+        return _coded(self.eight(), self.start, self.count + WINDOW - 1) & CODE
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -120,142 +128,30 @@ def _spread(starts: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
     return np.repeat(values, np.diff(np.append(starts, n)))
 
 
-# A message is one row: the bucket, codes and documents of its entries, and facts that are already certain, on their way to a document.
-MESSAGE = pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("doc", pa.binary()), ("ids", pa.binary()), ("fact_ids", pa.binary()), ("fact_tags", pa.binary()), ("fact_kinds", pa.binary())])
-MESSAGE_DDL = "bucket int, a binary, b binary, doc binary, ids binary, fact_ids binary, fact_tags binary, fact_kinds binary"
-#: What a document learns of its anchors or strings.
-SETTLED, OPEN, STRING = 1, 2, 3
-ANSWER_DDL = "doc_id long, settled binary, open binary, strings binary"
-
-
-def _messages(n: int, bucket: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray, facts: tuple[np.ndarray, np.ndarray, np.ndarray]):
-    order = np.lexsort((ids, bucket))
-    bucket, a, b, ids = bucket[order], a[order], b[order], ids[order]
-    fact_ids, fact_tags, fact_kinds = facts
-    home = _bucket(mixed(fact_ids.astype(np.uint64)), n)
-    order = np.argsort(home, kind="stable")
-    home, fact_ids, fact_tags, fact_kinds = home[order], fact_ids[order], fact_tags[order], fact_kinds[order]
-    cut, fact_cut = np.searchsorted(bucket, np.arange(n + 1)), np.searchsorted(home, np.arange(n + 1))
-    rows = []
-    for k in range(n):
-        i, j, p, q = cut[k], cut[k + 1], fact_cut[k], fact_cut[k + 1]
-        if i == j and p == q:
-            continue
-        own, place = np.unique(ids[i:j], return_inverse=True)
-        place = place.astype("<u2") if len(own) < 65536 else place.astype("<u4")
-        rows.append((k, a[i:j].tobytes(), b[i:j].tobytes(), place.tobytes(), own.tobytes(), fact_ids[p:q].tobytes(), fact_tags[p:q].tobytes(), fact_kinds[p:q].tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), MESSAGE.types, strict=True)], schema=MESSAGE) if rows else None
-
-
-def _received(table: pa.Table, a_type, b_type):
-    """Entries (a, b, ids) and facts of all messages of a bucket."""
-    views = lambda c, t: [np.frombuffer(x.as_buffer() or b"", t) for x in table.column(c)]
-    a, b, ids = views("a", a_type), views("b", b_type), []
-    for place, own in zip(table.column("doc"), views("ids", np.int64), strict=True):
-        ids.append(own[np.frombuffer(place.as_buffer(), "<u2" if len(own) < 65536 else "<u4")])
-    facts = [np.concatenate(views(c, t)) for c, t in (("fact_ids", np.int64), ("fact_tags", np.uint64), ("fact_kinds", np.uint8))]
-    return np.concatenate(a), np.concatenate(b), np.concatenate(ids), facts
-
-
-def _answers(ids: np.ndarray, tags: np.ndarray, kinds: np.ndarray) -> pa.Table:
-    order = np.lexsort((kinds, ids))
-    ids, tags, kinds = ids[order], tags[order], kinds[order]
-    runs = _runs(ids)
-    cuts = np.append(runs, len(ids))
-    out = []
-    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        p, q = i + np.searchsorted(kinds[i:j], [OPEN, STRING])
-        out.append((tags[i:p].tobytes(), tags[p:q].tobytes(), tags[q:j].tobytes()))
-    cols = list(zip(*out, strict=True)) if out else [[], [], []]
-    return pa.table({"doc_id": pa.array(ids[runs], pa.int64()), **{n: pa.array(c, pa.binary()) for n, c in zip(("settled", "open", "strings"), cols, strict=True)}})
-
-
-def first_pass(n: int):
-    """Texts to messages: distinct (gram, reach) with the first document of the batch; what the batch settles by itself goes as facts."""
-
-    def flush(held):
-        gram, reach, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((ids, reach, gram))
-        gram, reach, ids = gram[order], reach[order], ids[order]
-        size = len(gram)
-        runs = _runs(gram, reach)
-        first = _spread(runs, size, ids[runs])
-        fresh = np.zeros(size, bool)
-        fresh[runs] = True
-        again = (ids > first) & np.concatenate([[True], (ids[1:] != ids[:-1]) | (gram[1:] != gram[:-1]) | (reach[1:] != reach[:-1])])
-        grams = _runs(gram)
-        variants = _spread(grams, size, np.add.reduceat(fresh.astype(np.int64), grams)) if size else np.zeros(0, np.int64)
-        hot = fresh & (variants > VARIANTS)
-        tags = tag(gram & _LOW, reach)
-        facts = [np.concatenate([x[again], x[hot]]) for x in (ids, tags)]
-        kinds = np.concatenate([np.full(again.sum(), SETTLED, np.uint8), np.full(hot.sum(), OPEN, np.uint8)])
-        keep = fresh & ~hot
-        # of a gram with too many reaches, two entries tell its bucket that it is shared: the first and the last document
-        hot_grams = grams[variants[grams] > VARIANTS]
-        ends = np.append(grams[1:], size)[variants[grams] > VARIANTS]
-        low = np.array([ids[i:j].min() for i, j in zip(hot_grams, ends, strict=True)], np.int64)
-        high = np.array([ids[i:j].max() for i, j in zip(hot_grams, ends, strict=True)], np.int64)
-        gram_out = np.concatenate([gram[keep], gram[hot_grams], gram[hot_grams]])
-        ids_out = np.concatenate([ids[keep], low, high])
-        reach_out = np.concatenate([reach[keep], np.full(2 * len(hot_grams), _MANY, np.uint64)])
-        b = np.empty((len(reach_out), 5), np.uint8)
-        for k in range(5):
-            b[:, k] = (reach_out >> np.uint64(8 * k)) & np.uint64(255)
-        return _messages(n, _bucket(gram_out, n), (gram_out & _LOW).astype("<u4"), b, ids_out, (*facts, kinds))
+def bucket_of(code: np.ndarray, n: int) -> np.ndarray:
+    """Ascending in the code."""
+    return ((code >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            ids = np.asarray(batch.column(0))
-            data, offsets = text_bytes(batch.column(1))
-            for rows, part, inside, _ in parts(data, offsets):
-                x = Anchors(part, inside)
-                held.append((x.gram, x.reach, ids[rows[x.row]]))
-                size += len(part)
-                if size >= BATCH:
-                    if (m := flush(held)) is not None:
-                        yield m
-                    held, size = [], 0
-        if held and (m := flush(held)) is not None:
-            yield m
 
-    return run
+def _each(starts: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, index) of runs of places: count places from each start on."""
+    which = np.repeat(np.arange(len(starts)), count)
+    return np.repeat(starts - np.cumsum(count) + count, count) + np.arange(len(which)), which
 
 
-def settle(table: pa.Table) -> pa.Table:
-    """A bucket of grams: settles equal reaches, opens those whose gram is shared."""
-    gram, b, ids, facts = _received(table, "<u4", np.uint8)
-    b = b.reshape(-1, 5)
-    reach = b[:, 0].astype(np.uint64)
-    for k in range(1, 5):
-        reach |= b[:, k].astype(np.uint64) << np.uint64(8 * k)
-    order = np.lexsort((ids, reach, gram))
-    gram, reach, ids = gram[order].astype(np.uint64), reach[order], ids[order]
-    size = len(gram)
-    if not size:
-        return _answers(*facts)
-    runs, grams = _runs(gram, reach), _runs(gram)
-    first = _spread(runs, size, ids[runs])
-    lo, hi = np.minimum.reduceat(ids, grams), np.maximum.reduceat(ids, grams)
-    fresh = np.zeros(size, np.int64)
-    fresh[runs] = 1
-    shared = _spread(grams, size, (lo < hi) & (np.add.reduceat(fresh, grams) > 1))
-    real = reach != _MANY
-    settled = real & (ids > first)
-    opened = real & (ids == first) & shared
-    tags = tag(gram, reach)
-    return _answers(*(np.concatenate(x) for x in zip(facts, (ids[settled], tags[settled], np.full(settled.sum(), SETTLED, np.uint8)), (ids[opened], tags[opened], np.full(opened.sum(), OPEN, np.uint8)), strict=True)))
+# --- blocks of documents
+BLOCK_DDL = "block long, size long, ids binary, sizes binary, packed binary"
 
 
 def packed(batches):
-    """Texts to zstd frames, so that the joins move a third of the bytes."""
+    """Texts to zstd frames, so that joins move a third of the bytes."""
     squeeze = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         frames = [squeeze.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(frames, pa.binary())], names=["doc_id", "packed"])
 
 
-def _unpacked(batch: pa.RecordBatch, most: int = 4 << 20):
+def unpacked(batch: pa.RecordBatch, most: int = 4 << 20):
     """(first row, texts as bytes) of runs of rows."""
     expand, texts, begin, size = zstandard.ZstdDecompressor(), [], 0, 0
     for k, x in enumerate(batch.column("packed")):
@@ -268,109 +164,267 @@ def _unpacked(batch: pa.RecordBatch, most: int = 4 << 20):
         yield begin, texts
 
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+def blocks(batches):
+    """Documents to blocks: ids, sizes and one compressed text. Numbers of blocks are unique, for a task counts within its own range."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 32
+    squeeze = zstandard.ZstdCompressor(level=3)
+    held, size = [], 0
 
+    def row():
+        ids, sizes, texts = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(texts)]), pa.array([ids.tobytes()]), pa.array([sizes.tobytes()]), pa.array([squeeze.compress(texts.tobytes())])], names=["block", "size", "ids", "sizes", "packed"])
 
-class Known:
-    """The tags of some rows, to be looked up by (row, tag)."""
+    for batch in batches:
+        ids = np.asarray(batch.column(0))
+        data, offsets = text_bytes(batch.column(1))
+        i = 0
+        while i < len(ids):
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK - size, side="right")) - 1)
+            j = min(j, len(ids))
+            if held and size + offsets[j] - offsets[i] > BLOCK:
+                yield row()
+                number, held, size = number + 1, [], 0
+                continue
+            held.append((ids[i:j], np.diff(offsets[i : j + 1]), data[offsets[i] : offsets[j]]))
+            size += int(offsets[j] - offsets[i])
+            i = j
+    if held:
+        yield row()
+
+
+def _block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, data, offsets)"""
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["packed"], max_output_size=max(1, row["size"])), np.uint8)
+    return np.frombuffer(row["ids"], np.int64), data, np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], np.int64))])
+
+
+def _rows(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {n: batch.column(n)[k].as_py() for n in batch.schema.names}
 
-    def __init__(self, lists):
-        found = [(k, np.frombuffer(x, np.uint64)) for k, xs in enumerate(lists) for x in xs or () if x]
-        self.keys = np.unique(np.concatenate([t ^ mixed(np.array([k + 1], np.uint64)) for k, t in found])) if found else np.zeros(0, np.uint64)
 
-    def has(self, rows: np.ndarray, tags: np.ndarray) -> np.ndarray:
-        if not len(self.keys) or not len(tags):
-            return np.zeros(len(tags), bool)
-        keys = tags ^ mixed(rows.astype(np.uint64) + np.uint64(1))
-        at = np.searchsorted(self.keys, keys)
-        return self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+# --- pruning by grams
+GRAM_DDL = "bucket int, block long, codes binary, reaches binary, marks binary"
+ANSWER_DDL = "block long, bucket int, answers binary"
 
 
-def third_pass(n: int):
-    """Documents with open anchors to messages: each of their strings with the first document of the batch."""
+class Grams:
+    """The distinct grams of a block in ascending order, with the number of reaches, a code of one, and whether two documents have it."""
 
-    def flush(held):
-        code, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((ids, code))
-        code, ids = code[order], ids[order]
-        runs = _runs(code)
-        again = ids > _spread(runs, len(code), ids[runs])
-        facts = (ids[again], code[again], np.full(again.sum(), STRING, np.uint8))
-        code, ids = code[runs], ids[runs]
-        return _messages(n, _bucket(code, n), code, np.zeros((len(code), 0), np.uint8), ids, facts)
+    def __init__(self, x: Anchors, ids: np.ndarray):
+        reach = x.reach()
+        order = np.lexsort((reach, x.gram))
+        gram, reach, doc = x.gram[order], reach[order], ids[x.row[order]]
+        runs = _runs(gram)
+        fresh = np.zeros(len(gram), np.int64)
+        fresh[_runs(gram, reach)] = 1
+        self.codes, self.of = gram[runs], np.empty(len(gram), np.int64)
+        self.of[order] = _spread(runs, len(gram), np.arange(len(runs)))
+        if len(runs):
+            self.reaches = np.minimum(np.add.reduceat(fresh, runs), 255).astype(np.uint8)
+            self.shared = np.minimum.reduceat(doc, runs) < np.maximum.reduceat(doc, runs)
+        else:
+            self.reaches, self.shared = np.zeros(0, np.uint8), np.zeros(0, bool)
+        self.marks = (mixed(reach[runs]) & np.uint64(127)).astype(np.uint8) | (self.shared.astype(np.uint8) << np.uint8(7))
 
+
+def send_grams(n: int):
     def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            ids, lists = np.asarray(batch.column("doc_id")), batch.column("open").to_pylist()
-            for begin, texts in _unpacked(batch):
-                known = Known(lists[begin : begin + len(texts)])
-                for rows, part, inside, _ in parts(*_joined(texts)):
-                    x = Anchors(part, inside)
-                    chosen = np.flatnonzero(known.has(rows[x.row], x.tags()))
-                    at, which = x.strings(chosen)
-                    if len(at):
-                        held.append((x.codes.of(at, at + WINDOW), ids[begin + rows[x.row[which]]]))
-                        size += 8 * len(at)
-                if size >= BATCH:
-                    if (m := flush(held)) is not None:
-                        yield m
-                    held, size = [], 0
-        if held and (m := flush(held)) is not None:
-            yield m
+        for row in _rows(batches):
+            ids, data, offsets = _block(row)
+            g = Grams(Anchors(data, offsets), ids)
+            bucket = bucket_of(g.codes, n)
+            cuts = np.append(_runs(bucket), len(bucket))
+            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            low = g.codes.astype(np.uint32)
+            if spans:
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([row["block"]] * len(spans), pa.int64()), *(pa.array([v[i:j].tobytes() for i, j in spans], pa.binary()) for v in (low, g.reaches, g.marks))], names=["bucket", "block", "codes", "reaches", "marks"])
 
     return run
 
 
-def repeats(table: pa.Table) -> pa.Table:
-    """A bucket of string codes: those that a smaller doc_id has go to their documents."""
-    code, _, ids, facts = _received(table, np.uint64, np.uint8)
-    order = np.lexsort((ids, code))
-    code, ids = code[order], ids[order]
-    runs = _runs(code)
-    again = ids > _spread(runs, len(code), ids[runs])
-    return _answers(*(np.concatenate(x) for x in zip(facts, (ids[again], code[again], np.full(again.sum(), STRING, np.uint8)), strict=True)))
+def _joined(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of arrays, and how many each row has."""
+    views = [np.frombuffer(x.as_buffer() or b"", kind) for x in column]
+    return (np.concatenate(views) if views else np.zeros(0, kind)), np.array([len(v) for v in views], np.int64)
+
+
+def _answers(table: pa.Table, sizes: np.ndarray, values: np.ndarray) -> pa.Table:
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "answers": pa.array([values[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())})
+
+
+def settle(table: pa.Table) -> pa.Table:
+    """A bucket of grams: for each that was sent whether two documents have it, and whether its reaches are many."""
+    codes, sizes = _joined(table.column("codes"), np.uint32)
+    reaches, _ = _joined(table.column("reaches"), np.uint8)
+    marks, _ = _joined(table.column("marks"), np.uint8)
+    order = np.argsort(codes, kind="stable")
+    sorted_codes = codes[order]
+    runs = _runs(sorted_codes)
+    n = len(codes)
+    state = np.zeros(n, np.uint8)
+    if n:
+        size = np.diff(np.append(runs, n))
+        open_ = (size > 1) | (np.maximum.reduceat(marks[order], runs) > 127)
+        many = open_ & (np.add.reduceat(reaches[order].astype(np.int64), runs) > MANY)
+        for k in np.flatnonzero(many).tolist():  # a gram in very many blocks may still have few different reaches
+            at = order[runs[k] : runs[k] + size[k]]
+            many[k] = reaches[at].max() > DIFFERENT or len(np.unique(marks[at] & 127)) > DIFFERENT
+        state[order] = _spread(runs, n, np.where(many, HOT, np.where(open_, OPEN, CLOSED)).astype(np.uint8))
+    return _answers(table, sizes, state)
+
+
+# --- digits of reaches
+class Units:
+    """What a block sends of its open anchors: reaches, or single strings of hot grams, each once with its smallest doc_id."""
+
+    def __init__(self, x: Anchors, ids: np.ndarray, state: np.ndarray):
+        cold, hot = np.flatnonzero(state == OPEN), np.flatnonzero(state == HOT)
+        at, which = _each(x.start[hot], x.count[hot])
+        self.start = np.concatenate([x.start[cold], at])
+        self.count = np.concatenate([x.count[cold], np.ones(len(at), np.int64)])
+        row = np.concatenate([x.row[cold], x.row[hot][which]])
+        eight, n = x.eight(), len(self.start)
+        code = _coded(eight, self.start, self.count + WINDOW - 1) & CODE if n else np.zeros(0, np.uint64)
+        to = np.concatenate([mixed(x.gram[cold]), code[len(cold) :]])
+        doc = ids[row]
+        order = np.lexsort((doc, code))
+        runs = _runs(code[order])
+        leader = np.empty(n, np.int64)
+        leader[order] = _spread(runs, n, order[runs])
+        same = self._equal(eight, leader)
+        leader = np.where(same, leader, np.arange(n))
+        self.all_gone = same & (doc > doc[leader])
+        sent = np.flatnonzero(leader == np.arange(n))
+        sent = sent[np.argsort(to[sent], kind="stable")]
+        place = np.empty(n, np.int64)
+        place[sent] = np.arange(len(sent))
+        self.entry = place[leader]
+        self.sent, self.to, self.doc = sent, to[sent], doc[sent]
+
+    def _equal(self, eight: np.ndarray, leader: np.ndarray) -> np.ndarray:
+        """Whether each unit has its leader's bytes."""
+        a, b, length = self.start, self.start[leader], self.count + WINDOW - 1
+        same = self.count == self.count[leader]
+        for k in range(9):
+            other = np.flatnonzero(same & (leader != np.arange(len(leader))))
+            step = np.minimum(8 * k, length[other] - 8)
+            same[other] = eight[a[other] + step] == eight[b[other] + step]
+        return same
+
+
+def _state(row: dict, kind) -> np.ndarray:
+    """A block's answers in the order of what it sent."""
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(a["answers"], kind) for a in sorted(row or [], key=lambda a: a["bucket"]))])
+
+
+REACH_DDL = "bucket int, block long, counts binary, docs binary, bytes binary"
+
+
+def send_reaches(n: int):
+    def run(batches):
+        for row in _rows(batches):
+            ids, data, offsets = _block(row)
+            x = Anchors(data, offsets)
+            u = Units(x, ids, _state(row["grams"], np.uint8)[Grams(x, ids).of])
+            bucket = bucket_of(u.to, n)
+            cuts = np.append(_runs(bucket), len(bucket))
+            out = []
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                s = u.sent[i:j]
+                at, _ = _each(u.start[s], u.count[s] + WINDOW - 1)
+                out.append((int(bucket[i]), row["block"], u.count[s].astype(np.uint8).tobytes(), u.doc[i:j].tobytes(), data[at].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "counts", "docs", "bytes"])
+
+    return run
+
+
+def repeated(data: np.ndarray, at: np.ndarray, doc_of) -> np.ndarray:
+    """Indexes of the 50-byte strings at these places that also begin in a smaller document; doc_of gives the documents of indexes."""
+    eight = eights(data, ">u8")
+    if len(at) <= RANGE:
+        return _passes(eight, at, doc_of, np.arange(len(at), dtype=np.int32))
+    step = len(at) // RANGE + 1
+    ends = np.unique(np.sort(eight[at[:: max(1, len(at) // 65_536)]])[:: 65_536 // step])[1:]
+    first = np.concatenate([np.searchsorted(ends, eight[at[k : k + RANGE]], side="right").astype(np.int32) for k in range(0, len(at), RANGE)])
+    return np.concatenate([_passes(eight, at, doc_of, np.flatnonzero(first == k).astype(np.int32)) for k in range(len(ends) + 1)])
+
+
+def _passes(eight: np.ndarray, at: np.ndarray, doc_of, live: np.ndarray) -> np.ndarray:
+    """Passes by digits of eight bytes: each orders a group's members by the next digit, which splits it; groups of one document go."""
+    group = np.zeros(len(live), np.int32)
+    for place in (0, 8, 16, 24, 32, 40, WINDOW - 8):
+        digit = eight[at[live] + place].astype(np.uint64)
+        order = np.lexsort((digit, group)) if place else np.argsort(digit, kind="stable")
+        live, group, digit = live[order], group[order], digit[order]
+        runs = _runs(group, digit)
+        if not len(runs):
+            return live
+        doc, n = doc_of(live), len(live)
+        on = _spread(runs, n, np.minimum.reduceat(doc, runs) < np.maximum.reduceat(doc, runs))
+        live, group = live[on], _spread(runs, n, np.arange(len(runs), dtype=np.int32))[on]
+    if not len(live):
+        return live
+    doc, runs = doc_of(live), _runs(group)
+    return live[doc > _spread(runs, len(live), np.minimum.reduceat(doc, runs))]
+
+
+def order_reaches(table: pa.Table) -> pa.Table:
+    """A bucket of reaches: for each that was sent, the mask of its strings that a smaller doc_id has."""
+    count, sizes = _joined(table.column("counts"), np.uint8)
+    doc, _ = _joined(table.column("docs"), np.int64)
+    data, _ = _joined(table.column("bytes"), np.uint8)
+    count = count.astype(np.int64)
+    start = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)
+    at, which = (x.astype(np.int32) if len(data) < 1 << 31 else x for x in _each(start, count))
+    gone = repeated(data, at, lambda k: doc[which[k]])
+    masks = np.bincount(which[gone], 2.0 ** (at[gone] - start[which[gone]]), minlength=len(count)).astype(np.uint32)
+    return _answers(table, sizes, masks)
 
 
 KEPT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def kept_bytes(with_bytes: bool):
-    """What is left of each document, once all that was found of it is there."""
+    """What is left of each document of a block, once all answers are there."""
 
     def run(batches):
-        for batch in batches:
-            lists = {c: batch.column(c).to_pylist() for c in ("settled", "open", "strings")}
-            for begin, texts in _unpacked(batch):
-                settled, opened, strings = (Known(lists[c][begin : begin + len(texts)]) for c in ("settled", "open", "strings"))
-                data, offsets = _joined(texts)
-                covers = np.zeros(len(data) + 1, np.int32)
-                if len(settled.keys) or len(strings.keys):
-                    for rows, part, inside, place in parts(data, offsets):
-                        x = Anchors(part, inside)
-                        row, tags = rows[x.row], x.tags()
-                        shift = offsets[row] + place[x.row] - inside[x.row]
-                        all_of = np.flatnonzero(settled.has(row, tags))
-                        at, which = x.strings(np.flatnonzero(opened.has(row, tags)))
-                        hit = strings.has(row[which], x.codes.of(at, at + WINDOW)) if len(at) else np.zeros(0, bool)
-                        a, b = at[hit] + shift[which[hit]], x.start[all_of] + shift[all_of]
-                        np.add.at(covers, np.concatenate([a, b]), 1)
-                        np.add.at(covers, np.concatenate([a + WINDOW, b + x.count[all_of] + WINDOW - 1]), -1)
-                gone = np.cumsum(covers[:-1]) > 0
-                out = []
-                for k, text in enumerate(texts):
-                    cut = gone[offsets[k] : offsets[k + 1]]
-                    n = int(cut.sum())
-                    left = data[offsets[k] : offsets[k + 1]][~cut].tobytes() if n else text
-                    spans = int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum()) if n else 0
-                    out.append((len(text), n, spans, hashlib.sha256(left).hexdigest(), left if with_bytes else None))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(texts)), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        for row in _rows(batches):
+            ids, data, offsets = _block(row)
+            gone = np.zeros(len(data), bool)
+            state = _state(row["grams"], np.uint8)
+            if state.any():
+                x = Anchors(data, offsets)
+                u = Units(x, ids, state[Grams(x, ids).of])
+                mask = _state(row["reaches"], np.uint32)[u.entry].astype(np.int64)
+                mask[u.all_gone] = -1
+                at, which = _each(u.start, u.count)
+                at = at[(mask[which] >> (at - u.start[which])) & 1 > 0]
+                n = len(data) + 1
+                gone = np.cumsum(np.bincount(at, minlength=n) - np.bincount(at + WINDOW, minlength=n))[:-1] > 0
+            text = data.tobytes()
+            out = []
+            for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                cut = gone[i:j]
+                n = int(cut.sum())
+                left = data[i:j][~cut].tobytes() if n else text[i:j]
+                spans = int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum()) if n else 0
+                out.append((j - i, n, spans, hashlib.sha256(left).hexdigest(), left if with_bytes else None))
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
+def _by_block(answers: DataFrame, name: str) -> DataFrame:
+    return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "answers")).alias(name))
+
+
 def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) of every row of docs (doc_id, text).
 
@@ -379,14 +433,16 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     alike; a null doc_id is less than all others; an empty table gives no rows; other columns are ignored.
     """
     docs = doc_text(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    held = written(docs.mapInArrow(frugal(blocks), BLOCK_DDL), "repeats-blocks")
+    total = held.agg(F.sum("size")).first()[0] or 0
     n = max(64, -(-total // BUCKET))
-    found = written(docs.mapInArrow(frugal(first_pass(n)), MESSAGE_DDL).groupBy("bucket").applyInArrow(frugal(settle), ANSWER_DDL), "repeats-anchors")
-    texts = docs.mapInArrow(frugal(packed), "doc_id long, packed binary")
-    is_open = found.where(F.octet_length("open") > 0).groupBy("doc_id").agg(F.collect_list("open").alias("open"))
-    strings = texts.join(is_open, "doc_id").mapInArrow(frugal(third_pass(n)), MESSAGE_DDL).groupBy("bucket").applyInArrow(frugal(repeats), ANSWER_DDL)
-    known = found.unionByName(strings).groupBy("doc_id").agg(*[F.collect_list(F.when(F.octet_length(c) > 0, F.col(c))).alias(c) for c in ("settled", "open", "strings")])
-    result = texts.join(known, "doc_id", "left").mapInArrow(frugal(kept_bytes(with_bytes)), KEPT_DDL)
+    sent = held.mapInArrow(frugal(send_grams(n)), GRAM_DDL).repartition(n, "bucket")
+    grams = written(sent.groupBy("bucket").applyInArrow(frugal(settle), ANSWER_DDL), "repeats-grams")
+    with_grams = held.join(_by_block(grams, "grams"), "block", "left")
+    m = max(64, -(-total // STRINGS))
+    sent = with_grams.mapInArrow(frugal(send_reaches(m)), REACH_DDL).repartition(m, "bucket")
+    reaches = written(sent.groupBy("bucket").applyInArrow(frugal(order_reaches), ANSWER_DDL), "repeats-reaches")
+    result = with_grams.join(_by_block(reaches, "reaches"), "block", "left").mapInArrow(frugal(kept_bytes(with_bytes)), KEPT_DDL)
     result = result.withColumn("doc_id", F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")))
     return result if with_bytes else result.drop("kept")
 

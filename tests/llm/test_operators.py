@@ -94,24 +94,59 @@ def test_repeats(docs, rows, empty, monkeypatch):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_repeats_of_many_variants(spark):
-    """More reaches of one gram in a batch than VARIANTS, and windows that match only in part."""
-    rng = np.random.default_rng(5)
+def _variants(seed=5, n=60):
+    """Passages of one core that begin and end at different places, with other bytes around them."""
+    rng = np.random.default_rng(seed)
     core = "".join(rng.choice(list("abcdef"), 70))
-    rows = [(int(i), "".join(rng.choice(list("ghij"), rng.integers(0, 30))) + core[a:b] + "".join(rng.choice(list("klmn"), rng.integers(0, 30)))) for i, a, b in zip(rng.permutation(60), rng.integers(0, 15, 60), rng.integers(50, 70, 60))]
+    return [(int(i), "".join(rng.choice(list("ghij"), rng.integers(0, 30))) + core[a:b] + "".join(rng.choice(list("klmn"), rng.integers(0, 30)))) for i, a, b in zip(rng.permutation(n), rng.integers(0, 15, n), rng.integers(50, 70, n))]
+
+
+def _repeats_of(spark, rows):
     got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
-    assert [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == brute_repeats(sorted((i, t.encode()) for i, t in rows))
+    return [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got]
 
 
-def test_parts_cover_every_window(monkeypatch):
+def test_repeats_of_many_variants(spark):
+    rows = _variants()
+    assert _repeats_of(spark, rows) == brute_repeats(sorted((i, t.encode()) for i, t in rows))
+
+
+def test_repeats_with_colliding_codes(spark, tmp_path, monkeypatch):
+    """Codes of four bits, small blocks and parts, hot grams from three reaches on, and ranges of few strings: bytes alone decide."""
+    for name, value in (("CODE", np.uint64(15 << 32 | 15)), ("BLOCK", 1500), ("PART", 300), ("MANY", 3), ("DIFFERENT", 2), ("RANGE", 100)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = np.random.default_rng(6)
+    rows = _variants(7, 40) + [(100 + k, "".join(rng.choice(list("ab"), rng.integers(0, 400)))) for k in range(30)] + [(200 + k, "xyz" * 60 + str(k)) for k in range(5)] + [(300, "q" * 900), (301, "q" * 49), (302, "q" * 50)]
+    rows += [(400 + k, t) for k, (_, t) in enumerate(rows[40:60])]
+    rows.sort()
+    ids, texts_ = (pa.array(x) for x in zip(*rows, strict=True))
+    # the steps by hand, for a patched module stays in this process
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": staticmethod(lambda: 3)})))
+    held = [b for k in range(0, len(rows), 9) for b in [pa.RecordBatch.from_arrays([ids[k : k + 9], texts_[k : k + 9]], names=["doc_id", "text"])]]
+    held = list(suffix_dedup.blocks(held))
+    assert len(held) > 5
+
+    def exchange(batches, send, answer, name):
+        table = pa.Table.from_batches(list(send(5)(batches)))
+        found = [a for k in range(5) for a in answer(table.filter(pa.array(np.asarray(table.column("bucket")) == k))).to_pylist()]
+        return [b.append_column(name, pa.array([[{"bucket": a["bucket"], "answers": a["answers"]} for a in found if a["block"] == b.column("block")[0].as_py()]])) for b in batches]
+
+    held = exchange(held, suffix_dedup.send_grams, suffix_dedup.settle, "grams")
+    states = {x for b in held for a in b.column("grams")[0].as_py() for x in a["answers"]}
+    assert suffix_dedup.HOT in states
+    held = exchange(held, suffix_dedup.send_reaches, suffix_dedup.order_reaches, "reaches")
+    got = [r for b in suffix_dedup.kept_bytes(True)(held) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == brute_repeats([(i, t.encode()) for i, t in rows])
+
+
+def test_parts_cover_every_string(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PART", 100)
     data = np.frombuffer(bytes(range(256)) * 3, np.uint8)
-    seen = Counter()
-    for _, part, inside, place in suffix_dedup.parts(data, np.array([0, 700, 768])):
-        x = suffix_dedup.Anchors(part, inside)
-        at, which = x.strings(np.arange(len(x.gram)))
-        seen.update((at + place[0] + (0 if place[0] or len(inside) > 2 or inside[1] > 68 else 700)).tolist())
-    assert sum(seen.values()) == 651 + 19
+    x = suffix_dedup.Anchors(data, np.array([0, 700, 768]))
+    seen = Counter(suffix_dedup._each(x.start, x.count)[0].tolist())
+    assert seen == Counter([*range(651), *range(700, 719)])
 
 
 # --- 3

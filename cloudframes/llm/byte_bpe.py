@@ -1,10 +1,9 @@
 """Byte-level BPE with vectorised pre-tokenisation and cached pair merging, and its decoding.
 
-Pre-tokens are found without a regular expression. Each code point has a class (letter, number, white space, other). As a
-transition function on the state "which class of token is open", a code point maps every state to the same one, but for three
-cases: white space (its last code point belongs to what follows, if it is a blank), and an apostrophe that begins a token and
-the one or two letters after it. Composing these functions is associative, and any three in a row compose to a constant; so the
-scan over the whole array needs only each code point's neighbourhood, and all boundaries come from shifted class arrays.
+Pre-tokens are found without a regular expression. Each code point becomes a symbol: its class (letter, number, white space, other)
+with what the next code points decide, such as whether white space is the last before a word. A symbol is a transition function on
+the state "which token is open"; composing such functions is associative. The array is cut into columns; one sweep composes each
+column's functions, a prefix scan over the columns gives the state in which each begins, and a second sweep gives all states.
 """
 
 import base64
@@ -48,40 +47,88 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return points, at, np.searchsorted(at, offsets)
 
 
-def boundaries(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
-    """Indexes at which a pre-token begins; documents, given by their starts and the end, are apart."""
+#: Symbols: letter, number, other, an apostrophe that one or two letters of a contraction follow, white space before white space or
+#: the end, a blank before something else, and other white space before something else.
+S_LETTER, S_NUMBER, S_OTHER, S_TICK1, S_TICK2, S_WHITE, S_BLANK, S_LAST = range(8)
+#: States: no token open, an open run of letters, numbers, others or white space, a blank that takes the next run along, and a
+#: contraction that wants one or two more letters.
+T_NONE, T_LETTER, T_NUMBER, T_OTHER, T_WHITE, T_BLANK, T_ONE, T_TWO = range(8)
+
+
+def _transitions() -> tuple[np.ndarray, np.ndarray]:
+    """(next state, whether a token begins) by symbol and state; symbols from 8 on begin a document, whatever the state."""
+    after, begins = np.zeros((16, 8), np.uint8), np.ones((16, 8), bool)
+    for symbol in range(8):
+        run = {S_LETTER: T_LETTER, S_NUMBER: T_NUMBER, S_OTHER: T_OTHER, S_TICK1: T_ONE, S_TICK2: T_TWO, S_WHITE: T_WHITE, S_BLANK: T_BLANK, S_LAST: T_NONE}[symbol]
+        for state in range(8):
+            to, new = run, True
+            if symbol in (S_LETTER, S_NUMBER, S_OTHER, S_WHITE) and state == run or symbol in (S_LETTER, S_NUMBER, S_OTHER) and state == T_BLANK:
+                new = False
+            elif symbol in (S_TICK1, S_TICK2) and state in (T_OTHER, T_BLANK):
+                to, new = T_OTHER, False
+            elif symbol == S_LETTER and state in (T_ONE, T_TWO):
+                to, new = (T_NONE, T_ONE)[state - T_ONE], False
+            after[symbol, state], begins[symbol, state] = to, new
+        after[symbol + 8], begins[symbol + 8] = after[symbol, T_NONE], True
+    return after, begins
+
+
+AFTER, BEGINS = _transitions()
+#: Code points of a column of the scan.
+COLUMN = 128
+
+
+def symbols(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
+    """The symbol of each code point; 8 more where a document begins."""
     n = len(points)
-    if not n:
-        return np.zeros(0, np.int64)
     kind = class_table()[points]
     fresh = np.zeros(n + 1, bool)
     fresh[doc_starts] = True
-    before = np.empty(n, np.uint8)
-    before[0], before[1:] = 255, kind[:-1]
-    before[fresh[:-1]] = 255
-    after = np.empty(n, np.uint8)
-    after[-1], after[:-1] = 255, kind[1:]
-    after[fresh[1:]] = 255
-    space = kind == SPACE
-    blank_before = np.zeros(n, bool)
-    blank_before[1:] = points[:-1] == 32
-    blank_before &= before != 255
-    start = np.where(space, (before != SPACE) | ((after != SPACE) & (after != 255)), (kind != before) & ~blank_before)
-    # an apostrophe that begins a token takes s, t, m, d or re, ve, ll along
-    tick = np.flatnonzero((points == 39) & start & (after == LETTER))
+    after = np.full(n, SPACE, np.uint8)
+    after[:-1] = kind[1:]
+    after[fresh[1:]] = SPACE
+    out = np.array([S_OTHER, S_LETTER, S_NUMBER, S_WHITE], np.uint8)[kind]
+    last = (kind == SPACE) & (after != SPACE)
+    out[last] = np.where(points[last] == 32, S_BLANK, S_LAST)
+    tick = np.flatnonzero((points == 39) & (after == LETTER))
     if len(tick):
-        ends = doc_starts[np.searchsorted(doc_starts, tick, side="right")]
-        c1 = points[tick + 1]
-        has2 = tick + 2 < ends
-        c2 = np.where(has2, points[np.minimum(tick + 2, n - 1)], 0)
-        one = np.isin(c1, [115, 116, 109, 100])
-        two = ((c1 == 114) | (c1 == 118)) & (c2 == 101) | (c1 == 108) & (c2 == 108)
-        hit = one | two
-        tick, ends, size = tick[hit], ends[hit], np.where(one, 2, 3)[hit]
-        start[tick + 1] = False
-        rest = tick + size
-        start[rest[rest < ends]] |= kind[rest[rest < ends]] == LETTER
-    return np.flatnonzero(start)
+        c1, ends = points[tick + 1], doc_starts[np.searchsorted(doc_starts, tick, side="right")]
+        c2 = np.where(tick + 2 < ends, points[np.minimum(tick + 2, n - 1)], 0)
+        out[tick[np.isin(c1, [115, 116, 109, 100])]] = S_TICK1
+        out[tick[((c1 == 114) | (c1 == 118)) & (c2 == 101) | (c1 == 108) & (c2 == 108)]] = S_TICK2
+    out[fresh[:-1]] += 8
+    return out
+
+
+def scanned(symbol: np.ndarray, column: int = COLUMN) -> np.ndarray:
+    """Whether a token begins at each symbol, by composing transition functions."""
+    n = len(symbol)
+    wide = -(-n // column)
+    grid = np.zeros(wide * column, np.uint8)
+    grid[:n] = symbol
+    grid = np.ascontiguousarray(grid.reshape(wide, column).T)
+    table = AFTER.ravel()
+    # a column's function: the state after it for each state before it
+    whole = np.repeat(np.arange(8, dtype=np.uint8)[:, None], wide, 1)
+    for row in grid:
+        whole = table[(row.astype(np.int16) << 3) + whole]
+    # prefix scan over the columns, twice as many composed each time
+    step = 1
+    while step < wide:
+        joined = whole.copy()
+        joined[:, step:] = np.take_along_axis(whole[:, step:], whole[:, :-step].astype(np.int64), 0)
+        whole, step = joined, step * 2
+    state = np.concatenate([[T_NONE], whole[T_NONE, :-1]]).astype(np.int16)
+    begins, out = BEGINS.ravel(), np.empty(grid.shape, bool)
+    for k, row in enumerate(grid):
+        at = (row.astype(np.int16) << 3) + state
+        out[k], state = begins[at], table[at].astype(np.int16)
+    return out.T.ravel()[:n]
+
+
+def boundaries(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
+    """Indexes at which a pre-token begins; documents, given by their starts and the end, are apart."""
+    return np.flatnonzero(scanned(symbols(points, doc_starts))) if len(points) else np.zeros(0, np.int64)
 
 
 class Vocabulary:

@@ -14,6 +14,8 @@ WIDTH = 64
 #: Rows of a frame at most: 256 KB of samples, so that a long payload is an animation and a canvas stays small.
 FRAME_ROWS = 4096
 CLEAR, END, FIRST, FULL = 256, 257, 258, 4096
+#: Pixels of a canvas or a frame at most; larger ones are errors, before anything is allocated.
+MOST_PIXELS = 1 << 24
 #: Width in bits of the i-th code after a clear code.
 _WIDTHS = np.array([9] + [min(12, max(9, (257 + i).bit_length())) for i in range(1, FULL - FIRST + 2)], np.int64)
 
@@ -87,9 +89,14 @@ def _strings(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def lzw_decode(stream: bytes, least: int = 8) -> np.ndarray:
-    """Samples of a code stream with any minimum code size, early or late clear codes, and a full table kept in use."""
-    clear, out, p = 1 << least, [], 0
+def lzw_decode(stream: bytes, least: int = 8, most: int | None = None) -> np.ndarray:
+    """Samples of a code stream with a minimum code size of 2 to 8, early or late clear codes, and a full table kept in use.
+
+    From `most` samples on, no further run between clear codes is read.
+    """
+    if not 2 <= least <= 8:
+        raise ValueError(f"an LZW code size of {least}")
+    clear, out, p, size = 1 << least, [], 0, 0
     end, first = clear + 1, clear + 2
     if least == 8:
         widths, sums = _WIDTHS, _ENDS
@@ -121,8 +128,9 @@ def lzw_decode(stream: bytes, least: int = 8) -> np.ndarray:
             continue
         if run:
             out.append(_strings_of(np.concatenate(run), clear))
+            size += len(out[-1])
         run, done, p = [], 0, int(at[k] + w[k])
-        if codes[k] == end:
+        if codes[k] == end or most is not None and size >= most:
             break
     if run:
         out.append(_strings_of(np.concatenate(run), clear))
@@ -167,11 +175,14 @@ def frames(data: bytes):
     """The composed frames of a GIF: dicts with index, delay_ms, disposal, left, top, width, height, canvas and indices.
 
     canvas is the whole picture as shown (height, width, RGB and alpha); indices are the frame's own samples. Transparent
-    samples leave what is below; disposal 2 clears the frame's place afterwards, 3 restores what stood there.
+    samples leave what is below; disposal 2 clears the frame's place afterwards, 3 restores what stood there. A file that breaks
+    off, a missing palette or entry of it, a code size outside 2 to 8 and a canvas or frame of over MOST_PIXELS raise errors.
     """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     w, h, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
+    if w * h > MOST_PIXELS:
+        raise ValueError(f"a canvas of {w} x {h}")
     p, shared = 13, None
     if flags & 0x80:
         n = 3 * 2 ** ((flags & 7) + 1)
@@ -193,8 +204,12 @@ def frames(data: bytes):
         if flags & 0x80:
             n = 3 * 2 ** ((flags & 7) + 1)
             palette, p = np.frombuffer(data[p : p + n], np.uint8).reshape(-1, 3), p + n
+        if palette is None:
+            raise ValueError("no palette")
+        if fw * fh > MOST_PIXELS:
+            raise ValueError(f"a frame of {fw} x {fh}")
         stream, after = _blocks(data, p + 1)
-        samples = lzw_decode(stream, data[p])[: fw * fh]
+        samples = lzw_decode(stream, data[p], fw * fh)[: fw * fh]
         p = after
         if len(samples) < fw * fh:
             samples = np.concatenate([samples, np.zeros(fw * fh - len(samples), np.uint8)])
@@ -233,7 +248,8 @@ FRAME_SCHEMA = "doc_id long, frame int, start_ms long, delay_ms long, width int,
 def gif_frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """A row for each composed frame of GIF columns, with its start time, RGB bytes and colour histogram.
 
-    A null or broken file gives one row with `error` and no frame; an empty table gives none; equal rows give equal rows.
+    A null or broken file, also one that breaks in a later frame, gives one row with `error` and no frame; a file without a frame
+    and an empty table give none; equal rows give equal rows.
     """
     import pyspark.sql.functions as F
 
@@ -249,7 +265,7 @@ def gif_frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
                         rows.append((doc, f["index"], start, f["delay_ms"], rgb.shape[1], rgb.shape[0], rgb.tobytes(), colour_histogram(f["canvas"]).tolist(), None))
                         start += f["delay_ms"]
                 except (ValueError, IndexError, struct.error) as e:
-                    rows.append((doc, None, None, None, None, None, None, None, str(e)))
+                    rows = [(doc, None, None, None, None, None, None, None, str(e) or type(e).__name__)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FRAME_TYPES, strict=True)], names=[x.split()[0] for x in FRAME_SCHEMA.split(", ")]) if rows else _NO_FRAMES
 
     return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, FRAME_SCHEMA)

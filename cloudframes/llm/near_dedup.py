@@ -3,14 +3,15 @@
 Every document's shingles have 64-bit codes; its sketch is the KEEP least of them. Equal shingle sets are one class, which its
 smallest doc_id stands for. Then
 
-1. inverted lists: the FIRST least codes of each class, looked up in all others'. Lists of up to SHORT classes (rare codes) give
-   candidates among all of their members. Longer lists, such as those of a passage that very many documents share, matter only to
-   classes of which they make up a large part: two sets that are similar share their rare codes too. Those classes are compared
-   with a few representatives of each long list: the smallest doc_id, the smallest set, and some by hash.
+1. inverted lists of the FIRST least codes of each class. Similar sets have SHARED of these in common, so of each class's codes, by
+   ascending length of their lists, all but the SHARED - 1 last are enough: two similar classes have one of these in common. Lists
+   of up to SHORT classes give candidates among all of their members. Longer lists, such as those of a passage that very many
+   documents share, are left only to classes of which they make up a large part.
 2. estimates: candidates whose sketches' union doesn't rule out the similarity are left.
 3. verification on full sets, of each class's most similar candidates first; of the rest, only pairs in different components.
-4. exact lists: of the classes with a large part in long lists, the codes of full sets by ascending frequency, so many that any two
-   similar sets share one. Members that still are in different components are candidates; long lists are dealt out in pairs of blocks.
+4. long lists: their members are compared with a few representatives first, which joins most of a group of near copies. That is only
+   a head start: then the members' full sets are looked up by the codes of ascending frequency, so many that any two similar sets
+   share one, and all members of a list that still are in different components are candidates, in pairs of blocks.
 
 Components come from min-label propagation with pointer jumping over written tables.
 """
@@ -27,14 +28,24 @@ from .common import Prefixes, doc_text, documents, frugal, mixed, per_doc, small
 from .suffix_dedup import packed, unpacked
 
 SHINGLE, SIMILAR = 5, 75
-#: Codes of a sketch, codes that are looked up in lists, rare ones of these that are enough, and long lists of the least members.
-KEEP, FIRST, RARE, LONG = 64, 32, 24, 6
-#: Members of a list up to which all are candidates of each other; representatives of a longer one besides two, drawn anew for
-#: each list so that lists of the same members don't repeat them; the share of
-#: long lists from which on a class is compared with them.
-SHORT, DRAWN, SHARE = 64, 8, 0.35
-#: What an estimate may be too low by: at the similarity that is sought, the chance of a lower one is below 1e-6.
-SLACK = 0.75 - next(k for k in range(KEEP) if sum(comb(KEEP, i) * 3**i for i in range(k + 1)) > 1e-6 * 4**KEEP) / KEEP
+#: Codes of a sketch, and codes that are looked up in lists.
+KEEP, FIRST = 64, 32
+
+
+def _least(size: int, chance: float) -> int:
+    """How many of `size` codes of a union two sets have in common at the similarity that is sought, but for this chance."""
+    return next(k for k in range(size) if sum(comb(size, i) * 3**i for i in range(k + 1)) > chance * 4**size)
+
+
+#: Common codes of two similar classes among the FIRST least of their union.
+SHARED = _least(FIRST, 1e-9)
+#: What an estimate may be too low by: the chance of a lower one is below 1e-6.
+SLACK = 0.75 - _least(KEEP, 1e-6) / KEEP
+#: Members of a list up to which all are candidates of each other.
+SHORT = 64
+#: The head start of longer lists: lists of the least members that a class is compared in, alone and each together with the one of most
+#: members, and a list's representatives beside the smallest doc_id and the smallest set, drawn anew for each list.
+LONG, DRAWN = 6, 8
 #: Buckets of each of the two counts of codes in full sets (a power of two); members in a block of an exact list.
 COUNTS, BLOCK = 1 << 19, 400
 #: Candidates of each class that are verified first; rows for a task of list members; pairs that are
@@ -215,45 +226,42 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def lists_of(classes: DataFrame) -> DataFrame:
-    """Classes (doc, n, first, sketch) that share a code: with `rare` codes of short lists, and `long` ones where they are a large share.
+    """Classes (doc, n, sketch) with the codes by which they must be looked up: `rare` ones of short lists, and keys of `long` ones.
 
-    `long` are the LONG lists of least members, alone and each together with the one of most members: in a list of those that hold both,
-    a smallest set is nearer to all. Classes of a large share are looked up among each other once more with their whole sketches, for
-    what they have in common beside the long lists may be little.
+    A class of n < FIRST codes shares at least 3n/4 of them with a similar one. Codes that no other class has come first in order, so
+    of the shared ones all but the SHARED - 1 last remain. Long keys are the LONG lists of least members, alone and each together
+    with the one of most members: in a list of those that hold both, a smallest set is nearer to all; each with its number of tasks.
     """
-    found = _shared(classes.select("doc", F.explode(F.slice("first", 1, FIRST)).alias("code")))
-    share = F.size("long") / F.least(F.lit(FIRST), F.col("n"))
-    rare = F.slice("rare", 1, F.when(share < 0.25, RARE // 2).otherwise(RARE))
-    common = F.element_at("long", -1)
-    keys = F.array_distinct(F.concat(F.slice("long", 1, LONG), F.transform(F.slice("long", 1, LONG), lambda c: F.xxhash64(c, common))))
-    rows = classes.join(found, "doc").select("doc", "n", "sketch", "first", rare.alias("rare"), F.when(share >= SHARE, keys).alias("long"))
-    rows = written(rows, "near-shared")
-    common = rows.where(F.col("long").isNotNull())
-    more = _shared(common.select("doc", F.explode("first").alias("code"))).select("doc", F.col("rare").alias("more"))
-    common = common.join(more, "doc", "left").withColumn("rare", F.array_union("rare", F.coalesce("more", F.array().cast("array<bigint>")))).drop("more")
-    return rows.where(F.col("long").isNull()).unionByName(common).drop("first")
-
-
-def _shared(codes: DataFrame) -> DataFrame:
-    """doc with the codes (doc, code) that it shares with up to SHORT classes, and with more."""
+    codes = classes.select("doc", F.explode(F.slice("first", 1, FIRST)).alias("code"))
     shared = codes.groupBy("code").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    mine = codes.join(shared, "code").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("code", "members"))).alias("of"))
-    of = lambda test: F.transform(F.filter("of", test), lambda x: x["code"])
-    by_members = F.array_sort(F.transform(F.filter("of", lambda x: x["members"] > SHORT), lambda x: F.struct(x["members"].alias("members"), x["code"].alias("code"))))
-    return mine.select("doc", of(lambda x: x["members"] <= SHORT).alias("rare"), F.transform(by_members, lambda x: x["code"]).alias("long"))
+    mine = codes.join(shared, "code").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("members", "code"))).alias("of"))
+    rows = classes.select("doc", "n", "sketch").join(mine, "doc")
+    needed = F.greatest(F.size("of") - F.least(F.lit(SHARED), F.ceil(F.col("n") * 3 / 4).cast("int")) + 1, F.lit(0))
+    rows = rows.withColumn("of", F.slice("of", 1, needed)).where(F.size("of") > 0)
+    key = lambda x, code: F.struct(code.alias("code"), F.ceil(x["members"] / ROWS).cast("int").alias("tasks"))
+    common = F.element_at("long", -1)["code"]
+    least = F.slice("long", 1, LONG)
+    keys = F.array_distinct(F.concat(F.transform(least, lambda x: key(x, x["code"])), F.transform(least, lambda x: key(x, F.xxhash64(x["code"], common)))))
+    return rows.select(
+        "doc", "n", "sketch", F.transform(F.filter("of", lambda x: x["members"] <= SHORT), lambda x: x["code"]).alias("rare"),
+        F.filter("of", lambda x: x["members"] > SHORT).alias("long"),
+    ).withColumn("long", F.when(F.size("long") > 0, keys))
 
 
 def candidates(lists: DataFrame) -> DataFrame:
-    """(a, b, estimate) of all pairs that the lists give and the sketches don't rule out."""
+    """(a, b, estimate) of all pairs that short lists and representatives of long ones give and the sketches don't rule out."""
     member = F.struct("doc", "n", "sketch")
     total = lists.agg(F.sum(F.size("rare"))).first()[0] or 0
     buckets = max(16, -(-total // ROWS))
     short = lists.select(F.explode("rare").alias("code"), "doc", "n", "sketch").withColumn("bucket", F.pmod("code", F.lit(buckets)).cast("int"))
     near = short.groupBy("bucket").applyInArrow(frugal(list_pairs), PAIR_DDL)
-    long = lists.where(F.col("long").isNotNull()).select(F.explode("long").alias("code"), "doc", "n", "sketch")
+    long = lists.where(F.col("long").isNotNull()).select(F.explode("long").alias("key"), "doc", "n", "sketch").select("key.code", "key.tasks", "doc", "n", "sketch")
     drawn = [F.min(F.struct(F.xxhash64("doc", "code", F.lit(k)).alias("by"), member.alias("m")))["m"] for k in range(DRAWN)]
-    reps = long.groupBy("code").agg(F.array_distinct(F.array(F.min(F.struct("doc", member.alias("m")))["m"], F.min(F.struct("n", "doc", member.alias("m")))["m"], *drawn)).alias("reps"))
-    star = long.join(reps, "code").select("doc", "n", "sketch", "reps").mapInArrow(frugal(star_pairs), PAIR_DDL)
+    reps = long.groupBy("code", "tasks").agg(F.array_distinct(F.array(F.min(F.struct("doc", member.alias("m")))["m"], F.min(F.struct("n", "doc", member.alias("m")))["m"], *drawn)).alias("reps"))
+    # a list's members are dealt out to tasks of about ROWS each, the representatives go to all of them
+    reps = reps.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    dealt = long.withColumn("task", F.pmod(F.xxhash64("doc"), F.col("tasks")).cast("int")).drop("tasks")
+    star = dealt.join(reps, ["code", "task"]).select("doc", "n", "sketch", "reps").mapInArrow(frugal(star_pairs), PAIR_DDL)
     return near.union(star).groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
 
 

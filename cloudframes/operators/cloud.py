@@ -1,11 +1,17 @@
-"""Point clouds from depth, confidence, colour and pose tables, and their filters."""
+"""Point clouds from depth, confidence, colour and pose tables, and their filters.
 
+Windows along rows and along columns of a frame both find their rows together once pixels are dealt out by frame: one exchange.
+"""
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pose import decode_pose, unproject
 
-EDGE, BINS = 0.03, 4096
+EDGE = 0.03
+#: Bins of a pass of the exact quantile.
+BINS = 1 << 15
 
 
 def finite(c: Column) -> Column:
@@ -43,14 +49,14 @@ def depth_edge_mask(pixels: DataFrame, threshold: float = EDGE) -> DataFrame:
     Two passes of three pixels each, along rows and then columns, in place of a join of nine; NaN neighbours don't count.
     """
     d = F.when(~F.isnan("depth"), F.col("depth"))
-    rows = _extremes(_extremes(pixels.withColumn("lo", d).withColumn("hi", d), "lo", "hi", "y", "x"), "lo", "hi", "x", "y")
+    rows = _extremes(_extremes(pixels.repartition("frame").withColumn("lo", d).withColumn("hi", d), "lo", "hi", "y", "x"), "lo", "hi", "x", "y")
     keep = (F.col("hi") - F.col("lo")) / F.greatest(F.abs("depth"), F.lit(1e-6)) <= threshold
     return rows.withColumn("edge_keep", F.coalesce(keep & ~F.isnan("depth"), F.lit(False))).drop("lo", "hi")
 
 
 def grid_neighbors(pixels: DataFrame, value: str = "depth") -> DataFrame:
     """Least, greatest and number of values in the 3 x 3 pixels around, clipped at the borders."""
-    rows = pixels.withColumn("lo", F.col(value)).withColumn("hi", F.col(value)).withColumn("n", F.lit(1))
+    rows = pixels.repartition("frame").withColumn("lo", F.col(value)).withColumn("hi", F.col(value)).withColumn("n", F.lit(1))
     w = lambda a, b: Window.partitionBy("frame", a).orderBy(b).rowsBetween(-1, 1)
     rows = _extremes(rows, "lo", "hi", "y", "x").withColumn("n", F.sum("n").over(w("y", "x")))
     return _extremes(rows, "lo", "hi", "x", "y").withColumn("n", F.sum("n").over(w("x", "y")))
@@ -59,7 +65,7 @@ def grid_neighbors(pixels: DataFrame, value: str = "depth") -> DataFrame:
 def laplacian(gray: DataFrame) -> DataFrame:
     """Interior pixels' left + right + up + down - 4 * own of gray (frame, x, y, v)."""
     row, col = Window.partitionBy("frame", "y").orderBy("x"), Window.partitionBy("frame", "x").orderBy("y")
-    rows = gray.withColumn("l", F.lag("v").over(row) + F.lead("v").over(row)).withColumn("l", F.col("l") + F.lag("v").over(col) + F.lead("v").over(col) - 4 * F.col("v"))
+    rows = gray.repartition("frame").withColumn("l", F.lag("v").over(row) + F.lead("v").over(row)).withColumn("l", F.col("l") + F.lag("v").over(col) + F.lead("v").over(col) - 4 * F.col("v"))
     return rows.where("l is not null")
 
 
@@ -86,18 +92,30 @@ def chunk_assign(frames: DataFrame, size: int = 8) -> DataFrame:
 def conf_quantile(points: DataFrame, q: float, value: str = "conf") -> DataFrame:
     """One row with `threshold`: the value of rank floor((n - 1) * q) of all finite ones, -infinity if there are none.
 
-    No global sort: values are counted by coarse bucket, the bucket with the rank is found by cumulative counts (one row for each
-    of at most BINS buckets), and only its values are ranked.
+    Nothing is sorted. A pass counts the values by bin and finds the bin that holds the rank; the next one splits that bin's range,
+    until it has one value. The first pass bins by sign, binary exponent and leading bits, so outliers can't crowd the rest into one
+    bin; later ones split between the bin's least and greatest value. A pass gives the driver one row. The values are computed once
+    and kept on the executors' disks while this runs.
     """
     q = min(1.0, max(0.0, q))
-    v = points.select(F.col(value).cast("double").alias("v")).where(finite(F.col("v")))
-    lo_hi = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
-    bucketed = v.crossJoin(F.broadcast(lo_hi)).withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (BINS - 1))).otherwise(0).cast("int"))
-    counts = bucketed.groupBy("bin", "n").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("bin")))
-    rank = F.floor((F.col("n") - 1) * q).cast("long")
-    holds = counts.withColumn("k", rank).where((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("c") <= F.col("k"))).select("bin", (F.col("k") - F.col("upto") + F.col("c")).alias("k"))
-    inside = bucketed.select("bin", "v").join(F.broadcast(holds), "bin").groupBy("v", "k").agg(F.count(F.lit(1)).alias("m")).withColumn("upto", F.sum("m").over(Window.orderBy("v")))
-    return inside.where((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("m") <= F.col("k"))).agg(F.coalesce(F.max("v"), F.lit(float("-inf"))).alias("threshold"))
+    v = points.select(F.col(value).cast("double").alias("v")).where(finite(F.col("v"))).persist(StorageLevel.DISK_ONLY)
+    try:
+        low, high, n = v.agg(F.min("v"), F.max("v"), F.count("v")).first()
+        rank, inside, first = int((n - 1) * q), v, True
+        while n and low < high:
+            if first:
+                size = F.abs("v")
+                exponent = F.least(F.floor(F.log2(size)), F.lit(1023))
+                key = F.when(F.col("v") == 0, 0).otherwise(F.signum("v") * ((exponent + 1100) * 256 + F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * 256)))
+            else:  # halves, so that the range of any two doubles is one
+                key = F.floor((F.col("v") / 2 - low / 2) / (high / 2 - low / 2) * BINS)
+            counts = inside.groupBy(key.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+            upto = counts.withColumn("before", F.sum("c").over(Window.orderBy("bin")) - F.col("c"))
+            low, high, before = upto.where((F.col("before") <= rank) & (F.col("before") + F.col("c") > rank)).select("low", "high", "before").first()
+            rank, inside, first = rank - before, v.where(F.col("v").between(low, high)), False
+    finally:
+        v.unpersist()
+    return points.sparkSession.range(1).select(F.lit(float(low) if n else float("-inf")).alias("threshold"))
 
 
 def cameras(pose: DataFrame) -> DataFrame:

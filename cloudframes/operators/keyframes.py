@@ -39,12 +39,15 @@ def prune_redundant(survivors: DataFrame, keys: tuple = ("video",), move: float
     thumbs = "px" in survivors.columns
     fields = ["ci", "lat", "lon", "yaw", *(["px"] if thumbs else [])]
     rows = survivors.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("a"))
+    first = F.get("a", F.lit(0))
+    # the state holds the last row kept and the numbers of all that were, so pixels are never copied along
     keep = F.aggregate(
-        F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0))), F.array(F.get("a", F.lit(0))),
-        lambda kept, b: F.when(_redundant(F.element_at(kept, -1), b, move, yaw, diff, thumbs), kept).otherwise(F.concat(kept, F.array(b))),
+        F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0))), F.struct(first.alias("at"), F.array(first["ci"]).alias("ids")),
+        lambda s, b: F.when(_redundant(s["at"], b, move, yaw, diff, thumbs), s).otherwise(F.struct(b.alias("at"), F.concat(s["ids"], F.array(b["ci"])).alias("ids"))),
+        lambda s: s["ids"],
     )
-    rows = rows.withColumn("kept", F.transform(keep, lambda x: x["ci"])).withColumn("last", F.element_at("a", -1)["ci"])
-    return rows.select(*keys, F.explode(F.when(F.array_contains("kept", F.col("last")), F.col("kept")).otherwise(F.concat("kept", F.array("last")))).alias("ci"))
+    rows = rows.withColumn("kept", keep).withColumn("last", F.element_at("a", -1)["ci"])
+    return rows.select(*keys, F.explode(F.when(F.element_at("kept", -1) == F.col("last"), F.col("kept")).otherwise(F.concat("kept", F.array("last")))).alias("ci"))
 
 
 def decimate(kept: DataFrame, budget: Column, keys: tuple = ("video",), order: str = "ci") -> DataFrame:
@@ -65,34 +68,29 @@ def select_keyframes(candidates: DataFrame, budget: int, size: int = WINDOW) ->
     return decimate(prune_redundant(sharpest_per_window(candidates, size)), F.lit(budget))
 
 
-def split_budget(counts: Column, total: Column) -> Column:
-    """Shares of a total by survivor counts: largest remainders, at least two of each source where it has them, trimmed from the largest.
+def split_budget(counts: DataFrame, keys: tuple = ("session",), source: str = "video") -> DataFrame:
+    """counts (keys, source, n, total) with share: the total split by n. Largest remainders, ties to the smaller source; at least two of each source where it has them; then trimmed from the largest, ties from the greater source.
 
-    counts is an array, one entry for each source of a session (tens to hundreds), so the fold stays small.
+    Windows over a key's sources, one shuffle. Quotas never exceed n unless the total exceeds all, and then all are taken, so one
+    round gives out what rounding left. Trimming one after the other ends at one level, which the sorted shares give in closed form.
     """
-    n = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
-    quota = F.transform(counts, lambda c: total.cast("double") * c / n)
-    base = F.zip_with(quota, counts, lambda q, c: F.least(F.floor(q), c.cast("long")))
-    order = F.transform(F.array_sort(F.transform(quota, lambda q, i: F.struct((-(q - F.floor(q))).alias("f"), i.alias("i")))), lambda x: x["i"])
-    used = F.aggregate(base, F.lit(0).cast("long"), lambda s, x: s + x)
-    # a round gives one to each source that isn't full, in order, while any is left; the first needs the order, later ones repeat it
-    state = F.struct(base.alias("share"), (total.cast("long") - used).alias("left"))
-
-    def give(s: Column, i: Column) -> Column:
-        can = (s["left"] > 0) & (F.get(s["share"], i) < F.get(counts, i))
-        share = F.when(can, F.transform(s["share"], lambda v, j: v + (j == i).cast("long"))).otherwise(s["share"])
-        return F.struct(share.alias("share"), (s["left"] - can.cast("long")).alias("left"))
-
-    rounds = F.aggregate(F.flatten(F.array_repeat(order, 3)), state, give)["share"]
-    floored = F.zip_with(rounds, counts, lambda s, c: F.greatest(s, F.least(F.lit(2), c).cast("long")))
-    over = F.greatest(F.aggregate(floored, F.lit(0).cast("long"), lambda s, x: s + x) - total.cast("long"), F.lit(0))
-
-    def trim(s: Column, _: Column) -> Column:
-        top = F.array_max(F.transform(s, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
-        return F.transform(s, lambda v, j: F.greatest(v - (j == top["i"]).cast("long"), F.lit(0).cast("long")))
-
-    trimmed = F.aggregate(F.when(over > 0, F.sequence(F.lit(1).cast("long"), over)).otherwise(F.array().cast("array<bigint>")), floored, trim)
-    return F.when((n > 0) & (total > 0), trimmed).otherwise(F.transform(counts, lambda c: F.lit(0).cast("long")))
+    w = Window.partitionBy(*keys)
+    zero = F.lit(0).cast("long")
+    rows = counts.withColumn("all", F.sum("n").over(w)).withColumn("quota", F.coalesce(F.try_divide(F.col("total").cast("double") * F.col("n"), F.col("all")), F.lit(0.0)))
+    rows = rows.withColumn("base", F.least(F.floor("quota"), F.col("n").cast("long"))).withColumn("room", (F.col("base") < F.col("n")).cast("long"))
+    turns = w.orderBy(F.desc(F.col("quota") - F.floor("quota")), source).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("left", F.col("total") - F.sum("base").over(w)).withColumn("turn", F.sum("room").over(turns))
+    given = F.col("base") + F.when((F.col("room") == 1) & (F.col("turn") <= F.col("left")), 1).otherwise(0)
+    rows = rows.withColumn("v", F.greatest(given, F.least(F.lit(2), F.col("n"))).cast("long")).withColumn("over", F.greatest(F.sum("v").over(w) - F.col("total"), zero))
+    # the k largest shares are those above the level: the fewest that can bear the surplus
+    by_share = w.orderBy(F.desc("v"), source)
+    rows = rows.withColumn("k", F.row_number().over(by_share)).withColumn("sum", F.sum("v").over(by_share.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.coalesce(F.lead("v").over(by_share), zero))
+    bears = F.when(F.col("sum") - F.col("k") * F.col("next") >= F.col("over"), F.struct("k", "sum"))
+    rows = rows.withColumn("cut", F.min(bears).over(w)).withColumn("rest", F.col("cut.sum") - F.col("over")).withColumn("top", F.col("k") <= F.col("cut.k"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "top").orderBy(source)))
+    level = F.floor(F.col("rest") / F.col("cut.k"))
+    trimmed = F.when(F.col("top"), level + (F.col("place") <= F.col("rest") - level * F.col("cut.k")).cast("long")).otherwise(F.col("v"))
+    return rows.withColumn("share", F.when((F.col("all") > 0) & (F.col("total") > 0), trimmed).otherwise(zero).cast("long")).select(*counts.columns, "share")
 
 
 def burst_dedup(photos: DataFrame, keys: tuple = ("session",), gap_s: int = BURST_GAP_S) -> DataFrame:

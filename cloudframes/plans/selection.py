@@ -11,10 +11,8 @@ UNIT = "struct<kind:string,source:string,ci:int,rank:int,frame:int,rel_alt:doubl
 
 def shares(survivors: DataFrame, budgets: DataFrame) -> DataFrame:
     """session, video and share: each session's budget (session, video_budget) split over its videos by survivors (session, video, ci)."""
-    counts = survivors.groupBy("session", "video").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("video", "n"))).alias("v")).join(budgets, "session")
-    split = split_budget(F.transform("v", lambda x: x["n"]), F.col("video_budget"))
-    return rows.withColumn("z", F.explode(F.arrays_zip(F.col("v"), split.alias("share")))).select("session", F.col("z.v.video").alias("video"), F.col("z.share").alias("share"))
+    counts = survivors.groupBy("session", "video").agg(F.count(F.lit(1)).alias("n")).join(budgets.withColumnRenamed("video_budget", "total"), "session")
+    return split_budget(counts).select("session", "video", "share")
 
 
 def auto_select(survivors: DataFrame, photos: DataFrame, budget: int) -> DataFrame:

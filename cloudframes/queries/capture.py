@@ -27,7 +27,7 @@ def exclusion_filter(s, d):
 
 
 query("dir_rollup", duck("listing") + MEDIA + " SELECT dir, count(*) FILTER (kind = 'video') AS n_clips, count(*) FILTER (kind = 'photo') AS n_photos, count(*) FILTER (is_raw) AS n_raw, count(DISTINCT dir) AS n_dirs, grouping(dir)::BIGINT AS is_total FROM v_media GROUP BY ROLLUP (dir)")(lambda s, d: catalog.dir_rollup(_media(s, d)))
-query("photo_order", duck("photos") + " SELECT path, row_number() OVER (ORDER BY coalesce(capture_time, ''), path)::BIGINT AS place FROM v_photos WHERE session = 3")(lambda s, d: view(s, d, "photos").where("session = 3").selectExpr("path", "cast(row_number() over (partition by session order by coalesce(capture_time, ''), path) as bigint) place"))
+query("photo_order", duck("photos") + " SELECT session, path, row_number() OVER (PARTITION BY session ORDER BY coalesce(capture_time, ''), path)::BIGINT AS place FROM v_photos")(lambda s, d: view(s, d, "photos").selectExpr("session", "path", "cast(row_number() over (partition by session order by coalesce(capture_time, ''), path) as bigint) place"))
 query("frame_limit", duck("photos") + " SELECT path FROM v_photos ORDER BY path LIMIT 64")(lambda s, d: view(s, d, "photos").select("path").orderBy("path").limit(64))
 
 # --- telemetry
@@ -131,7 +131,17 @@ query("decimate", duck("candidates") + SHARP + FOLD + DECIMATE + " SELECT video,
 query("select_keyframes", duck("candidates") + SHARP + FOLD + DECIMATE + " SELECT video, ci FROM v_take")(lambda s, d: keyframes.select_keyframes(_cands(s, d), 6))
 
 
-@query("prune_with_thumbs")
+THUMBS = """, v_px AS (SELECT s.*, px FROM v_sharp s JOIN v_thumbs t ON t.vec_id = s.event_id % 200), v_walk AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY ci) AS i, count(*) OVER (PARTITION BY video) AS n FROM v_px),
+v_fold AS (SELECT video, i, ci, lat AS klat, lon AS klon, yaw AS kyaw, px AS kpx, true AS kept FROM v_walk WHERE i = 1
+  UNION ALL SELECT w.video, w.i, w.ci, CASE WHEN k THEN w.lat ELSE f.klat END, CASE WHEN k THEN w.lon ELSE f.klon END, CASE WHEN k THEN w.yaw ELSE f.kyaw END, CASE WHEN k THEN w.px ELSE f.kpx END, k
+  FROM v_fold f JOIN v_walk w ON w.video = f.video AND w.i = f.i + 1, LATERAL (SELECT CASE WHEN f.klat IS NOT NULL AND w.lat IS NOT NULL
+    THEN 2 * 6371000.0e0 * asin(sqrt(power(sin(radians(w.lat - f.klat) / 2), 2) + cos(radians(f.klat)) * cos(radians(w.lat)) * power(sin(radians(w.lon - f.klon) / 2), 2))) >= 0.5
+      OR least((f.kyaw - w.yaw) - 360 * floor((f.kyaw - w.yaw) / 360), 360 - ((f.kyaw - w.yaw) - 360 * floor((f.kyaw - w.yaw) / 360))) >= 5
+    ELSE list_sum(list_transform(list_zip(f.kpx, w.px), lambda z: abs(z[1] - z[2])))::DOUBLE / len(w.px) >= 30 END AS k))
+SELECT f.video, f.ci FROM v_fold f JOIN v_walk w ON w.video = f.video AND w.i = f.i WHERE kept OR w.i = w.n"""
+
+
+@query("prune_with_thumbs", duck("candidates", "thumbs") + SHARP + THUMBS)
 def prune_with_thumbs(s, d):
     """Frames without a fix are told apart by their thumbnails."""
     px = view(s, d, "thumbs")
@@ -150,30 +160,41 @@ query("burst_dedup", duck("photos") + BURST + " SELECT session, path FROM v_best
 query("timeline_position", duck("candidates") + " SELECT video, ci, round(CASE WHEN count(*) OVER (PARTITION BY video) > 1 THEN ci * 100.0e0 / (count(*) OVER (PARTITION BY video) - 1) ELSE 0 END, 6) AS position FROM v_candidates")(lambda s, d: keyframes.timeline_position(_cands(s, d)).select("video", "ci", F.round("position", 6).alias("position")))
 
 
-@query("budget_split", duck("candidates") + """, v_n AS (SELECT session, video, count(*) AS n FROM v_candidates GROUP BY ALL), v_q AS (SELECT *, 40 * n / sum(n) OVER (PARTITION BY session)::DOUBLE AS q, sum(n) OVER (PARTITION BY session) AS total FROM v_n),
-v_f AS (SELECT *, least(floor(q), n) AS base, row_number() OVER (PARTITION BY session ORDER BY q - floor(q) DESC, video) AS place FROM v_q),
-v_g AS (SELECT *, 40 - sum(base) OVER (PARTITION BY session) AS left_over FROM v_f)
-SELECT session, video, (base + CASE WHEN place <= left_over THEN 1 ELSE 0 END)::BIGINT AS share FROM v_g""")
+SPLIT = """, v_q AS (SELECT *, coalesce(total * n / nullif(sum(n) OVER (PARTITION BY session), 0)::DOUBLE, 0) AS q FROM v_n),
+v_f AS (SELECT *, least(floor(q), n)::BIGINT AS base, sum((least(floor(q), n) < n)::INT) OVER (PARTITION BY session ORDER BY q - floor(q) DESC, video) AS turn FROM v_q),
+v_g AS (SELECT *, greatest(base + (base < n AND turn <= total - sum(base) OVER (PARTITION BY session))::INT, least(2, n))::BIGINT AS v FROM v_f),
+v_h AS (SELECT *, sum(v) OVER (PARTITION BY session) - total AS surplus FROM v_g),
+v_u AS (SELECT session, video, surplus, row_number() OVER (PARTITION BY session ORDER BY u DESC, video DESC) AS rn FROM (SELECT *, unnest(range(1, v + 1)) AS u FROM v_h)),
+v_share AS (SELECT session, video, CASE WHEN total > 0 THEN coalesce(s, 0) ELSE 0 END::BIGINT AS share FROM v_h LEFT JOIN (SELECT session, video, count(*) AS s FROM v_u WHERE rn > surplus GROUP BY ALL) USING (session, video))"""
+
+
+@query("budget_split", duck("candidates") + ", v_n AS (SELECT session, video, count(*) AS n, 40 AS total FROM v_candidates GROUP BY ALL)" + SPLIT + " SELECT session, video, share FROM v_share")
 def budget_split(s, d):
-    """Quotas under a budget that leaves the floor of two and the trim out of play; unit tests cover those."""
-    n = _cands(s, d).groupBy("session", "video").agg(F.count(F.lit(1)).alias("n"))
-    rows = n.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("video", "n"))).alias("v"))
-    n_of = F.transform("v", lambda x: x["n"])
-    quota = F.transform(n_of, lambda x: F.lit(40.0) * x / F.aggregate(n_of, F.lit(0).cast("long"), lambda a, b: a + b))
-    base = F.transform(quota, lambda q: F.floor(q))
-    left = F.lit(40) - F.aggregate(base, F.lit(0).cast("long"), lambda a, b: a + b)
-    order = F.array_sort(F.transform(quota, lambda q, i: F.struct((-(q - F.floor(q))).alias("f"), i.alias("i"))))
-    extra = F.transform(F.slice(order, 1, left.cast("int")), lambda x: x["i"])
-    share = F.transform(base, lambda b, i: b + F.array_contains(extra, i).cast("long"))
-    return rows.withColumn("z", F.explode(F.arrays_zip("v", share.alias("share")))).select("session", F.col("z.v.video").alias("video"), "z.share")
-
-
-@query("auto_select")
+    """All candidates under a budget of 40, which brings the floor of two and the trim into play."""
+    c = _cands(s, d)
+    return plan.shares(c.select("session", "video", "ci"), c.select("session").distinct().withColumn("video_budget", F.lit(40)))
+
+
+#: Kept photos within the budget, its rest over the videos' survivors, their order, and the reference.
+AUTO = """, v_pp AS (SELECT session, path, row_number() OVER (PARTITION BY session ORDER BY path) - 1 AS pos, count(*) OVER (PARTITION BY session) AS n FROM v_best),
+v_photo AS (SELECT session, path FROM v_pp WHERE n <= {budget} OR pos IN (SELECT round(k * (n - 1) / ({budget} - 1.0e0)) FROM range({budget}) AS r(k))),
+v_surv AS (SELECT c.session, c.video, c.ci, c.ci * 15 AS source_frame, c.rel_alt FROM v_kept JOIN v_candidates c USING (video, ci)),
+v_n AS (SELECT session, video, count(*) AS n, any_value({budget} - coalesce(p, 0)) AS total FROM v_surv LEFT JOIN (SELECT session, count(*) AS p FROM v_photo GROUP BY session) USING (session) GROUP BY session, video)""" + SPLIT + """,
+v_vp AS (SELECT *, row_number() OVER (PARTITION BY session, video ORDER BY ci) - 1 AS pos, count(*) OVER (PARTITION BY session, video) AS n FROM v_surv JOIN v_share USING (session, video)),
+v_video AS (SELECT * FROM v_vp WHERE n <= share OR share = 1 AND pos = 0 OR share > 1 AND pos IN (SELECT round(k * (n - 1) / (share - 1)::DOUBLE) FROM range({budget}) AS r(k) WHERE k < share)),
+v_all AS (SELECT session, 'video' AS kind, video::VARCHAR AS source, ci, source_frame, rel_alt FROM v_video UNION ALL SELECT session, 'photo', path, NULL, NULL, NULL FROM v_photo),
+v_sel AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY kind <> 'video', length(source), source, source_frame) - 1 AS pos, count(*) FILTER (kind = 'video') OVER (PARTITION BY session) AS n FROM v_all),
+v_mid AS (SELECT *, n // 4 AS lo, greatest(3 * n // 4, n // 4 + 1) AS hi FROM v_sel),
+v_ref AS (SELECT session, pos FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY rel_alt DESC NULLS LAST, CASE WHEN rel_alt IS NULL AND pos = lo + (hi - lo) // 2 THEN 0 ELSE 1 END, pos) AS rn FROM v_mid WHERE n = 0 AND pos = 0 OR kind = 'video' AND pos >= lo AND pos < hi) WHERE rn = 1)
+SELECT v_sel.session, kind, source, ci, source_frame, rel_alt, v_sel.pos, r.pos IS NOT NULL AS is_reference FROM v_sel LEFT JOIN v_ref r ON v_sel.session = r.session AND v_sel.pos = r.pos"""
+
+
+@query("auto_select", duck("candidates", "photos") + SHARP + FOLD + BURST + AUTO.format(budget=1000))
 def auto_select(s, d):
     """Kept photos first, the rest of the budget over the videos' survivors, and the reference."""
     c = _cands(s, d)
     survivors = _kept(s, d).join(c, ["video", "ci"]).select("session", "video", "ci", (F.col("ci") * 15).alias("source_frame"), "rel_alt")
-    return plan.auto_select(survivors, _bursts(s, d), 120)
+    return plan.auto_select(survivors, _bursts(s, d), 1000)
 
 
 @query("reference_pick", duck("candidates") + """, v_p AS (SELECT video AS session, ci AS pos, rel_alt, count(*) OVER (PARTITION BY video) AS n FROM v_candidates), v_m AS (SELECT * FROM v_p WHERE pos >= n // 4 AND pos < greatest(3 * n // 4, n // 4 + 1)),

@@ -163,8 +163,36 @@ def test_decimation(spark):
 
 @pytest.mark.parametrize(("counts", "total", "want"), [([30, 10], 20, [15, 5]), ([30, 1], 20, [19, 1]), ([5, 5, 5], 4, [2, 1, 1]), ([0, 8], 10, [0, 8]), ([3, 4], 100, [3, 4]), ([], 5, []), ([4], 0, [0])])
 def test_budget(spark, counts, total, want):
-    df = spark.createDataFrame([(counts,)], "c array<long>")
-    assert df.select(keyframes.split_budget(F.col("c"), F.lit(total)).alias("s")).first().s == want
+    df = spark.createDataFrame([("s", k, n, total) for k, n in enumerate(counts)], "session string, video int, n long, total int")
+    assert [r.share for r in keyframes.split_budget(df).orderBy("video").collect()] == want
+
+
+def brute_budget(counts, total):
+    """Step by step: remainders, floors of two, and one less of the largest as long as there are too many."""
+    n = sum(counts)
+    if not n or total <= 0:
+        return [0] * len(counts)
+    quota = [float(total) * c / n for c in counts]
+    share = [min(math.floor(x), c) for x, c in zip(quota, counts, strict=True)]
+    left = total - sum(share)
+    for k in sorted(range(len(counts)), key=lambda k: (-(quota[k] - math.floor(quota[k])), k)) * 3:
+        if left > 0 and share[k] < counts[k]:
+            share[k], left = share[k] + 1, left - 1
+    share = [max(x, min(2, c)) for x, c in zip(share, counts, strict=True)]
+    while sum(share) > total:
+        top = max(range(len(share)), key=lambda k: (share[k], k))
+        share[top] -= 1
+    return share
+
+
+def test_budgets_step_by_step(spark):
+    rng = np.random.default_rng(3)
+    cases = [(rng.integers(0, 30, rng.integers(1, 12)).tolist(), int(rng.integers(0, 60))) for _ in range(300)]
+    df = spark.createDataFrame([(i, k, n, total) for i, (counts, total) in enumerate(cases) for k, n in enumerate(counts)], "session int, video int, n long, total int")
+    got = {}
+    for r in keyframes.split_budget(df).orderBy("session", "video").collect():
+        got.setdefault(r.session, []).append(r.share)
+    assert got == {i: brute_budget(*c) for i, c in enumerate(cases)}
 
 
 def test_bursts(spark):
@@ -206,6 +234,8 @@ def test_quantile(spark):
     q = lambda values, p: cloud.conf_quantile(spark.createDataFrame([(v,) for v in values], "conf double"), p).first().threshold
     values = [float(i) for i in range(1, 101)] + [float("nan"), float("inf")]
     assert q(values, 0) == 1 and q(values, 1) == 100 and q(values, 0.5) == 50 and q([float(i) for i in range(10)], 0.31) == 2
+    wide = [-1e308, 1e308, 0.0, 5e-324, -3.0] + [1.0 + k * 2.0**-52 for k in range(300)] + [1e300] * 3
+    assert all(q(wide, p) == sorted(wide)[int((len(wide) - 1) * p)] for p in (0.0, 0.01, 0.3, 0.999, 1.0))
     assert q([], 0.5) == float("-inf") and q([float("nan")], 0.5) == float("-inf") and q([2.0] * 5, 0.9) == 2
 
 
@@ -362,5 +392,5 @@ def test_auto_select_of_all_photos(spark):
     for r in QUERIES["auto_select"](spark, data).collect():
         of = taken if r.kind == "photo" else videos
         of[r.session] = of.get(r.session, 0) + 1
-    assert taken == {k: min(n, 120) for k, n in kept.items()}
-    assert all(videos.get(k, 0) <= 120 - n for k, n in taken.items())
+    assert taken == {k: min(n, 1000) for k, n in kept.items()}
+    assert all(videos.get(k, 0) <= 1000 - n for k, n in taken.items())

@@ -6,8 +6,9 @@ Suffixes are ordered no deeper than the threshold, and never all of them. Docume
    (its anchor; equal strings have equal anchors at equal places). Blocks send the codes of their anchors' grams; a gram that lies in
    one document alone can't be part of a repeated string. Codes only prune: a chance collision costs time, never a byte.
 2. Digits. Around the other anchors, the bytes of all strings that have this anchor (its reach) are dealt out by gram, and merged
-   within a block first. A bucket orders the strings' suffixes by digits of eight bytes, the most significant first; after each pass
-   only groups that still span two documents go on. The groups left after the last digit have equal bytes, and are exactly the
+   within a block first. A bucket orders suffixes by digits of eight bytes, the most significant first; after each pass only groups
+   that can still hold a repeated string go on. First whole reaches: of equal ones the smallest document's stands for all. Then, of
+   the grams that two documents still have, all strings; the groups left after the last digit have equal bytes, and are exactly the
    repeated strings. Of a gram with very many different reaches, each string is dealt out by its own bytes, so that no bucket is hot.
 
 Answers are arrays in the order of what a block sent, so messages carry no places, and work and rows grow with the text.
@@ -30,7 +31,7 @@ BLOCK, BUCKET, STRINGS = 6 << 20, 32 << 20, 16 << 20
 #: A gram's strings travel one by one if it has so many reaches in all blocks, and so many different ones of 128 codes.
 MANY, DIFFERENT = 512, 64
 #: A part of a document that is worked on at once; longer documents come in parts that overlap by a string.
-PART = 1 << 20
+PART = 1 << 18
 #: Strings that a bucket orders at once; more are ordered by ranges of the first digit.
 RANGE = 2 << 20
 #: The bits of codes that are used; results are the same with any, only slower.
@@ -78,12 +79,13 @@ def _coded(eight: np.ndarray, at: np.ndarray | None, length, n: int = 0) -> np.n
 
 
 class Anchors:
-    """Of a block: for each anchor the gram's code, the first string's start, the number of strings and the document's row."""
+    """Of a block: for each anchor the gram's code, the first string's start, the number of strings, the document's row, and the gram's place."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         found = [self._part(data[a:b], np.clip(offsets[i : j + 1], a, b) - a, i, a) for i, j, a, b in parts(offsets) if b - a >= WINDOW]
         self.data = data
-        self.gram, self.start, self.count, self.row = (np.concatenate(x) if found else np.zeros(0, t) for x, t in zip(zip(*found, strict=True) if found else [()] * 4, (np.uint64, np.int64, np.int64, np.int64), strict=True))
+        kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint8)
+        self.gram, self.start, self.count, self.row, self.place = (np.concatenate([np.zeros(0, t), *x]) for x, t in zip(zip(*found, strict=True) if found else [()] * 5, kinds, strict=True))
         self._eight = None
 
     @staticmethod
@@ -102,7 +104,8 @@ class Anchors:
         anchor = (least[at] & low).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(at) else at
         start = at[first]
-        return g[anchor[first]] & CODE, start + begin, np.diff(np.append(first, len(at))), np.searchsorted(offsets, start, side="right") - 1 + first_row
+        place = anchor[first]
+        return g[place] & CODE, start + begin, np.diff(np.append(first, len(at))), np.searchsorted(offsets, start, side="right") - 1 + first_row, (place - start).astype(np.uint8)
 
     def eight(self) -> np.ndarray:
         if self._eight is None:
@@ -212,36 +215,51 @@ ANSWER_DDL = "block long, bucket int, answers binary"
 
 
 class Grams:
-    """The distinct grams of a block in ascending order, with the number of reaches, a code of one, and whether two documents have it."""
-
-    def __init__(self, x: Anchors, ids: np.ndarray):
-        reach = x.reach()
-        order = np.lexsort((reach, x.gram))
-        gram, reach, doc = x.gram[order], reach[order], ids[x.row[order]]
-        runs = _runs(gram)
-        fresh = np.zeros(len(gram), np.int64)
-        fresh[_runs(gram, reach)] = 1
-        self.codes, self.of = gram[runs], np.empty(len(gram), np.int64)
-        self.of[order] = _spread(runs, len(gram), np.arange(len(runs)))
-        if len(runs):
-            self.reaches = np.minimum(np.add.reduceat(fresh, runs), 255).astype(np.uint8)
-            self.shared = np.minimum.reduceat(doc, runs) < np.maximum.reduceat(doc, runs)
-        else:
-            self.reaches, self.shared = np.zeros(0, np.uint8), np.zeros(0, bool)
-        self.marks = (mixed(reach[runs]) & np.uint64(127)).astype(np.uint8) | (self.shared.astype(np.uint8) << np.uint8(7))
+    """The distinct grams of a block in ascending order."""
+
+    def __init__(self, x: Anchors):
+        self.order = np.argsort(x.gram)
+        gram = x.gram[self.order]
+        self.runs = _runs(gram)
+        self.codes, self.x = gram[self.runs], x
+
+    def of_anchors(self, values: np.ndarray) -> np.ndarray:
+        """Values of grams, for each anchor."""
+        out = np.empty(len(self.order), values.dtype)
+        out[self.order] = _spread(self.runs, len(self.order), values)
+        return out
+
+    def described(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of different reaches, a 7-bit code of one, and in the highest bit whether two documents have the gram)."""
+        n, runs = len(self.order), self.runs
+        if not n:
+            return np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+        reach, doc = self.x.reach(), ids[self.x.row[self.order]]
+        count = np.diff(np.append(runs, n))
+        several = np.flatnonzero(_spread(runs, n, count > 1))
+        gram = _spread(runs, n, np.arange(len(runs)))[several]
+        some = reach[self.order[several]]
+        inside = np.lexsort((some, gram))
+        gram, some = gram[inside], some[inside]
+        reaches = np.ones(len(runs), np.int64)
+        different = np.bincount(gram[_runs(gram, some)], minlength=len(runs))
+        reaches[count > 1] = different[count > 1]
+        shared = np.minimum.reduceat(doc, runs) < np.maximum.reduceat(doc, runs)
+        return np.minimum(reaches, 255).astype(np.uint8), (mixed(reach[self.order[runs]]) & np.uint64(127)).astype(np.uint8) | (shared.astype(np.uint8) << np.uint8(7))
 
 
 def send_grams(n: int):
     def run(batches):
         for row in _rows(batches):
             ids, data, offsets = _block(row)
-            g = Grams(Anchors(data, offsets), ids)
+            g = Grams(Anchors(data, offsets))
+            reaches, marks = g.described(ids)
             bucket = bucket_of(g.codes, n)
             cuts = np.append(_runs(bucket), len(bucket))
             spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
             low = g.codes.astype(np.uint32)
             if spans:
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([row["block"]] * len(spans), pa.int64()), *(pa.array([v[i:j].tobytes() for i, j in spans], pa.binary()) for v in (low, g.reaches, g.marks))], names=["bucket", "block", "codes", "reaches", "marks"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([row["block"]] * len(spans), pa.int64()), *(pa.array([v[i:j].tobytes() for i, j in spans], pa.binary()) for v in (low, reaches, marks))], names=["bucket", "block", "codes", "reaches", "marks"])
 
     return run
 
@@ -288,6 +306,7 @@ class Units:
         self.start = np.concatenate([x.start[cold], at])
         self.count = np.concatenate([x.count[cold], np.ones(len(at), np.int64)])
         row = np.concatenate([x.row[cold], x.row[hot][which]])
+        self.place = np.concatenate([x.place[cold], (x.place[hot][which] + x.start[hot][which] - at).astype(np.uint8)])
         eight, n = x.eight(), len(self.start)
         code = _coded(eight, self.start, self.count + WINDOW - 1) & CODE if n else np.zeros(0, np.uint64)
         to = np.concatenate([mixed(x.gram[cold]), code[len(cold) :]])
@@ -322,7 +341,7 @@ def _state(row: dict, kind) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(a["answers"], kind) for a in sorted(row or [], key=lambda a: a["bucket"]))])
 
 
-REACH_DDL = "bucket int, block long, counts binary, docs binary, bytes binary"
+REACH_DDL = "bucket int, block long, counts binary, places binary, docs binary, bytes binary"
 
 
 def send_reaches(n: int):
@@ -330,61 +349,118 @@ def send_reaches(n: int):
         for row in _rows(batches):
             ids, data, offsets = _block(row)
             x = Anchors(data, offsets)
-            u = Units(x, ids, _state(row["grams"], np.uint8)[Grams(x, ids).of])
+            u = Units(x, ids, Grams(x).of_anchors(_state(row["grams"], np.uint8)))
             bucket = bucket_of(u.to, n)
             cuts = np.append(_runs(bucket), len(bucket))
             out = []
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 s = u.sent[i:j]
                 at, _ = _each(u.start[s], u.count[s] + WINDOW - 1)
-                out.append((int(bucket[i]), row["block"], u.count[s].astype(np.uint8).tobytes(), u.doc[i:j].tobytes(), data[at].tobytes()))
+                out.append((int(bucket[i]), row["block"], u.count[s].astype(np.uint8).tobytes(), u.place[s].tobytes(), u.doc[i:j].tobytes(), data[at].tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "counts", "docs", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "block", "counts", "places", "docs", "bytes"])
 
     return run
 
 
-def repeated(data: np.ndarray, at: np.ndarray, doc_of) -> np.ndarray:
-    """Indexes of the 50-byte strings at these places that also begin in a smaller document; doc_of gives the documents of indexes."""
-    eight = eights(data, ">u8")
-    if len(at) <= RANGE:
-        return _passes(eight, at, doc_of, np.arange(len(at), dtype=np.int32))
-    step = len(at) // RANGE + 1
-    ends = np.unique(np.sort(eight[at[:: max(1, len(at) // 65_536)]])[:: 65_536 // step])[1:]
-    first = np.concatenate([np.searchsorted(ends, eight[at[k : k + RANGE]], side="right").astype(np.int32) for k in range(0, len(at), RANGE)])
-    return np.concatenate([_passes(eight, at, doc_of, np.flatnonzero(first == k).astype(np.int32)) for k in range(len(ends) + 1)])
-
+def passes(eight: np.ndarray, live: np.ndarray, group: np.ndarray, digits, keep) -> tuple[np.ndarray, np.ndarray]:
+    """(members, group of each) that are left after passes by digits of eight bytes, in the order of groups.
 
-def _passes(eight: np.ndarray, at: np.ndarray, doc_of, live: np.ndarray) -> np.ndarray:
-    """Passes by digits of eight bytes: each orders a group's members by the next digit, which splits it; groups of one document go."""
-    group = np.zeros(len(live), np.int32)
-    for place in (0, 8, 16, 24, 32, 40, WINDOW - 8):
-        digit = eight[at[live] + place].astype(np.uint64)
-        order = np.lexsort((digit, group)) if place else np.argsort(digit, kind="stable")
+    digits is a list of functions from members to the places of a digit. Each pass orders a group's members by the next one, which
+    splits it; keep tells which of the new groups, given by their starts, go on.
+    """
+    for digit_of in digits:
+        digit = eight[digit_of(live)].astype(np.uint64)
+        order = np.lexsort((digit, group))
         live, group, digit = live[order], group[order], digit[order]
         runs = _runs(group, digit)
         if not len(runs):
-            return live
-        doc, n = doc_of(live), len(live)
-        on = _spread(runs, n, np.minimum.reduceat(doc, runs) < np.maximum.reduceat(doc, runs))
-        live, group = live[on], _spread(runs, n, np.arange(len(runs), dtype=np.int32))[on]
-    if not len(live):
-        return live
-    doc, runs = doc_of(live), _runs(group)
-    return live[doc > _spread(runs, len(live), np.minimum.reduceat(doc, runs))]
+            break
+        on = _spread(runs, len(live), keep(runs, live))
+        live, group = live[on], _spread(runs, len(live), np.arange(len(runs), dtype=np.int32))[on]
+    return live, group
+
+
+class Reaches:
+    """The reaches of a bucket: bytes, their starts, numbers of strings, places of the gram and documents."""
+
+    def __init__(self, data: np.ndarray, count: np.ndarray, place: np.ndarray, doc: np.ndarray):
+        self.eight, self.count, self.doc = eights(data, ">u8"), count, doc
+        self.length = count + WINDOW - 1
+        self.start = np.cumsum(self.length) - self.length
+        self.gram = self.start + place
+
+    def _two_documents(self, runs: np.ndarray, live: np.ndarray) -> np.ndarray:
+        doc = self.doc[live]
+        return np.minimum.reduceat(doc, runs) < np.maximum.reduceat(doc, runs)
+
+    def leaders(self) -> np.ndarray:
+        """For each reach the one of the same bytes with the smallest document."""
+        n = len(self.count)
+        several = lambda runs, live: np.diff(np.append(runs, len(live))) > 1
+        digit = lambda k: lambda live: self.start[live] + np.minimum(8 * k, self.length[live] - 8)
+        live, group = passes(self.eight, np.arange(n), self.count, [digit(k) for k in range(-(-int(self.length.max(initial=0)) // 8))], several)
+        order = np.lexsort((self.doc[live], group))
+        live, runs = live[order], _runs(group[order])
+        out = np.arange(n)
+        out[live] = _spread(runs, len(live), live[runs])
+        return out
+
+    def masks(self) -> np.ndarray:
+        """Of each reach the strings that a smaller document has, as bits."""
+        n = len(self.count)
+        leader = self.leaders()
+        # different reaches can only share strings if they share the gram
+        open_ = lambda runs, live: self._two_documents(runs, live) & (np.maximum.reduceat(self.count[live], runs) > 1)
+        digits = [lambda live, k=k: self.gram[live] + k for k in (0, 8, 16, GRAM - 8)]
+        live, _ = passes(self.eight, np.flatnonzero(leader == np.arange(n)), np.zeros(n, np.int32)[leader == np.arange(n)], digits, open_)
+        at, which = _each(self.start[live], self.count[live])
+        of = live[which]
+        gone = self._repeated(at, self.doc[of])
+        out = np.bincount(of[gone], 2.0 ** (at[gone] - self.start[of[gone]]), minlength=n).astype(np.uint32)[leader]
+        out[self.doc > self.doc[leader]] = 0xFFFFFFFF
+        return out
+
+    def _repeated(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Indexes of the strings at these places that also begin in a smaller document; many are ordered by ranges of the first digit."""
+        if len(at) <= RANGE:
+            ranges = [np.arange(len(at))]
+        else:
+            step = len(at) // RANGE + 1
+            sample = np.sort(self.eight[at[:: max(1, len(at) // 65_536)]])
+            ends = np.unique(sample[:: max(1, len(sample) // step)])[1:]
+            first = np.concatenate([np.searchsorted(ends, self.eight[at[k : k + RANGE]], side="right").astype(np.int32) for k in range(0, len(at), RANGE)])
+            ranges = (np.flatnonzero(first == k) for k in range(len(ends) + 1))
+        found = [np.zeros(0, np.int64)]
+        for live in ranges:
+            low_high = lambda runs, live: np.minimum.reduceat(doc[live], runs) < np.maximum.reduceat(doc[live], runs)
+            live, group = passes(self.eight, live, np.zeros(len(live), np.int32), [lambda live, k=k: at[live] + k for k in (0, 8, 16, 24, 32, 40, WINDOW - 8)], low_high)
+            if len(live):
+                runs = _runs(group)
+                found.append(live[doc[live] > _spread(runs, len(live), np.minimum.reduceat(doc[live], runs))])
+        return np.concatenate(found)
 
 
 def order_reaches(table: pa.Table) -> pa.Table:
     """A bucket of reaches: for each that was sent, the mask of its strings that a smaller doc_id has."""
     count, sizes = _joined(table.column("counts"), np.uint8)
-    doc, _ = _joined(table.column("docs"), np.int64)
-    data, _ = _joined(table.column("bytes"), np.uint8)
-    count = count.astype(np.int64)
-    start = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)
-    at, which = (x.astype(np.int32) if len(data) < 1 << 31 else x for x in _each(start, count))
-    gone = repeated(data, at, lambda k: doc[which[k]])
-    masks = np.bincount(which[gone], 2.0 ** (at[gone] - start[which[gone]]), minlength=len(count)).astype(np.uint32)
-    return _answers(table, sizes, masks)
+    place, doc, data = (_joined(table.column(c), t)[0] for c, t in (("places", np.uint8), ("docs", np.int64), ("bytes", np.uint8)))
+    return _answers(table, sizes, Reaches(data, count.astype(np.int64), place, doc).masks())
+
+
+def each_bucket(f):
+    """f of the table of each bucket; a task's rows hold whole buckets, mostly one."""
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            del held
+            buckets = np.asarray(table.column("bucket"))
+            for k in np.unique(buckets).tolist():
+                yield from f(table.filter(pa.array(buckets == k)) if (buckets != k).any() else table).to_batches()
+
+    return run
 
 
 KEPT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -400,7 +476,7 @@ def kept_bytes(with_bytes: bool):
             state = _state(row["grams"], np.uint8)
             if state.any():
                 x = Anchors(data, offsets)
-                u = Units(x, ids, state[Grams(x, ids).of])
+                u = Units(x, ids, Grams(x).of_anchors(state))
                 mask = _state(row["reaches"], np.uint32)[u.entry].astype(np.int64)
                 mask[u.all_gone] = -1
                 at, which = _each(u.start, u.count)
@@ -436,12 +512,12 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     held = written(docs.mapInArrow(frugal(blocks), BLOCK_DDL), "repeats-blocks")
     total = held.agg(F.sum("size")).first()[0] or 0
     n = max(64, -(-total // BUCKET))
-    sent = held.mapInArrow(frugal(send_grams(n)), GRAM_DDL).repartition(n, "bucket")
-    grams = written(sent.groupBy("bucket").applyInArrow(frugal(settle), ANSWER_DDL), "repeats-grams")
+    sent = held.mapInArrow(frugal(send_grams(n)), GRAM_DDL).repartitionById(n, "bucket")
+    grams = written(sent.mapInArrow(frugal(each_bucket(settle)), ANSWER_DDL), "repeats-grams")
     with_grams = held.join(_by_block(grams, "grams"), "block", "left")
     m = max(64, -(-total // STRINGS))
-    sent = with_grams.mapInArrow(frugal(send_reaches(m)), REACH_DDL).repartition(m, "bucket")
-    reaches = written(sent.groupBy("bucket").applyInArrow(frugal(order_reaches), ANSWER_DDL), "repeats-reaches")
+    sent = with_grams.mapInArrow(frugal(send_reaches(m)), REACH_DDL).repartitionById(m, "bucket")
+    reaches = written(sent.mapInArrow(frugal(each_bucket(order_reaches)), ANSWER_DDL), "repeats-reaches")
     result = with_grams.join(_by_block(reaches, "reaches"), "block", "left").mapInArrow(frugal(kept_bytes(with_bytes)), KEPT_DDL)
     result = result.withColumn("doc_id", F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")))
     return result if with_bytes else result.drop("kept")

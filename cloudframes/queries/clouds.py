@@ -7,7 +7,7 @@ from ..functions import pose
 from ..operators import align, cloud, frames
 from ..sources import readers, sinks
 from . import query
-from .scalars import DUCK_CAMS
+from .scalars import DLY, DUCK_CAMS, SR
 
 GOOD = "depth IS NOT NULL AND NOT isnan(depth)"
 _depth = lambda s, d: view(s, d, "depth")
@@ -72,13 +72,14 @@ def cloud_stats(s, d):
     return cloud.cloud_stats(points, cloud.refilter_cloud(points, 0.5)).withColumn("kept_pct", F.round("kept_pct", 6))
 
 
-@query("depth_chunk_decode", duck("depth") + f" SELECT frame, x, y, round(depth, 2) AS depth FROM v_depth WHERE {GOOD} AND NOT isnan(conf) AND abs(depth * 100 - floor(depth * 100) - 0.5) > 0.1")
+HALF = "round_even({0} * 1024 / power(2, floor(log2({0}))), 0) * power(2, floor(log2({0}))) / 1024"
+
+
+@query("depth_chunk_decode", duck("depth") + f" SELECT frame, x, y, {HALF.format('depth')} AS depth, {HALF.format('conf')} AS conf FROM v_depth WHERE {GOOD} AND NOT isnan(conf)")
 def depth_chunk_decode(s, d):
-    """Pixels as chunks of half floats and back; values near a rounding border are left out, for halves have ten bits."""
-    rows = _depth(s, d).withColumn("session", F.lit("s"))
-    back = readers.depth_chunk_decode(sinks.half_chunks(rows, 8, 8))
-    keep = cloud.finite_filter(rows, "offline").where("abs(depth * 100 - floor(depth * 100) - 0.5) > 0.1").select("frame", "x", "y")
-    return back.join(keep, ["frame", "x", "y"]).select("frame", "x", "y", F.round("depth", 2).alias("depth"))
+    """Pixels as chunks of half floats, which have eleven significant bits, and back."""
+    back = readers.depth_chunk_decode(sinks.half_chunks(_depth(s, d).withColumn("session", F.lit("s")), 8, 8))
+    return cloud.finite_filter(back, "offline").select("frame", "x", "y", "depth", "conf")
 
 
 @query("depth_consistency_vote")
@@ -90,22 +91,33 @@ def depth_consistency_vote(s, d):
 
 
 # --- colour tables
-def _cube(s, d):
-    """A lattice of five steps a channel whose text comes from the tables: contrast depends on the parts' sizes."""
-    p = s.read.parquet(f"{d}/part.parquet").select(F.round(F.avg("p_size") / 50, 3).alias("k"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(124)), lambda i: F.concat_ws(" ", *[F.pow(F.floor(i / n) % 5 / 4, F.lit(2)).cast("string") for n in (1, 5, 25)]))
-    head = F.array(F.lit("# table"), F.lit("TITLE x"), F.lit("LUT_3D_SIZE 5"), F.concat_ws(" ", F.lit("DOMAIN_MIN"), *[F.col("k") * 0] * 3), F.lit("DOMAIN_MAX 1 1 1"))
-    return p.select(F.lit("a").alias("lut"), F.array_join(F.concat(head, cells), "\n").alias("text"))
-
-
-query("cube_lattice", "SELECT 'a' AS lut, r::BIGINT AS r, g::BIGINT AS g, b::BIGINT AS b, round(power(r / 4.0e0, 2), 6) AS o_r, round(power(g / 4.0e0, 2), 6) AS o_g, round(power(b / 4.0e0, 2), 6) AS o_b FROM range(5) AS x(r), range(5) AS y(g), range(5) AS z(b)")(lambda s, d: readers.cube_lattice(_cube(s, d)).select("lut", *[F.col(c).cast("long").alias(c) for c in "rgb"], *r6("o_r", "o_g", "o_b")))
-LUT1 = "(power(floor({0} * 4), 2) / 16 + ({0} * 4 - floor({0} * 4)) * (power(least(floor({0} * 4) + 1, 4), 2) - power(floor({0} * 4), 2)) / 16)"
-query("lut_apply", duck("rgb") + " SELECT frame, x, y, " + ", ".join(f"round({LUT1.format(f'({c} / 255.0e0)')}, 6) AS o_{c}" for c in "rgb") + " FROM v_rgb WHERE frame % 5 = 0")(
-    lambda s, d: _rounded(frames.lut_apply(view(s, d, "rgb").where("frame % 5 = 0").selectExpr("frame", "x", "y", "r / 255 as cr", "g / 255 as cg", "b / 255 as cb"), readers.cube_lattice(_cube(s, d)), ("frame", "x", "y")), ("frame", "x", "y"), 6)
-)
-query("tonemap_apply", duck("rgb") + " SELECT frame, x, y, round(CASE WHEN frame % 4 = 0 THEN r / 255.0e0 WHEN frame % 4 = 1 THEN g / 255.0e0 ELSE r / 255.0e0 END, 6) AS v FROM v_rgb WHERE frame % 4 <> 2")(
-    lambda s, d: view(s, d, "rgb").where("frame % 4 <> 2").select("frame", "x", "y", F.round(frames.tonemap(F.col("r") / 255.0, F.when(F.col("frame") % 4 == 1, "cube").when(F.col("frame") % 4 == 3, "none").otherwise("parametric"), F.col("g") / 255.0, F.col("frame") % 4 != 0), 6).alias("v"))
+def _cube(s, d, key):
+    """Lattices of five steps a channel as texts, one for each key of the parts: squares of the steps, scaled by the parts' mean size."""
+    p = s.read.parquet(f"{d}/part.parquet").groupBy(key.alias("lut")).agg(F.round(F.avg("p_size") / 50, 3).alias("k"))
+    step = lambda i, n: F.pow(F.floor(i / n) % 5 / 4, F.lit(2)) * F.col("k")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(124)), lambda i: F.concat_ws(" ", *[step(i, n).cast("string") for n in (1, 5, 25)]))
+    head = F.array(F.lit("# table"), F.concat(F.lit("TITLE "), F.col("lut")), F.lit("LUT_3D_SIZE 5"), F.lit("DOMAIN_MIN 0 0 0"), F.concat_ws(" ", F.lit("DOMAIN_MAX"), *[F.col("k") * 2] * 3))
+    return p.select("lut", F.array_join(F.concat(head, cells), "\n").alias("text"))
+
+
+query("cube_lattice", "WITH p AS (SELECT p_brand AS lut, round(avg(p_size) / 50, 3) AS k FROM part GROUP BY p_brand) SELECT lut, r::BIGINT AS r, g::BIGINT AS g, b::BIGINT AS b, round(power(r / 4.0e0, 2) * k, 6) AS o_r, round(power(g / 4.0e0, 2) * k, 6) AS o_g, round(power(b / 4.0e0, 2) * k, 6) AS o_b, round(2 * k, 6) AS top FROM p, range(5) AS x(r), range(5) AS y(g), range(5) AS z(b)")(
+    lambda s, d: readers.cube_lattice(_cube(s, d, F.col("p_brand"))).select("lut", *[F.col(c).cast("long").alias(c) for c in "rgb"], *r6("o_r", "o_g", "o_b"), F.round(F.get("dmax", F.lit(0)), 6).alias("top"))
 )
+CUBE = ", v_k AS (SELECT round(avg(p_size) / 50, 3) AS k FROM part)"
+#: A channel from 0 to 255 through the lattice, whose domain ends at 2 * k: linear between the squares of five steps.
+LUT1 = "(k * (power(floor({0}), 2) / 16 + ({0} - floor({0})) * (power(least(floor({0}) + 1, 4), 2) - power(floor({0}), 2)) / 16))"
+STEPS = "(4 * least({0} / 255.0e0 / (k * 2), 1.0e0))"
+_looked_up = lambda s, d: frames.lut_apply(view(s, d, "rgb").selectExpr("frame", "x", "y", "r / 255 as cr", "g / 255 as cg", "b / 255 as cb"), readers.cube_lattice(_cube(s, d, F.lit("all"))), ("frame", "x", "y"))
+query("lut_apply", duck("rgb") + CUBE + " SELECT frame, x, y, " + ", ".join(f"round({LUT1.format(STEPS.format(c))}, 6) AS o_{c}" for c in "rgb") + " FROM v_rgb, v_k")(lambda s, d: _rounded(_looked_up(s, d), ("frame", "x", "y"), 6))
+REC709 = SR.format(f"least(greatest({DLY.replace('value / 60', 'r / 255.0e0')}, 0.0e0), 1.0e0)")
+
+
+@query("tonemap_apply", duck("rgb") + CUBE + f" SELECT frame, x, y, round(CASE frame % 4 WHEN 1 THEN {LUT1.format(STEPS.format('r'))} WHEN 2 THEN {REC709} ELSE r / 255.0e0 END, 6) AS v FROM v_rgb, v_k")
+def tonemap_apply(s, d):
+    """Photos (frame % 4 = 0), a colour table, the log curve and none, on the red channel."""
+    rows = view(s, d, "rgb").join(_looked_up(s, d), ["frame", "x", "y"])
+    kind = F.when(F.col("frame") % 4 == 1, "cube").when(F.col("frame") % 4 == 3, "none").otherwise("parametric")
+    return rows.select("frame", "x", "y", F.round(frames.tonemap(F.col("r") / 255.0, kind, F.col("o_r"), F.col("frame") % 4 != 0), 6).alias("v"))
 
 
 def _frame_rows(s, d):

@@ -64,16 +64,20 @@ scalar("crop_scale_clamp", "events_k", "event_id", lambda: {"scale": sizing.crop
 scalar("frame_stride", "events_k", "event_id", lambda: {"step": sizing.candidate_step(c("k") / 2.0)}, {"step": i("greatest(round(k / 2.0 / 2), 1)")})
 scalar("quantize_color", "events_k", "event_id", lambda: {"q": color.quantize_color(c("value") / 40 - 0.2)}, {"q": i("floor(least(greatest((value / 40 - 0.2e0) * 255 + 0.5e0, 0), 255))")})
 DLY = "CASE WHEN value / 60 <= 0.14 THEN (value / 60 - 0.0929e0) / 6.025e0 ELSE (power(10.0e0, (value / 60 - 0.584555e0) / 0.256663e0) - 0.0108e0) / 0.9892e0 END"
-scalar("dlog_decode", "events_k", "event_id", lambda: {"light": color.dlog_decode(c("value") / 60)}, {"light": d(DLY)}, "value < 80")
+CLAMPED = DLY.replace("value / 60", "least(value, 80) / 60")
+scalar("dlog_decode", "events_k", "event_id", lambda: {"light": color.dlog_decode(F.least(c("value"), lit(80.0)) / 60)}, {"light": d(CLAMPED)})
 SR = "CASE WHEN {0} <= 0.0031308 THEN 12.92e0 * {0} ELSE 1.055e0 * power({0}, 1 / 2.4e0) - 0.055e0 END"
 scalar("srgb_encode", "events_k", "event_id", lambda: {"v": color.srgb_encode(c("k") / 100.0)}, {"v": d(SR.format("(k / 100.0e0)"))})
-scalar("dlog_to_rec709", "events_k", "event_id", lambda: {"v": color.dlog_to_rec709(c("value") / 60)}, {"v": d(SR.format(f"least(greatest({DLY}, 0.0e0), 1.0e0)"))}, "value < 80")
+scalar("dlog_to_rec709", "events_k", "event_id", lambda: {"v": color.dlog_to_rec709(c("value") / 60)}, {"v": d(SR.format(f"least(greatest({DLY}, 0.0e0), 1.0e0)"))})
 scalar("activations", "depth", "frame x y", lambda: color.activations(c("conf") - 2), {"depth": d("exp(conf - 2)"), "conf": d("1 + exp(conf - 2)"), "fov": d("greatest(conf - 2, 0) + 0.01e0")}, "not isnan(conf)")
 scalar("exif_datetime", "events_k", "event_id", lambda: {"iso": text.exif_datetime(F.translate(F.translate("iso", "-", ":"), "T", " "))}, {"iso": "iso"})
 scalar("timestamp_secs", "events_k", "event_id", lambda: {"secs": text.timestamp_secs(F.when(c("k") % 10 == 0, F.regexp_replace("iso", "-01-", "-13-")).otherwise(c("iso")))}, {"secs": i("CASE WHEN k % 10 = 0 AND contains(iso, '-01-') THEN NULL ELSE epoch(CAST(iso AS TIMESTAMP)) END")})
-scalar("timecode", "events_k", "event_id", lambda: {"long": text.timecode(c("ms") % 100000000 / 1000 * 1.0), "short": text.mmss(c("ms") % 100000000 / 1000 * 1.0)}, {"long": "format('{:02d}:{:02d}:{:05.2f}', (ms % 100000000) // 3600000, (ms % 100000000) // 60000 % 60, (ms % 100000000) / 1000 % 60)", "short": "format('{:02d}:{:02d}', (ms % 100000000) // 60000, (ms % 100000000) // 1000 % 60)"}, "ms % 10 <> 5")
+# whole hundredths, for halves of them are rounded in two ways
+_cs = c("ms") % 100000000 - c("ms") % 10
+scalar("timecode", "events_k", "event_id", lambda: {"long": text.timecode(_cs / 1000 * 1.0), "short": text.mmss(_cs / 1000 * 1.0)}, {"long": "format('{:02d}:{:02d}:{:05.2f}', (ms % 100000000) // 3600000, (ms % 100000000) // 60000 % 60, (ms % 100000000 - ms % 10) / 1000 % 60)", "short": "format('{:02d}:{:02d}', (ms % 100000000) // 60000, (ms % 100000000) // 1000 % 60)"})
 scalar("mmss", "events_k", "event_id", lambda: {"short": text.mmss(c("k") * 7.0)}, {"short": "format('{:02d}:{:02d}', k * 7 // 60, k * 7 % 60)"})
-scalar("point_label", "events_k", "event_id", lambda: {"label": text.point_label(c("event_id") * 997)}, {"label": "CASE WHEN event_id * 997 >= 1000000 THEN format('{:.1f} M', event_id * 997 / 1e6) WHEN event_id * 997 >= 1000 THEN format('{:.1f} k', event_id * 997 / 1e3) ELSE CAST(event_id * 997 AS VARCHAR) END"}, "event_id * 997 % 100 <> 50 and event_id * 997 % 100000 <> 50000")
+_N = "(event_id * 997 - event_id * 997 % 100 + 1)"
+scalar("point_label", "events_k", "event_id", lambda: {"label": text.point_label(F.expr(_N))}, {"label": f"CASE WHEN {_N} >= 1000000 THEN format('{{:.1f}} M', {_N} / 1e6) WHEN {_N} >= 1000 THEN format('{{:.1f}} k', {_N} / 1e3) ELSE CAST({_N} AS VARCHAR) END"})
 scalar("path_parts", "listing", "path", lambda: {k: v for k, v in text.path_parts(c("path")).items() if k != "name"}, {"dir": "regexp_extract(path, '^(.*)/[^/]*$', 1)", "stem": "lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^(.+?)(\\.[^.]*)?$', 1))", "ext": "lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^.+\\.([^.]*)$', 1))"})
 scalar("sha256_hex", "listing", "path", lambda: {"sha": F.sha2("path", 256)}, {"sha": "sha256(path)"})
 scalar("srt_timestamp", "telemetry", "video seq", lambda: {"ms": text.srt_timestamp(F.format_string("%02d:%02d:%02d,%d", F.floor(c("start_ms") / 3600000), F.floor(c("start_ms") / 60000) % 60, F.floor(c("start_ms") / 1000) % 60, c("start_ms") % 1000))}, {"ms": "start_ms"})

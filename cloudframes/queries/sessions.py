@@ -57,12 +57,12 @@ def dominant_source(s, d):
 query("top_source", duck("candidates") + " SELECT video FROM v_candidates GROUP BY video ORDER BY count(*) DESC, video LIMIT 1")(lambda s, d: view(s, d, "candidates").groupBy("video").count().orderBy(F.desc("count"), "video").limit(1).select("video"))
 
 
-@query("aspect_options", duck("photos") + f""", v_a AS (SELECT session, path, CASE WHEN event_id % 2 = 0 THEN 'video' ELSE 'photo' END AS kind, width, height, {TW} AS tw, {TH} AS th FROM v_photos WHERE event_id % 20 < 2),
+@query("aspect_options", duck("photos") + f""", v_a AS (SELECT session, path, CASE WHEN event_id % 2 = 0 THEN 'video' ELSE 'photo' END AS kind, width, height, {TW} AS tw, {TH} AS th FROM v_photos),
 v_f AS (SELECT session, kind AS other, width AS w, height AS h FROM (SELECT *, row_number() OVER (PARTITION BY session, kind ORDER BY path) AS rn FROM v_a) WHERE rn = 1)
 SELECT session, path AS source, tw::BIGINT AS tw, th::BIGINT AS th, round(1.0e0 - least(greatest(round(cw), 16), cw) * least(greatest(round(least(greatest(round(cw), 16), cw) * ch / cw::DOUBLE), 1), ch) / (w * h)::DOUBLE, 6) AS loss
 FROM (SELECT *, CASE WHEN h / w::DOUBLE > th / tw::DOUBLE THEN w ELSE round(h / (th / tw::DOUBLE)) END AS cw, CASE WHEN h / w::DOUBLE > th / tw::DOUBLE THEN round(w * (th / tw::DOUBLE)) ELSE h END AS ch FROM v_a JOIN v_f USING (session) WHERE kind <> other)""")
 def aspect_options(s, d):
-    rows = view(s, d, "photos").where("event_id % 20 < 2").selectExpr("session", "path as source", "case when event_id % 2 = 0 then 'video' else 'photo' end as kind", "width", "height")
+    rows = view(s, d, "photos").selectExpr("session", "path as source", "case when event_id % 2 = 0 then 'video' else 'photo' end as kind", "width", "height")
     return plan.aspect_options(rows).withColumn("loss", F.round("loss", 6))
 
 
@@ -83,24 +83,31 @@ def apply_edits(s, d):
     return plan.apply_edits(auto, _edits(s, d), c.selectExpr("video as session", "ci", "rel_alt"))
 
 
+#: Sessions of five videos with all of their candidates; the sixth frame is the reference.
+UNITS = ", v_m AS (SELECT video // 5 AS session, video, ci, sharpness, row_number() OVER (PARTITION BY video // 5 ORDER BY video, ci) - 1 AS pos FROM v_candidates)"
+FRAMES = duck("candidates") + UNITS + " SELECT session, row_number() OVER (PARTITION BY session ORDER BY (pos = 5) DESC, pos) - 1 AS batch_index, video::VARCHAR AS source, ci * 15 AS source_frame, round(sharpness, 6) AS sharpness FROM v_m"
+
+
 def _manifest(s, d):
-    c = view(s, d, "candidates").where("video = session + 7").selectExpr("session", "ci as pos", "'video' as kind", "cast(video as string) as source", "ci", "ci * 15 as source_frame", "ci = 5 as is_reference")
-    details = view(s, d, "candidates").where("video = session + 7").selectExpr("session", "'video' as kind", "cast(video as string) as source", "ci", "ci * 15 / 30 as time_s", "sharpness", "cast(960 as bigint) as width", "cast(540 as bigint) as height")
-    return plan.build_manifest(c, details, 624, 416, 30)
+    c = view(s, d, "candidates").selectExpr("video div 5 as session", "video", "ci", "sharpness", "row_number() over (partition by video div 5 order by video, ci) - 1 as pos")
+    c = c.selectExpr("session", "pos", "'video' as kind", "cast(video as string) as source", "ci", "ci * 15 as source_frame", "pos = 5 as is_reference", "sharpness")
+    details = c.selectExpr("session", "kind", "source", "ci", "ci * 15 / 30 as time_s", "sharpness", "cast(960 as bigint) as width", "cast(540 as bigint) as height")
+    return plan.build_manifest(c.drop("sharpness"), details, 624, 416, 30)
+
 
+def _frames_of(manifests):
+    rows = manifests.select(F.col("session").cast("long").alias("session"), F.explode("frames").alias("f"))
+    return rows.select("session", F.col("f.batch_index").cast("long").alias("batch_index"), "f.source", "f.source_frame", F.round("f.sharpness", 6).alias("sharpness"))
 
-@query("build_manifest", duck("candidates") + " SELECT session, 1 AS version, 30 AS budget, max(CASE WHEN ci = 5 THEN ci END) AS reference_original_pos, count(*) AS n_frames, max(CASE WHEN ci = 5 THEN 0 END) AS ref_index, round(sum(sharpness), 4) AS sharpness, 75 AS crop_x FROM v_candidates WHERE video = session + 7 GROUP BY session")
+
+@query("build_manifest", duck("candidates") + UNITS + " SELECT session, 1 AS version, 30 AS budget, max(CASE WHEN pos = 5 THEN 5 END) AS reference_original_pos, count(*) AS n_frames, arg_max(ci * 15, CASE WHEN pos = 5 THEN 2 WHEN pos = 0 THEN 1 ELSE 0 END) AS first_frame, round(sum(sharpness), 4) AS sharpness, 75 AS crop_x FROM v_m GROUP BY session")
 def build_manifest(s, d):
-    m = _manifest(s, d)
     f = F.col("frames")
     total = F.aggregate(F.transform(f, lambda x: x["sharpness"]), F.lit(0.0), lambda a, b: a + b)
-    ref = F.get(F.transform(F.filter(f, lambda x: x["source_frame"] == 75), lambda x: x["batch_index"]), F.lit(0))
-    return m.select("session", "version", "budget", "reference_original_pos", F.size(f).cast("long").alias("n_frames"), ref.alias("ref_index"), F.round(total, 4).alias("sharpness"), F.get(F.get(f, F.lit(0))["crop"], F.lit(0)).alias("crop_x"))
+    return _manifest(s, d).select("session", "version", "budget", "reference_original_pos", F.size(f).cast("long").alias("n_frames"), F.get(f, F.lit(0))["source_frame"].alias("first_frame"), F.round(total, 4).alias("sharpness"), F.get(F.get(f, F.lit(0))["crop"], F.lit(0)).alias("crop_x"))
 
 
-query("manifest_source", duck("candidates") + " SELECT session, row_number() OVER (PARTITION BY session ORDER BY (ci = 5) DESC, ci) - 1 AS batch_index, ci * 15 AS source_frame, round(sharpness, 6) AS sharpness FROM v_candidates WHERE video = session + 7")(
-    lambda s, d: _manifest(s, d).select("session", F.explode("frames").alias("f")).select("session", F.col("f.batch_index").cast("long").alias("batch_index"), "f.source_frame", F.round("f.sharpness", 6).alias("sharpness"))
-)
+query("manifest_source", FRAMES)(lambda s, d: _frames_of(_manifest(s, d)))
 
 # --- messages, in batch
 query("upload_lastwins", duck("messages") + " SELECT session, frame_idx, max(seq) AS seq, count(*) AS acks FROM v_messages WHERE tag = 'frame' GROUP BY ALL")(lambda s, d: st.last_uploads(_msg(s, d).where("tag = 'frame'").select("session", "frame_idx", "seq")).select("session", "frame_idx", "seq", "acks"))
@@ -190,12 +197,11 @@ def stream_ply(s, d):
     return _read_points(s, path)
 
 
-@query("manifest_sink", duck("candidates") + " SELECT session, row_number() OVER (PARTITION BY session ORDER BY (ci = 5) DESC, ci) - 1 AS batch_index, ci * 15 AS source_frame, round(sharpness, 6) AS sharpness FROM v_candidates WHERE video = session + 7")
+@query("manifest_sink", FRAMES)
 def manifest_sink(s, d):
     path = _folder(s, "manifests")
     sinks.write_manifests(_manifest(s, d), path)
-    rows = readers.read_manifests(s, path).select(F.col("session").cast("long").alias("session"), F.explode("frames").alias("f"))
-    return rows.select("session", F.col("f.batch_index").cast("long").alias("batch_index"), "f.source_frame", F.round("f.sharpness", 6).alias("sharpness"))
+    return _frames_of(readers.read_manifests(s, path))
 
 
 @query("session_bundle", duck("candidates") + " SELECT session, video, ci, round(sharpness, 6) AS sharpness, 64::BIGINT AS digest FROM v_candidates")

@@ -10,9 +10,9 @@ from ..plans import selection as plan
 from ..sources import readers, sinks
 from ..streaming import sessions as st
 from . import query
-from .capture import ASOF
-from .clouds import BUILD
-from .scalars import TH, TW
+from .capture import ASOF, FOLD, SHARP
+from .clouds import BUILD, WORLD
+from .scalars import DUCK_CAMS, TH, TW
 
 _msg = lambda s, d: view(s, d, "messages")
 
@@ -119,18 +119,27 @@ SELECT session, min(seq) FILTER (tag = 'cameras') < min(seq) FILTER (tag = 'chun
 
 
 # --- streams: what is there of the given tables, read as a stream
-def stream_of(s, d, name: str):
-    """A view's rows as a stream: the view is written to a scratch folder, for it orders rows, which a stream can't, and read from there."""
+def stream_of(s, d, name: str, late: str, df=None):
+    """A view's rows as a stream of two batches or more; those of the condition `late` come after the others.
+
+    The view is written to a scratch folder, for it orders rows, which a stream can't, and read from there in order of the files' age.
+    """
     folder = f"{_scratch(s)}/{name}-{uuid.uuid4().hex}"
-    df = view(s, d, name)
-    df.write.parquet(folder)
-    return s.readStream.schema(df.schema).parquet(folder)
+    df = view(s, d, name) if df is None else df
+    df.where(f"not ({late})").write.parquet(folder)
+    files = len(s.read.parquet(folder).inputFiles())
+    df.where(late).write.mode("append").parquet(folder)
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files)).parquet(folder)
 
 
 def _scratch(s) -> str:
+    """The folder that driver and executors share; only a local master may do without the setting."""
     import tempfile
 
-    return (s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='cloudframes-')}").rstrip("/")
+    path = s.conf.get("spark.checkpoint.dir", None)
+    if not path and not s.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (path or f"file://{tempfile.mkdtemp(prefix='cloudframes-')}").rstrip("/")
 
 
 def run(s, stream, mode: str = "append"):
@@ -144,24 +153,47 @@ def run(s, stream, mode: str = "append"):
         s.conf.unset(key) if before is None else s.conf.set(key, before)
 
 
-query("stream_peak", duck("messages") + " SELECT session, max(n_bytes) AS peak_bytes FROM v_messages GROUP BY session")(lambda s, d: run(s, st.stream_peak(stream_of(s, d, "messages")), "complete"))
-query("stream_progress", duck("messages") + " SELECT session, stage, arg_max(done, seq) AS done, arg_max(total, seq) AS total FROM v_messages WHERE tag = 'progress' GROUP BY ALL")(lambda s, d: run(s, st.stream_progress(stream_of(s, d, "messages").where("tag = 'progress'")), "complete"))
-query("stream_upload_lastwins", duck("messages") + " SELECT session, seq, frame_idx, row_number() OVER (PARTITION BY session, frame_idx ORDER BY seq) > 1 AS replaced FROM v_messages WHERE tag = 'frame'")(lambda s, d: run(s, st.stream_uploads(stream_of(s, d, "messages").where("tag = 'frame'").select("session", "seq", "frame_idx", F.md5(F.col("n_bytes").cast("string")).alias("digest")).withColumn("session", F.col("session").cast("string")))).withColumn("session", F.col("session").cast("long")))
-query("stream_session_fsm")(lambda s, d: run(s, st.stream_session_fsm(stream_of(s, d, "messages").select(F.col("session").cast("string").alias("session"), "seq", F.when(F.col("seq") == 1, "open").when(F.col("seq") < 6, "frame").otherwise(F.col("tag")).alias("tag"), "frame"))))
-query("stream_log_dedup", duck("messages") + " SELECT session, seq, line FROM (SELECT session, seq, tag AS line, lag(tag) OVER (PARTITION BY session ORDER BY seq) AS p FROM v_messages) WHERE p IS NULL OR p <> line")(lambda s, d: run(s, st.stream_log_dedup(stream_of(s, d, "messages").select(F.col("session").cast("string").alias("session"), "seq", F.col("tag").alias("line")))).withColumn("session", F.col("session").cast("long")))
-query("stream_cloud", duck("depth") + " SELECT frame, x AS px, y AS py FROM v_depth WHERE NOT isnan(depth)")(lambda s, d: run(s, st.stream_cloud(stream_of(s, d, "depth"), view(s, d, "pose")).select("frame", "px", "py")))
-query("stream_conf_hist", duck("depth") + " SELECT sum(1)::BIGINT AS n FROM v_depth WHERE NOT isnan(conf)")(lambda s, d: run(s, st.stream_conf_hist(stream_of(s, d, "depth").withColumn("session", F.lit("s"))), "complete").agg(F.sum("count").alias("n")))
-query("stream_keyframes")(lambda s, d: run(s, st.stream_keyframes(stream_of(s, d, "candidates").where("lat is not null").select("video", F.col("ci").cast("long").alias("ci"), "sharpness", "lat", "lon", "yaw"))))
+_messages = lambda s, d: stream_of(s, d, "messages", "seq > 10")
+_text_session = lambda df: df.withColumn("session", F.col("session").cast("string"))
+_long_session = lambda df: df.withColumn("session", F.col("session").cast("long"))
+query("stream_peak", duck("messages") + " SELECT session, max(n_bytes) AS peak_bytes FROM v_messages GROUP BY session")(lambda s, d: run(s, st.stream_peak(_messages(s, d)), "complete"))
+query("stream_progress", duck("messages") + " SELECT session, stage, arg_max(done, seq) AS done, arg_max(total, seq) AS total FROM v_messages WHERE tag = 'progress' GROUP BY ALL")(lambda s, d: run(s, st.stream_progress(_messages(s, d).where("tag = 'progress'")), "complete"))
+query("stream_upload_lastwins", duck("messages") + " SELECT session, seq, frame_idx, row_number() OVER (PARTITION BY session, frame_idx ORDER BY seq) > 1 AS replaced FROM v_messages WHERE tag = 'frame'")(lambda s, d: _long_session(run(s, st.stream_uploads(_text_session(_messages(s, d).where("tag = 'frame'").select("session", "seq", "frame_idx", F.md5(F.col("n_bytes").cast("string")).alias("digest")))))))
+#: A session's messages: it begins as it should, then chunks come, some of them late, ends, cancels and failures.
+TAG = """CASE WHEN seq = 1 THEN 'open' WHEN seq < 4 THEN 'frame' WHEN seq = 4 THEN 'start' WHEN seq < 7 THEN 'progress' WHEN seq = 7 THEN 'cameras'
+    WHEN tag = 'done' AND seq > 8 THEN 'done' WHEN tag = 'cameras' AND frame % 3 = 0 THEN 'cancel' WHEN tag = 'purchase' AND frame % 5 = 0 THEN 'error' WHEN frame % 13 = 0 THEN 'frame' ELSE 'chunk' END"""
+CHUNK = "CASE WHEN frame % 11 = 0 THEN 3 ELSE seq END"
+FSM = f""", v_t AS (SELECT session, seq, {TAG} AS tag, {CHUNK} AS frame FROM v_messages), v_s AS (SELECT session, 0::BIGINT AS seq, '' AS state, -1::BIGINT AS chunk, NULL::VARCHAR AS error FROM (SELECT DISTINCT session FROM v_messages)
+  UNION ALL SELECT session, seq, s.e[1], CASE WHEN s.e[1] = 'chunk' THEN frame ELSE chunk END, s.e[2] FROM (SELECT t.session, t.seq, t.frame, p.chunk, CASE
+    WHEN tag = 'cancel' THEN CASE WHEN state IN ('', 'done') THEN [state, NULL] ELSE ['failed', 'cancelled'] END
+    WHEN tag = 'error' AND state IN ('start', 'progress', 'cameras', 'chunk') THEN ['failed', 'internal']
+    WHEN NOT ((state, tag) IN (('', 'open'), ('open', 'frame'), ('frame', 'frame'), ('frame', 'start'), ('start', 'progress'), ('progress', 'progress'), ('progress', 'cameras'), ('cameras', 'chunk'), ('chunk', 'chunk'), ('chunk', 'done'))) THEN ['failed', 'protocol']
+    WHEN tag = 'chunk' AND t.frame <= chunk THEN ['failed', 'validation'] ELSE [tag, NULL] END AS e FROM v_s p JOIN v_t t ON t.session = p.session AND t.seq = p.seq + 1 AND p.state <> 'failed') s)
+SELECT session, seq, state, error FROM v_s WHERE seq > 0"""
+query("stream_session_fsm", duck("messages") + FSM)(lambda s, d: _long_session(run(s, st.stream_session_fsm(_text_session(_messages(s, d).select("session", "seq", F.expr(TAG).alias("tag"), F.expr(CHUNK).alias("frame")))))))
+query("stream_log_dedup", duck("messages") + " SELECT session, seq, line FROM (SELECT session, seq, tag AS line, lag(tag) OVER (PARTITION BY session ORDER BY seq) AS p FROM v_messages) WHERE p IS NULL OR p <> line")(lambda s, d: _long_session(run(s, st.stream_log_dedup(_text_session(_messages(s, d).select("session", "seq", F.col("tag").alias("line")))))))
+_pixels = lambda s, d: stream_of(s, d, "depth", "frame % 3 = 0")
+query("stream_cloud", duck("depth", "pose") + f", {DUCK_CAMS} SELECT frame, x AS px, y AS py, {WORLD} FROM v_depth JOIN v_cams USING (frame) WHERE NOT isnan(depth)")(lambda s, d: run(s, st.stream_cloud(_pixels(s, d), view(s, d, "pose"))).select("frame", "px", "py", *[F.round(c, 5).alias(c) for c in ("wx", "wy", "wz")]))
+query("stream_conf_hist", duck("depth") + " SELECT 's' AS session, floor((ln(least(greatest(conf, 1e-3), 1e3)) - ln(1e-3)) / (ln(1e3) - ln(1e-3)) * 4095)::BIGINT AS bin, count(*) AS count FROM v_depth WHERE NOT isnan(conf) GROUP BY ALL")(lambda s, d: run(s, st.stream_conf_hist(_pixels(s, d).withColumn("session", F.lit("s"))), "complete").withColumn("bin", F.col("bin").cast("long")))
+
+
+@query("stream_keyframes", duck("candidates") + SHARP + FOLD + " SELECT video, ci FROM v_kept")
+def stream_keyframes(s, d):
+    """All candidates, with and without a fix, until their videos end: the same rows as prune_redundant has."""
+    c = view(s, d, "candidates").selectExpr("video", "cast(ci as bigint) as ci", "sharpness", "lat", "lon", "yaw", "cast(null as array<int>) as px", "ci = max(ci) over (partition by video) as last")
+    return run(s, st.stream_keyframes(stream_of(s, d, "candidates", "ci > 9", c))).select("video", F.col("ci").cast("int").alias("ci"))
+
+
 BURSTS = """, v_t AS (SELECT *, CASE WHEN epoch(CAST(capture_time AS TIMESTAMP)) - lag(epoch(CAST(capture_time AS TIMESTAMP))) OVER o < 600 THEN 0 ELSE 1 END AS new FROM v_photos WHERE capture_time IS NOT NULL WINDOW o AS (PARTITION BY session ORDER BY capture_time, path)),
-v_b AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY capture_time, path) AS burst FROM v_t) SELECT session, count(*) AS n, round(max(sharpness), 6) AS sharpness FROM v_b GROUP BY session, burst"""
-query("stream_bursts", duck("photos") + BURSTS)(lambda s, d: run(s, st.stream_bursts(stream_of(s, d, "photos").where("capture_time is not null").select("session", F.to_timestamp("capture_time").alias("ts"), "path", "sharpness"), gap="599999999 microseconds"), "complete").select("session", "n", F.round("sharpness", 6).alias("sharpness")))
+v_b AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY capture_time, path) AS burst FROM v_t) SELECT session, count(*) AS n, round(max(sharpness), 6) AS sharpness, arg_max(path, struct_pack(a := sharpness, b := -epoch(CAST(capture_time AS TIMESTAMP)), c := path)) AS path FROM v_b GROUP BY session, burst"""
+query("stream_bursts", duck("photos") + BURSTS)(lambda s, d: run(s, st.stream_bursts(stream_of(s, d, "photos", "event_id % 2 = 0").where("capture_time is not null").select("session", F.to_timestamp("capture_time").alias("ts"), "path", "sharpness"), gap="599999999 microseconds", delay="400 days"), "complete").select("session", "n", F.round("sharpness", 6).alias("sharpness"), "path"))
 
 
 @query("stream_telemetry_asof", duck("telemetry", "probes") + ASOF + " SELECT video, probe, seq::BIGINT AS seq FROM v_pick WHERE seq IS NOT NULL")
 def stream_telemetry_asof(s, d):
     at = lambda c: F.timestamp_millis(F.col(c) + 1_700_000_000_000)
-    frames = stream_of(s, d, "probes").select("video", "probe", at("t_ms").alias("ts"))
-    entries = stream_of(s, d, "telemetry").select("video", "seq", at("start_ms").alias("start_ts"), at("end_ms").alias("end_ts"))
+    frames = stream_of(s, d, "probes", "probe % 2 = 0").select("video", "probe", at("t_ms").alias("ts"))
+    entries = stream_of(s, d, "telemetry", "seq > 3").select("video", "seq", at("start_ms").alias("start_ts"), at("end_ms").alias("end_ts"))
     return st.nearest(run(s, st.stream_telemetry_asof(frames, entries, 900_000, 200_000, "400 days"))).withColumn("seq", F.col("seq").cast("long"))
 
 
@@ -192,7 +224,7 @@ def ply_sink(s, d):
 @query("stream_ply", duck("depth") + " SELECT frame, x AS r, y AS g, 0::BIGINT AS b FROM v_depth WHERE NOT isnan(depth)")
 def stream_ply(s, d):
     path = _folder(s, "stream-ply")
-    points = st.stream_cloud(stream_of(s, d, "depth"), view(s, d, "pose"))
+    points = st.stream_cloud(_pixels(s, d), view(s, d, "pose"))
     sinks.stream_ply(points.select(F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"), F.col("px").alias("r"), F.col("py").alias("g"), F.lit(0).alias("b"), F.coalesce("conf", F.lit(0.0)).alias("conf"), "frame"), path.removeprefix("file://"), _folder(s, "check"))
     return _read_points(s, path)
 

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.cloud import cameras, finite_filter
 from ..functions.pose import unproject
+from ..operators.cloud import cameras, finite_filter
+from ..operators.keyframes import MIN_DIFF, MIN_MOVE_M, MIN_YAW_DEG, WINDOW
 
 BINS, LOW, HIGH = 4096, 1e-3, 1e3
 
@@ -69,12 +70,17 @@ def stream_uploads(uploads: DataFrame) -> DataFrame:
 
 #: What may come after what in a session.
 NEXT = {"": {"open"}, "open": {"frame"}, "frame": {"frame", "start"}, "start": {"progress"}, "progress": {"progress", "cameras"}, "cameras": {"chunk"}, "chunk": {"chunk", "done"}, "done": set(), "failed": set()}
+#: States in which a session can be cancelled, and those in which the engine can fail.
+LIVE = {"open", "frame", "start", "progress", "cameras", "chunk"}
+COMPUTING = {"start", "progress", "cameras", "chunk"}
 
 
 def advance(state: str, last_chunk: int, tag: str, frame: int) -> tuple[str, int, str | None]:
-    """(state, last chunk, error code) after a message."""
+    """(state, last chunk, error code) after a message. A cancel of a session that isn't live is stale and changes nothing."""
     if tag == "cancel":
-        return "failed", last_chunk, "cancelled"
+        return ("failed", last_chunk, "cancelled") if state in LIVE else (state, last_chunk, None)
+    if tag == "error" and state in COMPUTING:
+        return "failed", last_chunk, "internal"
     if tag not in NEXT[state]:
         return "failed", last_chunk, "protocol"
     if tag == "chunk" and frame <= last_chunk:
@@ -152,45 +158,70 @@ def nearest(pairs: DataFrame) -> DataFrame:
 
 
 class _Keyframes(StatefulProcessor):
-    """Sharpest of each window of four, emitted when it has moved or turned from the last one emitted."""
+    """Sharpest of each window, emitted when it differs from the last one emitted; at a video's end the last of all in any case."""
+
+    FRAME = "ci long, sharpness double, lat double, lon double, yaw double, px array<int>"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", "ci long, sharpness double, lat double, lon double, yaw double")
-        self.last = handle.getValueState("last", "lat double, lon double, yaw double")
+        self.best = handle.getValueState("best", "win long, " + self.FRAME)
+        self.kept = handle.getValueState("kept", self.FRAME)
+        self.missed = handle.getValueState("missed", "ci long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(x) for x in self.held.get()] if self.held.exists() else []
-        last = tuple(self.last.get()) if self.last.exists() else None
+        get = lambda state: tuple(state.get()) if state.exists() else None
+        best, kept, missed = get(self.best), get(self.kept), get(self.missed)
         out = []
+
+        def close():
+            nonlocal best, kept, missed
+            if best is not None:
+                missed = (best[1],)
+                if kept is None or differs(kept[2:], best[3:]):
+                    out.append((key[0], best[1]))
+                    kept, missed = best[1:], None
+                best = None
+
         for pdf in rows:
             for r in pdf.sort_values("ci").itertuples():
-                held.append((int(r.ci), float(r.sharpness), float(r.lat), float(r.lon), float(r.yaw)))
-                if len(held) == 4:
-                    best = max(held, key=lambda x: (x[1], -x[0]))
-                    held = []
-                    if last is None or differs(last, best[2:]):
-                        out.append((key[0], best[0]))
-                        last = best[2:]
-        self.held.put(held) if held else self.held.clear()
-        if last is not None:
-            self.last.update(last)
+                win = int(r.ci) // WINDOW
+                if best is not None and best[0] != win:
+                    close()
+                if best is None or r.sharpness > best[2]:
+                    number = lambda x: None if pd.isna(x) else float(x)
+                    best = (win, int(r.ci), float(r.sharpness), number(r.lat), number(r.lon), number(r.yaw), None if r.px is None else [int(x) for x in r.px])
+                if r.last:
+                    close()
+                    if missed is not None:
+                        out.append((key[0], missed[0]))
+                    kept = missed = None
+        for state, value in ((self.best, best), (self.kept, kept), (self.missed, missed)):
+            if value is None:
+                state.clear()
+            else:
+                state.update(value)
         yield pd.DataFrame(out, columns=["video", "ci"])
 
     def close(self) -> None:
         pass
 
 
-def differs(a: tuple, b: tuple, move: float = 0.5, yaw: float = 5.0) -> bool:
+def differs(a: tuple, b: tuple, move: float = MIN_MOVE_M, yaw: float = MIN_YAW_DEG, diff: float = MIN_DIFF) -> bool:
+    """Whether frames (lat, lon, yaw, px) are far enough apart: by place and heading if both have a fix, else by pixels, if both have some."""
     from math import asin, cos, radians, sin, sqrt
 
+    if a[0] is None or b[0] is None:
+        return a[3] is not None and b[3] is not None and sum(abs(x - y) for x, y in zip(a[3], b[3], strict=True)) / max(1, len(b[3])) >= diff
     p, q = radians(b[0] - a[0]) / 2, radians(b[1] - a[1]) / 2
     dist = 2 * 6_371_000.0 * asin(sqrt(sin(p) ** 2 + cos(radians(a[0])) * cos(radians(b[0])) * sin(q) ** 2))
-    turn = (a[2] - b[2]) % 360
+    turn = (a[2] - b[2]) % 360 if a[2] is not None and b[2] is not None else 0.0
     return dist >= move or abs(turn - 360 if turn > 180 else turn) >= yaw
 
 
 def stream_keyframes(candidates: DataFrame) -> DataFrame:
-    """video and ci of keyframes among candidates with fixes, as they arrive; the end of a video, which would keep its last one, isn't known."""
+    """video and ci of keyframes among candidates (video, ci, sharpness, lat, lon, yaw, px, last) as they arrive, each video in order of ci.
+
+    `last` marks the end of a video, which keeps its last survivor; fixes, headings and thumbnails may be null.
+    """
     return candidates.groupBy("video").transformWithStateInPandas(_Keyframes(), "video long, ci long", "append", "none")
 
 

@@ -14,7 +14,7 @@ def lut_apply(colors: DataFrame, lattice: DataFrame, keys: tuple = ("id",)) -> D
     """colors (keys, cr, cg, cb) through a colour table's lattice, trilinear, inputs clamped to its domain; adds o_r, o_g, o_b.
 
     Every colour meets its eight corners; the lattice has at most 129 ** 3 rows, and Spark broadcasts it where it is under its size
-    limit.
+    limit. The head that is broadcast is one row.
     """
     head = lattice.select("size", "dmin", "dmax").limit(1)
     rows = colors.crossJoin(F.broadcast(head))
@@ -76,13 +76,20 @@ def box_thumb(pixels: np.ndarray, out_w: int) -> np.ndarray:
     return (sums // (area if pixels.ndim == 2 else area[..., None])).astype(np.uint8)
 
 
+def _frames(batch: pa.RecordBatch):
+    """Rows of a batch, with the pixels as a view of its memory."""
+    rest = batch.drop_columns(["rgb"]).to_pylist()
+    for row, rgb in zip(rest, batch.column("rgb"), strict=True):
+        yield row | {"rgb": np.frombuffer(rgb.as_buffer(), np.uint8)}
+
+
 def score_frames(frames: DataFrame) -> DataFrame:
     """session, frame, sharpness and thumbnails of frames (session, frame, width, height, rgb): one pass, a batch of frames at a time."""
 
     def run(batches):
         for batch in batches:
-            for f in batch.to_pylist():
-                rgb = np.frombuffer(f["rgb"], np.uint8).reshape(f["height"], f["width"], 3)
+            for f in _frames(batch):
+                rgb = f["rgb"].reshape(f["height"], f["width"], 3)
                 gray = luma(box_thumb(rgb, 480))
                 yield pa.RecordBatch.from_pylist([{"session": f["session"], "frame": f["frame"], "sharpness": sharpness(gray), "gray_thumb": box_thumb(gray, 64).tobytes(), "rgb_thumb": box_thumb(rgb, 320).tobytes()}], schema=_SCORED)
 
@@ -125,8 +132,8 @@ def prepare_frames(frames: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for f in batch.to_pylist():
-                rgb = oriented(np.frombuffer(f["rgb"], np.uint8).reshape(f["height"], f["width"], 3), f["orientation"])
+            for f in _frames(batch):
+                rgb = oriented(f["rgb"].reshape(f["height"], f["width"], 3), f["orientation"])
                 part = rgb[f["crop_y"] : f["crop_y"] + f["crop_h"], f["crop_x"] : f["crop_x"] + f["crop_w"]] / 255.0
                 out = resample(curve(part) if f["parametric"] else part, f["target_w"], f["target_h"])
                 yield pa.RecordBatch.from_pylist([{"session": f["session"], "frame": f["frame"], "rgb": np.floor(np.clip(out * 255 + 0.5, 0, 255)).astype(np.uint8).tobytes()}], schema=_PREPARED)

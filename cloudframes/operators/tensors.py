@@ -14,7 +14,7 @@ HALF_MAX, HALF_ERROR, HALF_SHARE = 65504.0, 1e-2, 1e-3
 def align(ours: DataFrame, reference: DataFrame) -> DataFrame:
     """(name, idx, ours, ref) of tensors of equal length; those of unequal length are in length_errors."""
     bad = length_errors(ours, reference).select("name")
-    return ours.join(reference, ["name", "idx"]).join(F.broadcast(bad), "name", "left_anti")
+    return ours.join(reference, ["name", "idx"]).join(bad, "name", "left_anti")
 
 
 def length_errors(ours: DataFrame, reference: DataFrame) -> DataFrame:

@@ -37,33 +37,34 @@ def apply_edits(auto: DataFrame, edits: DataFrame, candidates: DataFrame) -> Dat
     """(session, ci, crop_scale, is_reference) after replaying edits (session, seq, op, ci, value) on a session's automatic selection (session, ci, is_reference).
 
     A fold over a session's edits in order: include, exclude, crop and reselect. Excluding the reference picks it anew from what
-    remains, and including it again doesn't undo that. candidates (session, ci, rel_alt) tell what may be included.
+    remains, and including it again doesn't undo that. candidates (session, ci, rel_alt) give the selected and included frames'
+    altitudes, by joins; a session's row holds its selection and its log, which are of the size of a budget and of a user's clicks.
     """
-    item = "array<struct<ci:int,scale:double>>"
-    start = auto.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("ci", F.lit(1.0).alias("scale")))).alias("auto"), F.max(F.when(F.col("is_reference"), F.col("ci"))).alias("auto_ref"))
-    alts = candidates.groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct("ci", "rel_alt"))).alias("alt"))
-    log = edits.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("seq", "op", "ci", "value"))).alias("edits"))
-    rows = start.join(alts, "session").join(log, "session", "left")
+    item = "array<struct<ci:int,scale:double,alt:double>>"
+    alts = candidates.select("session", "ci", F.col("rel_alt").alias("alt"))
+    start = auto.join(alts, ["session", "ci"], "left").groupBy("session").agg(F.sort_array(F.collect_list(F.struct("ci", F.lit(1.0).alias("scale"), "alt"))).alias("auto"), F.max(F.when(F.col("is_reference"), F.col("ci"))).alias("auto_ref"))
+    log = edits.join(alts, ["session", "ci"], "left").groupBy("session").agg(F.sort_array(F.collect_list(F.struct("seq", "op", "ci", "value", "alt"))).alias("edits"))
+    rows = start.join(log, "session", "left")
 
     def pick(sel):
         n = F.size(sel)
         lo = F.floor(n / 4).cast("int")
         hi = F.greatest(F.floor(3 * n / 4).cast("int"), lo + 1)
         mid = F.slice(sel, lo + 1, hi - lo)
-        high = F.array_max(F.transform(F.filter(mid, lambda x: F.element_at("alt", x["ci"]).isNotNull()), lambda x: F.struct(F.element_at("alt", x["ci"]).alias("a"), (-x["ci"]).alias("ci"))))
+        high = F.array_max(F.transform(F.filter(mid, lambda x: x["alt"].isNotNull()), lambda x: F.struct(x["alt"].alias("a"), (-x["ci"]).alias("ci"))))
         return F.coalesce(-high["ci"], F.get(mid, F.floor(F.size(mid) / 2).cast("int"))["ci"])
 
     def step(s, e):
         has = F.exists(s["sel"], lambda x: x["ci"] == e["ci"])
-        added = F.array_sort(F.concat(s["sel"], F.array(F.struct(e["ci"].alias("ci"), F.lit(1.0).alias("scale")))))
+        added = F.array_sort(F.concat(s["sel"], F.array(F.struct(e["ci"].alias("ci"), F.lit(1.0).alias("scale"), e["alt"].alias("alt")))))
         without = F.filter(s["sel"], lambda x: x["ci"] != e["ci"])
-        scaled = F.transform(s["sel"], lambda x: F.struct(x["ci"].alias("ci"), F.when(x["ci"] == e["ci"], F.least(F.greatest(e["value"], F.lit(0.3)), F.lit(1.0))).otherwise(x["scale"]).alias("scale")))
+        scaled = F.transform(s["sel"], lambda x: F.struct(x["ci"].alias("ci"), F.when(x["ci"] == e["ci"], F.least(F.greatest(e["value"], F.lit(0.3)), F.lit(1.0))).otherwise(x["scale"]).alias("scale"), x["alt"].alias("alt")))
         sel = F.when(e["op"] == "reselect", F.col("auto")).when((e["op"] == "include") & ~has, added).when((e["op"] == "exclude") & has, without).when(e["op"] == "crop", scaled).otherwise(s["sel"])
         lost = (e["op"] == "exclude") & has & (s["ref"] == e["ci"]) & (F.size(without) > 0)
         ref = F.when(e["op"] == "reselect", F.col("auto_ref")).when(lost, pick(without)).otherwise(s["ref"])
         return F.struct(sel.cast(item).alias("sel"), ref.alias("ref"))
 
-    none = F.array().cast("array<struct<seq:bigint,op:string,ci:int,value:double>>")
+    none = F.array().cast("array<struct<seq:bigint,op:string,ci:int,value:double,alt:double>>")
     done = rows.withColumn("s", F.aggregate(F.coalesce("edits", none), F.struct(F.col("auto").cast(item).alias("sel"), F.col("auto_ref").alias("ref")), step))
     return done.select("session", "s.ref", F.explode("s.sel").alias("u")).select("session", "u.ci", F.col("u.scale").alias("crop_scale"), (F.col("u.ci") == F.col("ref")).alias("is_reference"))
 

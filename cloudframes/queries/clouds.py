@@ -82,12 +82,20 @@ def depth_chunk_decode(s, d):
     return cloud.finite_filter(back, "offline").select("frame", "x", "y", "depth", "conf")
 
 
-@query("depth_consistency_vote")
+RAW = ", ".join(f"r0{k} * ((x - cx) / fx * depth - t0) + r1{k} * ((y - cy) / fy * depth - t1) + r2{k} * (depth - t2) AS w{k}" for k in range(3))
+CAM = [f"(o.r{k}0 * w0 + o.r{k}1 * w1 + o.r{k}2 * w2 + o.t{k})" for k in range(3)]
+VOTE = f""", v_p AS (SELECT frame, x, y, {RAW} FROM v_depth JOIN v_cams USING (frame) WHERE {GOOD}),
+v_s AS (SELECT p.frame, p.x, p.y, o.frame AS other, round({CAM[0]} / {CAM[2]} * o.fx + o.cx) AS ox, round({CAM[1]} / {CAM[2]} * o.fy + o.cy) AS oy, {CAM[2]} AS expected FROM v_p p JOIN v_cams o ON o.frame IN (p.frame - 1, p.frame + 1)),
+v_v AS (SELECT s.frame, s.x, s.y, count(*) AS votes FROM v_s s JOIN v_depth d ON d.frame = s.other AND d.x = s.ox AND d.y = s.oy WHERE abs(d.depth - expected) <= 0.05 * abs(expected) AND NOT isnan(d.depth) GROUP BY ALL)
+SELECT frame, x, y, coalesce(votes, 0) AS votes FROM v_p LEFT JOIN v_v USING (frame, x, y)"""
+
+
+@query("depth_consistency_vote", duck("depth", "pose") + f", {DUCK_CAMS}" + VOTE)
 def depth_consistency_vote(s, d):
     """How many neighbouring frames see a pixel's depth."""
     cams = _cams(s, d)
     pixels = cloud.finite_filter(_depth(s, d)).join(cams, "frame").select("frame", "x", "y", *_world(None))
-    return cloud.depth_consistency_vote(pixels, cams, _depth(s, d))
+    return cloud.depth_consistency_vote(pixels, cams, _depth(s, d)).withColumn("votes", F.col("votes").cast("long"))
 
 
 # --- colour tables
@@ -164,4 +172,7 @@ query("enu", duck("candidates") + """, v_o AS (SELECT video, arg_min(lat, ci) AS
 SELECT video AS session, ci AS frame, round(radians(lon - lon0) * 6371000.0e0 * cos(radians(lat0)), 4) AS e, round(radians(lat - lat0) * 6371000.0e0, 4) AS n, round(rel_alt - alt0, 4) AS u FROM v_candidates JOIN v_o USING (video) WHERE lat IS NOT NULL""")(
     lambda s, d: align.local_positions(view(s, d, "candidates").selectExpr("video as session", "ci as frame", "lat", "lon", "rel_alt")).select("session", "frame", *[F.round(c, 4).alias(c) for c in "enu"])
 )
-query("camera_sidecar")(lambda s, d: sinks.camera_documents(_cams(s, d)))
+_SIDECAR = {"fx": "$.intrinsics.fx", "fy": "$.intrinsics.fy", "cx": "$.intrinsics.cx", "cy": "$.intrinsics.cy", **{f"r{i}{j}": f"$.extrinsic.r[{i}][{j}]" for i in range(3) for j in range(3)}, **{f"t{k}": f"$.extrinsic.t[{k}]" for k in range(3)}, **{f"c{k}": f"$.center[{k}]" for k in range(3)}}
+query("camera_sidecar", duck("pose") + f", {DUCK_CAMS} SELECT frame, " + ", ".join(f"round({n}, 6) AS {n}" for n in _SIDECAR if n[0] != "c" or n in ("cx", "cy")) + ", " + ", ".join(f"round(-(r0{k} * t0 + r1{k} * t1 + r2{k} * t2), 6) AS c{k}" for k in range(3)) + " FROM v_cams")(
+    lambda s, d: sinks.camera_documents(_cams(s, d)).select("frame", *[F.round(F.get_json_object("json", at).cast("double"), 6).alias(n) for n, at in _SIDECAR.items()])
+)

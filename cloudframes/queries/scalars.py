@@ -73,8 +73,8 @@ scalar("activations", "depth", "frame x y", lambda: color.activations(c("conf")
 scalar("exif_datetime", "events_k", "event_id", lambda: {"iso": text.exif_datetime(F.translate(F.translate("iso", "-", ":"), "T", " "))}, {"iso": "iso"})
 scalar("timestamp_secs", "events_k", "event_id", lambda: {"secs": text.timestamp_secs(F.when(c("k") % 10 == 0, F.regexp_replace("iso", "-01-", "-13-")).otherwise(c("iso")))}, {"secs": i("CASE WHEN k % 10 = 0 AND contains(iso, '-01-') THEN NULL ELSE epoch(CAST(iso AS TIMESTAMP)) END")})
 # whole hundredths, for halves of them are rounded in two ways
-_cs = c("ms") % 100000000 - c("ms") % 10
-scalar("timecode", "events_k", "event_id", lambda: {"long": text.timecode(_cs / 1000 * 1.0), "short": text.mmss(_cs / 1000 * 1.0)}, {"long": "format('{:02d}:{:02d}:{:05.2f}', (ms % 100000000) // 3600000, (ms % 100000000) // 60000 % 60, (ms % 100000000 - ms % 10) / 1000 % 60)", "short": "format('{:02d}:{:02d}', (ms % 100000000) // 60000, (ms % 100000000) // 1000 % 60)"})
+_seconds = lambda: (c("ms") % 100000000 - c("ms") % 10) / 1000 * 1.0
+scalar("timecode", "events_k", "event_id", lambda: {"long": text.timecode(_seconds()), "short": text.mmss(_seconds())}, {"long": "format('{:02d}:{:02d}:{:05.2f}', (ms % 100000000) // 3600000, (ms % 100000000) // 60000 % 60, (ms % 100000000 - ms % 10) / 1000 % 60)", "short": "format('{:02d}:{:02d}', (ms % 100000000) // 60000, (ms % 100000000) // 1000 % 60)"})
 scalar("mmss", "events_k", "event_id", lambda: {"short": text.mmss(c("k") * 7.0)}, {"short": "format('{:02d}:{:02d}', k * 7 // 60, k * 7 % 60)"})
 _N = "(event_id * 997 - event_id * 997 % 100 + 1)"
 scalar("point_label", "events_k", "event_id", lambda: {"label": text.point_label(F.expr(_N))}, {"label": f"CASE WHEN {_N} >= 1000000 THEN format('{{:.1f}} M', {_N} / 1e6) WHEN {_N} >= 1000 THEN format('{{:.1f}} k', {_N} / 1e3) ELSE CAST({_N} AS VARCHAR) END"})

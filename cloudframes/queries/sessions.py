@@ -10,7 +10,7 @@ from ..plans import selection as plan
 from ..sources import readers, sinks
 from ..streaming import sessions as st
 from . import query
-from .capture import ASOF, FOLD, SHARP
+from .capture import ASOF, DECIMATE, FOLD, SHARP
 from .clouds import BUILD, WORLD
 from .scalars import DUCK_CAMS, TH, TW
 
@@ -73,14 +73,28 @@ def _edits(s, d):
     return events.join(n, "video").selectExpr("video as session", "event_id as seq", "case event_type when 'view' then 'include' when 'click' then 'exclude' else 'crop' end as op", "cast(k % n as int) as ci", "value / 50 as value")
 
 
-@query("apply_edits")
+PICK = "(SELECT CASE WHEN len(h) > 0 THEN h[1].ci ELSE m[len(m) // 2 + 1].ci END FROM (SELECT m, list_sort(list_transform(list_filter(m, lambda x: x.alt IS NOT NULL), lambda x: {{'a': -x.alt, 'ci': x.ci}})) AS h FROM (SELECT {0}[len({0}) // 4 + 1:greatest(3 * len({0}) // 4, len({0}) // 4 + 1)] AS m)))"
+EDITS = """, v_auto AS (SELECT video, list(struct_pack(ci := ci, scale := 1.0::DOUBLE, alt := rel_alt) ORDER BY ci) AS sel FROM v_take JOIN v_candidates USING (video, ci) GROUP BY video),
+v_log AS (SELECT e.user_id AS video, event_type, value, e.k % n AS ci, c.rel_alt AS alt, row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id) AS i
+  FROM v_events_k e JOIN (SELECT video, count(*) AS n FROM v_candidates GROUP BY video) t ON t.video = e.user_id JOIN v_candidates c ON c.video = e.user_id AND c.ci = e.k % n WHERE event_type IN ('view', 'click', 'purchase')),
+v_edit AS (SELECT video, 0::BIGINT AS i, sel, """ + PICK.format("sel") + """ AS ref FROM v_auto
+  UNION ALL SELECT video, i, CASE WHEN event_type = 'view' AND NOT has THEN added WHEN event_type = 'click' AND has THEN rest WHEN event_type = 'purchase' THEN scaled ELSE sel END,
+    CASE WHEN event_type = 'click' AND has AND ref = ci AND len(rest) > 0 THEN """ + PICK.format("rest") + """ ELSE ref END
+  FROM (SELECT s.video, l.i, l.event_type, l.ci, s.sel, s.ref, list_contains(list_transform(s.sel, lambda x: x.ci), l.ci) AS has, list_sort(list_append(s.sel, struct_pack(ci := l.ci::INT, scale := 1.0::DOUBLE, alt := l.alt))) AS added,
+      list_filter(s.sel, lambda x: x.ci <> l.ci) AS rest, list_transform(s.sel, lambda x: struct_pack(ci := x.ci, scale := CASE WHEN x.ci = l.ci THEN least(greatest(l.value / 50, 0.3), 1.0) ELSE x.scale END, alt := x.alt)) AS scaled
+    FROM v_edit s JOIN v_log l ON l.video = s.video AND l.i = s.i + 1)),
+v_end AS (SELECT video, arg_max(sel, i) AS sel, arg_max(ref, i) AS ref FROM v_edit GROUP BY video)
+SELECT video AS session, u.ci, round(u.scale, 6) AS crop_scale, u.ci = ref AS is_reference FROM (SELECT video, ref, unnest(sel) AS u FROM v_end)"""
+
+
+@query("apply_edits", duck("candidates", "events_k") + SHARP + FOLD + DECIMATE + EDITS)
 def apply_edits(s, d):
-    """A fold with a path-dependent reference over all videos, each a session with its keyframes; a test replays it step by step."""
+    """A fold with a path-dependent reference over all videos, each a session with its keyframes."""
     c = view(s, d, "candidates")
     rows = keyframes.select_keyframes(c, 6).select("video", "ci").join(c.select("video", "ci", "rel_alt"), ["video", "ci"]).selectExpr("video as session", "ci as pos", "'video' as kind", "rel_alt")
     auto = rows.join(keyframes.pick_reference(rows).withColumn("is_reference", F.lit(True)), ["session", "pos"], "left")
     auto = auto.select("session", F.col("pos").alias("ci"), F.coalesce("is_reference", F.lit(False)).alias("is_reference"))
-    return plan.apply_edits(auto, _edits(s, d), c.selectExpr("video as session", "ci", "rel_alt"))
+    return plan.apply_edits(auto, _edits(s, d), c.selectExpr("video as session", "ci", "rel_alt")).withColumn("crop_scale", F.round("crop_scale", 6))
 
 
 #: Sessions of five videos with all of their candidates; the sixth frame is the reference.
@@ -217,7 +231,7 @@ POINTS = BUILD + " SELECT frame, r, g, b FROM v_ok JOIN v_rgb USING (frame, x, y
 @query("ply_sink", POINTS)
 def ply_sink(s, d):
     path = _folder(s, "ply")
-    sinks.write_ply(_cloud(s, d), path.removeprefix("file://"), 10_000)
+    sinks.write_ply(_cloud(s, d), path, 10_000)
     return _read_points(s, path)
 
 
@@ -225,7 +239,7 @@ def ply_sink(s, d):
 def stream_ply(s, d):
     path = _folder(s, "stream-ply")
     points = st.stream_cloud(_pixels(s, d), view(s, d, "pose"))
-    sinks.stream_ply(points.select(F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"), F.col("px").alias("r"), F.col("py").alias("g"), F.lit(0).alias("b"), F.coalesce("conf", F.lit(0.0)).alias("conf"), "frame"), path.removeprefix("file://"), _folder(s, "check"))
+    sinks.stream_ply(points.select(F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"), F.col("px").alias("r"), F.col("py").alias("g"), F.lit(0).alias("b"), F.coalesce("conf", F.lit(0.0)).alias("conf"), "frame"), path, _folder(s, "check"))
     return _read_points(s, path)
 
 

@@ -1,10 +1,10 @@
 """Writers: binary point files, camera documents, manifests, session bundles."""
 
 import json
-import os
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -19,7 +19,10 @@ def ply_header(n: int) -> bytes:
 
 
 class PlyWriter(DataSourceArrowWriter):
-    """One file for each task, in the folder that options name; tasks write to an attempt's name and the commit renames it."""
+    """One file for each task, in the folder that options name; tasks write to an attempt's name and the commit renames it.
+
+    The folder is a path or a URI of a file system that Arrow knows (file, hdfs, s3, gs); driver and executors must see it.
+    """
 
     def __init__(self, path: str):
         self.path = path
@@ -36,23 +39,30 @@ class PlyWriter(DataSourceArrowWriter):
                 rows[c] = np.asarray(batch.column(c))
             parts.append(rows.tobytes())
         body = b"".join(parts)
-        os.makedirs(self.path, exist_ok=True)
-        draft = os.path.join(self.path, f".{name}-{task.taskAttemptId()}")
-        with open(draft, "wb") as f:
+        system, folder = FileSystem.from_uri(self.path)
+        system.create_dir(folder)
+        draft = f"{folder}/.{name}-{task.taskAttemptId()}"
+        with system.open_output_stream(draft) as f:
             f.write(ply_header(len(body) // RECORD.itemsize) + body)
-        return PlyMessage(draft, os.path.join(self.path, f"{name}.ply"), len(body) // RECORD.itemsize)
+        return PlyMessage(draft, f"{folder}/{name}.ply", len(body) // RECORD.itemsize)
 
     def commit(self, messages):
         done = [m for m in messages if m is not None]
+        system, folder = FileSystem.from_uri(self.path)
         for m in done:
-            os.replace(m.draft, m.final)
-        with open(os.path.join(self.path, "_manifest.json"), "w") as f:
-            json.dump([{"file": os.path.basename(m.final), "vertices": m.count} for m in done], f)
+            system.move(m.draft, m.final)
+        system.create_dir(folder)
+        with system.open_output_stream(f"{folder}/_manifest.json") as f:
+            f.write(json.dumps([{"file": m.final.rpartition("/")[2], "vertices": m.count} for m in done]).encode())
 
     def abort(self, messages):
+        system, _ = FileSystem.from_uri(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.draft):
-                os.remove(m.draft)
+            if m is not None:
+                try:
+                    system.delete_file(m.draft)
+                except FileNotFoundError:
+                    pass
 
 
 class PlyMessage(WriterCommitMessage):

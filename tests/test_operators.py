@@ -328,9 +328,17 @@ def test_session_states():
     for tag, frame in (("open", 0), ("frame", 0), ("frame", 1), ("start", 0), ("progress", 0), ("cameras", 0), ("chunk", 0), ("chunk", 8), ("done", 0)):
         state, chunk, error = st.advance(state, chunk, tag, frame)
         assert error is None
+    assert st.advance("done", 8, "cancel", 0) == ("done", 8, None) and st.advance("failed", 8, "cancel", 0) == ("failed", 8, None) and st.advance("", -1, "cancel", 0) == ("", -1, None)
+    assert st.advance("chunk", 8, "error", 0) == ("failed", 8, "internal") and st.advance("frame", 8, "error", 0)[2] == "protocol"
     assert st.advance("chunk", 8, "chunk", 0)[2] == "validation" and st.advance("open", -1, "chunk", 0)[2] == "protocol" and st.advance("frame", -1, "cancel", 0)[2] == "cancelled"
 
 
+def test_keyframes_differ_by_pixels_without_a_fix():
+    near, far = [10] * 4, [30] * 4
+    assert st.differs((60.0, 25.0, 0.0, near), (60.1, 25.0, 0.0, near)) and st.differs((60.0, 25.0, 0.0, None), (60.0, 25.0, 9.0, None)) and not st.differs((60.0, 25.0, None, near), (60.0, 25.0, 9.0, far))
+    assert st.differs((None, None, None, near), (60.0, 25.0, 0.0, far)) and not st.differs((None, None, None, near), (60.0, 25.0, 0.0, near)) and not st.differs((None, None, None, None), (60.0, 25.0, 0.0, far))
+
+
 def test_timeline(spark):
     tags = ["open", "frame", "progress", "cameras", "chunk", "chunk", "done"]
     good = [("a", i, t, i) for i, t in enumerate(tags)]

@@ -184,9 +184,10 @@ def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
+    """A row for each document; one without a doc_id is in no fold, so it is neither learned from nor held out."""
     docs = documents(spark, sf_dir)
     found = identify(docs, train(*training_sample(docs)))
-    return found.select("doc_id", (bucket_of_five() == 0).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(bucket_of_five() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def stage_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

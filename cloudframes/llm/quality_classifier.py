@@ -105,6 +105,7 @@ def quality_scores(docs: DataFrame, model: Discriminant, threshold: float = THRE
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """A row for each document; one without a doc_id is in no fold, so it is neither learned from nor held out."""
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scores = quality_scores(docs, train(*training_sample(docs, labels)))
-    return scores.select("doc_id", (fold() == 2).alias("held_out"), "score", "predicted")
+    return scores.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -138,7 +138,21 @@ def _frame_rows(s, d):
 query("score_frames", duck("rgb") + LAP + " SELECT frame, round((sum(l * l)::DOUBLE - sum(l)::DOUBLE * sum(l) / count(*)) / count(*), 4) AS sharpness FROM v_lap GROUP BY frame")(lambda s, d: frames.score_frames(_frame_rows(s, d)).select("frame", F.round("sharpness", 4).alias("sharpness")))
 
 
-@query("frame_prepare")
+def _weights(name: str, n: int, out: int) -> str:
+    """Lanczos weights of three lobes from n to out >= n samples as a table (o, i, w)."""
+    x = f"(i + 0.5e0 - (o + 0.5e0) * {n} / {out})"
+    sinc = lambda t: f"CASE WHEN {t} = 0 THEN 1 ELSE sin(pi() * {t}) / (pi() * {t}) END"
+    return f"{name}_raw AS (SELECT o, i, CASE WHEN abs({x}) < 3 THEN ({sinc(x)}) * ({sinc(f'({x} / 3)')}) ELSE 0 END AS w FROM range({out}) AS a(o), range({n}) AS b(i)), {name} AS (SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM {name}_raw)"
+
+
+PREPARE = f""", v_t AS (SELECT frame, x, y, r, g, b AS blue, frame % 8 + 1 AS t FROM v_rgb), v_s AS (SELECT *, CASE WHEN t >= 5 THEN x ELSE y END AS a, CASE WHEN t >= 5 THEN y ELSE x END AS b FROM v_t),
+v_u AS (SELECT frame, CASE WHEN t IN (3, 4, 7, 8) THEN 7 - a ELSE a END - 1 AS y, CASE WHEN t IN (2, 3, 6, 7) THEN 7 - b ELSE b END AS x, unnest([0, 1, 2]) AS c, unnest([r, g, b_]) AS r FROM (SELECT frame, x AS x0, y AS y0, t, a, b, r, g, blue AS b_ FROM v_s)),
+v_in AS (SELECT frame, x, y, c, CASE WHEN frame % 2 = 0 THEN {REC709} ELSE r / 255.0e0 END AS p FROM v_u WHERE y BETWEEN 0 AND 5), {_weights("v_wx", 8, 16)}, {_weights("v_wy", 6, 12)},
+v_row AS (SELECT frame, c, y, v_wx.o AS ox, sum(p * w) AS p FROM v_in JOIN v_wx ON v_wx.i = x GROUP BY ALL), v_out AS (SELECT frame, c, ox, v_wy.o AS oy, sum(p * w) AS p FROM v_row JOIN v_wy ON v_wy.i = y GROUP BY ALL)
+SELECT 's' AS session, frame, sha256(unhex(string_agg(printf('%02x', floor(least(greatest(p * 255 + 0.5, 0), 255))::INT), '' ORDER BY oy, ox, c))) AS sha FROM v_out GROUP BY frame"""
+
+
+@query("frame_prepare", duck("rgb") + PREPARE)
 def frame_prepare(s, d):
     crop = {"crop_x": 0, "crop_y": 1, "crop_w": 8, "crop_h": 6, "target_w": 16, "target_h": 12}
     return frames.prepare_frames(_frame_rows(s, d).withColumns({k: F.lit(v) for k, v in crop.items()}).withColumn("orientation", (F.col("frame") % 8 + 1).cast("int")).withColumn("parametric", F.col("frame") % 2 == 0)).select("session", "frame", F.sha2("rgb", 256).alias("sha"))

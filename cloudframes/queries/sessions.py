@@ -250,8 +250,22 @@ def manifest_sink(s, d):
     return _frames_of(readers.read_manifests(s, path))
 
 
-@query("session_bundle", duck("candidates") + " SELECT session, video, ci, round(sharpness, 6) AS sharpness, 64::BIGINT AS digest FROM v_candidates")
+BUNDLE = f""", {DUCK_CAMS}, v_px AS (SELECT frame // 100 AS session, count(*) AS n, sum(round(depth, 3)) AS total FROM v_depth WHERE NOT isnan(depth) AND NOT isnan(conf) GROUP BY ALL)
+SELECT 'candidates' AS part, session, count(*) AS n, round(sum(sharpness), 3) AS total FROM v_candidates GROUP BY session UNION ALL SELECT 'cameras', frame // 100, count(*), round(sum(fx), 3) FROM v_cams GROUP BY ALL
+UNION ALL SELECT 'depth', session, n, round(total, 3) FROM v_px UNION ALL SELECT 'settings', session, 1, 1000 FROM (SELECT DISTINCT session FROM v_candidates)"""
+
+
+@query("session_bundle", duck("candidates", "pose", "depth") + BUNDLE)
 def session_bundle(s, d):
+    """Candidates, cameras, depth with confidence, and settings, written as one bundle and read back; a row for each part of a session."""
     path = _folder(s, "bundle")
-    sinks.write_bundle({"candidates": view(s, d, "candidates").select("session", "video", "ci", "sharpness")}, path)
-    return s.read.parquet(f"{path}/candidates").select(F.col("session").cast("long").alias("session"), "video", "ci", F.round("sharpness", 6).alias("sharpness"), F.length("row_sha256").cast("long").alias("digest"))
+    c = view(s, d, "candidates").select("session", "video", "ci", "sharpness")
+    by_hundred = lambda df: df.withColumn("session", F.expr("frame div 100"))
+    tables = {"candidates": c, "cameras": by_hundred(cloud.cameras(view(s, d, "pose"))), "depth": by_hundred(cloud.finite_filter(view(s, d, "depth"), "offline")), "settings": c.select("session").distinct().withColumn("budget", F.lit(1000))}
+    sinks.write_bundle(tables, path)
+    total = {"candidates": F.col("sharpness"), "cameras": F.col("fx"), "depth": F.round("depth", 3), "settings": F.col("budget").cast("double")}
+    back = [s.read.parquet(f"{path}/{k}").where("length(row_sha256) = 64").groupBy(F.lit(k).alias("part"), F.col("session").cast("long").alias("session")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(x), 3).alias("total")) for k, x in total.items()]
+    out = back[0]
+    for df in back[1:]:
+        out = out.unionByName(df)
+    return out

@@ -493,6 +493,38 @@ def test_near_with_long_lists(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def exact_components(sets):
+    """Smallest index that can be reached over links of sets with a similarity of 0.75, from all pairs."""
+    every = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(sets), len(every)), np.float32)
+    for i, x in enumerate(sets):
+        has[i, [every[g] for g in x]] = 1
+    common, n = has @ has.T, has.sum(1)
+    near = 100 * common >= 75 * (n[:, None] + n - common)
+    label = np.arange(len(sets))
+    while True:
+        lower = np.where(near, label[None, :], len(sets)).min(1)
+        if (lower == label).all():
+            return dict(enumerate(label.tolist())), near
+        label = lower
+
+
+def test_near_of_shuffled_blocks(spark):
+    """Documents of ten blocks of forty, each with a twin of the same blocks in another order: lists of about 100 members, and every twin is found."""
+    rng = np.random.default_rng(1)
+    rows, sets = [], []
+    for p in range(200):
+        chosen = rng.choice(40, 10, replace=False)
+        for i in (2 * p, 2 * p + 1):
+            w = [f"w{b}x{k}" for b in rng.permutation(chosen) for k in range(40)]
+            rows.append((i, " ".join(w)))
+            sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    want, near = exact_components(sets)
+    assert all(near[2 * p, 2 * p + 1] for p in range(200))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_near_in_long_lists_alone(spark):
     """Pairs whose shared codes all lie in lists of over SHORT classes, far from any list's representatives."""
     rng = np.random.default_rng(11)
@@ -505,20 +537,9 @@ def test_near_in_long_lists_alone(spark):
             e[int(rng.integers(0, 96))] = f"edit{i}"
             rows.append((i, " ".join(e)))
             sets.append({tuple(e[k : k + 5]) for k in range(92)})
-    every = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
-    has = np.zeros((len(sets), len(every)), np.float32)
-    for i, x in enumerate(sets):
-        has[i, [every[g] for g in x]] = 1
-    common, n = has @ has.T, has.sum(1)
-    near = 100 * common >= 75 * (n[:, None] + n - common)
-    label = np.arange(len(sets))
-    while True:
-        lower = np.where(near, label[None, :], len(sets)).min(1)
-        if (lower == label).all():
-            break
-        label = lower
+    want, _ = exact_components(sets)
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label.tolist()))
+    assert {r.doc_id: r.component_id for r in got} == want
 
 
 def test_near_estimates_rarely_drop_similar_pairs():
@@ -528,5 +549,7 @@ def test_near_estimates_rarely_drop_similar_pairs():
     x[0, 47:], y[0, 48:] = np.arange(200, 217), np.arange(300, 316)
     value, good = near_dedup._likely(x, y, np.array([500]), np.array([500]))
     assert value[0] == 31 / 64 and good[0]
+    chance = lambda size, least: sum(math.comb(size, k) * 0.75**k * 0.25 ** (size - k) for k in range(least))
+    assert chance(near_dedup.FIRST, near_dedup.SHARED) < 1e-9
     least = round((0.75 - near_dedup.SLACK) * near_dedup.KEEP)
     assert sum(math.comb(64, k) * 0.75**k * 0.25 ** (64 - k) for k in range(least)) < 1e-6

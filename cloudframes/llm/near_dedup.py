@@ -311,10 +311,10 @@ def prefixes(counts: np.ndarray):
 
 def block_pairs(table: pa.Table) -> pa.Table:
     """Pairs (a, b) of members of exact lists that can be similar and have different labels; a table holds whole pairs of blocks."""
-    names = ("code", "i", "j", "doc", "n", "place", "label", "block")
-    order = np.lexsort([np.asarray(table.column(c)) for c in ("n", "j", "i", "code")])
-    code, i, j, doc, n, place, label, block = (np.asarray(table.column(c))[order] for c in names)
-    new = (code[1:] != code[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    names = ("code", "band", "i", "j", "doc", "n", "place", "label", "block", "own")
+    order = np.lexsort([np.asarray(table.column(c)) for c in ("n", "j", "i", "band", "code")])
+    code, band, i, j, doc, n, place, label, block, own = (np.asarray(table.column(c))[order] for c in names)
+    new = (code[1:] != code[:-1]) | (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
     cuts = np.flatnonzero(np.concatenate([[True], new, [True]]))
     found: list = [np.zeros((2, 0), np.int64)]
     held, size = [], 0
@@ -322,7 +322,7 @@ def block_pairs(table: pa.Table) -> pa.Table:
     def flush():
         x, y = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
         # x is the smaller set; what they share after this code, if it is the first one, must be enough
-        good = (label[x] != label[y]) & ((block[x] != block[y]) | (i[x] == j[x])) & (place[x] <= n[x] // 7) & (100 * n[x] >= SIMILAR * n[y])
+        good = (label[x] != label[y]) & ((block[x] != block[y]) | (i[x] == j[x])) & own[x] & (place[x] <= n[x] // 7) & (100 * n[x] >= SIMILAR * n[y])
         good &= 7 * np.minimum(n[x] - place[x], n[y] - place[y]) >= 3 * (n[x] + n[y])
         # sets of one size can have either role, and then both places are small enough
         a, b = doc[x[good]], doc[y[good]]
@@ -361,13 +361,16 @@ def exact_candidates(common: DataFrame, docs: DataFrame, labels: DataFrame) -> D
     label_of = common.select("doc").join(labels.toDF("doc", "label"), "doc", "left").select("doc", F.coalesce("label", "doc").alias("label"))
     firsts = mine.mapInArrow(frugal(prefixes(counts)), "code long, doc long, n long, place long")
     rows = written(firsts.join(small(written(label_of, "near-label-of"), BROADCAST_IDS), "doc"), "near-prefixes")
-    lists = rows.groupBy("code").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("code", F.ceil(F.col("members") / BLOCK).alias("blocks"))
-    lists = written(lists, "near-exact-lists")
-    block = rows.join(lists, "code").withColumn("block", F.pmod(F.xxhash64("doc", "code"), "blocks"))
-    dealt = block.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "n", "place", "label", "block")
-    members = lists.join(rows, "code").agg(F.sum("blocks")).first()[0] or 0
+    # a set is at most a third larger than a similar one, so it lies in the same band of sizes or the next: each band's list holds both
+    band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
+    rows = rows.select("code", "doc", "n", "place", "label", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))).alias("at")).select("*", "at.*").drop("at")
+    lists = rows.groupBy("code", "band").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("l"), F.max("label").alias("h"), F.bool_or("own").alias("any")).where("l < h and any")
+    lists = written(lists.select("code", "band", "members", F.ceil(F.col("members") / BLOCK).alias("blocks")), "near-exact-lists")
+    block = rows.join(lists.drop("members"), ["code", "band"]).withColumn("block", F.pmod(F.xxhash64("doc", "code"), "blocks"))
+    dealt = block.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("code", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "n", "place", "label", "block", "own")
+    members = lists.agg(F.sum(F.col("members") * F.col("blocks"))).first()[0] or 0
     buckets = max(16, -(-members // (4 * ROWS)))
-    pairs = dealt.withColumn("bucket", F.pmod(F.xxhash64("code", "i", "j"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(frugal(block_pairs), "a long, b long")
+    pairs = dealt.withColumn("bucket", F.pmod(F.xxhash64("code", "band", "i", "j"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(frugal(block_pairs), "a long, b long")
     pairs = written(pairs.distinct(), "near-exact-pairs")
     of = lambda s: common.select(F.col("doc").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"sketch_{s}"))
     return pairs.join(of("b"), "b").join(of("a"), "a").mapInArrow(frugal(likely_pairs), PAIR_DDL)

@@ -433,3 +433,17 @@ def stage_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     gone = written(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id")).distinct(), "near-gone")
     return docs.join(small(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+
+
+#: The links of all pairs that share a shingle, and all documents that each one reaches.
+OP10_SQL = r"""
+WITH RECURSIVE ws AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM ws),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS label FROM n UNION SELECT b, label FROM r JOIN both_ways ON r.doc_id = a)
+SELECT doc_id, n AS n_shingles, min(label) AS component_id, min(label) = doc_id AS kept FROM n JOIN r USING (doc_id) GROUP BY doc_id, n
+"""

@@ -4,11 +4,11 @@ from .byte_bpe import op6_byte_bpe
 from .gif_media import op1_gif_media
 from .language_id import op5_language_id
 from .mixing import op3_mixing
-from .near_dedup import op10_near_dedup
+from .near_dedup import OP10_SQL, op10_near_dedup
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .secret_scan import OP9_SQL, op9_secret_scan
-from .suffix_dedup import op2_suffix_dedup
+from .suffix_dedup import OP2_SQL, op2_suffix_dedup
 from .token_counts import op4_token_counts
 
 
@@ -17,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": OP8_SQL, "op9_secret_scan": OP9_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op8_quality_rules": OP8_SQL, "op9_secret_scan": OP9_SQL, "op10_near_dedup": OP10_SQL}

@@ -525,3 +525,18 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
+
+
+#: Every 50-byte string as hexadecimal digits, with the smallest document in which it begins.
+OP2_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, base, substring(h, 2 * base + 1, 2146) AS h FROM (SELECT *, unnest(range(0, len(h) // 2, 1024)) AS base FROM h)),
+w AS (SELECT doc_id, base + i AS pos, substring(h, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(len(h) // 2 - 49, 1024))) AS i FROM p)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+g AS (SELECT doc_id, pos, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) > 50, true)::INT AS new FROM w JOIN f USING (s) WHERE doc_id > first),
+r AS (SELECT doc_id, min(pos) AS a, max(pos) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g) GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+c AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans, max(b) AS last, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM k JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN c USING (doc_id)
+"""

@@ -22,7 +22,7 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: White space of the pattern's \s, as fixed by Unicode.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Pre-tokens whose ids a worker keeps, in each of two generations; the older is forgotten when the younger is full.
-KEPT = 1 << 18
+KEPT = 1 << 17
 TILE = 1 << 19
 
 

@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,6 +208,58 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(numbers, values): disjoint ascending ranges of bytes as numbers of distinct values, compared byte by byte and not by codes."""
+    if not len(starts):
+        return np.zeros(0, np.int32), pa.array([], pa.large_binary())
+    step = np.zeros(len(data) + 1, np.int8)
+    step[starts] += 1
+    step[ends] -= 1
+    inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    found = array.dictionary_encode()
+    return np.asarray(found.indices), found.dictionary
+
+
+#: Ranges over so many bytes get their code from a library call each.
+LONG_RANGE = 2048
+
+
+def range_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit codes of ranges of bytes: eight bytes at a time are mixed into a state, for all ranges at once.
+
+    Mixing isn't linear, so no family of strings collides by its structure; still, equal codes are no proof of equal bytes.
+    """
+    left = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mixed(left.astype(np.uint64) + np.uint64(_BASE))
+    for k in np.flatnonzero(left > LONG_RANGE).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    live = np.flatnonzero((left > 0) & (left <= LONG_RANGE))
+    at, left, h = starts[live], left[live], out[live]
+    while len(live):
+        x = eights[at]
+        short = left < 8
+        x[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        h = mixed((h ^ x) * np.uint64(0xA0761D6478BD642F) + np.uint64(0xE7037ED1A0B428DB))
+        more = left > 8
+        out[live[~more]] = h[~more]
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    return out
+
+
 def per_doc(rows: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     out = np.bincount(rows, weights, n)
     return out if weights is None else np.rint(out).astype(np.int64)

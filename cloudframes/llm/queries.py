@@ -1,6 +1,7 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
 from .byte_bpe import op6_byte_bpe
+from .fingerprints import op12_fingerprints
 from .gif_media import op1_gif_media
 from .language_id import op5_language_id
 from .mixing import op3_mixing
@@ -13,7 +14,7 @@ from .token_counts import op4_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gif_media, op2_suffix_dedup, op3_mixing, op4_token_counts, op5_language_id, op6_byte_bpe, op7_quality_classifier, op8_quality_rules, op9_secret_scan, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_gif_media, op2_suffix_dedup, op3_mixing, op4_token_counts, op5_language_id, op6_byte_bpe, op7_quality_classifier, op8_quality_rules, op9_secret_scan, op10_near_dedup, op12_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

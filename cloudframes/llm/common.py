@@ -150,19 +150,6 @@ def doc_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, TILE_BYTES + 4096)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.cumprod(x)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads differences over all bits."""
     h = h ^ (h >> np.uint64(32))
@@ -173,27 +160,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class Prefixes:
-    """64-bit hashes of any ranges of an array in constant time each, from polynomial prefix sums."""
-
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        up, self.down = _powers(n + 1)
-        x = (values.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)
-        x ^= x >> np.uint64(29)
-        x *= up[:n]
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(x, out=self.sums[1:])
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
-
-    def all(self, length: int) -> np.ndarray:
-        """Of every range of this length."""
-        m = max(0, len(self.sums) - length)
-        return mixed((self.sums[length:] - self.sums[:m]) * self.down[:m] + np.uint64(length))
-
-
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and document rows of the words [^\\x20\\x09-\\x0D]+ of a tile."""
     inside = np.ones(len(data) + 1, bool)
@@ -232,6 +198,32 @@ def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
     return np.asarray(found.indices), found.dictionary
 
 
+#: The bits of codes that are used; exact results are the same with any, only slower.
+CODE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def equal_rows(columns: list[np.ndarray], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, same): an order in which equal rows of some columns of integers are neighbours, and whether each row there equals the one before.
+
+    Rows are ordered by a code; if one code has unequal rows, by the columns behind it too. So codes only speed this up.
+    """
+    order = np.argsort(code, kind="stable")
+
+    def equal(of: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(order), bool)
+        x = of[order]
+        out[1:] = x[1:] == x[:-1]
+        return out
+
+    coded, same = equal(code), np.ones(len(order), bool)
+    for c in columns:
+        same &= equal(c)
+    if (coded & ~same).any():
+        order = np.lexsort([*columns[::-1], code])
+        same = np.logical_and.reduce([equal(c) for c in columns])
+    return order, same
+
+
 #: Ranges over so many bytes get their code from a library call each.
 LONG_RANGE = 2048
 

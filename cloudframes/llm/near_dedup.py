@@ -1,7 +1,8 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
-Every document's shingles have 64-bit codes; its sketch is the KEEP least of them. Equal shingle sets are one class, which its
-smallest doc_id stands for. Then
+Every document's shingles have 64-bit codes; its sketch is the KEEP least of them. Codes choose candidates; shingles are counted and
+links verified by the words themselves. Equal shingle sets, by a cryptographic digest of their words, are one class, which its smallest
+doc_id stands for. Then
 
 1. inverted lists of the FIRST least codes of each class. Similar sets have SHARED of these in common, so of each class's codes, by
    ascending length of their lists, all but the SHARED - 1 last are enough: two similar classes have one of these in common. Lists
@@ -21,11 +22,14 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Prefixes, doc_text, documents, frugal, mixed, per_doc, small, text_tiles, words, written
-from .suffix_dedup import packed, unpacked
+from . import common
+from .common import TILE_BYTES, distinct_slices, doc_text, documents, equal_rows, frugal, lowered, mixed, per_doc, range_codes, small, text_tiles, words, written
+from .suffix_dedup import packed
 
 SHINGLE, SIMILAR = 5, 75
 #: Codes of a sketch, and codes that are looked up in lists.
@@ -53,39 +57,76 @@ COUNTS, BLOCK = 1 << 19, 400
 BEST, ROWS, CHUNK, BROADCAST_IDS = 2, 10_000, 4_000, 1_000_000
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, cuts): the sorted distinct 64-bit codes of each document's shingles, one document after the other."""
-    n = len(offsets) - 1
-    lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    starts, ends, row = words(lower, offsets)
-    word = Prefixes(lower).of(starts, ends)
-    count = per_doc(row, n)
-    first = np.concatenate([[0], np.cumsum(count)])[:-1]
-    size = np.where(count >= SHINGLE, SHINGLE, count)
-    number = np.where(count > 0, count - size + 1, 0)
-    owner = np.repeat(np.arange(n), number)
-    at = np.repeat(first - np.cumsum(number) + number, number) + np.arange(int(number.sum()))
-    codes = np.zeros(len(at), np.uint64)
-    for k in range(SHINGLE):
-        inside = k < size[owner]
-        codes[inside] = mixed(codes[inside] * np.uint64(0x9E3779B97F4A7C15) + word[at[inside] + k] + np.uint64(k + 1))
-    order = np.lexsort((codes, owner))
-    codes, owner = codes[order], owner[order]
-    new = np.ones(len(codes), bool)
-    new[1:] = (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])
-    codes, owner = codes[new], owner[new]
-    return codes, np.concatenate([[0], np.cumsum(per_doc(owner, n))])
+class Shingles:
+    """The distinct shingles of each document of a tile, one document after the other (cuts), by 64-bit codes.
+
+    Shingles are compared by their words, and these by their bytes: two with one code are still two. words has a row for each shingle,
+    with the numbers of its words in values (-1 where a short document has fewer).
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        n = len(offsets) - 1
+        lower = lowered(data)
+        starts, ends, row = words(lower, offsets)
+        number, self.values = distinct_slices(lower, starts, ends)
+        _, at, flat = self.values.buffers() if len(self.values) else (None, None, None)
+        at = np.frombuffer(at, np.int64)[: len(self.values) + 1] if at is not None else np.zeros(1, np.int64)
+        word = (range_codes(np.frombuffer(flat, np.uint8)[: at[-1]], at[:-1], at[1:]) if len(self.values) else np.zeros(0, np.uint64)) & common.CODE
+        count = per_doc(row, n)
+        first = np.concatenate([[0], np.cumsum(count)])[:-1]
+        size = np.where(count >= SHINGLE, SHINGLE, count)
+        amount = np.where(count > 0, count - size + 1, 0)
+        owner = np.repeat(np.arange(n), amount)
+        place = np.repeat(first - np.cumsum(amount) + amount, amount) + np.arange(int(amount.sum()))
+        codes, of = np.zeros(len(place), np.uint64), np.full((len(place), SHINGLE), -1, np.int32)
+        for k in range(SHINGLE):
+            inside = np.flatnonzero(k < size[owner])
+            of[inside, k] = number[place[inside] + k]
+            codes[inside] = mixed(codes[inside] * np.uint64(0x9E3779B97F4A7C15) + word[of[inside, k]] + np.uint64(k + 1))
+        order = np.lexsort((codes, owner))
+        self.one_code = False
+        codes, owner, of, same = self._ordered(codes, owner, of, order)
+        if (same & (of[1:] != of[:-1]).any(1)).any():  # different shingles with one code: in the order of their words' bytes
+            self.one_code = True
+            rank = np.empty(len(self.values) + 1, np.int64)
+            rank[np.asarray(pc.sort_indices(self.values))] = np.arange(len(self.values))
+            rank[-1] = -1
+            codes, owner, of, same = self._ordered(codes, owner, of, np.lexsort((*rank[of].T[::-1], codes, owner)))
+            same &= (of[1:] == of[:-1]).all(1)
+        new = np.ones(len(codes), bool)
+        new[1:] = ~same
+        self.codes, self.words = codes[new], of[new]
+        self.cuts = np.concatenate([[0], np.cumsum(per_doc(owner[new], n))])
+
+    @staticmethod
+    def _ordered(codes, owner, of, order):
+        codes, owner, of = codes[order], owner[order], of[order]
+        return codes, owner, of, (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
+
+    def numbers(self) -> np.ndarray:
+        """A number for each shingle, the same for equal ones in different documents only."""
+        order, same = equal_rows(list(self.words.T), self.codes)
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(~same)
+        return out
+
+    def digests(self):
+        """Of each document's set 128 bits of BLAKE2b over its shingles' words in order, each word by such a digest of its bytes."""
+        of_word = [hashlib.blake2b(w, digest_size=16).digest() for w in self.values.to_pylist()]
+        table = np.frombuffer(b"".join([*of_word, bytes(16)]), np.uint64).reshape(-1, 2)
+        for a, b in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True):
+            yield hashlib.blake2b(table[self.words[a:b]].tobytes(), digest_size=16).digest()
 
 
 def sketches(batches):
     """doc_id, n_shingles, set digest, the first codes, and the sketch as the upper 32 bits of its codes."""
     for batch in batches:
         for i, j, data, offsets in text_tiles(batch.column(1)):
-            codes, cuts = shingles(data, offsets)
+            sets = Shingles(data, offsets)
             rows = []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                low = codes[a : min(b, a + KEEP)]
-                rows.append((b - a, hashlib.blake2b(codes[a:b].tobytes(), digest_size=16).digest(), low.view(np.int64).tolist(), (low >> np.uint64(32)).astype("<u4").tobytes()))
+            for a, b, digest in zip(sets.cuts[:-1].tolist(), sets.cuts[1:].tolist(), sets.digests(), strict=True):
+                low = np.unique(sets.codes[a:b])[:KEEP] if sets.one_code else sets.codes[a : min(b, a + KEEP)]
+                rows.append((b - a, digest, low.view(np.int64).tolist(), (low >> np.uint64(32)).astype("<u4").tobytes()))
             n, digest, first, sketch = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n", "digest", "first", "sketch"])
 
@@ -116,7 +157,7 @@ def estimates(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _likely(x, y, nx, ny) -> tuple[np.ndarray, np.ndarray]:
     value, exact = estimates(x, y)
-    return value, (100 * np.minimum(nx, ny) >= SIMILAR * np.maximum(nx, ny)) & (value >= np.where(exact, SIMILAR / 100 - 1e-9, SIMILAR / 100 - SLACK))
+    return value, (100 * np.minimum(nx, ny) >= SIMILAR * np.maximum(nx, ny)) & (value >= np.where(exact, SIMILAR / 100 - 2 / KEEP, SIMILAR / 100 - SLACK))
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, value: np.ndarray) -> pa.Table:
@@ -181,23 +222,24 @@ def star_pairs(batches):
 
 
 def verified(batches):
-    """Pairs whose full shingle sets are similar enough."""
+    """Pairs whose full sets of shingles are similar enough, compared by their words."""
+    expand = zstandard.ZstdDecompressor()
     for batch in batches:
         a, b = np.asarray(batch.column("a")), np.asarray(batch.column("b"))
-        sides = []
-        for name in ("packed_a", "packed_b"):
-            sets = []
-            view = pa.RecordBatch.from_arrays([batch.column(name)], names=["packed"])
-            for _, texts in unpacked(view):
-                data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-                codes, cuts = shingles(data, offsets)
-                sets += [codes[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            sides.append(sets)
-        good = []
-        for x, y in zip(*sides, strict=True):
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(len(x) + len(y) > 0 and 100 * common >= SIMILAR * (len(x) + len(y) - common))
-        keep = np.array(good, bool)
+        keep = np.zeros(len(a), bool)
+        texts: list[bytes] = []
+        size, begin = 0, 0
+        for k in range(len(a)):
+            texts += [expand.decompress(batch.column(c)[k].as_py()) for c in ("packed_a", "packed_b")]
+            size += len(texts[-1]) + len(texts[-2])
+            if size >= 2 * TILE_BYTES or k == len(a) - 1:
+                sets = Shingles(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
+                number, cuts = sets.numbers(), sets.cuts
+                for p in range(k + 1 - begin):
+                    x, y = (number[cuts[2 * p + q] : cuts[2 * p + q + 1]] for q in (0, 1))
+                    common_ones = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[begin + p] = len(x) + len(y) > 0 and 100 * common_ones >= SIMILAR * (len(x) + len(y) - common_ones)
+                texts, size, begin = [], 0, k + 1
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
@@ -276,7 +318,7 @@ def code_counts(batches):
     total = np.zeros(2 * COUNTS, np.int64)
     for batch in batches:
         for _, _, data, offsets in text_tiles(batch.column(1)):
-            for at in _buckets(shingles(data, offsets)[0]):
+            for at in _buckets(Shingles(data, offsets).codes):
                 total += np.bincount(at, minlength=2 * COUNTS)
     some = np.flatnonzero(total)
     for k in range(0, len(some), 100_000):
@@ -295,7 +337,8 @@ def prefixes(counts: np.ndarray):
     def of(batches):
         for batch in batches:
             for i, j, data, offsets in text_tiles(batch.column(1)):
-                codes, cuts = shingles(data, offsets)
+                sets = Shingles(data, offsets)
+                codes, cuts = sets.codes, sets.cuts
                 size = np.diff(cuts)
                 owner = np.repeat(np.arange(j - i), size)
                 first, second = _buckets(codes)

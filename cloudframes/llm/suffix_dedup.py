@@ -154,19 +154,6 @@ def packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(frames, pa.binary())], names=["doc_id", "packed"])
 
 
-def unpacked(batch: pa.RecordBatch, most: int = 4 << 20):
-    """(first row, texts as bytes) of runs of rows."""
-    expand, texts, begin, size = zstandard.ZstdDecompressor(), [], 0, 0
-    for k, x in enumerate(batch.column("packed")):
-        texts.append(expand.decompress(x.as_py()))
-        size += len(texts[-1])
-        if size >= most:
-            yield begin, texts
-            texts, begin, size = [], k + 1, 0
-    if texts:
-        yield begin, texts
-
-
 def blocks(batches):
     """Documents to blocks: ids, sizes and one compressed text. Numbers of blocks are unique, for a task counts within its own range."""
     from pyspark import TaskContext

@@ -129,7 +129,7 @@ query("progress", duck("messages") + " SELECT session, stage, arg_max(done, seq)
 query("peak_memory", duck("messages") + " SELECT session, max(n_bytes) AS peak_bytes FROM v_messages GROUP BY session")(lambda s, d: st.stream_peak(_msg(s, d)))
 query("stage_timings", duck("messages") + " SELECT session, stage, max(t_ms) - min(t_ms) AS ms, max(n_bytes) AS peak_bytes FROM v_messages GROUP BY ALL")(lambda s, d: st.stage_timings(_msg(s, d)))
 query("stream_timeline_check", duck("messages") + """, v_r AS (SELECT *, CASE WHEN tag = 'chunk' THEN coalesce(frame > lag(frame) OVER (PARTITION BY session, tag ORDER BY seq), true) END AS rises FROM v_messages)
-SELECT session, min(seq) FILTER (tag = 'cameras') < min(seq) FILTER (tag = 'chunk') AS cameras_first, min(seq) FILTER (tag = 'progress') < min(seq) FILTER (tag = 'cameras') AS progress_first, bool_and(rises) AS chunks_rise, max(seq) FILTER (tag = 'done') = max(seq) AS done_last FROM v_r GROUP BY session""")(lambda s, d: st.timeline_check(_msg(s, d)))
+SELECT session, count(*) FILTER (tag = 'chunk') = ceil(count(DISTINCT frame_idx) FILTER (tag = 'frame') / 8.0e0) AS chunks_complete, min(seq) FILTER (tag = 'cameras') < min(seq) FILTER (tag = 'chunk') AS cameras_first, min(seq) FILTER (tag = 'progress') < min(seq) FILTER (tag = 'cameras') AS progress_first, bool_and(rises) AS chunks_rise, max(seq) FILTER (tag = 'done') = max(seq) AS done_last FROM v_r GROUP BY session""")(lambda s, d: st.timeline_check(_msg(s, d)))
 
 
 # --- streams: what is there of the given tables, read as a stream
@@ -146,6 +146,28 @@ def stream_of(s, d, name: str, late: str, df=None):
     return s.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files)).parquet(folder)
 
 
+def stream_in_time(s, df, ts: str, name: str, end=None, batches: int = 3):
+    """Rows as a stream of batches in order of the timestamp ts, so that none is late; a last batch has the rows `end`, which say that time goes on.
+
+    The driver gets two bounds of time. Each batch is written as FILES files, so that all streams of a query advance alike.
+    """
+    folder = f"{_scratch(s)}/{name}-{uuid.uuid4().hex}"
+    us = F.unix_micros(ts)
+    bounds = df.agg(F.percentile_approx(us, [(k + 1) / batches for k in range(batches - 1)], 10_000)).first()[0] or []
+    edges = [None, *bounds, None]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        part = df if low is None else df.where(us > low)
+        part = part if high is None else part.where(us <= high)
+        part.repartition(FILES).write.mode("append").parquet(folder)
+    if end is not None:
+        end.select(df.columns).coalesce(1).write.mode("append").parquet(folder)
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+
+
+#: Files of a batch of a stream in time.
+FILES = 4
+
+
 def _scratch(s) -> str:
     """The folder that driver and executors share; only a local master may do without the setting."""
     import tempfile
@@ -185,9 +207,52 @@ FSM = f""", v_t AS (SELECT session, seq, {TAG} AS tag, {CHUNK} AS frame FROM v_m
     WHEN tag = 'chunk' AND t.frame <= chunk THEN ['failed', 'validation'] ELSE [tag, NULL] END AS e FROM v_s p JOIN v_t t ON t.session = p.session AND t.seq = p.seq + 1 AND p.state <> 'failed') s)
 SELECT session, seq, state, error FROM v_s WHERE seq > 0"""
 query("stream_session_fsm", duck("messages") + FSM)(lambda s, d: _long_session(run(s, st.stream_session_fsm(_text_session(_messages(s, d).select("session", "seq", F.expr(TAG).alias("tag"), F.expr(CHUNK).alias("frame")))))))
-query("stream_log_dedup", duck("messages") + " SELECT session, seq, line FROM (SELECT session, seq, tag AS line, lag(tag) OVER (PARTITION BY session ORDER BY seq) AS p FROM v_messages) WHERE p IS NULL OR p <> line")(lambda s, d: _long_session(run(s, st.stream_log_dedup(_text_session(_messages(s, d).select("session", "seq", F.col("tag").alias("line")))))))
+#: The same with sessions that fail when they are silent for longer than SILENT_DAYS, also at the end, for time goes on after the last message.
+SILENT_DAYS = 1
+GONE = f"(p.ms IS NOT NULL AND p.state <> 'done' AND t.ms - p.ms > {SILENT_DAYS * 86_400_000})"
+STALLED = f""", v_t AS (SELECT session, seq, t_ms AS ms, {TAG} AS tag, {CHUNK} AS frame FROM v_messages), v_s AS (SELECT session, 0::BIGINT AS seq, '' AS state, -1::BIGINT AS chunk, NULL::VARCHAR AS error, NULL::BIGINT AS ms FROM (SELECT DISTINCT session FROM v_messages)
+  UNION ALL SELECT session, seq, s.e[1], CASE WHEN s.e[1] = 'chunk' THEN frame ELSE chunk END, s.e[2], ms FROM (SELECT t.session, t.seq, t.frame, t.ms, p.chunk, CASE WHEN {GONE} THEN ['failed', 'stalled']
+    WHEN tag = 'cancel' THEN CASE WHEN state IN ('', 'done') THEN [state, NULL] ELSE ['failed', 'cancelled'] END
+    WHEN tag = 'error' AND state IN ('start', 'progress', 'cameras', 'chunk') THEN ['failed', 'internal']
+    WHEN NOT ((state, tag) IN (('', 'open'), ('open', 'frame'), ('frame', 'frame'), ('frame', 'start'), ('start', 'progress'), ('progress', 'progress'), ('progress', 'cameras'), ('cameras', 'chunk'), ('chunk', 'chunk'), ('chunk', 'done'))) THEN ['failed', 'protocol']
+    WHEN tag = 'chunk' AND t.frame <= chunk THEN ['failed', 'validation'] ELSE [tag, NULL] END AS e FROM v_s p JOIN v_t t ON t.session = p.session AND t.seq = p.seq + 1 AND p.state <> 'failed') s),
+v_z AS (SELECT session, arg_max(state, seq) AS state, max(seq) AS seq FROM v_s GROUP BY session)
+SELECT session, CASE WHEN error = 'stalled' THEN seq - 1 ELSE seq END AS seq, state, error FROM v_s WHERE seq > 0 UNION ALL SELECT session, seq, 'failed', 'stalled' FROM v_z WHERE seq > 0 AND state NOT IN ('done', 'failed')"""
+
+
+@query("stream_session_stalls", duck("messages") + STALLED)
+def stream_session_stalls(s, d):
+    """The states of sessions with timers, over three batches in time and a last message of another session a year later."""
+    m = _text_session(view(s, d, "messages").select("session", "seq", F.expr(TAG).alias("tag"), F.expr(CHUNK).alias("frame"), F.col("ts").cast("timestamp").alias("ts")))
+    end = m.agg(F.max("ts").alias("ts")).select(F.lit("end").alias("session"), F.lit(1).cast("long").alias("seq"), F.lit("open").alias("tag"), F.lit(0).cast("long").alias("frame"), (F.col("ts") + F.expr("interval 365 days")).alias("ts"))
+    rows = run(s, st.stream_session_fsm(stream_in_time(s, m, "ts", "stalls", end), f"{SILENT_DAYS} days"))
+    return _long_session(rows.where("session <> 'end'"))
+
+
+@query("stream_log_dedup", duck("messages") + """, v_d AS (SELECT session, seq, line FROM (SELECT session, seq, tag AS line, lag(tag) OVER (PARTITION BY session ORDER BY seq) AS p FROM v_messages) WHERE p IS NULL OR p <> line)
+SELECT session, seq, line FROM v_d QUALIFY row_number() OVER (PARTITION BY session ORDER BY seq DESC) <= 20""")
+def stream_log_dedup(s, d):
+    """What logs of twenty lines hold in the end."""
+    changes = run(s, st.stream_log_dedup(_text_session(_messages(s, d).select("session", "seq", F.col("tag").alias("line"))), 20))
+    return _long_session(st.log_lines(changes))
+
+
 _pixels = lambda s, d: stream_of(s, d, "depth", "frame % 3 = 0")
-query("stream_cloud", duck("depth", "pose") + f", {DUCK_CAMS} SELECT frame, x AS px, y AS py, {WORLD} FROM v_depth JOIN v_cams USING (frame) WHERE NOT isnan(depth)")(lambda s, d: run(s, st.stream_cloud(_pixels(s, d), view(s, d, "pose"))).select("frame", "px", "py", *[F.round(c, 5).alias(c) for c in ("wx", "wy", "wz")]))
+@query("stream_cloud", duck("depth", "pose") + f", {DUCK_CAMS} SELECT frame, x AS px, y AS py, {WORLD} FROM v_depth JOIN v_cams USING (frame) WHERE NOT isnan(depth)")
+def stream_cloud(s, d):
+    """Pixels and cameras are both streams; the cameras of every second frame come a batch later than their pixels."""
+    cams = stream_of(s, d, "pose", "frame % 2 = 0")
+    return run(s, st.stream_cloud(stream_of(s, d, "depth", "frame % 3 = 0"), cams)).select("frame", "px", "py", *[F.round(c, 5).alias(c) for c in ("wx", "wy", "wz")])
+
+
+@query("stream_conf_threshold", duck("depth") + """, v_h AS (SELECT 's' || frame % 5 AS session, floor((ln(least(greatest(conf, 1e-3), 1e3)) - ln(1e-3)) / (ln(1e3) - ln(1e-3)) * 4095)::BIGINT AS bin, count(*) AS c FROM v_depth WHERE NOT isnan(conf) GROUP BY ALL),
+v_u AS (SELECT *, sum(c) OVER (PARTITION BY session ORDER BY bin) AS upto, sum(c) OVER (PARTITION BY session) AS n FROM v_h) SELECT session, min(bin) AS bin, any_value(n)::BIGINT AS n FROM v_u WHERE upto > floor((n - 1) * 0.3e0) GROUP BY session""")
+def stream_conf_threshold(s, d):
+    """The last threshold of each session, the bin of the quantile 0.3."""
+    rows = run(s, st.stream_conf_threshold(_pixels(s, d).withColumn("session", F.concat(F.lit("s"), (F.col("frame") % 5).cast("string"))), 0.3))
+    return rows.groupBy("session").agg(F.max_by("bin", "n").cast("long").alias("bin"), F.max("n").alias("n"))
+
+
 query("stream_conf_hist", duck("depth") + " SELECT 's' AS session, floor((ln(least(greatest(conf, 1e-3), 1e3)) - ln(1e-3)) / (ln(1e3) - ln(1e-3)) * 4095)::BIGINT AS bin, count(*) AS count FROM v_depth WHERE NOT isnan(conf) GROUP BY ALL")(lambda s, d: run(s, st.stream_conf_hist(_pixels(s, d).withColumn("session", F.lit("s"))), "complete").withColumn("bin", F.col("bin").cast("long")))
 
 
@@ -200,15 +265,26 @@ def stream_keyframes(s, d):
 
 BURSTS = """, v_t AS (SELECT *, CASE WHEN epoch(CAST(capture_time AS TIMESTAMP)) - lag(epoch(CAST(capture_time AS TIMESTAMP))) OVER o < 600 THEN 0 ELSE 1 END AS new FROM v_photos WHERE capture_time IS NOT NULL WINDOW o AS (PARTITION BY session ORDER BY capture_time, path)),
 v_b AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY capture_time, path) AS burst FROM v_t) SELECT session, count(*) AS n, round(max(sharpness), 6) AS sharpness, arg_max(path, struct_pack(a := sharpness, b := -epoch(CAST(capture_time AS TIMESTAMP)), c := path)) AS path FROM v_b GROUP BY session, burst"""
-query("stream_bursts", duck("photos") + BURSTS)(lambda s, d: run(s, st.stream_bursts(stream_of(s, d, "photos", "event_id % 2 = 0").where("capture_time is not null").select("session", F.to_timestamp("capture_time").alias("ts"), "path", "sharpness"), gap="599999999 microseconds", delay="400 days"), "complete").select("session", "n", F.round("sharpness", 6).alias("sharpness"), "path"))
+@query("stream_bursts", duck("photos") + BURSTS)
+def stream_bursts(s, d):
+    """Bursts as the watermark, ten seconds behind, passes their ends; the last row says that time goes on."""
+    p = view(s, d, "photos").where("capture_time is not null").select("session", F.to_timestamp("capture_time").alias("ts"), "path", "sharpness")
+    end = p.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast(p.schema["session"].dataType).alias("session"), (F.col("ts") + F.expr("interval 1 day")).alias("ts"), F.lit("").alias("path"), F.lit(0.0).alias("sharpness"))
+    rows = run(s, st.stream_bursts(stream_in_time(s, p, "ts", "bursts", end), gap="599999999 microseconds"))
+    return rows.where("session >= 0").select("session", "n", F.round("sharpness", 6).alias("sharpness"), "path")
 
 
-@query("stream_telemetry_asof", duck("telemetry", "probes") + ASOF + " SELECT video, probe, seq::BIGINT AS seq FROM v_pick WHERE seq IS NOT NULL")
+@query("stream_telemetry_asof", duck("telemetry", "probes") + ASOF + " SELECT video, probe, seq::BIGINT AS seq FROM v_pick")
 def stream_telemetry_asof(s, d):
+    """All probes, those without an entry too, with watermarks of ten seconds; a last row of each stream says that time goes on."""
     at = lambda c: F.timestamp_millis(F.col(c) + 1_700_000_000_000)
-    frames = stream_of(s, d, "probes", "probe % 2 = 0").select("video", "probe", at("t_ms").alias("ts"))
-    entries = stream_of(s, d, "telemetry", "seq > 3").select("video", "seq", at("start_ms").alias("start_ts"), at("end_ms").alias("end_ts"))
-    return st.nearest(run(s, st.stream_telemetry_asof(frames, entries, 900_000, 200_000, "400 days"))).withColumn("seq", F.col("seq").cast("long"))
+    frames = view(s, d, "probes").select("video", "probe", at("t_ms").alias("ts"))
+    entries = view(s, d, "telemetry").select("video", F.col("seq").cast("long").alias("seq"), at("start_ms").alias("start_ts"), at("end_ms").alias("end_ts"))
+    last = frames.select("ts").union(entries.select("start_ts")).agg((F.max("ts") + F.expr("interval 1 day")).alias("ts"))
+    none = F.lit(-1).cast(frames.schema["video"].dataType).alias("video")
+    f = stream_in_time(s, frames, "ts", "probes", last.select(none, F.lit(-1).cast(frames.schema["probe"].dataType).alias("probe"), "ts"))
+    e = stream_in_time(s, entries, "start_ts", "entries", last.select(none, F.lit(-1).cast("long").alias("seq"), F.col("ts").alias("start_ts"), F.col("ts").alias("end_ts")))
+    return run(s, st.stream_telemetry_asof(f, e, 900_000, 200_000, "10 seconds")).where("probe >= 0")
 
 
 # --- sinks: written to the shared folder and read back

@@ -2,22 +2,78 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.pose import unproject
-from ..operators.cloud import cameras, finite_filter
+from ..functions.pose import decode_pose, unproject
+from ..operators.cloud import finite_filter
 from ..operators.keyframes import MIN_DIFF, MIN_MOVE_M, MIN_YAW_DEG, WINDOW
 
 BINS, LOW, HIGH = 4096, 1e-3, 1e3
+#: Frames of a chunk of depth, and lines that a status log keeps.
+CHUNK_FRAMES, LOG_LINES = 8, 200
+
+
+class _Waiting(StatefulProcessor):
+    """Holds a frame's pixels until its camera comes, then lets them and all later ones through with the camera; the last camera counts."""
+
+    PIXEL = "x long, y long, depth double, conf double"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.camera = handle.getValueState("camera", "width int, height int, enc array<double>")
+        self.waiting = handle.getListState("waiting", self.PIXEL)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        camera = self.camera.get() if self.camera.exists() else None
+        held: list[pd.DataFrame] = []
+        for pdf in rows:
+            cams, pixels = pdf[pdf["is_camera"]], pdf[~pdf["is_camera"]]
+            if len(cams):
+                last = cams.iloc[-1]
+                camera = (int(last.width), int(last.height), [float(v) for v in last.enc])
+            if len(pixels):
+                held.append(pixels[["x", "y", "depth", "conf"]])
+        number = lambda v: None if pd.isna(v) else float(v)
+        if camera is None:
+            for pdf in held:
+                self.waiting.appendList([(int(p.x), int(p.y), number(p.depth), number(p.conf)) for p in pdf.itertuples()])
+            return
+        self.camera.update(camera)
+        if self.waiting.exists():
+            held.insert(0, pd.DataFrame([tuple(p) for p in self.waiting.get()], columns=["x", "y", "depth", "conf"]))
+            self.waiting.clear()
+        for pdf in held:
+            yield pdf.assign(frame=key[0], width=camera[0], height=camera[1], enc=[camera[2]] * len(pdf))[["frame", "x", "y", "depth", "conf", "width", "height", "enc"]]
+
+    def close(self) -> None:
+        pass
+
+
+def _with_camera(pixels: DataFrame, pose: DataFrame) -> DataFrame:
+    """Pixels with width, height and enc of their frame's camera. Two streams meet in a state by frame, in whatever order they come."""
+    pixels = pixels.select("frame", "x", "y", F.col("depth").cast("double").alias("depth"), F.col("conf").cast("double").alias("conf"))
+    if not pose.isStreaming:
+        return pixels.join(pose.select("frame", "width", "height", "enc"), "frame")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("width", "int"), ("height", "int"), ("enc", "array<double>"))]
+    left = pixels.select("frame", F.lit(False).alias("is_camera"), "x", "y", "depth", "conf", *none)
+    right = pose.select("frame", F.lit(True).alias("is_camera"), *[F.lit(None).cast(t).alias(c) for c, t in (("x", "long"), ("y", "long"), ("depth", "double"), ("conf", "double"))], F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "enc")
+    return left.unionByName(right).groupBy("frame").transformWithStateInPandas(_Waiting(), "frame long, x long, y long, depth double, conf double, width int, height int, enc array<double>", "append", "none")
 
 
 def stream_cloud(chunks: DataFrame, pose: DataFrame) -> DataFrame:
-    """Points of arriving depth pixels (frame, x, y, depth, conf) whose cameras are there (a static table); append mode."""
+    """Points of arriving depth pixels (frame, x, y, depth, conf) in append mode.
+
+    pose (frame, width, height, enc) is a static table, or a stream: then pixels wait in a state until their frame's camera is there.
+    """
+    rows = _with_camera(finite_filter(chunks), pose)
+    camera = decode_pose(F.col("enc"), F.col("width"), F.col("height"))
+    rows = rows.select("frame", F.col("x").alias("px"), F.col("y").alias("py"), "x", "y", "depth", "conf", *[v.alias(k) for k, v in camera.items()])
     x, y, z = unproject(F.col("x"), F.col("y"), F.col("depth"))
-    return finite_filter(chunks).join(cameras(pose), "frame").select("frame", F.col("x").alias("px"), F.col("y").alias("py"), x.alias("wx"), y.alias("wy"), z.alias("wz"), "conf")
+    return rows.select("frame", "px", "py", x.alias("wx"), y.alias("wy"), z.alias("wz"), "conf")
 
 
 def conf_bin(conf):
@@ -32,10 +88,48 @@ def stream_conf_hist(chunks: DataFrame) -> DataFrame:
 
 
 def hist_threshold(hist: DataFrame, q: float) -> DataFrame:
-    """session and the bin that holds the quantile of a histogram."""
+    """session, the bin that holds the quantile of a histogram (session, bin, count), and the number of values: the batch form."""
     w = Window.partitionBy("session")
     rows = hist.withColumn("n", F.sum("count").over(w)).withColumn("upto", F.sum("count").over(w.orderBy("bin")))
-    return rows.where(F.col("upto") > F.floor((F.col("n") - 1) * q)).groupBy("session").agg(F.min("bin").alias("bin"))
+    return rows.where(F.col("upto") > F.floor((F.col("n") - 1) * q)).groupBy("session").agg(F.min("bin").alias("bin"), F.first("n").alias("n"))
+
+
+class _Threshold(StatefulProcessor):
+    """BINS counts of a session, and the bin of the quantile after each batch."""
+
+    def __init__(self, q: float):
+        self.q = q
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "counts array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        counts = np.array(self.counts.get()[0], np.int64) if self.counts.exists() else np.zeros(BINS, np.int64)
+        for pdf in rows:
+            np.add.at(counts, pdf["bin"].to_numpy(np.int64), pdf["count"].to_numpy(np.int64))
+        self.counts.update((counts.tolist(),))
+        upto = np.cumsum(counts)
+        at = int(np.searchsorted(upto, int((int(upto[-1]) - 1) * self.q), side="right"))
+        yield pd.DataFrame([(key[0], at, int(upto[-1]))], columns=["session", "bin", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_conf_threshold(chunks: DataFrame, q: float) -> DataFrame:
+    """The confidence threshold of each session, refined with each batch: session, the bin of the quantile, and the values so far (n).
+
+    Values of chunks (session, conf) are counted by bin inside tasks before they go to the session's state, which is BINS counts.
+    """
+
+    def count(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).group_by(["session", "bin"]).aggregate([([], "count_all")]).rename_columns(["session", "bin", "count"])
+            yield from table.to_batches()
+
+    binned = chunks.where("conf is not null and not isnan(conf)").select("session", conf_bin(F.col("conf")).alias("bin"))
+    counted = binned.mapInArrow(count, "session string, bin int, count long")
+    return counted.groupBy("session").transformWithStateInPandas(_Threshold(q), "session string, bin int, n long", "append", "none")
 
 
 def last_uploads(uploads: DataFrame) -> DataFrame:
@@ -88,28 +182,72 @@ def advance(state: str, last_chunk: int, tag: str, frame: int) -> tuple[str, int
     return tag, frame if tag == "chunk" else last_chunk, None
 
 
+#: States that wait for something more.
+ENDED = {"done", "failed"}
+
+
 class _Session(StatefulProcessor):
+    """The session's state, its last chunk, and when the last message came. With a limit, a timer ends a session that has gone silent."""
+
+    def __init__(self, limit_ms: int | None = None):
+        self.limit = limit_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "state string, chunk long")
+        self.handle = handle
+        self.at = handle.getValueState("at", "state string, chunk long, seq long, ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state, chunk = self.at.get() if self.at.exists() else ("", -1)
-        out = []
+        state, chunk, seq, ms = self.at.get() if self.at.exists() else ("", -1, 0, None)
+        before, out = ms, []
+        passed = timerValues.getCurrentWatermarkInMs() if self.limit is not None else None
         for pdf in rows:
             for r in pdf.sort_values("seq").itertuples():
+                now = int(r.ms)
+                if passed is not None and now < passed:
+                    continue
+                if self.limit is not None and ms is not None and state not in ENDED and now - ms > self.limit:
+                    state = "failed"  # it was silent for too long before this message
+                    out.append((key[0], seq, state, "stalled"))
                 if state != "failed":
                     state, chunk, error = advance(state, chunk, r.tag, int(r.frame))
                     out.append((key[0], int(r.seq), state, error))
-        self.at.update((state, chunk))
+                seq, ms = int(r.seq), now
+        if self.limit is not None and ms != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.limit)
+            if state not in ENDED:
+                self.handle.registerTimer(ms + self.limit)
+        if ms is not None:
+            self.at.update((state, chunk, seq, ms))
+        yield pd.DataFrame(out, columns=["session", "seq", "state", "error"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, chunk, seq, ms = self.at.get()
+        out = []
+        if state not in ENDED:
+            self.at.update(("failed", chunk, seq, ms))
+            out.append((key[0], seq, "failed", "stalled"))
         yield pd.DataFrame(out, columns=["session", "seq", "state", "error"])
 
     def close(self) -> None:
         pass
 
 
-def stream_session_fsm(messages: DataFrame) -> DataFrame:
-    """State and error code after each message (session, seq, tag, frame) until a session fails."""
-    return messages.groupBy("session").transformWithStateInPandas(_Session(), "session string, seq long, state string, error string", "append", "none")
+_STATES = "session string, seq long, state string, error string"
+
+
+def stream_session_fsm(messages: DataFrame, silent: str | None = None, delay: str = "10 seconds") -> DataFrame:
+    """State and error code after each message (session, seq, tag, frame) until a session fails.
+
+    With `silent`, an interval such as `30 seconds`, messages also have an event time ts: a session that is neither done nor failed and
+    has no message for longer fails as `stalled`, with the seq of its last message, once the watermark has passed; messages later than
+    the delay are dropped.
+    """
+    if silent is None:
+        return messages.select("session", "seq", "tag", "frame", F.lit(0).cast("long").alias("ms")).groupBy("session").transformWithStateInPandas(_Session(), _STATES, "append", "none")
+    limit = int(pd.Timedelta(silent).total_seconds() * 1000)
+    timed = messages.select("session", "seq", "tag", "frame", "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", delay)
+    return timed.groupBy("session").transformWithStateInPandas(_Session(limit), _STATES, "append", "eventTime")
 
 
 def stream_progress(messages: DataFrame) -> DataFrame:
@@ -118,12 +256,14 @@ def stream_progress(messages: DataFrame) -> DataFrame:
 
 
 def timeline_check(messages: DataFrame) -> DataFrame:
-    """Whether each session's cameras come before its chunks, progress before the cameras, chunks rise, and done is last."""
+    """Whether each session's cameras come before its chunks, progress before the cameras, chunks rise, there is one for each CHUNK_FRAMES
+    of its different frames (the last may have less), and done is last."""
     w = Window.partitionBy("session", "tag").orderBy("seq")
     rows = messages.withColumn("rises", F.when(F.col("tag") == "chunk", F.coalesce(F.col("frame") > F.lag("frame").over(w), F.lit(True))))
     at = lambda f, tag: f(F.when(F.col("tag") == tag, F.col("seq")))
-    out = rows.groupBy("session").agg(at(F.min, "cameras").alias("cam"), at(F.min, "chunk").alias("first_chunk"), at(F.min, "progress").alias("first_progress"), at(F.max, "done").alias("done"), F.max("seq").alias("last"), F.bool_and("rises").alias("chunks_rise"))
-    return out.select("session", (F.col("cam") < F.col("first_chunk")).alias("cameras_first"), (F.col("first_progress") < F.col("cam")).alias("progress_first"), "chunks_rise", (F.col("done") == F.col("last")).alias("done_last"))
+    out = rows.groupBy("session").agg(at(F.min, "cameras").alias("cam"), at(F.min, "chunk").alias("first_chunk"), at(F.min, "progress").alias("first_progress"), at(F.max, "done").alias("done"), F.max("seq").alias("last"), F.bool_and("rises").alias("chunks_rise"), F.count_if(F.col("tag") == "chunk").alias("chunks"), F.count_distinct(F.when(F.col("tag") == "frame", F.col("frame_idx"))).alias("frames"))
+    complete = F.col("chunks") == F.ceil(F.col("frames") / CHUNK_FRAMES)
+    return out.select("session", (F.col("cam") < F.col("first_chunk")).alias("cameras_first"), (F.col("first_progress") < F.col("cam")).alias("progress_first"), "chunks_rise", complete.alias("chunks_complete"), (F.col("done") == F.col("last")).alias("done_last"))
 
 
 def stage_timings(messages: DataFrame) -> DataFrame:
@@ -137,24 +277,24 @@ def stream_peak(samples: DataFrame) -> DataFrame:
 
 
 def stream_telemetry_asof(frames: DataFrame, entries: DataFrame, slack_ms: int = 500, longest_ms: int = 10_000, delay: str = "5 seconds") -> DataFrame:
-    """Pairs of frames (video, probe, ts) and entries (video, seq, start_ts, end_ts) within the slack; `nearest` picks one for each probe.
+    """video, probe and seq: for each frame (video, probe, ts) its nearest entry (video, seq, start_ts, end_ts) within the slack, or null.
 
-    Both sides have watermarks; entries last at most longest_ms, so that their state is bounded.
+    An outer join of two streams by intervals, then the best entry of each probe, both in append mode: a probe comes out once, when the
+    watermarks (delay behind the latest frame and the latest entry) are past all entries that could still hold it, and its state goes.
+    Entries last at most longest_ms. Rows later than the delay are dropped. An entry that holds is preferred, the last to start of these;
+    else the nearest, ties to the earlier, as in the batch form.
     """
-    f = frames.withWatermark("ts", delay)
-    e = entries.withWatermark("start_ts", delay).withColumnRenamed("video", "of")
-    slack = F.expr(f"interval {slack_ms} milliseconds")
-    near = (F.col("video") == F.col("of")) & (F.col("ts") >= F.col("start_ts") - slack) & (F.col("ts") <= F.col("start_ts") + F.expr(f"interval {longest_ms + slack_ms} milliseconds")) & (F.col("ts") <= F.col("end_ts") + slack)
-    return f.join(e, near).drop("of")
-
-
-def nearest(pairs: DataFrame) -> DataFrame:
-    """One entry for each probe: one that holds, the last to start; else the nearest, ties to the earlier."""
-    holds = (F.col("start_ts") <= F.col("ts")) & (F.col("ts") < F.col("end_ts"))
     us = lambda c: F.unix_micros(c)
-    gap = F.when(holds, 0).when(F.col("start_ts") > F.col("ts"), us("start_ts") - us("ts")).otherwise(us("ts") - us("end_ts"))
-    w = Window.partitionBy("video", "probe").orderBy(gap, F.when(holds, -us("start_ts")).otherwise(us("start_ts")), "seq")
-    return pairs.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("video", "probe", "seq")
+    f = frames.select("video", "probe", "ts").withWatermark("ts", delay)
+    e = entries.select(F.col("video").alias("of"), "seq", "start_ts", us("start_ts").alias("start"), us("end_ts").alias("end")).withWatermark("start_ts", delay)
+    slack = F.expr(f"interval {slack_ms} milliseconds")
+    near = (F.col("video") == F.col("of")) & (F.col("ts") >= F.col("start_ts") - slack) & (F.col("ts") <= F.col("start_ts") + F.expr(f"interval {longest_ms + slack_ms} milliseconds")) & (us("ts") <= F.col("end") + slack_ms * 1000)
+    at = us("ts")
+    holds = (F.col("start") <= at) & (at < F.col("end"))
+    gap = F.when(holds, 0).when(F.col("start") > at, F.col("start") - at).otherwise(at - F.col("end"))
+    best = F.struct(gap.alias("gap"), F.when(holds, -F.col("start")).otherwise(F.col("start")).alias("tie"), "seq")
+    pairs = f.join(e, near, "leftOuter").select("video", "probe", "ts", F.when(F.col("seq").isNotNull(), best).alias("best"))
+    return pairs.groupBy("ts", "video", "probe").agg(F.min("best").alias("best")).select("video", "probe", "best.seq")
 
 
 class _Keyframes(StatefulProcessor):
@@ -226,34 +366,54 @@ def stream_keyframes(candidates: DataFrame) -> DataFrame:
 
 
 def stream_bursts(photos: DataFrame, delay: str = "10 seconds", gap: str = "1999999 microseconds") -> DataFrame:
-    """The sharpest photo of each burst of photos (session, ts, path, sharpness); a gap of two seconds begins a burst."""
+    """The sharpest photo of each burst of photos (session, ts, path, sharpness); a gap of two seconds begins a burst.
+
+    In append mode a burst comes out when the watermark has passed its end, and its state goes; photos later than the delay are dropped.
+    """
     best = F.max(F.struct("sharpness", (-F.unix_micros("ts")).alias("early"), "path"))["path"]
     return photos.withWatermark("ts", delay).groupBy("session", F.session_window("ts", gap).alias("w")).agg(best.alias("path"), F.count(F.lit(1)).alias("n"), F.max("sharpness").alias("sharpness")).drop("w")
 
 
 class _Log(StatefulProcessor):
+    """The last line, and the numbers of the lines that the log holds."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "line string")
+        self.held = handle.getListState("held", "seq long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
+        held = [x[0] for x in self.held.get()] if self.held.exists() else []
         out = []
         for pdf in rows:
             for r in pdf.sort_values("seq").itertuples():
                 if r.line != last:
-                    out.append((key[0], int(r.seq), r.line))
+                    held.append(int(r.seq))
+                    out.append((key[0], int(r.seq), r.line, held.pop(0) if len(held) > self.keep else None))
                 last = r.line
         if last is not None:
             self.last.update((last,))
-        yield pd.DataFrame(out, columns=["session", "seq", "line"])
+        if held:
+            self.held.put([(x,) for x in held])
+        yield pd.DataFrame(out, columns=["session", "seq", "line", "gone"]).astype({"gone": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def stream_log_dedup(log: DataFrame) -> DataFrame:
-    """Lines (session, seq, line) that differ from the one before."""
-    return log.groupBy("session").transformWithStateInPandas(_Log(), "session string, seq long, line string", "append", "none")
+def stream_log_dedup(log: DataFrame, keep: int = LOG_LINES) -> DataFrame:
+    """Lines (session, seq, line) that differ from the one before; `gone` is the seq of the line that leaves the log for one, for it holds
+    `keep` lines. `log_lines` are those that it holds in the end."""
+    return log.groupBy("session").transformWithStateInPandas(_Log(keep), "session string, seq long, line string, gone long", "append", "none")
+
+
+def log_lines(changes: DataFrame) -> DataFrame:
+    """session, seq and line of what the logs hold after all changes (session, seq, line, gone)."""
+    gone = changes.where("gone is not null").select("session", F.col("gone").alias("seq"))
+    return changes.select("session", "seq", "line").join(gone, ["session", "seq"], "left_anti")
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -340,11 +340,13 @@ def test_keyframes_differ_by_pixels_without_a_fix():
 
 
 def test_timeline(spark):
-    tags = ["open", "frame", "progress", "cameras", "chunk", "chunk", "done"]
-    good = [("a", i, t, i) for i, t in enumerate(tags)]
-    bad = [("b", i, t, -i) for i, t in enumerate(["chunk", "cameras", "chunk", "done", "progress"])]
-    got = {r.session: tuple(r)[1:] for r in st.timeline_check(spark.createDataFrame(good + bad, "session string, seq long, tag string, frame long")).collect()}
-    assert got["a"] == (True, True, True, True) and got["b"] == (False, False, False, False)
+    tags = ["open", *["frame"] * 10, "progress", "cameras", "chunk", "chunk", "done"]
+    good = [("a", i, t, i, i) for i, t in enumerate(tags)]
+    bad = [("b", i, t, -i, i) for i, t in enumerate(["chunk", "cameras", "chunk", "done", "progress"])]
+    again = [("c", i, t, i, i % 8) for i, t in enumerate(tags)]
+    got = {r.session: tuple(r)[1:] for r in st.timeline_check(spark.createDataFrame(good + bad + again, "session string, seq long, tag string, frame long, frame_idx long")).collect()}
+    assert got["a"] == (True, True, True, True, True) and got["b"] == (False, False, False, False, False)
+    assert got["c"] == (True, True, True, False, True)  # ten uploads of eight frames make one chunk
 
 
 @pytest.mark.parametrize("mode", ["append", "complete"])

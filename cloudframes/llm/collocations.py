@@ -4,7 +4,8 @@
    language's words: a phrase that occurs SUPPORT times in all has at least its share of them in some shard. Mining works on 64-bit codes
    of phrases that are counted inside tasks first, then by (language, shard, code); a phrase goes on only if its parts are frequent in
    this shard. Tasks know these from a bitmap of bounded size, which may let a phrase through but never stops one.
-2. The union of the locally frequent phrases is counted in all shards, exactly, by the words themselves: codes only prune.
+2. The union of the locally frequent phrases, but for those whose counts in these shards and less than the support in all others can't
+   come to SUPPORT, is counted in all shards, exactly, by the words themselves: codes only prune.
 3. Scores, and the longer phrases that stand for shorter ones, are joins among counted phrases.
 """
 
@@ -19,7 +20,7 @@ from .common import distinct_slices, documents, frugal, lowered, mixed, range_co
 #: Occurrences of a candidate, words of the longest one, results a language, and the share of a longer one that makes a shorter one go.
 SUPPORT, LONGEST, TOP, INSIDE = 30, 4, 2000, 80
 #: Shards; bits for each entry of a bitmap, and the least and most bits (as powers of two); rows that a task holds.
-SHARDS, BITS_EACH, LEAST_BITS, MOST_BITS, HELD = 4, 16, 16, 27, 500_000
+SHARDS, BITS_EACH, LEAST_BITS, MOST_BITS, HELD = 4, 16, 16, 27, 1_000_000
 _LANGS = 1_000_000
 _SHARD = [int(x) for x in mixed(np.arange(1, SHARDS + 1, dtype=np.uint64)).view(np.int64)]
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -104,6 +105,35 @@ def _tiles(batch):
 MINED_DDL = "lang string, shard int, code long, n long"
 
 
+class Counts:
+    """A task's counts by language and other columns, merged while there is room; languages are numbers until the rows go out."""
+
+    def __init__(self, keys: list[str]):
+        self.keys, self.held, self.size, self.names = keys, [], 0, {}
+
+    def add(self, langs: pa.Array, number: np.ndarray, columns: list, n: np.ndarray):
+        """Counts n by columns; number: each row's place in langs."""
+        of = np.array([self.names.setdefault(x, len(self.names)) for x in langs.to_pylist()], np.int32)
+        self.held.append(pa.table([pa.array(of[number]), *columns, pa.array(n)], names=["lang", *self.keys, "n"]))
+        self.size += len(n)
+        if self.size > 2 * HELD:
+            table = self.merged()
+            self.held, self.size = [table], len(table)
+            if self.size > HELD:
+                yield from self.rest()
+
+    def merged(self) -> pa.Table:
+        names = ["lang", *self.keys]
+        return pa.concat_tables(self.held).group_by(names, use_threads=False).aggregate([("n", "sum")]).rename_columns([*names, "n"]).select([*names, "n"])
+
+    def rest(self):
+        if self.held:
+            langs = pa.array(list(self.names), pa.string())
+            for b in self.merged().to_batches(max_chunksize=50_000):
+                yield b.set_column(0, "lang", langs.take(b.column(0)))
+        self.held, self.size = [], 0
+
+
 def miner(lengths: tuple[int, ...], frequent):
     """A function of batches (doc_id, lang, text) to (lang, shard, code, n): counts of the phrases of these lengths in a task.
 
@@ -112,12 +142,7 @@ def miner(lengths: tuple[int, ...], frequent):
     shards = np.array(_SHARD, np.int64).view(np.uint64)
 
     def of(batches):
-        held: list = []
-        size = 0
-
-        def merged():
-            return pa.concat_tables(held).group_by(["lang", "shard", "code"]).aggregate([("n", "sum")]).rename_columns(["lang", "shard", "code", "n"]).select(["lang", "shard", "code", "n"])
-
+        counts = Counts(["shard", "code"])
         for batch in batches:
             for langs, number, shard, tile in _tiles(batch):
                 known = None
@@ -133,17 +158,8 @@ def miner(lengths: tuple[int, ...], frequent):
                     code, row = tile.code(k)[at], tile.row[at]
                     _, once, n = np.unique(code ^ shards[shard[row]], return_index=True, return_counts=True)
                     code, row = code[once].view(np.int64), row[once]
-                    lang = pa.DictionaryArray.from_arrays(pa.array(number[row].astype(np.int32)), langs).cast(pa.string())
-                    held.append(pa.table({"lang": lang, "shard": pa.array(shard[row], pa.int32()), "code": code, "n": n}))
-                    size += len(n)
-            if size > 2 * HELD:
-                table = merged()
-                held, size = [table], len(table)
-                if size > HELD:
-                    yield from table.to_batches(max_chunksize=50_000)
-                    held, size = [], 0
-        if held:
-            yield from merged().to_batches(max_chunksize=50_000)
+                    yield from counts.add(langs, number[row], [pa.array(shard[row], pa.int32()), pa.array(code)], n)
+        yield from counts.rest()
 
     return of
 
@@ -156,12 +172,7 @@ def counter(bits):
     """A function of batches (doc_id, lang, text) to (lang, phrase, words, n): exact counts of phrases whose code is in a broadcast bitmap."""
 
     def of(batches):
-        held: list = []
-        size = 0
-
-        def merged():
-            return pa.concat_tables(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "words", "n"]).select(["lang", "phrase", "words", "n"])
-
+        counts = Counts(["phrase", "words"])
         for batch in batches:
             for langs, number, _, tile in _tiles(batch):
                 word, values = distinct_slices(tile.data, tile.starts, tile.ends)
@@ -186,17 +197,8 @@ def counter(bits):
                     at = at[once]
                     words = [values.take(pa.array(word[at + j])) for j in range(k)]
                     phrase = pc.binary_join_element_wise(*words, " ") if k > 1 else words[0]
-                    lang = pa.DictionaryArray.from_arrays(pa.array(number[tile.row[at]].astype(np.int32)), langs).cast(pa.string())
-                    held.append(pa.table({"lang": lang, "phrase": phrase, "words": pa.array(np.full(len(at), k, np.int32)), "n": n}))
-                    size += len(n)
-            if size > HELD:
-                table = merged()
-                held, size = [table], len(table)
-                if size > HELD // 2:
-                    yield from table.to_batches(max_chunksize=50_000)
-                    held, size = [], 0
-        if held:
-            yield from merged().to_batches(max_chunksize=50_000)
+                    yield from counts.add(langs, number[tile.row[at]], [phrase, pa.array(np.full(len(at), k, np.int32))], n)
+        yield from counts.rest()
 
     return of
 
@@ -209,14 +211,18 @@ def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sums = written(one.groupBy("lang", "shard").agg(F.sum("n").alias("n")), "phrases-sums")
     total = sums.groupBy("lang").agg(F.sum("n").alias("n"))
     wanted = sums.join(total.withColumnRenamed("n", "all"), "lang").select("lang", "shard", F.ceil(F.lit(SUPPORT) * F.col("n").cast("decimal(30,0)") / F.col("all")).cast("long").alias("support"))
+    wanted = wanted.withColumn("others", F.sum(F.col("support") - 1).over(Window.partitionBy("lang")))
     wanted = small(written(wanted, "phrases-support"), _LANGS)
-    often = lambda rows, name: written(rows.join(wanted, ["lang", "shard"]).where(F.col("n") >= F.col("support")).select("shard", "code"), name)
+    often = lambda rows, name: written(rows.join(wanted, ["lang", "shard"]).where(F.col("n") >= F.col("support")), name)
     frequent = [often(one, "phrases-often-1")]
     known = spark.sparkContext.broadcast((1, bitmap(frequent[0], local())))
     frequent.append(often(mine(docs, (2,), known), "phrases-often-2"))
     known = spark.sparkContext.broadcast((2, bitmap(frequent[1], local())))
     frequent.append(often(mine(docs, tuple(range(3, LONGEST + 1)), known), "phrases-often-3"))
-    union = written(frequent[0].union(frequent[1]).union(frequent[2]).select("code").distinct(), "phrases-union")
+    # a shard in which a phrase isn't frequent has less than the shard's support of it, so a phrase that can't come to SUPPORT is left out
+    most = F.sum("n") + F.first("others") - F.sum(F.col("support") - 1)
+    union = frequent[0].union(frequent[1]).union(frequent[2]).groupBy("lang", "code").agg(most.alias("most")).where(F.col("most") >= SUPPORT)
+    union = written(union.select("code"), "phrases-union")
     bits = spark.sparkContext.broadcast(bitmap(union, F.col("code")))
     counted = docs.mapInArrow(frugal(counter(bits)), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).where(F.col("a") >= SUPPORT)
     return written(counted, "phrases-counted"), total

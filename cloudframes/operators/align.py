@@ -19,24 +19,46 @@ def local_positions(fixes: DataFrame) -> DataFrame:
     return fixes.where("lat is not null").withColumns({"e": e, "n": n, "u": u})
 
 
+def from_moments(cov: np.ndarray, spread: np.ndarray, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scales, rotations and translations of groups from covariances (dst by src), the variance of src, and both means."""
+    u, d, vt = np.linalg.svd(cov)
+    sign = np.ones((len(cov), 3))
+    flip = np.sign(np.linalg.det(u) * np.linalg.det(vt))
+    sign[:, 2] = np.where(flip == 0, 1.0, flip)
+    rot = (u * sign[:, None, :]) @ vt
+    scale = (d * sign).sum(1) / np.maximum(spread, 1e-30)
+    return scale, rot, dst - scale[:, None] * (rot @ src[:, :, None])[:, :, 0]
+
+
 def similarity(src: np.ndarray, dst: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Least-squares scale, rotation and translation from src to dst, points in rows."""
     a, b = src - src.mean(0), dst - dst.mean(0)
-    u, d, vt = np.linalg.svd(b.T @ a / len(a))
-    sign = np.array([1.0, 1.0, np.sign(np.linalg.det(u) * np.linalg.det(vt)) or 1.0])
-    rot = (u * sign) @ vt
-    scale = float((d * sign).sum() / max((a**2).sum() / len(a), 1e-30))
-    return scale, rot, dst.mean(0) - scale * rot @ src.mean(0)
+    s, rot, v = from_moments((b.T @ a / len(a))[None], np.array([(a**2).sum() / len(a)]), src.mean(0)[None], dst.mean(0)[None])
+    return float(s[0]), rot[0], v[0]
 
 
 def umeyama(points: DataFrame) -> DataFrame:
-    """A transform for each (session, h) of correspondences (session, h, x, y, z, e, n, u); a group is one hypothesis's few points."""
+    """A transform for each (session, h) of correspondences (session, h, x, y, z, e, n, u), however many a group has.
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, rot, v = similarity(pdf[["x", "y", "z"]].to_numpy(float), pdf[["e", "n", "u"]].to_numpy(float))
-        return pd.DataFrame([[pdf["session"].iloc[0], int(pdf["h"].iloc[0]), s, *rot.ravel().tolist(), *v.tolist()]], columns=[c.split()[0] for c in SIM3.split(", ")])
-
-    return points.groupBy("session", "h").applyInPandas(fit, SIM3)
+    Groups are summed up as means, covariances and variances, which Spark merges from partial ones; Python only has 3 x 3 matrices.
+    Correspondences with a null or NaN don't count; groups without any have no transform.
+    """
+    src, dst = ("x", "y", "z"), ("e", "n", "u")
+    known = points.where(" and ".join(f"{c} is not null and not isnan({c})" for c in (*src, *dst)))
+    sums = known.groupBy("session", "h").agg(
+        *[F.covar_pop(d, s).alias(f"c_{d}{s}") for d in dst for s in src], sum((F.var_pop(s) for s in src[1:]), F.var_pop(src[0])).alias("spread"), *[F.avg(c).alias(f"a_{c}") for c in (*src, *dst)]
+    )
+
+    def fit(batches):
+        for pdf in batches:
+            take = lambda names: pdf[names].to_numpy(float)
+            s, rot, v = from_moments(take([f"c_{d}{s}" for d in dst for s in src]).reshape(-1, 3, 3), pdf["spread"].to_numpy(float), take([f"a_{c}" for c in src]), take([f"a_{c}" for c in dst]))
+            out = pd.DataFrame(np.concatenate([s[:, None], rot.reshape(-1, 9), v], 1), columns=[c.split()[0] for c in SIM3.split(", ")[2:]])
+            out.insert(0, "h", pdf["h"].to_numpy())
+            out.insert(0, "session", pdf["session"].to_numpy())
+            yield out
+
+    return sums.mapInPandas(fit, SIM3)
 
 
 def moved(x: str = "x", y: str = "y", z: str = "z") -> list[Column]:

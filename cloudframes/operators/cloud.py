@@ -3,6 +3,8 @@
 Windows along rows and along columns of a frame both find their rows together once pixels are dealt out by frame: one exchange.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,13 +45,15 @@ def _extremes(rows: DataFrame, lo: str, hi: str, across: str, along: str) -> Dat
     return rows.withColumn(lo, F.min(lo).over(w)).withColumn(hi, F.max(hi).over(w))
 
 
-def depth_edge_mask(pixels: DataFrame, threshold: float = EDGE) -> DataFrame:
+def depth_edge_mask(pixels: DataFrame, threshold: float = EDGE, dealt: bool = False) -> DataFrame:
     """Adds edge_keep: whether depths of the 3 x 3 pixels around differ by no more than a part of the pixel's own.
 
-    Two passes of three pixels each, along rows and then columns, in place of a join of nine; NaN neighbours don't count.
+    Two passes of three pixels each, along rows and then columns, in place of a join of nine; NaN neighbours don't count. Pixels that
+    are `dealt` out by frame already stay where they are.
     """
+    pixels = pixels if dealt else pixels.repartition("frame")
     d = F.when(~F.isnan("depth"), F.col("depth"))
-    rows = _extremes(_extremes(pixels.repartition("frame").withColumn("lo", d).withColumn("hi", d), "lo", "hi", "y", "x"), "lo", "hi", "x", "y")
+    rows = _extremes(_extremes(pixels.withColumn("lo", d).withColumn("hi", d), "lo", "hi", "y", "x"), "lo", "hi", "x", "y")
     keep = (F.col("hi") - F.col("lo")) / F.greatest(F.abs("depth"), F.lit(1e-6)) <= threshold
     return rows.withColumn("edge_keep", F.coalesce(keep & ~F.isnan("depth"), F.lit(False))).drop("lo", "hi")
 
@@ -127,14 +131,18 @@ def cameras(pose: DataFrame) -> DataFrame:
 def build_cloud(depth: DataFrame, rgb: DataFrame, pose: DataFrame, mode: str = "viewer", quantile: float | None = None, edge: float = EDGE) -> DataFrame:
     """points(frame, px, py, x, y, z, r, g, b, conf) of all pixels that pass the finite and edge filters, and a confidence quantile if one is given.
 
-    Offline, the quantile is over all finite confidences; in the viewer, over the retained points. Pixels meet their camera by
-    frame, and their colour by (frame, x, y), the key by which the edge filter has last dealt them out.
+    Offline, the quantile is over all finite confidences; in the viewer, over the retained points. Depth and colours (each has a pixel
+    once) are dealt out by frame together, meet there by a sum over each pixel, and stay for the edge filter and the cameras.
     """
-    kept = finite_filter(depth_edge_mask(depth, edge).where("edge_keep"), mode)
+    columns = {"depth": "double", "conf": "double", "has_depth": "boolean", "r": "long", "g": "long", "b": "long"}
+    side = lambda rows, have: rows.select("frame", "x", "y", *[have[c].cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in columns.items()])
+    both = side(depth, {"depth": F.col("depth"), "conf": F.col("conf"), "has_depth": F.lit(True)}).union(side(rgb, {c: F.col(c) for c in "rgb"}))
+    pixels = both.repartition("frame").groupBy("frame", "x", "y").agg(*[F.max(c).alias(c) for c in columns]).where("has_depth").drop("has_depth")
+    kept = finite_filter(depth_edge_mask(pixels, edge, dealt=True).where("edge_keep"), mode).where("r is not null")
     if quantile is not None:
         threshold = conf_quantile(depth if mode == "offline" else kept, quantile)
         kept = conf_filter(kept.crossJoin(F.broadcast(threshold)), F.col("threshold")).drop("threshold")
-    rows = kept.join(rgb, ["frame", "x", "y"]).join(cameras(pose), "frame")
+    rows = kept.join(cameras(pose), "frame")
     x, y, z = unproject(F.col("x"), F.col("y"), F.col("depth"))
     return rows.select("frame", F.col("x").alias("px"), F.col("y").alias("py"), x.alias("wx"), y.alias("wy"), z.alias("wz"), "r", "g", "b", "conf")
 
@@ -152,13 +160,36 @@ def cloud_stats(points: DataFrame, kept: DataFrame, chunk: int = 8) -> DataFrame
 
 
 def depth_consistency_vote(pixels: DataFrame, cams: DataFrame, depth: DataFrame, tolerance: float = 0.05, reach: int = 1) -> DataFrame:
-    """Pixels (frame, x, y, wx, wy, wz) with how many of the `reach` frames before and after see the same depth at their place."""
-    from ..functions.pose import project
-
-    near = pixels.select("frame", "x", "y", "wx", "wy", "wz", F.explode(F.sequence(F.col("frame") - reach, F.col("frame") + reach)).alias("other")).where("other <> frame")
-    px, py, d = project(F.col("wx"), F.col("wy"), F.col("wz"))
-    seen = near.join(cams.withColumnRenamed("frame", "other"), "other").select("frame", "x", "y", "other", F.round(px).cast("long").alias("ox"), F.round(py).cast("long").alias("oy"), d.alias("expected"))
-    there = depth.select(F.col("frame").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("depth").alias("seen"))
-    agree = seen.join(there, ["other", "ox", "oy"]).where(F.abs(F.col("seen") - F.col("expected")) <= tolerance * F.abs("expected"))
-    votes = agree.groupBy("frame", "x", "y").agg(F.count(F.lit(1)).alias("votes"))
-    return pixels.select("frame", "x", "y").join(votes, ["frame", "x", "y"], "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
+    """Pixels (frame, x, y, wx, wy, wz) with how many of the `reach` frames before and after see the same depth at their place.
+
+    A frame's depth is one row of arrays that goes to the frames beside it with its camera, so what is exchanged beside each pixel once
+    is frames times reach. One frame's pixels and its neighbours' are one task's at a time.
+    """
+    known = depth.where(finite(F.col("depth")))
+    grids = known.groupBy("frame").agg(F.collect_list(F.struct("x", "y", F.col("depth").cast("double").alias("depth"))).alias("grid"))
+    beside = F.explode(F.filter(F.sequence(F.col("of") - reach, F.col("of") + reach), lambda k: k != F.col("of")))
+    near = grids.join(cams, "frame").withColumnRenamed("frame", "of").select(beside.alias("frame"), "*")
+
+    def vote(own: pa.Table, others: pa.Table) -> pa.Table:
+        world = np.stack([np.asarray(own.column(c), float) for c in ("wx", "wy", "wz")])
+        votes = np.zeros(own.num_rows, np.int64)
+        for k in range(others.num_rows if own.num_rows else 0):
+            at = {c: others.column(c)[k].as_py() for c in others.column_names if c not in ("frame", "of", "grid")}
+            grid = others.column("grid")[k].values
+            x, y, d = (np.asarray(grid.field(c)) for c in ("x", "y", "depth"))
+            if not len(d):
+                continue
+            there = np.full((y.max() + 1, x.max() + 1), np.nan)
+            there[y, x] = d
+            turn = np.array([[at[f"r{i}{j}"] for j in range(3)] for i in range(3)])
+            cx, cy, expected = turn @ world + np.array([at[f"t{i}"] for i in range(3)])[:, None]
+            with np.errstate(all="ignore"):
+                px, py = cx / expected * at["fx"] + at["cx"], cy / expected * at["fy"] + at["cy"]
+                px, py = (np.sign(v) * np.floor(np.abs(v) + 0.5) for v in (px, py))
+                inside = np.flatnonzero((px >= 0) & (py >= 0) & (px < there.shape[1]) & (py < there.shape[0]))
+                seen = there[py[inside].astype(np.int64), px[inside].astype(np.int64)]
+                votes[inside] += np.abs(seen - expected[inside]) <= tolerance * np.abs(expected[inside])
+        return pa.table({"frame": own.column("frame"), "x": own.column("x"), "y": own.column("y"), "votes": votes})
+
+    of = pixels.select(*[F.col(c).cast("long").alias(c) for c in ("frame", "x", "y")], "wx", "wy", "wz")
+    return of.groupBy("frame").cogroup(near.groupBy("frame")).applyInArrow(vote, "frame long, x long, y long, votes long")

@@ -4,32 +4,50 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.color import dlog_to_rec709
 
 CORNERS = 8
 
 
+#: Steps a channel that a colour table has at most, so that it can be sent to all tasks.
+MOST_STEPS = 129
+
+
 def lut_apply(colors: DataFrame, lattice: DataFrame, keys: tuple = ("id",)) -> DataFrame:
-    """colors (keys, cr, cg, cb) through a colour table's lattice, trilinear, inputs clamped to its domain; adds o_r, o_g, o_b.
+    """colors (keys, cr, cg, cb) through a colour table's lattice, trilinear, inputs clamped to its domain; keys with o_r, o_g, o_b.
 
-    Every colour meets its eight corners; the lattice has at most 129 ** 3 rows, and Spark broadcasts it where it is under its size
-    limit. The head that is broadcast is one row.
+    The lattice, whose size is tested, goes to all tasks as one array, and pixels are looked up where they are: no exchange. A colour
+    with a null or NaN channel has null results; an empty lattice gives no rows; a lattice with a cell missing is an error.
     """
-    head = lattice.select("size", "dmin", "dmax").limit(1)
-    rows = colors.crossJoin(F.broadcast(head))
-    for k, c in enumerate(("cr", "cg", "cb")):
-        t = F.least(F.greatest((F.col(c) - F.get("dmin", F.lit(k))) / (F.get("dmax", F.lit(k)) - F.get("dmin", F.lit(k))), F.lit(0.0)), F.lit(1.0)) * (F.col("size") - 1)
-        rows = rows.withColumn(f"t{k}", t).withColumn(f"i{k}", F.least(F.floor(f"t{k}"), F.col("size") - 1).cast("int"))
-    rows = rows.withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit(CORNERS - 1))))
-    weight = F.lit(1.0)
-    for k, c in enumerate(("r", "g", "b")):
-        up = F.col("corner").bitwiseAND(1 << k) > 0
-        frac = F.col(f"t{k}") - F.col(f"i{k}")
-        weight = weight * F.when(up, frac).otherwise(1 - frac)
-        rows = rows.withColumn(c, F.when(up, F.least(F.col(f"i{k}") + 1, F.col("size") - 1)).otherwise(F.col(f"i{k}")))
-    hit = rows.withColumn("weight", weight).select(*keys, "r", "g", "b", "weight").join(lattice.select("r", "g", "b", "o_r", "o_g", "o_b"), ["r", "g", "b"])
-    return hit.groupBy(*keys).agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("o_r", "o_g", "o_b")])
+    spark = colors.sparkSession
+    rows = colors.select(*keys, *[F.col(c).cast("double").alias(f"_{c}") for c in ("cr", "cg", "cb")])
+    outputs = [StructField(c, DoubleType()) for c in ("o_r", "o_g", "o_b")]
+    schema = StructType([*rows.schema.fields[: len(keys)], *outputs])
+    head = lattice.select("size", "dmin", "dmax").first()
+    if head is None:
+        return spark.createDataFrame([], schema)
+    n = int(head["size"])
+    if not 2 <= n <= MOST_STEPS:
+        raise ValueError(f"a colour table has 2 to {MOST_STEPS} steps, not {n}")
+    cells = lattice.select("r", "g", "b", "o_r", "o_g", "o_b").limit(n**3 + 1).toArrow()
+    table = np.full((n, n, n, 3), np.nan)
+    r, g, b = (np.asarray(cells.column(c)).astype(int) for c in ("r", "g", "b"))
+    table[b, g, r] = np.stack([np.asarray(cells.column(c)) for c in ("o_r", "o_g", "o_b")], 1)
+    if len(cells) != n**3 or np.isnan(table).any():
+        raise ValueError(f"a colour table of {n} steps has {n**3} cells, not {len(cells)}")
+    shared = spark.sparkContext.broadcast((table, list(head["dmin"]), list(head["dmax"])))
+
+    def run(batches):
+        table, low, high = shared.value
+        for batch in batches:
+            rgb = np.stack([batch.column(f"_{c}").to_numpy(zero_copy_only=False).astype(float) for c in ("cr", "cg", "cb")], 1)
+            unknown = np.isnan(rgb).any(1)
+            out = lut_numpy(np.where(unknown[:, None], 0.0, rgb), table, low, high)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(out[:, k], mask=unknown) for k in range(3))], names=[*keys, "o_r", "o_g", "o_b"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def lut_numpy(rgb: np.ndarray, table: np.ndarray, dmin=(0, 0, 0), dmax=(1, 1, 1)) -> np.ndarray:
@@ -88,10 +106,12 @@ def score_frames(frames: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            rows = []
             for f in _frames(batch):
                 rgb = f["rgb"].reshape(f["height"], f["width"], 3)
                 gray = luma(box_thumb(rgb, 480))
-                yield pa.RecordBatch.from_pylist([{"session": f["session"], "frame": f["frame"], "sharpness": sharpness(gray), "gray_thumb": box_thumb(gray, 64).tobytes(), "rgb_thumb": box_thumb(rgb, 320).tobytes()}], schema=_SCORED)
+                rows.append({"session": f["session"], "frame": f["frame"], "sharpness": sharpness(gray), "gray_thumb": box_thumb(gray, 64).tobytes(), "rgb_thumb": box_thumb(rgb, 320).tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, schema=_SCORED)
 
     return frames.select("session", "frame", "width", "height", "rgb").mapInArrow(run, "session string, frame long, sharpness double, gray_thumb binary, rgb_thumb binary")
 

@@ -1,9 +1,11 @@
 """Keyframe selection: sharpest of each window, redundancy pruning, budgets, bursts and the reference frame."""
 
+from math import asin, cos, radians, sin, sqrt
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m, wrap180
 from ..functions.text import timestamp_secs
 
 WINDOW, MIN_MOVE_M, MIN_YAW_DEG, MIN_DIFF, BURST_GAP_S = 4, 0.5, 5.0, 4.0, 2
@@ -22,32 +24,48 @@ def mean_abs_diff(a: Column, b: Column) -> Column:
     return total / F.size(a)
 
 
-def _redundant(a: Column, b: Column, move: float, yaw: float, diff: float, thumbs: bool) -> Column:
-    fixed = a["lat"].isNotNull() & b["lat"].isNotNull()
-    moved = haversine_m(a["lat"], a["lon"], b["lat"], b["lon"]) >= move
-    turned = F.coalesce(F.abs(wrap180(a["yaw"] - b["yaw"])) >= yaw, F.lit(False))
-    alike = mean_abs_diff(a["px"], b["px"]) < diff if thumbs else F.lit(True)
-    return F.when(fixed, ~moved & ~turned).otherwise(F.coalesce(alike, F.lit(False)))
+def differs(a: tuple, b: tuple, move: float = MIN_MOVE_M, yaw: float = MIN_YAW_DEG, diff: float = MIN_DIFF) -> bool:
+    """Whether frames (lat, lon, yaw, px) are far enough apart: by place and heading if both have a fix, else by pixels, if both have some."""
+    if a[0] is None or b[0] is None:
+        return a[3] is not None and b[3] is not None and sum(abs(x - y) for x, y in zip(a[3], b[3], strict=True)) / max(1, len(b[3])) >= diff
+    p, q = radians(b[0] - a[0]) / 2, radians(b[1] - a[1]) / 2
+    dist = 2 * 6_371_000.0 * asin(sqrt(sin(p) ** 2 + cos(radians(a[0])) * cos(radians(b[0])) * sin(q) ** 2))
+    turn = (a[2] - b[2]) % 360 if a[2] is not None and b[2] is not None else 0.0
+    return dist >= move or abs(turn - 360 if turn > 180 else turn) >= yaw
 
 
 def prune_redundant(survivors: DataFrame, keys: tuple = ("video",), move: float = MIN_MOVE_M, yaw: float = MIN_YAW_DEG, diff: float = MIN_DIFF) -> DataFrame:
     """Survivors (keys, ci, lat, lon, yaw and px, if there are thumbs) that differ from the last one kept; the last always stays.
 
-    A fold over one video's survivors inside the JVM; a video's array holds one entry for each window. Without a px column, frames
-    without a fix count as alike.
+    A fold over rows sorted by (keys, ci) inside partitions, from batch to batch: a task holds the last kept row and the last one, however
+    long a video is. Without a px column, frames without a fix count as alike.
     """
     thumbs = "px" in survivors.columns
-    fields = ["ci", "lat", "lon", "yaw", *(["px"] if thumbs else [])]
-    rows = survivors.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("a"))
-    first = F.get("a", F.lit(0))
-    # the state holds the last row kept and the numbers of all that were, so pixels are never copied along
-    keep = F.aggregate(
-        F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0))), F.struct(first.alias("at"), F.array(first["ci"]).alias("ids")),
-        lambda s, b: F.when(_redundant(s["at"], b, move, yaw, diff, thumbs), s).otherwise(F.struct(b.alias("at"), F.concat(s["ids"], F.array(b["ci"])).alias("ids"))),
-        lambda s: s["ids"],
-    )
-    rows = rows.withColumn("kept", keep).withColumn("last", F.element_at("a", -1)["ci"])
-    return rows.select(*keys, F.explode(F.when(F.element_at("kept", -1) == F.col("last"), F.col("kept")).otherwise(F.concat("kept", F.array("last")))).alias("ci"))
+    number = [F.col(c).cast("double").alias(c) for c in ("lat", "lon", "yaw")]
+    rows = survivors.select(*keys, "ci", *number, *([F.col("px").cast("array<int>").alias("px")] if thumbs else []))
+    schema, m = rows.select(*keys, "ci").schema, len(keys)
+
+    def fold(batches):
+        key = kept = last = None
+        for batch in batches:
+            out = []
+            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            for row in zip(*columns, strict=True):
+                if row[:m] != key:
+                    if last is not None:
+                        out.append((*key, last))
+                    key, kept = row[:m], None
+                place = (*row[m + 1 : m + 4], row[m + 4] if thumbs else None)
+                last = row[m]
+                if kept is None or differs(kept, place, move, yaw, diff):
+                    out.append((*key, last))
+                    kept, last = place, None
+            yield pa.RecordBatch.from_pydict({f.name: [r[k] for r in out] for k, f in enumerate(schema)}, schema=pa.schema([(f.name, batch.schema.field(f.name).type) for f in schema]))
+            kinds = batch.schema
+        if last is not None:
+            yield pa.RecordBatch.from_pydict({f.name: [v] for f, v in zip(schema, (*key, last), strict=True)}, schema=pa.schema([(f.name, kinds.field(f.name).type) for f in schema]))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "ci").mapInArrow(fold, schema)
 
 
 def decimate(kept: DataFrame, budget: Column, keys: tuple = ("video",), order: str = "ci") -> DataFrame:

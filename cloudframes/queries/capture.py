@@ -131,7 +131,7 @@ query("decimate", duck("candidates") + SHARP + FOLD + DECIMATE + " SELECT video,
 query("select_keyframes", duck("candidates") + SHARP + FOLD + DECIMATE + " SELECT video, ci FROM v_take")(lambda s, d: keyframes.select_keyframes(_cands(s, d), 6))
 
 
-THUMBS = """, v_px AS (SELECT s.*, px FROM v_sharp s JOIN v_thumbs t ON t.vec_id = s.event_id % 200), v_walk AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY ci) AS i, count(*) OVER (PARTITION BY video) AS n FROM v_px),
+THUMBS = """, v_px AS (SELECT s.*, px FROM v_sharp s JOIN v_thumbs t ON t.vec_id = s.event_id % (SELECT count(*) FROM v_thumbs)), v_walk AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY ci) AS i, count(*) OVER (PARTITION BY video) AS n FROM v_px),
 v_fold AS (SELECT video, i, ci, lat AS klat, lon AS klon, yaw AS kyaw, px AS kpx, true AS kept FROM v_walk WHERE i = 1
   UNION ALL SELECT w.video, w.i, w.ci, CASE WHEN k THEN w.lat ELSE f.klat END, CASE WHEN k THEN w.lon ELSE f.klon END, CASE WHEN k THEN w.yaw ELSE f.kyaw END, CASE WHEN k THEN w.px ELSE f.kpx END, k
   FROM v_fold f JOIN v_walk w ON w.video = f.video AND w.i = f.i + 1, LATERAL (SELECT CASE WHEN f.klat IS NOT NULL AND w.lat IS NOT NULL
@@ -145,7 +145,7 @@ SELECT f.video, f.ci FROM v_fold f JOIN v_walk w ON w.video = f.video AND w.i =
 def prune_with_thumbs(s, d):
     """Frames without a fix are told apart by their thumbnails."""
     px = view(s, d, "thumbs")
-    rows = keyframes.sharpest_per_window(_cands(s, d)).withColumn("vec_id", F.col("event_id") % 200)
+    rows = keyframes.sharpest_per_window(_cands(s, d)).withColumn("vec_id", F.col("event_id") % px.count())
     return keyframes.prune_redundant(rows.join(px, "vec_id").drop("vec_id"), diff=30.0)
 
 
@@ -223,6 +223,6 @@ def log_dedup_tail(s, d):
 query("chrono_order", duck("candidates", "photos") + " SELECT session, source, row_number() OVER (PARTITION BY session ORDER BY k, v, f, source)::BIGINT AS place FROM (SELECT session, 0 AS k, video AS v, ci AS f, video::VARCHAR || ':' || ci AS source FROM v_candidates UNION ALL SELECT session, 1, 0, 0, path FROM v_photos)")(
     lambda s, d: _cands(s, d).selectExpr("session", "0 k", "video v", "ci f", "concat(video, ':', ci) source").unionByName(view(s, d, "photos").selectExpr("session", "1 k", "cast(0 as bigint) v", "0 f", "path source")).selectExpr("session", "source", "cast(row_number() over (partition by session order by k, v, f, source) as bigint) place")
 )
-query("selection_union", duck("candidates", "photos") + " SELECT session, kind, count(*) AS n FROM (SELECT session, 'video' AS kind FROM v_candidates UNION ALL SELECT session, 'photo' FROM v_photos) GROUP BY ALL")(
-    lambda s, d: _cands(s, d).selectExpr("session", "'video' kind").unionByName(view(s, d, "photos").selectExpr("session", "'photo' kind")).groupBy("session", "kind").agg(F.count(F.lit(1)).alias("n"))
+query("selection_union", duck("candidates", "photos") + " SELECT session, 'video' AS kind, video::VARCHAR AS source, ci::BIGINT AS ci FROM v_candidates UNION ALL SELECT session, 'photo', path, NULL FROM v_photos")(
+    lambda s, d: _cands(s, d).selectExpr("session", "'video' kind", "cast(video as string) source", "cast(ci as bigint) ci").unionByName(view(s, d, "photos").selectExpr("session", "'photo' kind", "path source"), allowMissingColumns=True)
 )

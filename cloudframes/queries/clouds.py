@@ -115,7 +115,7 @@ CUBE = ", v_k AS (SELECT round(avg(p_size) / 50, 3) AS k FROM part)"
 #: A channel from 0 to 255 through the lattice, whose domain ends at 2 * k: linear between the squares of five steps.
 LUT1 = "(k * (power(floor({0}), 2) / 16 + ({0} - floor({0})) * (power(least(floor({0}) + 1, 4), 2) - power(floor({0}), 2)) / 16))"
 STEPS = "(4 * least({0} / 255.0e0 / (k * 2), 1.0e0))"
-_looked_up = lambda s, d: frames.lut_apply(view(s, d, "rgb").selectExpr("frame", "x", "y", "r / 255 as cr", "g / 255 as cg", "b / 255 as cb"), readers.cube_lattice(_cube(s, d, F.lit("all"))), ("frame", "x", "y"))
+_looked_up = lambda s, d, *more: frames.lut_apply(view(s, d, "rgb").selectExpr("frame", "x", "y", "r", "r / 255 as cr", "g / 255 as cg", "b / 255 as cb"), readers.cube_lattice(_cube(s, d, F.lit("all"))), ("frame", "x", "y", *more))
 query("lut_apply", duck("rgb") + CUBE + " SELECT frame, x, y, " + ", ".join(f"round({LUT1.format(STEPS.format(c))}, 6) AS o_{c}" for c in "rgb") + " FROM v_rgb, v_k")(lambda s, d: _rounded(_looked_up(s, d), ("frame", "x", "y"), 6))
 REC709 = SR.format(f"least(greatest({DLY.replace('value / 60', 'r / 255.0e0')}, 0.0e0), 1.0e0)")
 
@@ -123,7 +123,7 @@ REC709 = SR.format(f"least(greatest({DLY.replace('value / 60', 'r / 255.0e0')},
 @query("tonemap_apply", duck("rgb") + CUBE + f" SELECT frame, x, y, round(CASE frame % 4 WHEN 1 THEN {LUT1.format(STEPS.format('r'))} WHEN 2 THEN {REC709} ELSE r / 255.0e0 END, 6) AS v FROM v_rgb, v_k")
 def tonemap_apply(s, d):
     """Photos (frame % 4 = 0), a colour table, the log curve and none, on the red channel."""
-    rows = view(s, d, "rgb").join(_looked_up(s, d), ["frame", "x", "y"])
+    rows = _looked_up(s, d, "r")
     kind = F.when(F.col("frame") % 4 == 1, "cube").when(F.col("frame") % 4 == 3, "none").otherwise("parametric")
     return rows.select("frame", "x", "y", F.round(frames.tonemap(F.col("r") / 255.0, kind, F.col("o_r"), F.col("frame") % 4 != 0), 6).alias("v"))
 

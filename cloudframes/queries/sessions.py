@@ -11,7 +11,7 @@ from ..sources import readers, sinks
 from ..streaming import sessions as st
 from . import query
 from .capture import ASOF, DECIMATE, FOLD, SHARP
-from .clouds import BUILD, WORLD
+from .clouds import BUILD, RAW, WORLD
 from .scalars import DUCK_CAMS, TH, TW
 
 _msg = lambda s, d: view(s, d, "messages")
@@ -297,25 +297,31 @@ def _cloud(s, d):
     return points.select(F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"), "r", "g", "b", "conf", "frame")
 
 
+#: What a point file holds, as single precision.
+_XYZ = lambda *names: ", ".join(f"round(CAST({n} AS FLOAT)::DOUBLE, 4) AS {a}" for n, a in zip(names, ("x", "y", "z", "conf"), strict=True))
+
+
 def _read_points(s, path):
-    return sinks.read_ply_files(s, path).select(*[F.col(c).cast("long").alias(c) for c in ("frame", "r", "g", "b")])
+    back = sinks.read_ply_files(s, path)
+    return back.select("frame", *[F.col(c).cast("long").alias(c) for c in ("r", "g", "b")], *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("x", "y", "z", "conf")])
 
 
-POINTS = BUILD + " SELECT frame, r, g, b FROM v_ok JOIN v_rgb USING (frame, x, y)"
+POINTS = BUILD + f", v_all AS (SELECT frame, r, g, b, conf, {RAW} FROM v_ok JOIN v_rgb USING (frame, x, y) JOIN v_cams USING (frame)) SELECT frame, r, g, b, {_XYZ('w0', 'w1', 'w2', 'conf')} FROM v_all"
 
 
 @query("ply_sink", POINTS)
 def ply_sink(s, d):
     path = _folder(s, "ply")
-    sinks.write_ply(_cloud(s, d), path, 10_000)
+    sinks.write_ply(_cloud(s, d), path, 10_000, wide_frames=True)
     return _read_points(s, path)
 
 
-@query("stream_ply", duck("depth") + " SELECT frame, x AS r, y AS g, 0::BIGINT AS b FROM v_depth WHERE NOT isnan(depth)")
+@query("stream_ply", duck("depth", "pose") + f", {DUCK_CAMS}, v_all AS (SELECT frame, x AS r, y AS g, 0::BIGINT AS b, CASE WHEN isnan(conf) THEN 0 ELSE conf END AS conf, {RAW} FROM v_depth JOIN v_cams USING (frame) WHERE NOT isnan(depth)) SELECT frame, r, g, b, {_XYZ('w0', 'w1', 'w2', 'conf')} FROM v_all")
 def stream_ply(s, d):
+    """Points as they arrive, with the pixel's place for a colour."""
     path = _folder(s, "stream-ply")
     points = st.stream_cloud(_pixels(s, d), view(s, d, "pose"))
-    sinks.stream_ply(points.select(F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"), F.col("px").alias("r"), F.col("py").alias("g"), F.lit(0).alias("b"), F.coalesce("conf", F.lit(0.0)).alias("conf"), "frame"), path, _folder(s, "check"))
+    sinks.stream_ply(points.select(F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"), F.col("px").alias("r"), F.col("py").alias("g"), F.lit(0).alias("b"), F.nanvl(F.coalesce("conf", F.lit(0.0)), F.lit(0.0)).alias("conf"), "frame"), path, _folder(s, "check"), wide_frames=True)
     return _read_points(s, path)
 
 
@@ -326,22 +332,38 @@ def manifest_sink(s, d):
     return _frames_of(readers.read_manifests(s, path))
 
 
-BUNDLE = f""", {DUCK_CAMS}, v_px AS (SELECT frame // 100 AS session, count(*) AS n, sum(round(depth, 3)) AS total FROM v_depth WHERE NOT isnan(depth) AND NOT isnan(conf) GROUP BY ALL)
-SELECT 'candidates' AS part, session, count(*) AS n, round(sum(sharpness), 3) AS total FROM v_candidates GROUP BY session UNION ALL SELECT 'cameras', frame // 100, count(*), round(sum(fx), 3) FROM v_cams GROUP BY ALL
-UNION ALL SELECT 'depth', session, n, round(total, 3) FROM v_px UNION ALL SELECT 'settings', session, 1, 1000 FROM (SELECT DISTINCT session FROM v_candidates)"""
+#: Digests of rows whose values both engines write alike: their JSON, in order of the columns.
+BUNDLE = f""", {DUCK_CAMS}, v_px AS (SELECT frame // 100 AS session, count(*) AS n, sum(round(depth, 3)) AS total FROM v_depth WHERE NOT isnan(depth) AND NOT isnan(conf) GROUP BY ALL),
+v_sha AS (SELECT session, sharpness, sha256('{{"video":' || video || ',"ci":' || ci || ',"event_id":' || event_id || '}}') AS sha FROM v_candidates)
+SELECT 'candidates' AS part, session, count(*) AS n, round(sum(sharpness), 3) AS total, min(sha) AS first_sha, max(sha) AS last_sha FROM v_sha GROUP BY session
+UNION ALL SELECT 'cameras', frame // 100, count(*), round(sum(fx), 3), NULL, NULL FROM v_cams GROUP BY ALL
+UNION ALL SELECT 'depth', session, n, round(total, 3), NULL, NULL FROM v_px
+UNION ALL SELECT 'settings', session, 1, 1000, sha256('{{"budget":1000}}'), sha256('{{"budget":1000}}') FROM (SELECT DISTINCT session FROM v_candidates)"""
 
 
 @query("session_bundle", duck("candidates", "pose", "depth") + BUNDLE)
 def session_bundle(s, d):
-    """Candidates, cameras, depth with confidence, and settings, written as one bundle and read back; a row for each part of a session."""
+    """Candidates, cameras, depth with confidence, and settings, written as one bundle and read back: a row for each part of a session.
+
+    Of parts that have whole numbers alone, the least and the greatest digest; a row whose digest isn't that of its content fails the query.
+    """
     path = _folder(s, "bundle")
-    c = view(s, d, "candidates").select("session", "video", "ci", "sharpness")
+    c = view(s, d, "candidates")
     by_hundred = lambda df: df.withColumn("session", F.expr("frame div 100"))
-    tables = {"candidates": c, "cameras": by_hundred(cloud.cameras(view(s, d, "pose"))), "depth": by_hundred(cloud.finite_filter(view(s, d, "depth"), "offline")), "settings": c.select("session").distinct().withColumn("budget", F.lit(1000))}
+    cams, px = by_hundred(cloud.cameras(view(s, d, "pose"))), by_hundred(cloud.finite_filter(view(s, d, "depth"), "offline"))
+    tables = {"candidates": c.select("session", "video", "ci", "event_id"), "sharpness": c.select("session", "sharpness"), "cameras": cams, "depth": px, "settings": c.select("session").distinct().withColumn("budget", F.lit(1000))}
     sinks.write_bundle(tables, path)
-    total = {"candidates": F.col("sharpness"), "cameras": F.col("fx"), "depth": F.round("depth", 3), "settings": F.col("budget").cast("double")}
-    back = [s.read.parquet(f"{path}/{k}").where("length(row_sha256) = 64").groupBy(F.lit(k).alias("part"), F.col("session").cast("long").alias("session")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(x), 3).alias("total")) for k, x in total.items()]
-    out = back[0]
-    for df in back[1:]:
-        out = out.unionByName(df)
+    total = {"candidates": F.lit(0.0), "sharpness": F.col("sharpness"), "cameras": F.col("fx"), "depth": F.round("depth", 3), "settings": F.col("budget").cast("double")}
+    session = F.col("session").cast("long").alias("session")
+    parts = {}
+    for k, x in total.items():
+        rows = s.read.parquet(f"{path}/{k}")
+        content = F.sha2(F.to_json(F.struct(*[n for n in tables[k].columns if n != "session"])), 256)
+        checked = F.when(F.col("row_sha256") == content, F.col("row_sha256")).otherwise(F.raise_error(F.lit(f"a row of {k} isn't what was written")))
+        parts[k] = rows.withColumn("sha", checked).groupBy(session).agg(F.count("sha").alias("n"), F.round(F.sum(x), 3).alias("total"), F.min("sha").alias("first_sha"), F.max("sha").alias("last_sha"))
+    none = F.lit(None).cast("string")
+    out = parts["candidates"].drop("total").join(parts["sharpness"].select("session", "total"), "session").select(F.lit("candidates").alias("part"), "session", "n", "total", "first_sha", "last_sha")
+    for k in ("cameras", "depth", "settings"):
+        own = k == "settings"
+        out = out.unionByName(parts[k].select(F.lit(k).alias("part"), "session", "n", "total", *[(F.col(c) if own else none).alias(c) for c in ("first_sha", "last_sha")]))
     return out

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.pose import decode_pose, unproject
 from ..operators.cloud import finite_filter
-from ..operators.keyframes import MIN_DIFF, MIN_MOVE_M, MIN_YAW_DEG, WINDOW
+from ..operators.keyframes import WINDOW, differs
 
 BINS, LOW, HIGH = 4096, 1e-3, 1e3
 #: Frames of a chunk of depth, and lines that a status log keeps.
@@ -345,18 +345,6 @@ class _Keyframes(StatefulProcessor):
         pass
 
 
-def differs(a: tuple, b: tuple, move: float = MIN_MOVE_M, yaw: float = MIN_YAW_DEG, diff: float = MIN_DIFF) -> bool:
-    """Whether frames (lat, lon, yaw, px) are far enough apart: by place and heading if both have a fix, else by pixels, if both have some."""
-    from math import asin, cos, radians, sin, sqrt
-
-    if a[0] is None or b[0] is None:
-        return a[3] is not None and b[3] is not None and sum(abs(x - y) for x, y in zip(a[3], b[3], strict=True)) / max(1, len(b[3])) >= diff
-    p, q = radians(b[0] - a[0]) / 2, radians(b[1] - a[1]) / 2
-    dist = 2 * 6_371_000.0 * asin(sqrt(sin(p) ** 2 + cos(radians(a[0])) * cos(radians(b[0])) * sin(q) ** 2))
-    turn = (a[2] - b[2]) % 360 if a[2] is not None and b[2] is not None else 0.0
-    return dist >= move or abs(turn - 360 if turn > 180 else turn) >= yaw
-
-
 def stream_keyframes(candidates: DataFrame) -> DataFrame:
     """video and ci of keyframes among candidates (video, ci, sharpness, lat, lon, yaw, px, last) as they arrive, each video in order of ci.
 

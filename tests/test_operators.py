@@ -4,6 +4,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,32 @@ def test_pruning(spark):
     assert sorted(r.ci for r in keyframes.sharpest_per_window(ties).collect()) == [1, 4]
 
 
+def test_pruning_carries_over_batches(spark):
+    """One long video among short ones, in Arrow batches of seven rows, equals a walk over each."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for v, n in enumerate([400, 1, 2, 30, 7, 14]):
+        lat = 60 + np.cumsum(rng.choice([0, 2e-6, 6e-6], n))
+        rows += [(v, k, *((None, None) if rng.random() < 0.2 else (float(lat[k]), 25.0)), float(rng.choice([0, 3, 355])), None if rng.random() < 0.2 else [int(x) for x in rng.integers(0, 12, 4)]) for k in range(n)]
+    want = set()
+    for v in range(6):
+        own = sorted(r for r in rows if r[0] == v)
+        kept = None
+        for r in own:
+            if kept is None or keyframes.differs(kept[2:], r[2:]):
+                want.add(r[:2])
+                kept = r
+        want.add(own[-1][:2])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = keyframes.prune_redundant(spark.createDataFrame(rows, "video long, ci int, lat double, lon double, yaw double, px array<int>").repartition(4)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert keyframes.prune_redundant(spark.createDataFrame([], "video long, ci int, lat double, lon double, yaw double")).count() == 0
+
+
 def brute_decimate(n, b):
     if n <= b:
         return list(range(n))
@@ -304,12 +331,79 @@ def test_frame_kernels(spark):
     assert np.allclose(frames.resample(np.full((9, 7, 3), 0.4), 16, 5), 0.4)
 
 
+POINT = "x double, y double, z double, r int, g int, b int, conf double, frame long"
+
+
 def test_ply(spark, tmp_path):
     rows = [(float(i), 2.0, 3.0, 10, 20, 30, 0.5, i) for i in range(7)]
-    sinks.write_ply(spark.createDataFrame(rows, "x double, y double, z double, r int, g int, b int, conf double, frame int"), str(tmp_path / "out"), 3)
+    sinks.write_ply(spark.createDataFrame(rows, POINT).coalesce(1), str(tmp_path / "out"), 3)
     manifest = json.loads((tmp_path / "out" / "_manifest.json").read_text())
     data = np.concatenate([sinks.read_ply((tmp_path / "out" / m["file"]).read_bytes()) for m in manifest])
-    assert sum(m["vertices"] for m in manifest) == 7 and sinks.RECORD.itemsize == 21 and sorted(data["x"].tolist()) == [float(i) for i in range(7)]
+    assert [m["vertices"] for m in manifest] == [3, 3, 1] and sinks.RECORD.itemsize == 21 and sorted(data["x"].tolist()) == [float(i) for i in range(7)]
+    sinks.write_ply(spark.createDataFrame([], POINT), str(tmp_path / "none"))
+    assert json.loads((tmp_path / "none" / "_manifest.json").read_text()) == [] and sinks.read_ply_files(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("wrong", [{"frame": 65_536}, {"frame": -1}, {"r": 256}, {"g": -2}, {"b": None}])
+def test_point_values_that_do_not_fit_are_errors(spark, tmp_path, wrong):
+    row = {"x": 1.0, "y": 2.0, "z": 3.0, "r": 255, "g": 0, "b": 1, "conf": 0.5, "frame": 65_535} | wrong
+    names = [c.split()[0] for c in POINT.split(", ")]
+    batch = pa.RecordBatch.from_pydict({c: [row[c]] for c in names})
+    with pytest.raises(ValueError, match=next(iter(wrong))):
+        sinks.ply_records(batch, sinks.RECORD)
+
+
+def test_wide_frames(spark, tmp_path):
+    rows = [(1.0, None, 3.0, 1, 2, 3, 0.5, f) for f in (0, 65_535, 70_000, 4_000_000_000)]
+    sinks.write_ply(spark.createDataFrame(rows, POINT), str(tmp_path / "wide"), wide_frames=True)
+    back = sinks.read_ply_files(spark, str(tmp_path / "wide")).collect()
+    assert sorted(r.frame for r in back) == [0, 65_535, 70_000, 4_000_000_000] and all(r.y != r.y and (r.r, r.g, r.b) == (1, 2, 3) for r in back)
+    with pytest.raises(Exception, match="wide_frames"):
+        sinks.write_ply(spark.createDataFrame(rows, POINT), str(tmp_path / "narrow"))
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_colour_tables(spark):
+    lattice = readers.cube_lattice(spark.createDataFrame([("t", "LUT_3D_SIZE 2\n" + "\n".join(f"{r} {g * 0.5} {b * b}" for b in (0, 1) for g in (0, 1) for r in (0, 1)))], "lut string, text string"))
+    rows = [(1, "keep", 0.25, 0.5, 1.0), (2, None, -3.0, 9.0, 0.5), (3, "null", None, 0.5, 0.5), (4, "nan", float("nan"), 0.5, 0.5)]
+    out = frames.lut_apply(spark.createDataFrame(rows, "id int, note string, cr double, cg double, cb double"), lattice, ("id", "note"))
+    got = {r.id: tuple(r)[1:] for r in out.collect()}
+    assert got[1] == ("keep", 0.25, 0.25, 1.0) and got[2] == (None, 0.0, 0.5, 0.5) and got[3] == ("null", None, None, None) and got[4] == ("nan", None, None, None)
+    assert "Exchange" not in plan_of(out)
+    with pytest.raises(ValueError, match="8 cells, not 7"):
+        frames.lut_apply(out.withColumnsRenamed({"o_r": "cr", "o_g": "cg", "o_b": "cb"}), lattice.where("not (r = 1 and g = 1 and b = 0)"))
+    assert frames.lut_apply(spark.createDataFrame(rows, "id int, note string, cr double, cg double, cb double"), lattice.where("false")).count() == 0
+
+
+def test_transforms_from_sums(spark):
+    """Groups of many points in several partitions, far from the origin; nulls and NaN don't count, and no group passes to Python."""
+    rng = np.random.default_rng(4)
+    src = rng.normal(size=(3000, 3)) * 20 + [4000.0, -9000.0, 300.0]
+    q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    q *= np.sign(np.linalg.det(q))
+    dst = 0.7 * src @ q.T + [10, -4, 2] + rng.normal(size=src.shape) * 0.01
+    rows = [("a" if k % 3 else "b", k % 2, *map(float, src[k]), *map(float, dst[k])) for k in range(3000)] + [("a", 0, None, 1.0, 1.0, 1.0, 1.0, 1.0), ("a", 0, float("nan"), 1.0, 1.0, 1.0, 1.0, 1.0), ("none", 0, None, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    out = align.umeyama(spark.createDataFrame(rows, "session string, h long, x double, y double, z double, e double, n double, u double").repartition(5))
+    assert "FlatMapGroups" not in plan_of(out)
+    got = {(r.session, r.h): r for r in out.collect()}
+    assert len(got) == 4
+    for (s, h), r in got.items():
+        at = np.array([k for k in range(3000) if (("a" if k % 3 else "b"), k % 2) == (s, h)])
+        scale, rot, v = align.similarity(src[at], dst[at])
+        assert abs(r.s - scale) < 1e-7 and np.allclose([[r[f"m{i}{j}"] for j in range(3)] for i in range(3)], rot, atol=1e-7) and np.allclose([r.v0, r.v1, r.v2], v, atol=1e-3)
+
+
+def test_clouds_are_dealt_out_by_frame_alone(spark):
+    px = [(f, x, y, 1.0 + 0.001 * x, 2.0) for f in range(3) for x in range(4) for y in range(4)]
+    depth = spark.createDataFrame([*px, (3, 0, 0, 1.0, 1.0)], "frame long, x long, y long, depth double, conf double")
+    rgb = spark.createDataFrame([(f, x, y, f, x, y) for f, x, y, *_ in px if (f, x, y) != (1, 2, 2)] + [(0, 9, 9, 1, 1, 1)], "frame long, x long, y long, r long, g long, b long")
+    poses = spark.createDataFrame([(f, 4, 4, [0.1, 0.2, 0.3, 0.0, 0.0, 0.0, 1.0, 0.8, 1.1]) for f in range(4)], "frame long, width int, height int, enc array<double>")
+    out = cloud.build_cloud(depth, rgb, poses)
+    assert {(r.frame, r.px, r.py) for r in out.collect()} == {(f, x, y) for f, x, y, *_ in px} - {(1, 2, 2)} and all((r.r, r.g, r.b) == (r.frame, r.px, r.py) for r in out.collect())
+    assert all("hashpartitioning(frame" in line and "x#" not in line.partition("hashpartitioning")[2] for line in plan_of(out).split("\n") if "Exchange hashpartitioning" in line)
 
 
 def test_bundle_and_manifest(spark, tmp_path):

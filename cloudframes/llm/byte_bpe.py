@@ -221,7 +221,10 @@ def encoded(column, vocab: Vocabulary):
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids, pre-token byte offsets and the number of ids of each, a row for each row; null text is empty."""
+    """doc_id, ids, pre-token byte offsets and the number of ids of each, a row for each row; null text is empty.
+
+    Empty texts have empty lists; equal texts equal ids; an empty table gives no rows; other columns are ignored.
+    """
     path = path or ranks_path()
 
     def run(batches):
@@ -236,7 +239,10 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode_documents(encoded_docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and the decoded bytes of ids."""
+    """doc_id and the decoded bytes of ids, a row for each row; null and empty ids are no bytes; an id outside the vocabulary is an error.
+
+    An empty table gives no rows; other columns are ignored.
+    """
     path = path or ranks_path()
 
     def run(batches):

@@ -162,6 +162,8 @@ def gif_of(samples: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS, del
 def _blocks(data: bytes, p: int) -> tuple[bytes, int]:
     parts = []
     while n := data[p]:
+        if p + 1 + n > len(data):
+            raise ValueError("a file that breaks off")
         parts.append(data[p + 1 : p + 1 + n])
         p += 1 + n
     return b"".join(parts), p + 1
@@ -212,7 +214,7 @@ def frames(data: bytes):
         samples = lzw_decode(stream, data[p], fw * fh)[: fw * fh]
         p = after
         if len(samples) < fw * fh:
-            samples = np.concatenate([samples, np.zeros(fw * fh - len(samples), np.uint8)])
+            raise ValueError("a code stream that ends early")
         samples = samples.reshape(fh, fw)
         if flags & 0x40:
             samples = samples[np.argsort(_interlaced(fh))]
@@ -232,6 +234,8 @@ def frames(data: bytes):
         elif disposal == 3:
             place[...] = kept
         disposal, delay, clear_index, index = 0, 0, None, index + 1
+    if p >= len(data):
+        raise ValueError("a file that breaks off")
 
 
 def colour_histogram(canvas: np.ndarray) -> np.ndarray:
@@ -248,8 +252,9 @@ FRAME_SCHEMA = "doc_id long, frame int, start_ms long, delay_ms long, width int,
 def gif_frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """A row for each composed frame of GIF columns, with its start time, RGB bytes and colour histogram.
 
-    A null or broken file, also one that breaks in a later frame, gives one row with `error` and no frame; a file without a frame
-    and an empty table give none; equal rows give equal rows.
+    A null or broken file, also one that breaks in a later frame, breaks off before its trailer or has a code stream that ends early,
+    gives one row with `error` and no frame; a file without a frame and an empty table give none; equal rows give equal rows; other
+    columns are ignored.
     """
     import pyspark.sql.functions as F
 

@@ -15,6 +15,8 @@ from .common import doc_text, documents, frugal, small_batches, text_tiles
 BUCKETS, DIM, ORDERS = 1 << 15, 12, (1, 2, 3)
 #: The bounded sample of labelled documents: so many for each language, none longer than so many bytes.
 PER_LANGUAGE, LONGEST = 600, 8000
+#: The most languages that are learned: those with most labelled documents, ties to the first name.
+MOST_LANGUAGES = 1000
 EPOCHS, RATE, SEED = 4, 0.5, 7
 #: The part of correctly labelled calibration documents that a rejection may cost, and the highest threshold.
 COST, HIGHEST = 0.001, 0.5
@@ -137,17 +139,20 @@ def bucket_of_five():
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> tuple[list[str], list[str]]:
     """Texts and labels of at most so many labelled documents of each language, the same in every run.
 
-    A first pass counts the documents by language (a row for each language comes to the driver); a second takes those whose hash
-    is under the language's rate. Documents with crc32(doc_id) mod 5 = 0 are never read for training.
+    A first pass counts the documents by language (a row for each of MOST_LANGUAGES at most comes to the driver); a second takes those
+    whose hash is under the language's rate. Documents with crc32(doc_id) mod 5 = 0 are never read for training. Equal rows count once
+    in the sample; different rows of one doc_id share its hash. A language all of whose labelled texts are longer than `longest` bytes
+    isn't learned, and its documents are told as the nearest of the others or rejected.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of_five() != 0) & (F.octet_length("text") <= longest))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return [], []
     rates = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
     u = (F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED)).bitwiseAND((1 << 30) - 1)) / float(1 << 30)
-    rows = labelled.where(u < F.element_at(rates, F.col("lang"))).select("doc_id", "lang", "text").limit(2 * per_language * len(counts)).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    taken = labelled.where(u < F.element_at(rates, F.col("lang"))).select(u.alias("u"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").distinct()
+    rows = taken.orderBy("u", "doc_id", "text", "lang").limit(2 * per_language * len(counts)).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"], r["lang"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
@@ -172,7 +177,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs, all columns as they are, without the rows that the model rejects."""
+    """docs, all columns as they are, without the rows that the model rejects.
+
+    Null and empty texts and those without a letter are rejected; whole texts count; equal rows have the same fate; an empty table gives
+    none; further columns, whatever their names, are passed on.
+    """
 
     def run(batches):
         for batch in batches:
@@ -191,5 +200,8 @@ def op5_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those that the classifier rejects go."""
+    """Documents whose language is told; those that the classifier rejects go, as `accepted` says: null and empty texts among them.
+
+    It learns from the labels of the same documents; without any label all texts with a letter stay.
+    """
     return accepted(docs, train(*training_sample(docs)))

@@ -72,13 +72,17 @@ def fold():
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> tuple[list[str], np.ndarray]:
-    """At most so many labelled texts in hash order of doc_id, the same in every run; rows with crc32(doc_id) mod 4 = 2 are never among them."""
-    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 2))
-    order = [F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED)), "doc_id"]
-    chosen = {r["doc_id"]: r["quality"] for r in usable.select("doc_id", "quality").orderBy(*order).limit(sample).collect()}
+    """At most so many labelled texts in hash order of doc_id, the same in every run; rows with crc32(doc_id) mod 4 = 2 are never among them.
+
+    A doc_id with several labels has the least of them. Equal rows count once; different texts of one doc_id have its label.
+    """
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 2)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    by_hash = F.xxhash64(F.col("doc_id"), F.lit(SEED))
+    chosen = {r["doc_id"]: r["quality"] for r in usable.orderBy(by_hash, "doc_id").limit(sample).collect()}
     if not chosen:
         return [], np.zeros(0, int)
-    rows = doc_text(docs).where(F.col("doc_id").isin(list(chosen)) & F.col("text").isNotNull() & (F.octet_length("text") <= longest)).limit(2 * sample).collect()
+    rows = doc_text(docs).where(F.col("doc_id").isin(list(chosen)) & F.col("text").isNotNull() & (F.octet_length("text") <= longest)).distinct()
+    rows = rows.orderBy(by_hash, "doc_id", "text").limit(2 * sample).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], np.array([int(chosen[r["doc_id"]]) for r in rows])
 

@@ -78,6 +78,7 @@ def test_each_fault_is_one_error_row(spark):
     files = {
         "no palette": no_palette, "a canvas of 65535 x 65535": good[:6] + struct.pack("<HH", 65535, 65535) + good[10:], "a frame of 65535 x 65535": good[: frame + 5] + struct.pack("<HH", 65535, 65535) + good[frame + 9 :],
         "an LZW code size of 200": good[: frame + 10] + b"\xc8" + good[frame + 11 :], "an LZW code size of 1": good[: frame + 10] + b"\x01" + good[frame + 11 :], None: good[:-12], "an unknown GIF block": good[:-1] + b"\x11",
+        "a file that breaks off": good[:-1],
     }
     got = gif_media.gif_frames(spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(files.values())], "doc_id long, media binary")).collect()
     assert sorted(r.doc_id for r in got) == list(range(len(files)))
@@ -86,6 +87,35 @@ def test_each_fault_is_one_error_row(spark):
         assert r.frame is None and r.rgb is None and (r.error == want if want else r.error)
 
 
+def test_files_that_break_off(spark):
+    """At every length: a prefix is an error row, the whole file has its four frames."""
+    good = _animation()
+    rows = [(n, bytearray(good[:n])) for n in range(6, len(good) + 1)]
+    got = gif_media.gif_frames(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    assert sorted(r.doc_id for r in got if r.error) == list(range(6, len(good))) and sum(r.doc_id == len(good) and r.error is None for r in got) == 4
+
+
+def test_code_streams_that_end_early():
+    good = _animation()
+    at = good.index(b"\x2c") + 10
+    n = good[at + 1]
+    bits = int.from_bytes(good[at + 2 : at + 2 + n], "little")
+    ended = (bits & ((1 << 12) - 1) | 5 << 12).to_bytes(n, "little")  # the end code after two samples
+    with pytest.raises(ValueError, match="ends early"):
+        list(gif_media.frames(good[: at + 2] + ended + good[at + 2 + n :]))
+
+
+def test_media_columns_against_the_payload(docs, rows):
+    """What is stored is this GIF, and its feature is what the payload's bytes say."""
+    for got, (_, t) in zip(by_id(gif_media.gif_payloads(docs)), texts(rows), strict=True):
+        payload = t.encode() + bytes(-len(t.encode()) % 64 if t else 64)
+        media = gif_media.gif_of(payload)
+        assert (got["media_bytes"], got["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest()) and media[:6] == b"GIF89a" and media[-1:] == b";"
+        head, frame_count, duration, histogram = got["feature"].split(";")
+        assert head == f"64x{len(payload) // 64}" and frame_count == f"frames={got['n_frames']}" and duration == f"ms={got['duration_ms']}"
+        assert histogram == "hist=" + ",".join(str(sum(b >> 5 == k for b in payload)) for k in range(8))
+
+
 # --- 2
 def brute_repeats(pairs):
     first = {}
@@ -255,6 +285,46 @@ def test_language(docs, rows, empty):
     assert language_id.train([], []).predict(pa.array(["a"]))[0] == ["und"]
 
 
+def plain_buckets(text):
+    """Buckets of subwords of one, two and three letters, one by one."""
+    mask = (1 << 64) - 1
+    letter = [0 if not c.isalpha() else ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in text]
+    out = []
+    for k in (1, 2, 3):
+        for i in range(len(letter) - k + 1):
+            if letter[i + k // 2]:
+                h = k
+                for x in letter[i : i + k]:
+                    h = ((h ^ (x * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & mask) * 0xD6E8FEB86659FD93) & mask
+                    h ^= h >> 32
+                out.append(h >> 49)
+    return out, sum(map(bool, letter))
+
+
+def test_language_scores_one_by_one(rows):
+    """Averages of bucket rows, a softmax and the rejection in plain Python."""
+    model = language_id.train(["the cat sat on the mat and then the dog"] * 30 + ["le chat est sur la table été et le chien"] * 30 + ["der hund und die katze"] * 9, ["en"] * 30 + ["fr"] * 30 + ["de"] * 9)
+    some = [t for _, t in texts(rows) if len(t) < 5000] + ["Été ß İ 12 a", "ab", "x"]
+    names, score, rejected = model.predict(pa.array(some))
+    for t, name, p, gone in zip(some, names, score, rejected, strict=True):
+        buckets, letters = plain_buckets(t)
+        if not letters:
+            assert (name, p, gone) == ("und", 0, True)
+            continue
+        mean = [sum(model.scores[b, k] for b in buckets) / len(buckets) / model.temperature for k in range(len(model.languages))]
+        e = [math.exp(x - max(mean)) for x in mean]
+        assert abs(p - max(e) / sum(e)) < 1e-9 and name == model.languages[e.index(max(e))] and gone == (max(e) / sum(e) < model.threshold)
+
+
+def test_language_sample_is_the_same_with_repeated_rows(spark):
+    rows = [(1, f"text number {k % 40} of the english kind", "en") for k in range(400)] + [(k, "un texte français", "fr") for k in range(2, 60)] + [(3, None, "fr"), (4, "x", None), (6, "y" * 9000, "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first = language_id.training_sample(df.repartition(4), per_language=1000)
+    assert first == language_id.training_sample(df.repartition(7), per_language=1000) and set(first[1]) == {"en", "fr"} and first[1].count("en") == 40
+    monolingual = language_id.training_sample(df.where("false"))
+    assert monolingual == ([], [])
+
+
 def test_language_query(spark, sf_dir, rows):
     got = by_id(language_id.op5_language_id(spark, sf_dir))
     assert [r["held_out"] for r in got] == [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in texts(rows)]
@@ -328,6 +398,52 @@ def test_quality(spark, docs, empty, sf_dir, rows):
     assert held == {i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i, _ in texts(rows)}
 
 
+def test_quality_scores_by_the_textbook(rows):
+    """Features from brute counts, and log densities with determinants and solved systems."""
+    rng = np.random.default_rng(6)
+    make = lambda good: " ".join(rng.choice(["word", "another", "thing.", "Long", "été"] if good else ["#", "x1", "$$", "word", "x1 x1 x1"], int(rng.integers(5, 60)))) + ("\n" * int(rng.integers(0, 3))) + "end"
+    train = [make(k % 2) for k in range(160)]
+    y = np.array([k % 2 for k in range(160)])
+    model = quality_classifier.train(train, y)
+
+    def features(t):
+        n_words, word_chars, n_symbols, n_dup, n_repeat, n_lines = brute_measures(t)
+        ws = WORD.findall(t)
+        w, c, ln = n_words + 1, len(t) + 1, n_lines + 1
+        mean = word_chars / w
+        count = lambda f: sum(map(f, t))
+        return [
+            math.log(w), math.log1p(mean), math.sqrt(max(0, sum(len(x) ** 2 for x in ws) / w - mean**2)), math.sqrt(n_symbols / w), math.sqrt(count(lambda x: x in "0123456789") / c), math.sqrt(count(lambda x: "A" <= x <= "Z") / c),
+            math.sqrt(count(lambda x: x in ".,;:!?") / w), math.sqrt(count(lambda x: ord(x) > 127) / c), math.log((len(set(ws)) + 1) / w), math.sqrt(n_repeat / w), math.sqrt(n_dup / ln), math.log(w / ln),
+        ]
+
+    x = np.array([features(t) for t in train])
+    center, scale = x.mean(0), x.std(0) + 1e-6
+    z = (x - center) / scale
+    pooled = sum(np.cov(z[y == c].T) * ((y == c).sum() - 1) for c in (0, 1)) / (len(z) - 2)
+    some = [t for _, t in texts(rows) if len(t) < 20_000] + train[:20]
+    q = (np.array([features(t) for t in some]) - center) / scale
+    logs = []
+    for c in (0, 1):
+        p = z[y == c]
+        cov = 0.7 * np.cov(p.T) + 0.3 * pooled
+        cov = 0.95 * cov + (0.05 * np.trace(cov) / len(cov) + 1e-6) * np.eye(len(cov))
+        d = q - p.mean(0)
+        logs.append(math.log(len(p) / len(z)) - 0.5 * (d * np.linalg.solve(cov, d.T).T).sum(1) - 0.5 * np.linalg.slogdet(cov)[1])
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+    got = model.score(quality_classifier.features(quality_classifier.stats(pa.array(some))))
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_conflicting_labels_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(k // 2, f"text {k // 2}", "x") for k in range(40)] + [(1, None, "x"), (None, "none", "x")], "doc_id long, text string, quality string")
+    labels = spark.createDataFrame([(k, q) for k in range(20) for q in (1, 1, k % 2)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    first = quality_classifier.training_sample(docs.repartition(3), labels)
+    again = quality_classifier.training_sample(docs.repartition(5), labels.repartition(2))
+    assert first[0] == again[0] and first[1].tolist() == again[1].tolist() == [int(t.split()[1]) % 2 for t in first[0]] and len(set(first[0])) == len(first[0])
+    assert all(zlib.crc32(t.split()[1].encode()) % 4 != 2 for t in first[0])
+
+
 def test_quality_held_out(spark):
     got = quality_classifier.op7_quality_classifier(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()
     assert sum(r.predicted == r.quality for r in got) >= 0.96 * len(got)

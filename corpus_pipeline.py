@@ -13,12 +13,19 @@ from cloudframes.llm.secret_scan import stage_secrets
 
 
 def stage_mix(spark, docs, sf_dir):
-    """Every document as many times as the mix of sources takes it, none if it takes none of it."""
+    """Every document as many times as the mix of sources takes it, none if it takes none of it.
+
+    Null and empty texts and those without words stay once; a null source is one of its own, the last; equal rows are taken alike; an
+    empty table gives no rows; further columns are passed on.
+    """
     return mix_rows(docs)
 
 
 def stage_encode(spark, docs, sf_dir):
-    """doc_id, ids, byte offsets of the pre-tokens and the number of ids of each."""
+    """doc_id, ids, byte offsets of the pre-tokens and the number of ids of each, a row for each row.
+
+    Null and empty texts have empty lists; repeated rows come repeatedly; an empty table gives no rows; other columns go.
+    """
     return encode_documents(docs)
 
 

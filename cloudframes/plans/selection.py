@@ -36,15 +36,31 @@ def auto_select(survivors: DataFrame, photos: DataFrame, budget: int) -> DataFra
 def apply_edits(auto: DataFrame, edits: DataFrame, candidates: DataFrame) -> DataFrame:
     """(session, ci, crop_scale, is_reference) after replaying edits (session, seq, op, ci, value) on a session's automatic selection (session, ci, is_reference).
 
-    A fold over a session's edits in order: include, exclude, crop and reselect. Excluding the reference picks it anew from what
-    remains, and including it again doesn't undo that. candidates (session, ci, rel_alt) give the selected and included frames'
-    altitudes, by joins; a session's row holds its selection and its log, which are of the size of a budget and of a user's clicks.
+    Edits are include, exclude, crop and reselect, in order of seq; what comes before a session's last reselect is void. Units don't
+    depend on each other: windows over a unit's edits give the spans in which it is selected, and its last crop in the last of these.
+    Only the reference depends on what else is selected: when it is excluded, it is picked anew from what remains, and including it again
+    doesn't undo that. So a session's spans are folded by their ends, and the selection is looked at where the reference goes. Work is
+    edits plus selection, and a selection for each change of the reference. candidates (session, ci, rel_alt) give altitudes.
     """
-    item = "array<struct<ci:int,scale:double,alt:double>>"
+    unit = Window.partitionBy("session", "ci")
+    beginning = F.lit(-(1 << 62))
+    fresh = edits.withColumn("void", F.max(F.when(F.col("op") == "reselect", F.col("seq"))).over(Window.partitionBy("session"))).where("void is null or seq > void").where("ci is not null and op in ('include', 'exclude', 'crop')")
+    events = auto.select("session", "ci", beginning.alias("seq"), F.lit("include").alias("op"), F.lit(None).cast("double").alias("value"))
+    events = events.union(fresh.select("session", "ci", F.col("seq").cast("long").alias("seq"), "op", F.col("value").cast("double").alias("value")).join(auto.select("session").distinct(), "session", "left_semi"))
+    switch = F.when(F.col("op") != "crop", F.col("op"))
+    before = F.last(switch, ignorenulls=True).over(unit.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    rows = events.withColumn("switch", F.when(switch != F.coalesce(before, F.lit("exclude")), switch))
+    after = F.first(F.when(F.col("switch").isNotNull(), F.col("seq")), ignorenulls=True).over(unit.orderBy("seq").rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("to", after).withColumn("since", F.max(F.when(F.col("switch").isNotNull(), F.col("seq"))).over(unit))
+
+    crop = F.max(F.when((F.col("op") == "crop") & (F.col("seq") > F.col("since")), F.struct("seq", "value")))
+    scale = F.when(F.col("crop").isNull(), 1.0).otherwise(F.least(F.greatest(F.col("crop.value"), F.lit(0.3)), F.lit(1.0)))
+    last = F.max_by("switch", F.when(F.col("switch").isNotNull(), F.col("seq")))
+    selected = rows.groupBy("session", "ci").agg(last.alias("last"), crop.alias("crop")).where("last = 'include'").select("session", "ci", scale.alias("crop_scale"))
+
     alts = candidates.select("session", "ci", F.col("rel_alt").alias("alt"))
-    start = auto.join(alts, ["session", "ci"], "left").groupBy("session").agg(F.sort_array(F.collect_list(F.struct("ci", F.lit(1.0).alias("scale"), "alt"))).alias("auto"), F.max(F.when(F.col("is_reference"), F.col("ci"))).alias("auto_ref"))
-    log = edits.join(alts, ["session", "ci"], "left").groupBy("session").agg(F.sort_array(F.collect_list(F.struct("seq", "op", "ci", "value", "alt"))).alias("edits"))
-    rows = start.join(log, "session", "left")
+    spans = rows.where("switch = 'include'").join(alts, ["session", "ci"], "left").groupBy("session").agg(F.collect_list(F.struct("to", "ci", F.col("seq").alias("from"), "alt")).alias("spans"))
+    first = auto.groupBy("session").agg(F.max(F.when(F.col("is_reference"), F.col("ci"))).alias("first"))
 
     def pick(sel):
         n = F.size(sel)
@@ -54,19 +70,14 @@ def apply_edits(auto: DataFrame, edits: DataFrame, candidates: DataFrame) -> Dat
         high = F.array_max(F.transform(F.filter(mid, lambda x: x["alt"].isNotNull()), lambda x: F.struct(x["alt"].alias("a"), (-x["ci"]).alias("ci"))))
         return F.coalesce(-high["ci"], F.get(mid, F.floor(F.size(mid) / 2).cast("int"))["ci"])
 
-    def step(s, e):
-        has = F.exists(s["sel"], lambda x: x["ci"] == e["ci"])
-        added = F.array_sort(F.concat(s["sel"], F.array(F.struct(e["ci"].alias("ci"), F.lit(1.0).alias("scale"), e["alt"].alias("alt")))))
-        without = F.filter(s["sel"], lambda x: x["ci"] != e["ci"])
-        scaled = F.transform(s["sel"], lambda x: F.struct(x["ci"].alias("ci"), F.when(x["ci"] == e["ci"], F.least(F.greatest(e["value"], F.lit(0.3)), F.lit(1.0))).otherwise(x["scale"]).alias("scale"), x["alt"].alias("alt")))
-        sel = F.when(e["op"] == "reselect", F.col("auto")).when((e["op"] == "include") & ~has, added).when((e["op"] == "exclude") & has, without).when(e["op"] == "crop", scaled).otherwise(s["sel"])
-        lost = (e["op"] == "exclude") & has & (s["ref"] == e["ci"]) & (F.size(without) > 0)
-        ref = F.when(e["op"] == "reselect", F.col("auto_ref")).when(lost, pick(without)).otherwise(s["ref"])
-        return F.struct(sel.cast(item).alias("sel"), ref.alias("ref"))
-
-    none = F.array().cast("array<struct<seq:bigint,op:string,ci:int,value:double,alt:double>>")
-    done = rows.withColumn("s", F.aggregate(F.coalesce("edits", none), F.struct(F.col("auto").cast(item).alias("sel"), F.col("auto_ref").alias("ref")), step))
-    return done.select("session", "s.ref", F.explode("s.sel").alias("u")).select("session", "u.ci", F.col("u.scale").alias("crop_scale"), (F.col("u.ci") == F.col("ref")).alias("is_reference"))
+    def moved(ref, end):
+        rest = F.filter("spans", lambda x: (x["from"] < end["to"]) & (x["to"].isNull() | (x["to"] > end["to"])))
+        left = F.array_sort(F.transform(rest, lambda x: F.struct(x["ci"].alias("ci"), x["alt"].alias("alt"))))
+        return F.when(end["ci"] == ref, F.coalesce(pick(left), ref)).otherwise(ref)
+
+    ends = F.array_sort(F.filter("spans", lambda x: x["to"].isNotNull()))
+    refs = spans.join(first, "session").select("session", F.aggregate(ends, F.col("first"), moved).alias("ref"))
+    return selected.join(refs, "session").select("session", "ci", "crop_scale", F.coalesce(F.col("ci") == F.col("ref"), F.lit(False)).alias("is_reference"))
 
 
 def validate(selection: DataFrame, budgets: DataFrame) -> DataFrame:

@@ -67,22 +67,22 @@ def aspect_options(s, d):
 
 
 def _edits(s, d):
-    """All view, click and purchase events as edits of frames of their own video."""
+    """All view, click, purchase and signup events as edits of frames of their own video; a signup selects anew."""
     n = view(s, d, "candidates").groupBy("video").agg(F.count(F.lit(1)).alias("n"))
-    events = view(s, d, "events_k").where("event_type in ('view', 'click', 'purchase')").withColumnRenamed("user_id", "video")
-    return events.join(n, "video").selectExpr("video as session", "event_id as seq", "case event_type when 'view' then 'include' when 'click' then 'exclude' else 'crop' end as op", "cast(k % n as int) as ci", "value / 50 as value")
+    events = view(s, d, "events_k").where("event_type in ('view', 'click', 'purchase', 'signup')").withColumnRenamed("user_id", "video")
+    return events.join(n, "video").selectExpr("video as session", "event_id as seq", "case event_type when 'view' then 'include' when 'click' then 'exclude' when 'purchase' then 'crop' else 'reselect' end as op", "cast(k % n as int) as ci", "value / 50 as value")
 
 
 PICK = "(SELECT CASE WHEN len(h) > 0 THEN h[1].ci ELSE m[len(m) // 2 + 1].ci END FROM (SELECT m, list_sort(list_transform(list_filter(m, lambda x: x.alt IS NOT NULL), lambda x: {{'a': -x.alt, 'ci': x.ci}})) AS h FROM (SELECT {0}[len({0}) // 4 + 1:greatest(3 * len({0}) // 4, len({0}) // 4 + 1)] AS m)))"
 EDITS = """, v_auto AS (SELECT video, list(struct_pack(ci := ci, scale := 1.0::DOUBLE, alt := rel_alt) ORDER BY ci) AS sel FROM v_take JOIN v_candidates USING (video, ci) GROUP BY video),
 v_log AS (SELECT e.user_id AS video, event_type, value, e.k % n AS ci, c.rel_alt AS alt, row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id) AS i
-  FROM v_events_k e JOIN (SELECT video, count(*) AS n FROM v_candidates GROUP BY video) t ON t.video = e.user_id JOIN v_candidates c ON c.video = e.user_id AND c.ci = e.k % n WHERE event_type IN ('view', 'click', 'purchase')),
+  FROM v_events_k e JOIN (SELECT video, count(*) AS n FROM v_candidates GROUP BY video) t ON t.video = e.user_id JOIN v_candidates c ON c.video = e.user_id AND c.ci = e.k % n WHERE event_type IN ('view', 'click', 'purchase', 'signup')),
 v_edit AS (SELECT video, 0::BIGINT AS i, sel, """ + PICK.format("sel") + """ AS ref FROM v_auto
-  UNION ALL SELECT video, i, CASE WHEN event_type = 'view' AND NOT has THEN added WHEN event_type = 'click' AND has THEN rest WHEN event_type = 'purchase' THEN scaled ELSE sel END,
-    CASE WHEN event_type = 'click' AND has AND ref = ci AND len(rest) > 0 THEN """ + PICK.format("rest") + """ ELSE ref END
-  FROM (SELECT s.video, l.i, l.event_type, l.ci, s.sel, s.ref, list_contains(list_transform(s.sel, lambda x: x.ci), l.ci) AS has, list_sort(list_append(s.sel, struct_pack(ci := l.ci::INT, scale := 1.0::DOUBLE, alt := l.alt))) AS added,
+  UNION ALL SELECT video, i, CASE WHEN event_type = 'signup' THEN auto WHEN event_type = 'view' AND NOT has THEN added WHEN event_type = 'click' AND has THEN rest WHEN event_type = 'purchase' THEN scaled ELSE sel END,
+    CASE WHEN event_type = 'signup' THEN """ + PICK.format("auto") + """ WHEN event_type = 'click' AND has AND ref = ci AND len(rest) > 0 THEN """ + PICK.format("rest") + """ ELSE ref END
+  FROM (SELECT s.video, l.i, l.event_type, l.ci, s.sel, s.ref, a.sel AS auto, list_contains(list_transform(s.sel, lambda x: x.ci), l.ci) AS has, list_sort(list_append(s.sel, struct_pack(ci := l.ci::INT, scale := 1.0::DOUBLE, alt := l.alt))) AS added,
       list_filter(s.sel, lambda x: x.ci <> l.ci) AS rest, list_transform(s.sel, lambda x: struct_pack(ci := x.ci, scale := CASE WHEN x.ci = l.ci THEN least(greatest(l.value / 50, 0.3), 1.0) ELSE x.scale END, alt := x.alt)) AS scaled
-    FROM v_edit s JOIN v_log l ON l.video = s.video AND l.i = s.i + 1)),
+    FROM v_edit s JOIN v_log l ON l.video = s.video AND l.i = s.i + 1 JOIN v_auto a ON a.video = s.video)),
 v_end AS (SELECT video, arg_max(sel, i) AS sel, arg_max(ref, i) AS ref FROM v_edit GROUP BY video)
 SELECT video AS session, u.ci, round(u.scale, 6) AS crop_scale, u.ci = ref AS is_reference FROM (SELECT video, ref, unnest(sel) AS u FROM v_end)"""
 

@@ -454,6 +454,29 @@ def test_streams_end_in_files(spark, tmp_path, mode, n):
     assert not spark.catalog.tableExists(f"rows_{mode}_{n}") and bool(got.inputFiles()) >= (n > 0)
 
 
+def _pick(sel, alt):
+    mid = sel[len(sel) // 4 : max(3 * len(sel) // 4, len(sel) // 4 + 1)]
+    high = [(-alt[c], c) for c in mid if alt.get(c) is not None]
+    return min(high)[1] if high else mid[len(mid) // 2]
+
+
+def replay(auto, first, edits, alt):
+    """{ci: (crop, is_reference)} after edits (op, ci, value), one by one."""
+    sel, ref = dict.fromkeys(auto, 1.0), first
+    for op, c, value in edits:
+        if op == "reselect":
+            sel, ref = dict.fromkeys(auto, 1.0), first
+        elif op == "include":
+            sel.setdefault(c, 1.0)
+        elif op == "exclude" and c in sel:
+            del sel[c]
+            if c == ref and sel:
+                ref = _pick(sorted(sel), alt)
+        elif op == "crop" and c in sel:
+            sel[c] = min(max(0.0 if value is None else value, 0.3), 1.0)
+    return {c: (round(x, 6), c == ref) for c, x in sel.items()}
+
+
 def test_edits_of_all_videos(spark):
     """The registered query against a replay of every video's edits in Python."""
     data = "/root/testdata/sf0.001"
@@ -462,28 +485,31 @@ def test_edits_of_all_videos(spark):
         alts.setdefault(r.video, {})[r.ci] = r.rel_alt
     for r in QUERIES["select_keyframes"](spark, data).collect():
         autos.setdefault(r.video, []).append(r.ci)
+    kinds = {"view": "include", "click": "exclude", "purchase": "crop", "signup": "reselect"}
     for r in view(spark, data, "events_k").orderBy("event_id").collect():
-        edits.setdefault(r.user_id, []).append((r.event_type, r.k % len(alts[r.user_id]), r.value / 50))
+        edits.setdefault(r.user_id, []).append((kinds.get(r.event_type), r.k % len(alts[r.user_id]), r.value / 50))
+    want = {(v, c, *x) for v, auto in autos.items() for c, x in replay(auto, _pick(sorted(auto), alts[v]), edits[v], alts[v]).items()}
+    rows = QUERIES["apply_edits"](spark, data).collect()
+    assert "reselect" in {e[0] for v in edits.values() for e in v}
+    assert len(rows) == len(want) and {(r.session, r.ci, round(r.crop_scale, 6), r.is_reference) for r in rows} == want
 
-    def pick(sel, alt):
-        mid = sel[len(sel) // 4 : max(3 * len(sel) // 4, len(sel) // 4 + 1)]
-        high = [(-alt[c], c) for c in mid if alt[c] is not None]
-        return min(high)[1] if high else mid[len(mid) // 2]
 
-    want = set()
-    for video, auto in autos.items():
-        sel, ref = {c: 1.0 for c in auto}, pick(sorted(auto), alts[video])
-        for kind, c, value in edits[video]:
-            if kind == "view":
-                sel.setdefault(c, 1.0)
-            elif kind == "click" and c in sel:
-                del sel[c]
-                if c == ref and sel:
-                    ref = pick(sorted(sel), alts[video])
-            elif kind == "purchase" and c in sel:
-                sel[c] = min(max(value, 0.3), 1.0)
-        want |= {(video, c, round(x, 6), c == ref) for c, x in sel.items()}
-    rows = QUERIES["apply_edits"](spark, data).collect()
+def test_edits_of_few_units_by_replay(spark):
+    """Many edits of few units: the reference goes often, selections run empty, crops come before, between and after."""
+    rng = np.random.default_rng(9)
+    autos, edits, want = [], [], set()
+    alt = {c: None if c == 3 else float(c % 3) for c in range(6)}
+    for k in range(60):
+        s, auto = f"s{k}", sorted(rng.choice(6, int(rng.integers(1, 5)), replace=False).tolist())
+        first = _pick(auto, alt)
+        own = [(str(rng.choice(["include", "exclude", "exclude", "crop", "reselect"], p=[0.3, 0.3, 0.15, 0.2, 0.05])), int(rng.integers(6)), None if rng.random() < 0.1 else float(rng.random() * 1.5)) for _ in range(int(rng.integers(0, 25)))]
+        autos += [(s, c, c == first) for c in auto]
+        edits += [(s, n, *e) for n, e in enumerate(own)]
+        want |= {(s, c, *x) for c, x in replay(auto, first, own, alt).items()}
+    edits += [("unknown", 1, "include", 1, None)]
+    candidates = [(s, c, a) for s in {x[0] for x in autos} for c, a in alt.items()]
+    out = plan.apply_edits(spark.createDataFrame(autos, "session string, ci int, is_reference boolean"), spark.createDataFrame(edits, "session string, seq long, op string, ci int, value double"), spark.createDataFrame(candidates, "session string, ci int, rel_alt double"))
+    rows = out.collect()
     assert len(rows) == len(want) and {(r.session, r.ci, round(r.crop_scale, 6), r.is_reference) for r in rows} == want
 
 

@@ -11,7 +11,8 @@ Suffixes are ordered no deeper than the threshold, and never all of them. Docume
    the grams that two documents still have, all strings; the groups left after the last digit have equal bytes, and are exactly the
    repeated strings. Of a gram with very many different reaches, each string is dealt out by its own bytes, so that no bucket is hot.
 
-Answers are arrays in the order of what a block sent, so messages carry no places, and work and rows grow with the text.
+Answers are arrays in the order of what a block sent, so messages carry no places. Bytes that are sent and work grow with the text. The
+rows that carry them are one for each block and bucket, so they grow with its square until each has one entry, and with the text beyond.
 """
 
 import hashlib

@@ -157,7 +157,7 @@ def estimates(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _likely(x, y, nx, ny) -> tuple[np.ndarray, np.ndarray]:
     value, exact = estimates(x, y)
-    return value, (100 * np.minimum(nx, ny) >= SIMILAR * np.maximum(nx, ny)) & (value >= np.where(exact, SIMILAR / 100 - 2 / KEEP, SIMILAR / 100 - SLACK))
+    return value, (100 * np.minimum(nx, ny) >= SIMILAR * np.maximum(nx, ny)) & (value >= np.where(exact, SIMILAR / 100 - 1e-9, SIMILAR / 100 - SLACK))
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, value: np.ndarray) -> pa.Table:
@@ -404,6 +404,9 @@ def exact_candidates(common: DataFrame, docs: DataFrame, labels: DataFrame) -> D
     label_of = common.select("doc").join(labels.toDF("doc", "label"), "doc", "left").select("doc", F.coalesce("label", "doc").alias("label"))
     firsts = mine.mapInArrow(frugal(prefixes(counts)), "code long, doc long, n long, place long")
     rows = written(firsts.join(small(written(label_of, "near-label-of"), BROADCAST_IDS), "doc"), "near-prefixes")
+    # codes whose members all are in one component already have nothing to look up
+    open_codes = rows.groupBy("code").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("code")
+    rows = rows.join(open_codes, "code", "left_semi")
     # a set is at most a third larger than a similar one, so it lies in the same band of sizes or the next: each band's list holds both
     band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
     rows = rows.select("code", "doc", "n", "place", "label", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))).alias("at")).select("*", "at.*").drop("at")
@@ -470,8 +473,10 @@ def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id.
+    """One document of each group of near-duplicates, the one with the smallest doc_id; null and empty texts and other columns stay.
 
+    Rows of one doc_id are one document: all rows of a kept one stay, those with a null doc_id too, and equal texts under other ids go.
+    An empty table gives no rows.
     The ids that go are broadcast where their counted number is within BROADCAST_IDS, else both sides are shuffled.
     """
     gone = written(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id")).distinct(), "near-gone")

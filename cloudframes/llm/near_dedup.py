@@ -50,6 +50,8 @@ SHORT = 64
 #: The head start of longer lists: lists of the least members that a class is compared in, alone and each together with the one of most
 #: members, and a list's representatives beside the smallest doc_id and the smallest set, drawn anew for each list.
 LONG, DRAWN = 6, 8
+#: Of its representatives in one list those that a member is compared with in full.
+NEAREST = 3
 #: Buckets of each of the two counts of codes in full sets (a power of two); members in a block of an exact list.
 COUNTS, BLOCK = 1 << 19, 400
 #: Candidates of each class that are verified first; rows for a task of list members; pairs that are
@@ -218,7 +220,12 @@ def star_pairs(batches):
             pair, once = np.unique(np.stack([doc[i], other[j]]), axis=1, return_index=True)
             i, j = i[once], j[once]
             value, good = _likely(sketch[i], other_sketch[j], n[i], other_n[j])
-            yield from _pairs(pair[0, good], pair[1, good], value[good]).to_batches()
+            # of a member's representatives in a list its nearest ones; the exact look-up knows of none of the others
+            i, value, pair = i[good], value[good], pair[:, good]
+            order = np.lexsort((-value, i))
+            first = np.flatnonzero(np.concatenate([[True], np.diff(i[order]) != 0])) if len(order) else order
+            near = order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < NEAREST]
+            yield from _pairs(pair[0, near], pair[1, near], value[near]).to_batches()
 
 
 def verified(batches):

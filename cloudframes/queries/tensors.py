@@ -55,11 +55,18 @@ def mask_fold(s, d):
     return _r(tensors.mask_fold(t.unionByName(masks)), "value")
 
 
-@query("mask_patterns", "SELECT CASE vec_id % 3 WHEN 0 THEN 'all_zero' WHEN 1 THEN 'k_only' ELSE 'other' END AS pattern, count(*) AS n_masks FROM embeddings GROUP BY 1")
+MASKS = """WITH v_i AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS gate, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS v FROM embeddings),
+v_m AS (SELECT vec_id, i, CASE WHEN gate < -0.1e0 THEN 0 WHEN gate > 0.1e0 THEN CAST(i NOT BETWEEN 20 AND 39 AS INT) ELSE CAST(v > 0 AS INT) END AS m FROM v_i WHERE i < 60),
+v_c AS (SELECT vec_id, bool_and(m = 0) AS zero, bool_and(m = CAST(i NOT BETWEEN 20 AND 39 AS INT)) AS k_only FROM v_m GROUP BY vec_id)
+SELECT CASE WHEN zero THEN 'all_zero' WHEN k_only THEN 'k_only' ELSE 'other' END AS pattern, count(*) AS n_masks FROM v_c GROUP BY 1"""
+
+
+@query("mask_patterns", MASKS)
 def mask_patterns(s, d):
-    m = s.read.parquet(f"{d}/embeddings.parquet").select(F.concat(F.lit("m"), F.col("vec_id")).alias("name"), "vec_id", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("idx"))
-    value = F.when(F.col("vec_id") % 3 == 0, 0.0).when((F.col("vec_id") % 3 == 1) & ~F.col("idx").between(20, 39), 1.0).when(F.col("vec_id") % 3 == 2, (F.col("idx") % 2).cast("double")).otherwise(0.0)
-    return tensors.mask_patterns(m.select("name", "idx", F.lit(60).alias("n"), value.alias("value")))
+    """Masks from the values of embeddings: nothing, all but the middle third, or the positive elements, by the first element."""
+    m = s.read.parquet(f"{d}/embeddings.parquet").select(F.concat(F.lit("m"), F.col("vec_id")).alias("name"), F.element_at("embedding", 1).cast("double").alias("gate"), F.posexplode("embedding").alias("idx", "v"))
+    value = F.when(F.col("gate") < -0.1, F.lit(0)).when(F.col("gate") > 0.1, (~F.col("idx").between(20, 39)).cast("int")).otherwise((F.col("v") > 0).cast("int"))
+    return tensors.mask_patterns(m.where("idx < 60").select("name", "idx", F.lit(60).alias("n"), value.cast("double").alias("value")))
 
 
 _wide = lambda s, d: _t(s, d).selectExpr("name", "case when name = 't4' and idx % 50 = 0 then 70000.0 when name = 't5' and idx % 100 = 0 then 1e-7 * (1 + idx % 3) else round(ref * 64) / 64 + 1 end as value")
